@@ -217,3 +217,110 @@ FROM rk JOIN vis v ON v.project = rk.project AND v.path = rk.path
 JOIN rs ON rs.project = rk.project AND rs.path = rk.path
 WHERE rk.rank <= 8
 """)
+
+
+# ------------------------------------------------------------------ V_code
+# Expected facts come from the template parameters, not from parsing.
+_CODE = """,
+cp AS (SELECT *, dir || '/m' || CAST(k AS STRING) || CASE lang_id WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.go' END AS path
+       FROM v_code_params),
+lines AS (SELECT project, path, CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS BIGINT) AS lines
+          FROM v_code),
+pyx AS (SELECT cp.project, cp.path, l.lines,
+               'fn_' || k || '_0' || CASE WHEN nf >= 2 THEN ',fn_' || k || '_1' ELSE '' END
+               || CASE WHEN nf >= 3 THEN ',fn_' || k || '_2' ELSE '' END || CASE WHEN nf >= 4 THEN ',fn_' || k || '_3' ELSE '' END
+               || CASE WHEN k % 2 = 0 THEN ',describe' ELSE '' END AS functions,
+               'Model' || k || 'X' AS classes,
+               'os' || CASE WHEN nxt IS NOT NULL THEN ',pkg.m' || nxt ELSE '' END || ',' || fw
+               || CASE WHEN k % 4 = 1 THEN ',pkg' ELSE '' END
+               || CASE WHEN k % 5 = 0 AND prv2 IS NOT NULL THEN ',pkg.m' || prv2 ELSE '' END
+               || CASE WHEN k % 11 = 0 THEN ',pkg.m' || k ELSE '' END AS imports,
+               CAST(n_if + 2 AS BIGINT) AS complexity,
+               CAST(1 + CASE WHEN nf >= 3 THEN 1 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS typed_functions,
+               k % 50 = 0 AS has_syntax_error
+        FROM cp JOIN lines l ON l.project = cp.project AND l.path = cp.path
+        WHERE lang_id = 0 AND dir <> 'build'
+        UNION ALL
+        SELECT project, path, lines, '', '', '', CAST(0 AS BIGINT), CAST(0 AS BIGINT), false
+        FROM lines WHERE path = 'pkg/__init__.py'),
+tsx AS (SELECT cp.project, cp.path, l.lines,
+               'fn_' || k || '_0' || CASE WHEN nf >= 2 THEN ',fn_' || k || '_1' ELSE '' END AS functions,
+               'Model' || k || 'X' AS classes, tsfw || ',' || tsfw || '-extra' AS imports,
+               CAST(n_if + 1 + CASE WHEN nf >= 2 THEN 1 ELSE 0 END AS BIGINT) AS complexity,
+               CAST(1 AS BIGINT) AS typed_functions, false AS has_syntax_error
+        FROM cp JOIN lines l ON l.project = cp.project AND l.path = cp.path WHERE lang_id = 1 AND dir <> 'build'),
+gox AS (SELECT cp.project, cp.path, l.lines, 'Describe,Fn' || k || 'Run' AS functions, 'Model' || k || 'X' AS classes,
+               CASE WHEN k % 4 = 3 THEN 'fmt,signal' ELSE 'fmt,http,' || gofw END AS imports,
+               CAST(n_if + 3 AS BIGINT) AS complexity, CAST(2 AS BIGINT) AS typed_functions, false AS has_syntax_error
+        FROM cp JOIN lines l ON l.project = cp.project AND l.path = cp.path WHERE lang_id = 2 AND dir <> 'build'),
+nodes AS (SELECT project, path FROM pyx),
+pyfile AS (SELECT project, k, path FROM cp WHERE lang_id = 0 AND dir = 'pkg'),
+eraw AS (SELECT cp.project, cp.path AS src, t.path AS dst FROM cp JOIN pyfile t ON t.project = cp.project AND t.k = cp.nxt
+         WHERE cp.lang_id = 0 AND cp.dir <> 'build'
+         UNION ALL SELECT cp.project, cp.path, t.path FROM cp JOIN pyfile t ON t.project = cp.project AND t.k = cp.prv2
+         WHERE cp.lang_id = 0 AND cp.dir <> 'build' AND cp.k % 5 = 0
+         UNION ALL SELECT cp.project, cp.path, t.path FROM cp JOIN pyfile t ON t.project = cp.project AND t.k = cp.k
+         WHERE cp.lang_id = 0 AND cp.dir <> 'build' AND cp.k % 11 = 0
+         UNION ALL SELECT project, path, 'pkg/__init__.py' FROM cp WHERE lang_id = 0 AND dir <> 'build' AND k % 4 = 1),
+edges AS (SELECT DISTINCT project, src, dst FROM eraw),
+indeg AS (SELECT n.project, n.path, CAST(count(e.src) AS BIGINT) AS imported_by
+          FROM nodes n LEFT JOIN edges e ON e.project = n.project AND e.dst = n.path GROUP BY n.project, n.path)
+"""
+
+
+def code_sql(body: str, extra_views=()) -> str:
+    return duckdb_with(["v_code", "v_code_params", *extra_views]) + _CODE + body
+
+
+ORACLE["extract_python_facts"] = code_sql("SELECT * FROM pyx")
+ORACLE["extract_ts_facts"] = code_sql("SELECT * FROM tsx")
+ORACLE["extract_go_facts"] = code_sql("SELECT * FROM gox")
+ORACLE["detect_languages"] = code_sql("""
+SELECT project, 'python' || CASE WHEN bool_or(lang_id = 2) THEN ',go' ELSE '' END
+                         || CASE WHEN bool_or(lang_id = 1) THEN ',typescript' ELSE '' END AS languages
+FROM (SELECT project, lang_id FROM cp UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), 0 FROM nation) t
+GROUP BY project
+""")
+ORACLE["import_edges"] = code_sql("SELECT project, src, dst FROM edges")
+ORACLE["in_degree"] = code_sql("SELECT * FROM indeg")
+ORACLE["most_imported"] = code_sql("""
+SELECT project, path, imported_by, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY imported_by DESC, path) AS BIGINT) AS rank
+  FROM indeg WHERE imported_by > 0) t WHERE rank <= 10
+""")
+
+# Simple cycles by a recursive walk from each cycle's smallest node.
+_CYCLES = """,
+walk AS (WITH RECURSIVE w(project, start, cur, path, depth) AS (
+           SELECT project, src, dst, [src, dst], 2 FROM {e} WHERE dst > src
+           UNION ALL
+           SELECT w.project, w.start, x.dst, list_append(w.path, x.dst), w.depth + 1
+           FROM w JOIN {e} x ON x.project = w.project AND x.src = w.cur
+           WHERE x.dst > w.start AND NOT list_contains(w.path, x.dst))
+         SELECT * FROM w),
+cycles AS (SELECT w.project, CAST(w.depth AS BIGINT) AS cycle_len,
+                  array_to_string(list_append(w.path, w.start), ' -> ') AS chain
+           FROM walk w JOIN {e} x ON x.project = w.project AND x.src = w.cur AND x.dst = w.start
+           UNION ALL
+           SELECT project, CAST(1 AS BIGINT), src || ' -> ' || src FROM {e} WHERE src = dst)
+"""
+
+ORACLE["find_cycles"] = duckdb_with(["v_transitions"]) + _CYCLES.format(e="v_transitions") + "SELECT * FROM cycles"
+ORACLE["code_cycles"] = code_sql(_CYCLES.format(e="edges") + "SELECT * FROM cycles")
+ORACLE["cycle_count"] = code_sql(_CYCLES.format(e="edges") + """
+SELECT p.project, CAST(count(c.chain) AS BIGINT) AS n_cycles
+FROM (SELECT DISTINCT project FROM nodes) p LEFT JOIN cycles c ON c.project = p.project GROUP BY p.project
+""")
+ORACLE["cycle_members"] = code_sql(_CYCLES.format(e="edges") + """
+SELECT DISTINCT project, unnest(string_split(chain, ' -> ')) AS path FROM cycles
+""")
+ORACLE["related_files"] = code_sql(""",
+top3 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY imported_by DESC, path) AS BIGINT) AS rank
+                        FROM indeg) t WHERE rank <= 3),
+nb AS (SELECT project, src AS path, dst AS file, 'imports' AS relation, 0 AS o FROM edges
+       UNION ALL SELECT project, dst, src, 'imported_by', 1 FROM edges)
+SELECT t.project, t.rank, t.path,
+       coalesce(string_agg(nb.file || ':' || nb.relation, ';' ORDER BY nb.o, nb.file, nb.relation), '') AS related
+FROM top3 t LEFT JOIN nb ON nb.project = t.project AND nb.path = t.path
+GROUP BY t.project, t.rank, t.path
+""")

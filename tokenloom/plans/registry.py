@@ -123,3 +123,116 @@ def q_token_distribution(spark, sf_dir):
     """W5 (+C12 share band)."""
     files, rules = corpus(spark, sf_dir)
     return B.token_distribution(files, rules)
+
+
+# ---------------------------------------------------------------- code facts
+from tokenloom.operators import extract as X  # noqa: E402
+from tokenloom.operators import graph as G  # noqa: E402
+
+
+def _join_arr(c: str):
+    return F.array_join(F.col(c), ",").alias(c)
+
+
+def code_files(spark, sf_dir):
+    return load_views(spark, sf_dir, ["v_code"])["v_code"].select("project", "path", "content", "size_bytes", "mtime")
+
+
+def code_facts(spark, sf_dir, languages=("python", "typescript", "go")):
+    return X.extract_all_facts(code_files(spark, sf_dir), languages)
+
+
+def _facts_out(df):
+    return df.select("project", "path", F.col("lines").cast("long"), _join_arr("functions"), _join_arr("classes"),
+                     _join_arr("imports"), F.col("complexity").cast("long"), F.col("typed_functions").cast("long"),
+                     "has_syntax_error")
+
+
+@register("extract_python_facts")
+def q_extract_python_facts(spark, sf_dir):
+    """U1 + U1b."""
+    return _facts_out(X.extract_python_facts(code_files(spark, sf_dir)))
+
+
+@register("extract_ts_facts")
+def q_extract_ts_facts(spark, sf_dir):
+    """U2."""
+    return _facts_out(X.extract_ts_facts(code_files(spark, sf_dir)))
+
+
+@register("extract_go_facts")
+def q_extract_go_facts(spark, sf_dir):
+    """U3."""
+    return _facts_out(X.extract_go_facts(code_files(spark, sf_dir)))
+
+
+@register("detect_languages")
+def q_detect_languages(spark, sf_dir):
+    """U5 (+X1 union with python)."""
+    d = X.detect_languages(code_files(spark, sf_dir))
+    return d.select("project", F.array_join(F.array_union(F.array(F.lit("python")), F.array_sort("extra_languages")), ",")
+                    .alias("languages"))
+
+
+def py_graph(spark, sf_dir):
+    files = code_files(spark, sf_dir)
+    facts = X.extract_python_facts(files)
+    edges = G.resolve_imports(facts, files)
+    return files, facts, edges
+
+
+@register("import_edges")
+def q_import_edges(spark, sf_dir):
+    """J1 / G1 / X3."""
+    return py_graph(spark, sf_dir)[2]
+
+
+@register("in_degree")
+def q_in_degree(spark, sf_dir):
+    """A6."""
+    _, facts, edges = py_graph(spark, sf_dir)
+    return G.in_degree(facts, edges)
+
+
+@register("most_imported")
+def q_most_imported(spark, sf_dir):
+    """W1 (top 10, zero dropped)."""
+    _, facts, edges = py_graph(spark, sf_dir)
+    return G.top_n_per_project(G.in_degree(facts, edges), "imported_by", 10, drop_zero=True)
+
+
+@register("find_cycles")
+def q_find_cycles(spark, sf_dir):
+    """G2 on the event-type transition graph."""
+    e = load_views(spark, sf_dir, ["v_transitions"])["v_transitions"]
+    return G.find_cycles(spark, e)
+
+
+@register("code_cycles")
+def q_code_cycles(spark, sf_dir):
+    """G2 on the import graph."""
+    return G.find_cycles(spark, py_graph(spark, sf_dir)[2])
+
+
+@register("cycle_count")
+def q_cycle_count(spark, sf_dir):
+    """G4."""
+    _, facts, edges = py_graph(spark, sf_dir)
+    return G.cycle_count(facts, G.find_cycles(spark, edges))
+
+
+@register("cycle_members")
+def q_cycle_members(spark, sf_dir):
+    """G3."""
+    return G.cycle_members(G.find_cycles(spark, py_graph(spark, sf_dir)[2]))
+
+
+@register("related_files")
+def q_related_files(spark, sf_dir):
+    """J3 on the three most imported files per project."""
+    from tokenloom.operators.focus import related_files
+    _, facts, edges = py_graph(spark, sf_dir)
+    top = G.top_n_per_project(G.in_degree(facts, edges), "imported_by", 3)
+    r = related_files(top.select("project", "rank", "path"), edges)
+    return r.select("project", "rank", "path", F.array_join(F.transform(
+        "related", lambda x: F.concat(x["file"], F.lit(":"), x["relation"])), ";").alias("related"))

@@ -300,7 +300,22 @@ FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts
 WHERE nxt IS NOT NULL
 """
 
+# V_code_changes: each order is a commit of its customer's nation; it touches
+# the customer's file (and the previous customer's file on every 3rd order).
+V_CODE_CHANGES = """
+SELECT p.project, o.o_orderkey AS commit_id,
+       CAST(row_number() OVER (PARTITION BY p.project ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS BIGINT) AS commit_seq,
+       o.o_orderkey % 97 <> 0 AS has_parent,
+       p.dir || '/m' || CAST(p.k AS STRING) || CASE p.lang_id WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.go' END AS a_path,
+       CASE WHEN o.o_orderkey % 3 = 0 AND p.prv IS NOT NULL
+            THEN 'pkg/m' || CAST(p.prv AS STRING) || CASE p.lang_id WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.go' END
+            ELSE p.dir || '/m' || CAST(p.k AS STRING) || CASE p.lang_id WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.go' END
+       END AS b_path
+FROM {orders} o JOIN {v_code_params} p ON o.o_custkey = p.k
+"""
+
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "v_code_changes": (V_CODE_CHANGES, ("orders", "v_code_params")),
     "v_docs": (V_DOCS, ("documents",)),
     "v_pages": (V_PAGES, ("pages",)),
     "v_files": (V_FILES, ("v_docs", "v_pages")),
