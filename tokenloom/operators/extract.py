@@ -10,9 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark import cloudpickle
+
 from tokenloom.functions.text import line_count
+from tokenloom.operators import pyfacts as _pyfacts
 from tokenloom.operators.filters import GO_EXTENSIONS, TS_EXTENSIONS, in_dirs
 
+# Executors need not have this package installed: the per-row helper travels
+# with the UDF (pickled by value).
+cloudpickle.register_pickle_by_value(_pyfacts)
+
 FACT_COLUMNS = ["project", "path", "language", "lines", "functions", "classes", "imports",
                 "complexity", "typed_functions", "has_syntax_error"]
 
@@ -21,9 +28,10 @@ _PY_SCHEMA = ("functions array<string>, classes array<string>, imports array<str
 
 
 def _python_facts_udf():
+    python_facts = _pyfacts.python_facts
+
     @F.pandas_udf(_PY_SCHEMA)
     def py_facts(src: pd.Series) -> pd.DataFrame:
-        from tokenloom.operators.pyfacts import python_facts
         rows = [python_facts(s if isinstance(s, str) else "") for s in src]
         return pd.DataFrame(rows, columns=["functions", "classes", "imports", "complexity",
                                            "typed_functions", "has_syntax_error"])

@@ -59,8 +59,7 @@ def prune_acyclic(edges: DataFrame, rounds: int = 2) -> DataFrame:
     return e
 
 
-def find_cycles(spark: SparkSession, edges: DataFrame, max_len: int | None = None,
-                checkpoint_every: int = 4) -> DataFrame:
+def find_cycles(spark: SparkSession, edges: DataFrame, max_len: int | None = None) -> DataFrame:
     """Every simple cycle once, rooted at its smallest node, as
     ``project, cycle_len, chain`` with chain ``a -> b -> a``.
 
@@ -68,37 +67,45 @@ def find_cycles(spark: SparkSession, edges: DataFrame, max_len: int | None = Non
     nodes only (so each cycle is produced from its minimum exactly once) and
     closed by an edge back to the start.  Each level is one join of the
     frontier with the edge table, keyed by ``(project, node)``; the frontier is
-    persisted and its lineage cut with ``checkpoint()`` every few levels.
+    every level is checkpointed (lineage cut, survives executor loss).
     The loop ends when the frontier is empty or ``max_len`` is reached (the
     number of simple cycles can grow exponentially with graph density).
     """
-    base = edges.select("project", "src", "dst").distinct().persist()
-    e = prune_acyclic(base).persist()
+    from tokenloom.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    # cut the lineage (extraction, resolution) once: every level below is
+    # analysed against a plain scan of the checkpointed edge table
+    e = prune_acyclic(edges.select("project", "src", "dst").distinct().checkpoint()).checkpoint()
     loops = e.where(F.col("src") == F.col("dst")).select(
         "project", F.lit(1).cast("long").alias("cycle_len"), F.concat_ws(" -> ", "src", "src").alias("chain"))
     step = e.where(F.col("src") != F.col("dst")).select("project", F.col("src").alias("cur"), F.col("dst").alias("nxt"))
     frontier = e.where(F.col("dst") > F.col("src")).select(
         "project", F.col("src").alias("start"), F.col("dst").alias("cur"), F.array("src", "dst").alias("path"))
-    closing = e.select("project", F.col("src").alias("cur"), F.col("dst").alias("start"))
-    found = []
+    levels = []
     depth = 2
-    frontier = frontier.persist()
     while True:
-        found.append(frontier.join(closing, ["project", "cur", "start"], "left_semi")
-                     .select("project", F.lit(depth).cast("long").alias("cycle_len"),
-                             F.array_join(F.concat("path", F.array("start")), " -> ").alias("chain")))
-        if max_len is not None and depth >= max_len:
+        # one join per level: an edge back to the start closes a cycle, an
+        # edge to a larger unvisited node extends the path
+        lvl = (frontier.join(step, ["project", "cur"])
+               .where((F.col("nxt") == F.col("start"))
+                      | ((F.col("nxt") > F.col("start")) & ~F.array_contains("path", F.col("nxt"))))
+               .select("project", "start", F.col("nxt").alias("cur"),
+                       F.when(F.col("nxt") == F.col("start"), F.col("path"))
+                        .otherwise(F.concat("path", F.array("nxt"))).alias("path"),
+                       (F.col("nxt") == F.col("start")).alias("closed")))
+        # each level is written to the checkpoint folder: it survives executor
+        # loss and keeps the plans of later levels small
+        lvl = lvl.checkpoint()
+        open_paths = lvl.where(~F.col("closed")).count()
+        levels.append(lvl.where("closed"))
+        frontier = lvl.where(~F.col("closed")).drop("closed")
+        if (max_len is not None and depth >= max_len) or open_paths == 0:
             break
-        nxt = (frontier.join(step, ["project", "cur"])
-               .where((F.col("nxt") > F.col("start")) & ~F.array_contains("path", F.col("nxt")))
-               .select("project", "start", F.col("nxt").alias("cur"), F.concat("path", F.array("nxt")).alias("path")))
-        nxt = nxt.checkpoint() if depth % checkpoint_every == 0 else nxt.persist()
-        if nxt.isEmpty():
-            break
-        frontier, depth = nxt, depth + 1
+        depth += 1
     out = loops
-    for f in found:
-        out = out.unionByName(f)
+    for lv in levels:
+        out = out.unionByName(lv.select("project", F.size("path").cast("long").alias("cycle_len"),
+                                        F.array_join(F.concat("path", F.array("start")), " -> ").alias("chain")))
     return out
 
 
