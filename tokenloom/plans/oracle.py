@@ -324,3 +324,151 @@ SELECT t.project, t.rank, t.path,
 FROM top3 t LEFT JOIN nb ON nb.project = t.project AND nb.path = t.path
 GROUP BY t.project, t.rank, t.path
 """)
+
+
+# ------------------------------------------------------------------ sessions
+from tokenloom.functions.scores import PRICE_CACHE_READ, PRICE_CACHE_WRITE, PRICE_INPUT, PRICE_OUTPUT  # noqa: E402
+
+
+def _cost(i, o, w, r) -> str:
+    return (f"round({i} * {PRICE_INPUT!r} + {o} * {PRICE_OUTPUT!r} + {w} * {PRICE_CACHE_WRITE!r}"
+            f" + {r} * {PRICE_CACHE_READ!r}, 5)")
+
+
+_SESS = f""",
+pj AS (SELECT project, session_id, line_no, raw, mtime_s, json_valid(raw) AS ok FROM v_sessions),
+ev AS (SELECT project, session_id, line_no,
+              CASE WHEN ok THEN json_extract_string(raw, '$.type') END AS type,
+              coalesce(CASE WHEN ok THEN json_extract_string(raw, '$.uuid') END, '') AS uuid,
+              CASE WHEN ok THEN json_extract(raw, '$.message.usage') END AS usage
+       FROM pj),
+asst AS (SELECT * FROM ev WHERE type = 'assistant'),
+ded AS (SELECT project, session_id, line_no, uuid, usage FROM
+          (SELECT *, row_number() OVER (PARTITION BY session_id, uuid ORDER BY line_no) AS rn FROM asst WHERE uuid <> '') t
+        WHERE rn = 1
+        UNION ALL SELECT project, session_id, line_no, uuid, usage FROM asst WHERE uuid = ''),
+dedc AS (SELECT session_id, line_no, uuid,
+                usage IS NOT NULL AND json_type(usage) = 'OBJECT' AND CAST(usage AS VARCHAR) <> '{{}}' AS has_usage,
+                coalesce(TRY_CAST(json_extract_string(usage, '$.input_tokens') AS BIGINT), 0) AS input_tokens,
+                coalesce(TRY_CAST(json_extract_string(usage, '$.output_tokens') AS BIGINT), 0) AS output_tokens,
+                coalesce(TRY_CAST(json_extract_string(usage, '$.cache_creation_input_tokens') AS BIGINT), 0) AS cache_write,
+                coalesce(TRY_CAST(json_extract_string(usage, '$.cache_read_input_tokens') AS BIGINT), 0) AS cache_read
+         FROM ded),
+sess AS (SELECT project, session_id, max(mtime_s) AS mtime_s FROM v_sessions GROUP BY project, session_id),
+sums AS (SELECT session_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+                CAST(sum(cache_write) AS BIGINT) AS cache_write, CAST(sum(cache_read) AS BIGINT) AS cache_read,
+                count(*) AS turns
+         FROM dedc WHERE has_usage GROUP BY session_id),
+usage_t AS (SELECT s.session_id, substr(s.session_id, 1, 8) AS short_id, s.project, s.mtime_s,
+                   coalesce(u.input_tokens, 0) AS input_tokens, coalesce(u.output_tokens, 0) AS output_tokens,
+                   coalesce(u.cache_write, 0) AS cache_write, coalesce(u.cache_read, 0) AS cache_read,
+                   CAST(coalesce(u.input_tokens, 0) + coalesce(u.output_tokens, 0) AS BIGINT) AS total_tokens,
+                   CAST(coalesce(u.turns, 0) AS BIGINT) AS turns,
+                   {_cost('coalesce(u.input_tokens, 0)', 'coalesce(u.output_tokens, 0)', 'coalesce(u.cache_write, 0)',
+                          'coalesce(u.cache_read, 0)')} AS cost_usd
+            FROM sess s LEFT JOIN sums u ON u.session_id = s.session_id)
+"""
+
+ORACLE["session_usage"] = duckdb_with(["v_sessions"]) + _SESS + "SELECT * FROM usage_t"
+ORACLE["dedupe_events"] = duckdb_with(["v_sessions"]) + _SESS + """
+SELECT session_id, CAST(line_no AS BIGINT) AS line_no, uuid, has_usage, input_tokens, output_tokens, cache_write, cache_read
+FROM dedc"""
+ORACLE["recent_sessions"] = duckdb_with(["v_sessions"]) + _SESS + f"""
+SELECT * FROM usage_t WHERE mtime_s > {1704067200 + 120 * 3600} - 48 * 3600 ORDER BY mtime_s DESC, session_id LIMIT 10"""
+ORACLE["compare_sessions"] = duckdb_with(["v_sessions"]) + _SESS + """,
+a AS (SELECT * FROM usage_t WHERE starts_with(session_id, 'c1') ORDER BY mtime_s DESC, session_id LIMIT 1),
+b AS (SELECT * FROM usage_t WHERE starts_with(session_id, 'c2') ORDER BY mtime_s DESC, session_id LIMIT 1),
+la AS (UNPIVOT (SELECT session_id, CAST(input_tokens AS DOUBLE) AS input_tokens, CAST(output_tokens AS DOUBLE) AS output_tokens,
+                       CAST(cache_write AS DOUBLE) AS cache_write, CAST(cache_read AS DOUBLE) AS cache_read,
+                       CAST(total_tokens AS DOUBLE) AS total_tokens, CAST(turns AS DOUBLE) AS turns, cost_usd FROM a)
+       ON input_tokens, output_tokens, cache_write, cache_read, total_tokens, turns, cost_usd INTO NAME metric VALUE v),
+lb AS (UNPIVOT (SELECT session_id, CAST(input_tokens AS DOUBLE) AS input_tokens, CAST(output_tokens AS DOUBLE) AS output_tokens,
+                       CAST(cache_write AS DOUBLE) AS cache_write, CAST(cache_read AS DOUBLE) AS cache_read,
+                       CAST(total_tokens AS DOUBLE) AS total_tokens, CAST(turns AS DOUBLE) AS turns, cost_usd FROM b)
+       ON input_tokens, output_tokens, cache_write, cache_read, total_tokens, turns, cost_usd INTO NAME metric VALUE v)
+SELECT coalesce(la.metric, lb.metric) AS metric, la.session_id AS a_session, lb.session_id AS b_session,
+       la.v AS a, lb.v AS b, round(lb.v - la.v, 5) AS diff
+FROM la FULL JOIN lb ON la.metric = lb.metric
+"""
+ORACLE["session_delta"] = duckdb_with(["v_sessions"]) + _SESS + f""",
+prev AS (SELECT session_id, CAST(sum(input_tokens) AS BIGINT) AS pi, CAST(sum(output_tokens) AS BIGINT) AS po,
+                CAST(sum(cache_write) AS BIGINT) AS pw, CAST(sum(cache_read) AS BIGINT) AS pr
+         FROM dedc WHERE has_usage AND line_no <= 3 GROUP BY session_id),
+prev_s AS (SELECT DISTINCT session_id FROM v_sessions WHERE line_no <= 3 AND regexp_matches(session_id, '[02468]-'))
+SELECT u.session_id,
+       CAST(CASE WHEN ps.session_id IS NULL THEN 0 ELSE u.input_tokens - coalesce(p.pi, 0) END AS BIGINT) AS delta_input,
+       CAST(CASE WHEN ps.session_id IS NULL THEN 0 ELSE u.output_tokens - coalesce(p.po, 0) END AS BIGINT) AS delta_output,
+       CAST(CASE WHEN ps.session_id IS NULL THEN 0 ELSE u.cache_write - coalesce(p.pw, 0) END AS BIGINT) AS delta_cache_w,
+       CAST(CASE WHEN ps.session_id IS NULL THEN 0 ELSE u.cache_read - coalesce(p.pr, 0) END AS BIGINT) AS delta_cache_r,
+       CASE WHEN ps.session_id IS NULL THEN 0.0 ELSE
+            {_cost('(u.input_tokens - coalesce(p.pi, 0))', '(u.output_tokens - coalesce(p.po, 0))',
+                   '(u.cache_write - coalesce(p.pw, 0))', '(u.cache_read - coalesce(p.pr, 0))')} END AS delta_cost
+FROM usage_t u LEFT JOIN prev_s ps ON ps.session_id = u.session_id LEFT JOIN prev p ON p.session_id = u.session_id
+"""
+
+# ------------------------------------------------------------------- history
+_HOT = """
+SELECT project, path, changes, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY changes DESC, path) AS BIGINT) AS rank FROM (
+    SELECT project, path, CAST(count(*) AS BIGINT) AS changes FROM (
+      SELECT project, a_path AS path FROM {t} WHERE commit_seq <= {n} AND has_parent AND ends_with(a_path, '.py')
+      UNION ALL
+      SELECT project, b_path FROM {t} WHERE commit_seq <= {n} AND has_parent AND b_path <> a_path AND ends_with(b_path, '.py')
+    ) x GROUP BY project, path) c) r
+WHERE rank <= 20
+"""
+ORACLE["hot_files"] = duckdb_with(["v_changes"]) + _HOT.format(t="v_changes", n=500)
+ORACLE["file_overview"] = code_sql(""",
+hot AS (""" + _HOT.format(t="v_code_changes", n=50) + """),
+cnt AS (SELECT cp.project, cp.path, CAST(nf + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS functions,
+               CAST(1 AS BIGINT) AS classes,
+               CAST(3 + CASE WHEN nxt IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END
+                      + CASE WHEN k % 5 = 0 AND prv2 IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END
+                      - 1 AS BIGINT) AS imports
+        FROM cp WHERE lang_id = 0 AND dir <> 'build'
+        UNION ALL SELECT project, path, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM lines
+        WHERE path = 'pkg/__init__.py')
+SELECT x.project, x.path, x.lines, c.functions, c.classes, c.imports, i.imported_by, h.path IS NOT NULL AS hot
+FROM pyx x JOIN cnt c ON c.project = x.project AND c.path = x.path
+JOIN indeg i ON i.project = x.project AND i.path = x.path
+LEFT JOIN hot h ON h.project = x.project AND h.path = x.path
+""", extra_views=("v_code_changes",))
+
+# -------------------------------------------------------------------- ranges
+_HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+_DIFF = rf""",
+d1 AS (SELECT project, diff_id, line_no, line,
+              CASE WHEN regexp_matches(line, '^diff --git a/(.+?) b/(.+)$')
+                   THEN regexp_extract(line, '^diff --git a/(.+?) b/(.+)$', 2) END AS hdr FROM v_diff),
+d2 AS (SELECT *, last_value(hdr IGNORE NULLS) OVER (PARTITION BY project, diff_id ORDER BY line_no
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS file,
+              count(hdr) OVER (PARTITION BY project, diff_id ORDER BY line_no
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM d1),
+hk AS (SELECT project, diff_id, file, block, line_no,
+              CAST(regexp_extract(line, '{_HUNK}', 3) AS BIGINT) AS st,
+              CASE WHEN regexp_extract(line, '{_HUNK}', 4) = '' THEN 1
+                   ELSE CAST(regexp_extract(line, '{_HUNK}', 4) AS BIGINT) END AS ln
+       FROM d2 WHERE file IS NOT NULL AND regexp_matches(line, '{_HUNK}')),
+hk2 AS (SELECT project, diff_id, file AS path, line_no, st AS start_line, st + greatest(ln, 1) - 1 AS end_line
+        FROM hk WHERE (project, diff_id, file, block) IN (SELECT project, diff_id, file, max(block) FROM hk GROUP BY ALL))
+"""
+ORACLE["hunk_ranges"] = duckdb_with(["v_diff"]) + _DIFF + """
+SELECT project, diff_id, path, CAST(line_no AS BIGINT) AS line_no, start_line, end_line FROM hk2"""
+
+
+def _islands(src: str, keys: str, pad: int) -> str:
+    return f"""
+p AS (SELECT {keys}, greatest(start_line - {pad}, 1) AS s, end_line + {pad} AS e FROM {src}),
+f AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                          IS NULL OR s > max(e) OVER (PARTITION BY {keys} ORDER BY s, e
+                                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1
+                     THEN 1 ELSE 0 END AS new FROM p),
+g AS (SELECT *, sum(new) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
+      FROM f)
+SELECT {keys}, CAST(min(s) AS BIGINT) AS start_line, CAST(max(e) AS BIGINT) AS end_line FROM g GROUP BY {keys}, island
+"""
+
+
+ORACLE["merge_ranges"] = duckdb_with(["v_ranges"]) + "," + _islands("v_ranges", "project, path", 30)
+ORACLE["diff_context"] = (duckdb_with(["v_diff"]) + _DIFF + ", hpy AS (SELECT * FROM hk2 WHERE ends_with(path, '.py')),"
+                          + _islands("hpy", "project, diff_id, path", 3))

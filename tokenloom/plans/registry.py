@@ -236,3 +236,106 @@ def q_related_files(spark, sf_dir):
     r = related_files(top.select("project", "rank", "path"), edges)
     return r.select("project", "rank", "path", F.array_join(F.transform(
         "related", lambda x: F.concat(x["file"], F.lit(":"), x["relation"])), ";").alias("related"))
+
+
+# ------------------------------------------------------------------ sessions
+from tokenloom.operators import sessions as SS  # noqa: E402
+
+# Fixed values of the registered session queries.
+SESSIONS_NOW_S = 1704067200 + 120 * 3600
+SESSIONS_HOURS = 48
+PREVIOUS_POLL_LAST_LINE = 3
+
+
+def session_lines(spark, sf_dir):
+    v = load_views(spark, sf_dir, ["v_sessions"])["v_sessions"]
+    return v.select("project", "session_id", "line_no", "raw", F.col("mtime").alias("file_mtime"))
+
+
+def _usage_out(df):
+    return df.select("session_id", "short_id", "project", F.unix_seconds("mtime").alias("mtime_s"),
+                     *SS.COUNTS, "total_tokens", "turns", "cost_usd")
+
+
+@register("session_usage")
+def q_session_usage(spark, sf_dir):
+    """S3 + W2 + A8 + C13."""
+    return _usage_out(SS.session_usage(session_lines(spark, sf_dir)))
+
+
+@register("dedupe_events")
+def q_dedupe_events(spark, sf_dir):
+    """Surviving assistant rows."""
+    from tokenloom.sources.sessions import assistant_rows, read_session_log
+    d = SS.dedupe_first_by_uuid(assistant_rows(read_session_log(session_lines(spark, sf_dir))))
+    return d.select("session_id", F.col("line_no").cast("long"), "uuid", "has_usage", *SS.COUNTS)
+
+
+@register("recent_sessions")
+def q_recent_sessions(spark, sf_dir):
+    """W9 + F5."""
+    u = SS.session_usage(session_lines(spark, sf_dir))
+    r = SS.recent_sessions(u, F.timestamp_seconds(F.lit(SESSIONS_NOW_S)), SESSIONS_HOURS, 10)
+    return _usage_out(r)
+
+
+@register("compare_sessions")
+def q_compare_sessions(spark, sf_dir):
+    """J8."""
+    return SS.compare_sessions(SS.session_usage(session_lines(spark, sf_dir)), "c1", "c2")
+
+
+@register("session_delta")
+def q_session_delta(spark, sf_dir):
+    """Totals now vs the poll that had seen lines 0..3 only."""
+    lines = session_lines(spark, sf_dir)
+    cur = SS.session_usage(lines)
+    prev = SS.session_usage(lines.where(F.col("line_no") <= PREVIOUS_POLL_LAST_LINE).where(
+        F.col("session_id").rlike("[02468]-")))
+    return SS.session_delta(cur, prev).select("session_id", "delta_input", "delta_output", "delta_cache_w",
+                                              "delta_cache_r", "delta_cost")
+
+
+# ------------------------------------------------------------------- history
+from tokenloom.operators import history as H  # noqa: E402
+
+
+@register("hot_files")
+def q_hot_files(spark, sf_dir):
+    """S4 + W3 + F8 + A7 over the order/lineitem change log (N = 500)."""
+    ch = load_views(spark, sf_dir, ["v_changes"])["v_changes"]
+    return H.hot_files(ch, 500, 20)
+
+
+@register("file_overview")
+def q_file_overview(spark, sf_dir):
+    """Facts + in-degree + hot flag (code change log, N = 50)."""
+    files, facts, edges = py_graph(spark, sf_dir)
+    hot = H.hot_files(load_views(spark, sf_dir, ["v_code_changes"])["v_code_changes"], 50, 20)
+    return H.file_overview(facts, G.in_degree(facts, edges), hot)
+
+
+# -------------------------------------------------------------------- ranges
+from tokenloom.operators import ranges as RG  # noqa: E402
+
+
+@register("hunk_ranges")
+def q_hunk_ranges(spark, sf_dir):
+    """C8 + S5 (all files, before merging)."""
+    d = load_views(spark, sf_dir, ["v_diff"])["v_diff"]
+    r = RG.read_unified_diff(d, suffix=None)
+    return r.select("project", "diff_id", "path", F.col("line_no").cast("long"), "start_line", "end_line")
+
+
+@register("merge_ranges")
+def q_merge_ranges(spark, sf_dir):
+    """W4 on event ranges, pad 30."""
+    r = load_views(spark, sf_dir, ["v_ranges"])["v_ranges"]
+    return RG.merge_ranges(r, 30)
+
+
+@register("diff_context")
+def q_diff_context(spark, sf_dir):
+    """S5 + C8 + W4: padded, merged ranges of changed .py files per diff (pad 3)."""
+    d = load_views(spark, sf_dir, ["v_diff"])["v_diff"]
+    return RG.merge_ranges(RG.read_unified_diff(d), 3, keys=("project", "diff_id", "path"))

@@ -12,8 +12,9 @@ are referenced as ``{v_<name>}``.
 from __future__ import annotations
 
 DIALECTS = {
-    "spark": {"OCTETS": "octet_length", "EPOCH": "unix_seconds", "TS": "timestamp_seconds"},
-    "duckdb": {"OCTETS": "strlen", "EPOCH": "epoch", "TS": "make_timestamp(1000000 * "},
+    # EPOCH_TS: whole seconds of the naive event timestamp ``ts`` since 1970 (time-zone free)
+    "spark": {"OCTETS": "octet_length", "EPOCH_TS": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"},
+    "duckdb": {"OCTETS": "strlen", "EPOCH_TS": "CAST(floor(epoch(ts)) AS BIGINT)"},
 }
 
 # V_docs: one file per document.  7 projects; 6 top directories; 6 suffixes.
@@ -246,22 +247,22 @@ FROM {conversations}
 # V_changes: orders are commits (newest first by date then key), line items are
 # changed files; every 4th line is a rename; orders with key % 97 = 0 are roots.
 V_CHANGES = """
-SELECT 'r' || CAST(o_custkey % 4 AS STRING) AS project,
-       o_orderkey AS commit_id,
-       CAST(row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderdate DESC, o_orderkey DESC) AS BIGINT) AS commit_seq,
-       o_orderkey % 97 <> 0 AS has_parent,
+SELECT o.project, o.o_orderkey AS commit_id, o.commit_seq, o.o_orderkey % 97 <> 0 AS has_parent,
        'p' || CAST(l_partkey AS STRING) || CASE WHEN l_partkey % 3 = 0 THEN '.md' ELSE '.py' END AS a_path,
        CASE WHEN l_linenumber % 4 = 0 THEN 'q' || CAST(l_partkey AS STRING) || '.py'
             ELSE 'p' || CAST(l_partkey AS STRING) || CASE WHEN l_partkey % 3 = 0 THEN '.md' ELSE '.py' END END AS b_path
-FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey
+FROM (SELECT o_orderkey, 'r' || CAST(o_custkey % 4 AS STRING) AS project,
+             CAST(row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderdate DESC, o_orderkey DESC) AS BIGINT) AS commit_seq
+      FROM {orders}) o
+JOIN {lineitem} ON l_orderkey = o.o_orderkey
 """
 
 # V_ranges: per user, one changed range per event: start minute since 2024-01-01.
 V_RANGES = """
 SELECT 'u' || CAST(user_id % 5 AS STRING) AS project,
        'f' || CAST(user_id AS STRING) || '.py' AS path,
-       CAST(floor(CAST({EPOCH}(ts) AS BIGINT) / 60) - 28401120 AS BIGINT) AS start_line,
-       CAST(floor(CAST({EPOCH}(ts) AS BIGINT) / 60) - 28401120 + greatest(CAST(floor(value) AS BIGINT), 1) - 1 AS BIGINT) AS end_line
+       CAST(floor({EPOCH_TS} / 60) - 28401120 AS BIGINT) AS start_line,
+       CAST(floor({EPOCH_TS} / 60) - 28401120 + greatest(CAST(floor(value) AS BIGINT), 1) - 1 AS BIGINT) AS end_line
 FROM {events}
 """
 
@@ -272,7 +273,7 @@ SELECT user_id, event_id, ts, value,
        CASE WHEN CAST(floor(value) AS BIGINT) % 4 = 0 THEN 'docs/' || event_type || '.md'
             ELSE 'src/' || event_type || '.py' END AS file,
        CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS r,
-       CAST(floor(CAST({EPOCH}(ts) AS BIGINT) / 60) % 1440 AS BIGINT) AS c,
+       CAST(floor({EPOCH_TS} / 60) % 1440 AS BIGINT) AS c,
        CAST(floor(value) AS BIGINT) % 8 AS d
 FROM {events}
 """
