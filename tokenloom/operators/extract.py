@@ -44,14 +44,19 @@ def parse_scope(files: DataFrame) -> DataFrame:
     return files.where(~in_dirs("parse"))
 
 
-def extract_python_facts(files: DataFrame) -> DataFrame:
-    """U1 + U1b: ``.py`` files -> code_facts rows (language 'python')."""
+def extract_python_facts(files: DataFrame, keep_content: bool = False) -> DataFrame:
+    """U1 + U1b: ``.py`` files -> code_facts rows (language 'python').
+
+    ``keep_content`` carries the text along (row-local) for jobs that need
+    facts and text together (dead code), so no join on the text is needed.
+    """
     py = parse_scope(files).where(F.col("path").endswith(".py")).select("project", "path", "content")
-    f = py.select("project", "path", line_count("content").alias("lines"),
+    f = py.select("project", "path", "content", line_count("content").alias("lines"),
                   _python_facts_udf()(F.col("content")).alias("f"))
+    extra = ["content"] if keep_content else []
     return f.select("project", "path", F.lit("python").alias("language"), "lines",
                     "f.functions", "f.classes", "f.imports", "f.complexity", "f.typed_functions",
-                    "f.has_syntax_error")
+                    "f.has_syntax_error", *extra)
 
 
 def _two_group(text: Column, rx: str) -> Column:

@@ -472,3 +472,46 @@ SELECT {keys}, CAST(min(s) AS BIGINT) AS start_line, CAST(max(e) AS BIGINT) AS e
 ORACLE["merge_ranges"] = duckdb_with(["v_ranges"]) + "," + _islands("v_ranges", "project, path", 30)
 ORACLE["diff_context"] = (duckdb_with(["v_diff"]) + _DIFF + ", hpy AS (SELECT * FROM hk2 WHERE ends_with(path, '.py')),"
                           + _islands("hpy", "project, diff_id, path", 3))
+
+
+# ----------------------------------------------------------------- dead code
+# Brute force: a symbol is used when any other source file contains it.
+_SKIP = ("'__init__', '__repr__', '__str__', '__eq__', '__hash__', '__len__', '__iter__', '__next__', '__enter__', "
+         "'__exit__', '__call__', '__getitem__', '__setitem__', '__contains__', 'main', 'visit', 'callback', 'handler'")
+
+_DEAD = f""",
+src AS (SELECT v.project, v.path, v.content FROM v_code v JOIN pyx x ON x.project = v.project AND x.path = v.path
+        WHERE NOT list_has_any(string_split(v.path, '/'), ['tests', 'test', 'test-project'])),
+sdef AS (SELECT x.project, x.path, unnest(string_split(x.functions || CASE WHEN x.functions <> '' AND x.classes <> '' THEN ',' ELSE '' END
+                                                       || x.classes, ',')) AS symbol
+         FROM pyx x JOIN src s ON s.project = x.project AND s.path = x.path),
+deco AS (SELECT project, path, 'fn_' || k || '_0' AS symbol FROM cp WHERE lang_id = 0 AND k % 7 = 0),
+cand AS (SELECT DISTINCT d.project, d.path, d.symbol FROM sdef d JOIN src s ON s.project = d.project AND s.path = d.path
+         WHERE d.symbol <> '' AND NOT starts_with(d.symbol, '_') AND d.symbol NOT IN ({_SKIP})
+           AND (length(s.content) - length(replace(s.content, d.symbol, ''))) // length(d.symbol) <= 1
+           AND NOT EXISTS (SELECT 1 FROM deco WHERE deco.project = d.project AND deco.path = d.path AND deco.symbol = d.symbol)),
+unused AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM src o WHERE o.project = c.project AND o.path <> c.path
+                                                   AND contains(o.content, c.symbol)))
+"""
+ORACLE["unused_symbols"] = code_sql(_DEAD + "SELECT project, path, symbol FROM unused")
+ORACLE["unused_per_file"] = code_sql(_DEAD + """,
+ordered AS (SELECT u.project, u.path, u.symbol,
+                   list_position(string_split(x.functions || ',' || x.classes, ','), u.symbol) AS pos
+            FROM unused u JOIN pyx x ON x.project = u.project AND x.path = u.path)
+SELECT project, path, string_agg(symbol, ', ' ORDER BY pos) AS symbols, CAST(count(*) AS BIGINT) AS n_symbols
+FROM ordered GROUP BY project, path
+""")
+ORACLE["framework_decorated"] = code_sql(""",
+src AS (SELECT x.project, x.path FROM pyx x WHERE NOT list_has_any(string_split(x.path, '/'), ['tests', 'test', 'test-project']))
+SELECT cp.project, cp.path, 'fn_' || cp.k || '_0' AS symbol FROM cp JOIN src ON src.project = cp.project AND src.path = cp.path
+WHERE cp.lang_id = 0 AND cp.k % 7 = 0
+""")
+ORACLE["unused_symbols_docs"] = duckdb_with(["v_docs"]) + f""",
+src AS (SELECT project, path, content FROM v_docs WHERE NOT list_has_any(string_split(path, '/'), ['tests', 'test', 'test-project'])),
+sd AS (SELECT DISTINCT project, path, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*', 0)) AS symbol FROM src),
+cand AS (SELECT d.project, d.path, d.symbol FROM sd d JOIN src s ON s.project = d.project AND s.path = d.path
+         WHERE length(d.symbol) >= 10 AND NOT starts_with(d.symbol, '_') AND d.symbol NOT IN ({_SKIP})
+           AND (length(s.content) - length(replace(s.content, d.symbol, ''))) // length(d.symbol) <= 1)
+SELECT project, path, symbol FROM cand c
+WHERE NOT EXISTS (SELECT 1 FROM src o WHERE o.project = c.project AND o.path <> c.path AND contains(o.content, c.symbol))
+"""

@@ -339,3 +339,45 @@ def q_diff_context(spark, sf_dir):
     """S5 + C8 + W4: padded, merged ranges of changed .py files per diff (pad 3)."""
     d = load_views(spark, sf_dir, ["v_diff"])["v_diff"]
     return RG.merge_ranges(RG.read_unified_diff(d), 3, keys=("project", "diff_id", "path"))
+
+
+# ----------------------------------------------------------------- dead code
+from tokenloom.operators import deadcode as DC  # noqa: E402
+
+
+def code_defs(spark, sf_dir):
+    """Source-only Python files with their text and ordered symbols."""
+    facts = X.extract_python_facts(code_files(spark, sf_dir), keep_content=True)
+    src = FL.source_only(facts)
+    return src.select("project", "path", "content", F.concat("functions", "classes").alias("symbols"))
+
+
+@register("unused_symbols")
+def q_unused_symbols(spark, sf_dir):
+    """J5 + F7 + F4 on the Python files of V_code."""
+    return DC.unused_symbols(code_defs(spark, sf_dir)).select("project", "path", "symbol")
+
+
+@register("unused_per_file")
+def q_unused_per_file(spark, sf_dir):
+    """A13."""
+    u = DC.unused_per_file(DC.unused_symbols(code_defs(spark, sf_dir)))
+    return u.select("project", "path", F.array_join("symbols", ", ").alias("symbols"), "n_symbols")
+
+
+@register("framework_decorated")
+def q_framework_decorated(spark, sf_dir):
+    """J6."""
+    return DC.framework_decorated(code_defs(spark, sf_dir))
+
+
+@register("unused_symbols_docs")
+def q_unused_symbols_docs(spark, sf_dir):
+    """J5 at text scale: every document of V_docs outside tests/ is a source
+    file; its distinct identifier words of >= 10 letters are its symbols."""
+    d = load_views(spark, sf_dir, ["v_docs"])["v_docs"].select("project", "path", "content")
+    src = FL.source_only(d)
+    words = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0),
+                                                   lambda w: F.length(w) >= 10)))
+    defs = src.select("project", "path", "content", words.alias("symbols"))
+    return DC.unused_symbols(defs).select("project", "path", "symbol")
