@@ -515,3 +515,121 @@ cand AS (SELECT d.project, d.path, d.symbol FROM sd d JOIN src s ON s.project =
 SELECT project, path, symbol FROM cand c
 WHERE NOT EXISTS (SELECT 1 FROM src o WHERE o.project = c.project AND o.path <> c.path AND contains(o.content, c.symbol))
 """
+
+
+# ------------------------------------------------------ summaries and health
+from tokenloom.operators.facts import FRAMEWORKS  # noqa: E402
+
+_FW = "fw(import_root, framework) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in FRAMEWORKS) + ")"
+
+_ALL = """,
+allx AS (SELECT * FROM pyx UNION ALL SELECT * FROM tsx UNION ALL SELECT * FROM gox),
+allc AS (SELECT *, CASE WHEN functions = '' THEN 0 ELSE len(string_split(functions, ',')) END AS nfn,
+                CASE WHEN classes = '' THEN 0 ELSE len(string_split(classes, ',')) END AS ncl FROM allx),
+""" + _FW + """,
+roots AS (SELECT DISTINCT project, split_part(m, '.', 1) AS import_root FROM
+            (SELECT project, unnest(string_split(imports, ',')) AS m FROM allx WHERE imports <> '') t),
+fws AS (SELECT r.project, r.import_root, fw.framework FROM roots r JOIN fw ON fw.import_root = r.import_root)
+"""
+
+ORACLE["detect_frameworks"] = code_sql(_ALL + "SELECT * FROM fws")
+ORACLE["project_totals"] = code_sql(_ALL + """,
+langs AS (SELECT project, 'python' || CASE WHEN bool_or(lang_id = 2) THEN ',go' ELSE '' END
+                          || CASE WHEN bool_or(lang_id = 1) THEN ',typescript' ELSE '' END AS languages
+          FROM (SELECT project, lang_id FROM cp UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), 0 FROM nation) t
+          GROUP BY project),
+fwl AS (SELECT project, string_agg(DISTINCT framework, ', ' ORDER BY framework) AS frameworks FROM fws GROUP BY project)
+SELECT a.project, CAST(count(*) AS BIGINT) AS files, CAST(sum(lines) AS BIGINT) AS total_lines,
+       CAST(sum(nfn) AS BIGINT) AS total_functions, CAST(sum(ncl) AS BIGINT) AS total_classes,
+       CAST(sum(typed_functions) AS BIGINT) AS typed_functions, any_value(l.languages) AS languages,
+       coalesce(any_value(f.frameworks), '') AS frameworks
+FROM allc a LEFT JOIN langs l ON l.project = a.project LEFT JOIN fwl f ON f.project = a.project
+GROUP BY a.project
+""")
+ORACLE["quality_summary"] = code_sql(_ALL + """
+SELECT project, round(sum(complexity) / count(*), 1) AS avg_complexity,
+       round(sum(typed_functions) / greatest(sum(nfn), 1) * 100.0, 1) AS type_coverage_pct
+FROM allc GROUP BY project
+""")
+ORACLE["quality_table"] = code_sql(_ALL + """
+SELECT project, path, complexity,
+       round(CASE WHEN nfn > 0 THEN typed_functions / nfn * 100.0 ELSE 0.0 END, 1) AS type_coverage,
+       CASE WHEN complexity <= 5 THEN 'A' WHEN complexity <= 10 THEN 'B' WHEN complexity <= 20 THEN 'C' ELSE 'D' END AS grade
+FROM allc
+""")
+_SYNTAX = """,
+bad AS (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY path) AS rn FROM pyx WHERE has_syntax_error),
+syn AS (SELECT project, CAST(count(*) AS BIGINT) AS n_errors,
+               string_agg(CASE WHEN rn <= 5 THEN path END, ', ' ORDER BY path) AS first_files,
+               CASE WHEN count(*) > 5 THEN ' (+' || CAST(count(*) - 5 AS STRING) || ' more)' ELSE '' END AS more
+        FROM bad GROUP BY project)
+"""
+ORACLE["syntax_errors"] = code_sql(_SYNTAX + "SELECT * FROM syn")
+
+_CODE_BUDGET = f""",
+cbud AS (SELECT project, CAST(sum(t) AS BIGINT) AS baseline,
+                CAST(sum(CASE WHEN NOT list_has_any(string_split(path, '/'), {_lst(DEFAULT_IGNORE_DIRS)}) THEN t ELSE 0 END) AS BIGINT)
+                  AS optimized
+         FROM (SELECT project, path, {_approx('content')} AS t FROM v_code) x GROUP BY project),
+ccount AS (SELECT p.project, CAST(count(c.chain) AS BIGINT) AS n_cycles
+           FROM (SELECT DISTINCT project FROM nodes) p LEFT JOIN cycles c ON c.project = p.project GROUP BY p.project)
+"""
+
+ORACLE["health_score"] = code_sql(_DEAD + _CYCLES.format(e="edges") + _CODE_BUDGET + """,
+srcf AS (SELECT x.* FROM pyx x WHERE NOT list_has_any(string_split(x.path, '/'), ['tests', 'test', 'test-project'])),
+q AS (SELECT project,
+             CASE WHEN sum(CASE WHEN functions = '' THEN 0 ELSE len(string_split(functions, ',')) END) > 0
+                  THEN sum(typed_functions) / sum(CASE WHEN functions = '' THEN 0 ELSE len(string_split(functions, ',')) END) * 100.0
+                  ELSE 100.0 END AS type_coverage,
+             greatest(0.0, 100.0 - sum(complexity) / sum(greatest(CASE WHEN functions = '' THEN 0
+                                                         ELSE len(string_split(functions, ',')) END, 1)) * 10.0) AS complexity_score
+      FROM srcf GROUP BY project),
+parts AS (SELECT q.project,
+                 least(greatest(CASE WHEN b.baseline > 0 THEN (b.baseline - b.optimized) / b.baseline * 100.0 ELSE 0.0 END, 0.0), 100.0)
+                   AS token_savings,
+                 q.type_coverage, q.complexity_score,
+                 greatest(0.0, 100.0 - coalesce(d.n, 0) * 10.0) AS dead_code_score,
+                 greatest(0.0, 100.0 - coalesce(c.n_cycles, 0) * 33.0) AS cycle_score
+          FROM q LEFT JOIN cbud b ON b.project = q.project
+          LEFT JOIN (SELECT project, count(DISTINCT path) AS n FROM unused GROUP BY project) d ON d.project = q.project
+          LEFT JOIN ccount c ON c.project = q.project),
+tot AS (SELECT *, token_savings * 0.3 + type_coverage * 0.25 + complexity_score * 0.2 + dead_code_score * 0.15
+                  + cycle_score * 0.1 AS total FROM parts)
+SELECT project, round(total, 1) AS total,
+       CASE WHEN total >= 90 THEN 'A' WHEN total >= 75 THEN 'B' WHEN total >= 60 THEN 'C' ELSE 'D' END AS grade,
+       round(token_savings, 1) AS token_savings, round(type_coverage, 1) AS type_coverage,
+       round(complexity_score, 1) AS complexity_score, round(dead_code_score, 1) AS dead_code_score,
+       round(cycle_score, 1) AS cycle_score
+FROM tot
+""")
+
+ORACLE["audit_checks"] = code_sql(_CYCLES.format(e="edges") + _CODE_BUDGET + _SYNTAX + """,
+projects AS (SELECT DISTINCT project FROM v_code),
+doc AS (SELECT project, max(mtime_s) AS doc_s FROM v_code WHERE path = 'CLAUDE.md' GROUP BY project),
+newest AS (SELECT project, max(mtime_s) AS py_s FROM v_code WHERE ends_with(path, '.py') GROUP BY project),
+j AS (SELECT p.project, d.doc_s, n.py_s, b.baseline, b.optimized, coalesce(c.n_cycles, 0) AS n_cycles,
+             coalesce(s.n_errors, 0) AS n_errors, s.first_files, s.more
+      FROM projects p LEFT JOIN doc d ON d.project = p.project LEFT JOIN newest n ON n.project = p.project
+      LEFT JOIN cbud b ON b.project = p.project LEFT JOIN ccount c ON c.project = p.project
+      LEFT JOIN syn s ON s.project = p.project),
+rows AS (
+  SELECT project, 'config_doc' AS "check", CASE WHEN doc_s IS NOT NULL THEN 'ok' ELSE 'issue' END AS status,
+         CASE WHEN doc_s IS NOT NULL THEN 'present' ELSE 'missing' END AS detail FROM j
+  UNION ALL
+  SELECT project, 'freshness', CASE WHEN py_s > doc_s THEN 'issue' ELSE 'ok' END,
+         CASE WHEN py_s > doc_s THEN 'stale by ' || CAST((py_s - doc_s) // 60 AS STRING) || ' minutes' ELSE 'fresh' END
+  FROM j WHERE doc_s IS NOT NULL
+  UNION ALL
+  SELECT project, 'token_budget', CASE WHEN optimized > 60000 THEN 'issue' ELSE 'ok' END,
+         CASE WHEN optimized > 100000 THEN 'too large: ' WHEN optimized > 60000 THEN 'large: ' ELSE '' END
+         || format('{:,.1f}', CASE WHEN baseline > 0 THEN (baseline - optimized) / baseline * 100.0 ELSE 0.0 END)
+         || '% saved (' || CAST(baseline AS STRING) || ' -> ' || CAST(optimized AS STRING) || ')'
+  FROM j WHERE doc_s IS NOT NULL
+  UNION ALL
+  SELECT project, 'cycles', CASE WHEN n_cycles > 0 THEN 'issue' ELSE 'ok' END, CAST(n_cycles AS STRING) || ' cycles' FROM j
+  UNION ALL
+  SELECT project, 'syntax', CASE WHEN n_errors > 0 THEN 'issue' ELSE 'ok' END,
+         CASE WHEN n_errors > 0 THEN CAST(n_errors AS STRING) || ' files: ' || first_files || more ELSE '0 files' END FROM j)
+SELECT r.*, p.passed FROM rows r JOIN (SELECT project, bool_and(status = 'ok') AS passed FROM rows GROUP BY project) p
+  ON p.project = r.project
+""")

@@ -381,3 +381,68 @@ def q_unused_symbols_docs(spark, sf_dir):
                                                    lambda w: F.length(w) >= 10)))
     defs = src.select("project", "path", "content", words.alias("symbols"))
     return DC.unused_symbols(defs).select("project", "path", "symbol")
+
+
+# ------------------------------------------------------ summaries and health
+from tokenloom.operators import facts as FA  # noqa: E402
+from tokenloom.operators import health as HE  # noqa: E402
+
+
+@register("project_totals")
+def q_project_totals(spark, sf_dir):
+    """A1 (+U5, U6, J2)."""
+    files = code_files(spark, sf_dir)
+    return FA.project_totals(spark, X.extract_all_facts(files), X.detect_languages(files))
+
+
+@register("quality_summary")
+def q_quality_summary(spark, sf_dir):
+    """A2."""
+    return FA.quality_summary(code_facts(spark, sf_dir))
+
+
+@register("quality_table")
+def q_quality_table(spark, sf_dir):
+    """W8 (+C12 grade)."""
+    return FA.quality_table(code_facts(spark, sf_dir))
+
+
+@register("detect_frameworks")
+def q_detect_frameworks(spark, sf_dir):
+    """J2 (+C10)."""
+    return FA.detect_frameworks(spark, code_facts(spark, sf_dir))
+
+
+@register("syntax_errors")
+def q_syntax_errors(spark, sf_dir):
+    """F9."""
+    return FL.syntax_errors(X.extract_python_facts(code_files(spark, sf_dir)))
+
+
+def no_rules(spark):
+    return spark.createDataFrame([], "project string, ord int, pattern string")
+
+
+def code_budget(spark, files):
+    return B.token_budget(count_tokens_job(files), no_rules(spark))
+
+
+@register("health_score")
+def q_health_score(spark, sf_dir):
+    """A11 over V_code: A3 + U1 + J5 + G4."""
+    files = code_files(spark, sf_dir)
+    facts = X.extract_python_facts(files, keep_content=True)
+    src = FL.source_only(facts)
+    defs = src.select("project", "path", "content", F.concat("functions", "classes").alias("symbols"))
+    edges = G.resolve_imports(facts, files)
+    cycles = G.cycle_count(facts, G.find_cycles(spark, edges))
+    return HE.health_score(code_budget(spark, files), src, DC.unused_symbols(defs), cycles)
+
+
+@register("audit_checks")
+def q_audit_checks(spark, sf_dir):
+    """A12 (+F9, G4, A3)."""
+    files = code_files(spark, sf_dir)
+    facts = X.extract_python_facts(files)
+    cycles = G.cycle_count(facts, G.find_cycles(spark, G.resolve_imports(facts, files)))
+    return HE.audit_checks(files, code_budget(spark, files), cycles, FL.syntax_errors(facts))
