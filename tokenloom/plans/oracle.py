@@ -633,3 +633,59 @@ rows AS (
 SELECT r.*, p.passed FROM rows r JOIN (SELECT project, bool_and(status = 'ok') AS passed FROM rows GROUP BY project) p
   ON p.project = r.project
 """)
+
+
+# ------------------------------------------------------------------- reports
+_TREE = """,
+vis AS (SELECT project, path FROM sets WHERE in_optimized),
+pp AS (SELECT project, path, string_split(path, '/') AS parts FROM vis),
+dirs AS (SELECT project, array_to_string(parts[1:i], '/') AS prefix, i - 1 AS depth, parts[i] AS name, path
+         FROM (SELECT project, path, parts, unnest(generate_series(1, len(parts) - 1)) AS i FROM pp WHERE len(parts) > 1) t),
+tree AS (SELECT project, min(path) AS sort_path, CAST(depth AS BIGINT) AS depth, repeat('  ', depth) || '  ' || name || '/' AS line
+         FROM dirs GROUP BY project, prefix, depth, name
+         UNION ALL
+         SELECT project, path, CAST(len(parts) - 1 AS BIGINT), repeat('  ', len(parts) - 1) || '  ' || parts[-1] FROM pp)
+"""
+ORACLE["file_tree"] = corpus_sql(_TREE + "SELECT * FROM tree")
+ORACLE["dir_tree"] = code_sql(""",
+pp AS (SELECT project, path, string_split(path, '/') AS parts FROM pyx),
+dirs AS (SELECT project, array_to_string(parts[1:i], '/') AS prefix, i - 1 AS depth, parts[i] AS name, path
+         FROM (SELECT project, path, parts, unnest(generate_series(1, len(parts) - 1)) AS i FROM pp WHERE len(parts) > 1) t)
+SELECT project, min(path) AS sort_path, CAST(depth AS BIGINT) AS depth, repeat('  ', depth) || name || '/' AS line
+FROM dirs GROUP BY project, prefix, depth, name
+UNION ALL
+SELECT DISTINCT project, '' AS sort_path, CAST(0 AS BIGINT), '(flat project)' FROM pyx
+WHERE project NOT IN (SELECT project FROM dirs)
+""")
+ORACLE["signature_index"] = code_sql(""",
+sigs AS (SELECT project, path,
+                'def fn_' || k || '_0(x) -> int'
+                || CASE WHEN nf >= 2 THEN chr(10) || 'def fn_' || k || '_1(x)' ELSE '' END
+                || CASE WHEN nf >= 3 THEN chr(10) || 'async def fn_' || k || '_2(x) -> int' ELSE '' END
+                || CASE WHEN nf >= 4 THEN chr(10) || 'def fn_' || k || '_3(x)' ELSE '' END
+                || chr(10) || 'class Model' || k || 'X'
+                || CASE WHEN k % 2 = 0 THEN chr(10) || '  def describe(self) -> str' ELSE '' END AS signatures
+         FROM cp WHERE lang_id = 0 AND dir <> 'build')
+SELECT * FROM sigs
+""")
+ORACLE["small_docs"] = duckdb_with(["v_conf"]) + """
+SELECT project, path, ext,
+       CASE WHEN ext IN ('toml', 'yml') THEN
+              'key_a = ' || n || '  # inline' || chr(10) || '; note line' || chr(10) || '[section]' || chr(10)
+              || 'title = ' || title || chr(10) || 'end = 1'
+            WHEN ext IN ('ini', 'cfg') THEN
+              'key_a = ' || n || '  # inline' || chr(10) || '[section]' || chr(10) || 'title = ' || title || chr(10) || 'end = 1'
+            ELSE '# config for doc ' || doc_id || chr(10) || 'key_a = ' || n || '  # inline' || chr(10) || '; note line'
+              || chr(10) || '   # indented comment' || chr(10) || '[section]' || chr(10) || 'title = ' || title || chr(10)
+              || 'end = 1' END AS body
+FROM (SELECT c.*, CAST(d.n_chars AS STRING) AS n FROM v_conf c JOIN documents d ON d.doc_id = c.doc_id) t
+"""
+ORACLE["focus_budget"] = ORACLE["rank_files"].replace("SELECT rk.project, CAST(rk.rank AS BIGINT) AS rank", """,
+top AS (SELECT rk.project, CAST(rk.rank AS BIGINT) AS rank""", 1).replace("WHERE rk.rank <= 8", """WHERE rk.rank <= 8),
+opt AS (SELECT project, CAST(sum(CASE WHEN in_optimized THEN tokens ELSE 0 END) AS BIGINT) AS project_tokens FROM sets
+        GROUP BY project)
+SELECT t.project, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(t.tokens) AS BIGINT) AS focus_tokens, o.project_tokens,
+       CAST(o.project_tokens - sum(t.tokens) AS BIGINT) AS saved_tokens,
+       CASE WHEN o.project_tokens > 0 THEN round((o.project_tokens - sum(t.tokens)) / o.project_tokens * 100.0, 1)
+            ELSE 0.0 END AS saved_pct
+FROM top t JOIN opt o ON o.project = t.project GROUP BY t.project, o.project_tokens""", 1)

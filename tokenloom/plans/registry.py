@@ -446,3 +446,99 @@ def q_audit_checks(spark, sf_dir):
     facts = X.extract_python_facts(files)
     cycles = G.cycle_count(facts, G.find_cycles(spark, G.resolve_imports(facts, files)))
     return HE.audit_checks(files, code_budget(spark, files), cycles, FL.syntax_errors(facts))
+
+
+# ------------------------------------------------------------------- reports
+from tokenloom.operators import reports as RP  # noqa: E402
+
+
+def visible_corpus(spark, sf_dir):
+    """V_files after the snapshot visibility rule (F1-F3 with the egg-info rule)."""
+    files, rules = corpus(spark, sf_dir)
+    return FL.with_token_flags(files, rules).where("in_optimized")
+
+
+def visible_code(spark, sf_dir):
+    files = count_tokens_job(code_files(spark, sf_dir))
+    return FL.with_token_flags(files, no_rules(spark)).where("in_optimized")
+
+
+@register("file_tree")
+def q_file_tree(spark, sf_dir):
+    """R1."""
+    return RP.file_tree(visible_corpus(spark, sf_dir).select("project", "path"))
+
+
+@register("dir_tree")
+def q_dir_tree(spark, sf_dir):
+    """R2 over the parsed Python files of V_code."""
+    return RP.dir_tree(X.extract_python_facts(code_files(spark, sf_dir)))
+
+
+@register("signature_index")
+def q_signature_index(spark, sf_dir):
+    """R3 (+C6)."""
+    s = RP.signature_index(visible_code(spark, sf_dir))
+    return s.select("project", "path", F.array_join("sigs", "\n").alias("signatures"))
+
+
+@register("small_docs")
+def q_small_docs(spark, sf_dir):
+    """R4 (+C7, F6) over V_conf."""
+    c = load_views(spark, sf_dir, ["v_conf"])["v_conf"]
+    c = c.select("project", "path", "content", F.octet_length("content").cast("long").alias("size_bytes"))
+    return RP.small_docs(c)
+
+
+def _snapshot(spark, sf_dir):
+    vis = visible_code(spark, sf_dir)
+    return RP.snapshot_doc(RP.file_tree(vis.select("project", "path")), RP.signature_index(vis), RP.small_docs(vis)), vis
+
+
+@register("snapshot_doc")
+def q_snapshot_doc(spark, sf_dir):
+    """R5 over V_code (one markdown text per project)."""
+    return _snapshot(spark, sf_dir)[0]
+
+
+@register("snapshot_stats")
+def q_snapshot_stats(spark, sf_dir):
+    """A10."""
+    snap, _ = _snapshot(spark, sf_dir)
+    return RP.snapshot_stats(snap, code_budget(spark, code_files(spark, sf_dir)))
+
+
+@register("focus_budget")
+def q_focus_budget(spark, sf_dir):
+    """Tokens of the focus result vs the optimized project."""
+    from tokenloom.operators.focus import focus_budget
+    files, rules = corpus(spark, sf_dir)
+    return focus_budget(q_rank_files(spark, sf_dir), B.token_budget(files, rules))
+
+
+@register("project_doc")
+def q_project_doc(spark, sf_dir):
+    """R6 over V_code."""
+    files = code_files(spark, sf_dir)
+    facts = X.extract_python_facts(files, keep_content=True)
+    edges = G.resolve_imports(facts, files)
+    most = G.top_n_per_project(G.in_degree(facts, edges), "imported_by", 10)
+    hot = H.hot_files(load_views(spark, sf_dir, ["v_code_changes"])["v_code_changes"], 50, 20)
+    src = FL.source_only(facts)
+    defs = src.select("project", "path", "content", F.concat("functions", "classes").alias("symbols"))
+    unused = DC.unused_per_file(DC.unused_symbols(defs))
+    return RP.project_doc(spark, facts.drop("content"), RP.dir_tree(facts), most, hot, unused,
+                          FA.detect_frameworks(spark, facts), files)
+
+
+@register("analysis_json")
+def q_analysis_json(spark, sf_dir):
+    """R7 (+S7 JSON shape)."""
+    files = code_files(spark, sf_dir)
+    facts = X.extract_all_facts(files)
+    py = X.extract_python_facts(files)
+    edges = G.resolve_imports(py, files)
+    most = G.top_n_per_project(G.in_degree(py, edges), "imported_by", 10)
+    hot = H.hot_files(load_views(spark, sf_dir, ["v_code_changes"])["v_code_changes"], 50, 20)
+    return RP.analysis_json(FA.project_totals(spark, facts, X.detect_languages(files)), most, hot,
+                            code_budget(spark, files), G.find_cycles(spark, edges), FA.quality_summary(facts))
