@@ -689,3 +689,30 @@ SELECT t.project, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(t.tokens) AS BIG
        CASE WHEN o.project_tokens > 0 THEN round((o.project_tokens - sum(t.tokens)) / o.project_tokens * 100.0, 1)
             ELSE 0.0 END AS saved_pct
 FROM top t JOIN opt o ON o.project = t.project GROUP BY t.project, o.project_tokens""", 1)
+
+
+# ------------------------------------------- sources, incremental, streaming
+ORACLE["scan_files"] = duckdb_with(["v_code"]) + """
+SELECT project, path, CAST(strlen(content) AS BIGINT) AS size_bytes,
+       CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS BIGINT) AS lines
+FROM v_code
+"""
+ORACLE["changed_files"] = code_sql(_ALL + """,
+ks AS (SELECT project, path, TRY_CAST(regexp_extract(path, '/m(\\d+)\\.', 1) AS BIGINT) AS k FROM allc)
+SELECT a.project, a.path, CASE WHEN ends_with(a.path, '.py') THEN 'python' WHEN ends_with(a.path, '.ts') THEN 'typescript'
+                               ELSE 'go' END AS language,
+       a.lines, CAST(a.nfn AS BIGINT) AS n_functions, NOT coalesce(ks.k % 6 = 0, false) AS reused
+FROM allc a JOIN ks ON ks.project = a.project AND ks.path = a.path
+WHERE NOT coalesce(ks.k % 13 = 0, false)
+""")
+ORACLE["append_rules"] = corpus_sql(_SUGGEST + """,
+sg AS (SELECT DISTINCT project, pattern FROM ranked WHERE rank <= 10),
+fresh AS (SELECT * FROM sg WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.project = sg.project AND r.pattern = sg.pattern)),
+last AS (SELECT project, max(ord) AS last_ord FROM rules GROUP BY project)
+SELECT f.project, CAST(coalesce(l.last_ord, 0) + row_number() OVER (PARTITION BY f.project ORDER BY f.pattern) AS BIGINT) AS ord,
+       f.pattern
+FROM fresh f LEFT JOIN last l ON l.project = f.project
+""")
+ORACLE["stream_session_usage"] = duckdb_with(["v_sessions"]) + _SESS + """
+SELECT session_id, project, mtime_s, input_tokens, output_tokens, cache_write, cache_read, total_tokens, turns, cost_usd
+FROM usage_t"""

@@ -542,3 +542,106 @@ def q_analysis_json(spark, sf_dir):
     hot = H.hot_files(load_views(spark, sf_dir, ["v_code_changes"])["v_code_changes"], 50, 20)
     return RP.analysis_json(FA.project_totals(spark, facts, X.detect_languages(files)), most, hot,
                             code_budget(spark, files), G.find_cycles(spark, edges), FA.quality_summary(facts))
+
+
+# ------------------------------------------- sources, incremental, streaming
+import uuid as _uuid  # noqa: E402
+
+from tokenloom.session import scratch_path  # noqa: E402
+
+
+def _materialise_tree(spark, files, root: str) -> None:
+    """Write ``files`` rows as real files below ``root/<project>/<path>`` (executors write)."""
+    def write_part(rows):
+        import os
+        for r in rows:
+            p = os.path.join(root, r.project, r.path)
+            os.makedirs(os.path.dirname(p), exist_ok=True)
+            with open(p, "w", encoding="utf-8") as fh:
+                fh.write(r.content)
+    files.select("project", "path", "content").foreachPartition(write_part)
+
+
+@register("scan_files")
+def q_scan_files(spark, sf_dir):
+    """V_code written out as project trees, then read back by the DataSource."""
+    from tokenloom.functions.text import line_count
+    from tokenloom.sources.files import scan_files
+    root = scratch_path(spark, f"tree-{_uuid.uuid4().hex}")
+    files = code_files(spark, sf_dir)
+    _materialise_tree(spark, files, root)
+    projects = [f"{root}/{r.project}" for r in files.select("project").distinct().collect()]
+    s = scan_files(spark, projects)
+    return s.select("project", "path", "size_bytes", line_count("content").alias("lines"))
+
+
+@register("changed_files")
+def q_changed_files(spark, sf_dir):
+    """J9 (+C15): a fact store of V_code, then a new snapshot where every 6th
+    customer's file changed and every 13th vanished."""
+    from tokenloom.operators.incremental import changed_files, with_sig
+    files = code_files(spark, sf_dir)
+    store = X.extract_all_facts(files).join(with_sig(files).select("project", "path", "sig"), ["project", "path"])
+    k = F.regexp_extract("path", r"/m(\d+)\.", 1).try_cast("long")
+    new = (files.where(~F.coalesce(k % 13 == 0, F.lit(False)))
+           .withColumn("mtime", F.when(k % 6 == 0, F.col("mtime") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("mtime"))))
+    out = changed_files(new, store)
+    return out.select("project", "path", "language", F.col("lines").cast("long"), F.size("functions").cast("long").alias("n_functions"),
+                      "reused")
+
+
+@register("append_rules")
+def q_append_rules(spark, sf_dir):
+    """S6 + X2: suggested patterns that are new for each project's rules."""
+    from tokenloom.sources.rules import append_rules
+    files, rules = corpus(spark, sf_dir)
+    sugg = B.suggest_rules(files, rules).select("project", "pattern")
+    return append_rules(rules, sugg).select("project", F.col("ord").cast("long"), "pattern")
+
+
+def _run_session_stream(spark, sf_dir):
+    from tokenloom.streaming.sessions import stream_session_usage
+    from tokenloom.sources.sessions import EVENT_SCHEMA  # noqa: F401
+    base = scratch_path(spark, f"stream-{_uuid.uuid4().hex}")
+    lines = session_lines(spark, sf_dir)
+    cuts = [(None, 3), (4, 7), (8, None)]
+    for i, (lo, hi) in enumerate(cuts):
+        part = lines
+        if lo is not None:
+            part = part.where(F.col("line_no") >= lo)
+        if hi is not None:
+            part = part.where(F.col("line_no") <= hi)
+        part.coalesce(1).write.mode("overwrite").parquet(f"{base}/in/batch={i}")
+    src = (spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1)
+           .parquet(f"{base}/in/batch=*"))
+    out_path = f"{base}/out"
+
+    def sink(df, batch_id):
+        df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+
+    q = (stream_session_usage(src).writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    res = spark.read.parquet(out_path)
+    latest = res.groupBy("session_id").agg(F.max_by(F.struct(*[c for c in res.columns if c != "session_id"]),
+                                                     "batch_id").alias("r"))
+    return latest.select("session_id", "r.*").drop("batch_id")
+
+
+@register("stream_session_usage")
+def q_stream_session_usage(spark, sf_dir):
+    """AvailableNow replay of the session log in three arrivals; the last
+    emission per session equals the batch totals (A8)."""
+    r = _run_session_stream(spark, sf_dir)
+    return r.select("session_id", "project", F.unix_seconds("mtime").alias("mtime_s"), *SS.COUNTS, "total_tokens",
+                    "turns", "cost_usd")
+
+
+@register("stream_session_delta")
+def q_stream_session_delta(spark, sf_dir):
+    """T2 + T4: change of each session at its last refresh, sessions active in
+    the 48 hours before the fixed 'now'."""
+    from tokenloom.streaming.sessions import active_sessions
+    r = _run_session_stream(spark, sf_dir)
+    a = active_sessions(r, F.timestamp_seconds(F.lit(SESSIONS_NOW_S)), SESSIONS_HOURS)
+    return a.select("session_id", "delta_input", "delta_output", "delta_cache_w", "delta_cache_r", "delta_cost")
