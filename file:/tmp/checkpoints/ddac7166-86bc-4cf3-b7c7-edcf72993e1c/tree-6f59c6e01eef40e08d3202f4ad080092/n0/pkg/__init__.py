@@ -1,0 +1 @@
+"""Package of nation 0."""

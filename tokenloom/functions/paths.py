@@ -64,7 +64,8 @@ def glob_to_regex(pattern: Column | str, within_part: bool = False) -> Column:
     p = _c(pattern)
     # an unclosed '[' is literal in fnmatch
     p = F.regexp_replace(p, r"\[(?![^\]]*\])", "\u0001")
-    p = F.regexp_replace(p, r"([\\.^$+{}()|/#&~\- ])", r"\\$1")
+    # regex metacharacters become literals ('-' stays: it only matters inside a set)
+    p = F.regexp_replace(p, r"([\\.^$+{}()|/#&~ ])", r"\\$1")
     p = F.regexp_replace(p, "\u0001", r"\\[")
     any_char = "[^/]" if within_part else "."
     p = F.regexp_replace(p, r"\*", any_char.replace("\\", "\\\\") + "*")

@@ -67,12 +67,15 @@ def rule_sets(rules: DataFrame) -> DataFrame:
     """
     stripped = F.regexp_replace(F.col("pattern"), "/+$", "")
     r = rules.select("project", stripped.alias("p"))
+    # a pattern containing '/' can never match a single path part
+    part_globs = F.collect_list(F.when(F.instr("p", "/") == 0, glob_to_regex(F.col("p"), within_part=True)))
     return r.groupBy("project").agg(
         F.collect_set("p").alias("rule_parts"),
         F.concat(F.lit("^(?:"), F.array_join(F.collect_list(glob_to_regex(F.col("p"))), "|"), F.lit(")$")).alias("full_rx"),
-        F.concat(F.lit("(?:^|/)(?:"), F.array_join(F.collect_list(glob_to_regex(F.col("p"), within_part=True)), "|"),
-                 F.lit(")(?:/|$)")).alias("part_rx"),
-    )
+        part_globs.alias("pg"),
+    ).select("project", "rule_parts", "full_rx",
+             F.when(F.size("pg") > 0, F.concat(F.lit("(?:^|/)(?:"), F.array_join("pg", "|"), F.lit(")(?:/|$)")))
+             .otherwise(F.lit("(?!)")).alias("part_rx"))
 
 
 def with_rule_match(files: DataFrame, rules: DataFrame) -> DataFrame:

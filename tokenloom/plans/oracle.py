@@ -28,7 +28,7 @@ def _words(col: str) -> str:
 
 def _glob(p: str) -> str:
     """fnmatch pattern -> RE2 body, written with DuckDB string functions."""
-    x = f"regexp_replace({p}, '([.^$+{{}}()|\\\\/#&~ -])', '\\\\\\1', 'g')"
+    x = f"regexp_replace({p}, '([.^$+{{}}()|\\\\/#&~ ])', '\\\\\\1', 'g')"
     x = f"replace(replace(replace({x}, '*', '.*'), '?', '.'), '[!', '[^')"
     return x
 
