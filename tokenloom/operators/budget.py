@@ -63,7 +63,9 @@ def suggest_rules(files: DataFrame, rules: DataFrame, max_suggestions: int = 10,
     formed; only the <= ``top_files`` file candidates of one project are
     compared with each other.
     """
-    sf = slim_files(files, rules)
+    from tokenloom.session import materialize
+    # the (narrow) visible file set feeds five branches: compute it once
+    sf = materialize(slim_files(files, rules))
     existing = rules.select("project", "pattern").distinct()
 
     dirs = (tokens_by_dir(sf)
@@ -81,8 +83,8 @@ def suggest_rules(files: DataFrame, rules: DataFrame, max_suggestions: int = 10,
 
     w = Window.partitionBy("project").orderBy(F.desc("tokens"), "path")
     top = sf.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top_files)
-    big = top.where((F.col("tokens") > 3000) & ~F.exists(F.array(*[F.lit(p) for p in SOURCE_PREFIXES]),
-                                                          lambda p: F.col("path").startswith(p)))
+    big = materialize(top.where((F.col("tokens") > 3000) & ~F.exists(F.array(*[F.lit(p) for p in SOURCE_PREFIXES]),
+                                                                      lambda p: F.col("path").startswith(p))))
     # substrings of the path that can equal a directory or extension pattern
     parts = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     dir_keys = F.flatten(F.transform(parts, lambda p: F.transform(

@@ -62,45 +62,67 @@ def _sub_at(word: Column, n: int):
     return lambda i: F.when(i > 0, F.substring(word, i, n)).otherwise(F.lit(""))
 
 
-def symbol_usage(defs: DataFrame, symbols: DataFrame) -> DataFrame:
+def summary_columns(content: Column, symbols: Column) -> dict[str, Column]:
+    """Row-local part of J5/J6 as expressions: candidate symbols (public, at
+    most one occurrence in their own file) with their position,
+    framework-decorated names, and the distinct word runs of the text."""
+    def own(s):
+        return F.floor((F.length(content) - F.length(F.replace(content, s, F.lit("")))) / F.length(s))
+
+    pos_syms = F.transform(symbols, lambda s, i: F.struct(i.alias("pos"), s.alias("symbol")))
+    return {
+        "cands": F.filter(pos_syms, lambda x: is_public_symbol(x["symbol"]) & (own(x["symbol"]) <= 1)),
+        "deco": decorated_names(content),
+        "words": F.array_distinct(F.regexp_extract_all(content, F.lit(WORD_RUN_RE), 0)),
+    }
+
+
+def symbol_summary(defs: DataFrame) -> DataFrame:
+    """One row per source file and no text: ``cands``, ``deco``, ``words``."""
+    cols = summary_columns(F.col("content"), F.col("symbols"))
+    return defs.select("project", "path", *[c.alias(n) for n, c in cols.items()])
+
+
+def symbol_usage(summary: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per ``(project, symbol)`` the first and last source file (by path) whose
     text contains the symbol."""
-    words = defs.select("project", "path", F.explode(F.array_distinct(
-        F.regexp_extract_all("content", F.lit(WORD_RUN_RE), 0))).alias("w"))
+    words = summary.select("project", "path", F.explode("words").alias("w"))
     word_files = words.groupBy("project", "w").agg(F.min("path").alias("first_file"), F.max("path").alias("last_file"))
     # symbol lengths in use: a short list bounded by the longest identifier
     lengths = sorted(r[0] for r in symbols.select(F.length("symbol")).distinct().collect())
     if not lengths:
         return symbols.select("project", "symbol", F.lit(None).cast("string").alias("first_file"),
                               F.lit(None).cast("string").alias("last_file")).limit(0)
-    min_len = lengths[0]
-    subs = (word_files.where(F.length("w") >= min_len)
-            .select("project", "w", "first_file", "last_file", F.explode(F.array_distinct(_substrings(F.col("w"), lengths)))
-                    .alias("symbol")))
+    subs = (word_files.where(F.length("w") >= lengths[0])
+            .select("project", "first_file", "last_file",
+                    F.explode(F.array_distinct(_substrings(F.col("w"), lengths))).alias("symbol")))
     hit = subs.join(symbols.select("project", "symbol").distinct(), ["project", "symbol"], "left_semi")
     return hit.groupBy("project", "symbol").agg(F.min("first_file").alias("first_file"),
                                                 F.max("last_file").alias("last_file"))
 
 
+def unused_from_summary(summary: DataFrame) -> DataFrame:
+    """J5 on a (materialised) ``symbol_summary``."""
+    cand = (summary.select("project", "path", "deco", F.explode("cands").alias("c"))
+            .where(~F.array_contains("deco", F.col("c.symbol")))
+            .groupBy("project", "path", F.col("c.symbol").alias("symbol")).agg(F.min("c.pos").alias("pos")))
+    usage = symbol_usage(summary, cand.select("project", "symbol"))
+    j = cand.join(usage, ["project", "symbol"], "left")
+    elsewhere = (F.col("first_file") != F.col("path")) | (F.col("last_file") != F.col("path"))
+    return j.where(~F.coalesce(elsewhere, F.lit(False))).select("project", "path", "symbol", F.col("pos").cast("long"))
+
+
 def unused_symbols(defs: DataFrame) -> DataFrame:
     """Public, not framework-decorated symbols occurring at most once in
     their own file and in no other source file of the project.
 
     ``defs``: source files (F4 already applied) with ``content`` and the
     ordered ``symbols`` array (functions then classes).  Output:
-    ``project, path, symbol, pos``.
+    ``project, path, symbol, pos``.  The text is read once: the row-local
+    summary is materialised before the joins.
     """
-    cand = (defs.select("project", "path", "content", F.posexplode("symbols").alias("pos", "symbol"))
-            .where(is_public_symbol(F.col("symbol"))))
-    own = F.floor((F.length("content") - F.length(F.replace(F.col("content"), F.col("symbol"), F.lit(""))))
-                  / F.length("symbol"))
-    cand = (cand.where(own <= 1).groupBy("project", "path", "symbol").agg(F.min("pos").alias("pos")))
-    deco = framework_decorated(defs)
-    cand = cand.join(deco, ["project", "path", "symbol"], "left_anti")
-    usage = symbol_usage(defs, cand.select("project", "symbol"))
-    j = cand.join(usage, ["project", "symbol"], "left")
-    elsewhere = (F.col("first_file") != F.col("path")) | (F.col("last_file") != F.col("path"))
-    return j.where(~F.coalesce(elsewhere, F.lit(False))).select("project", "path", "symbol", F.col("pos").cast("long"))
+    from tokenloom.session import materialize
+    return unused_from_summary(materialize(symbol_summary(defs)))
 
 
 def unused_per_file(unused: DataFrame) -> DataFrame:

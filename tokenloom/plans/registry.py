@@ -33,11 +33,13 @@ def register(name: str):
 
 
 def corpus(spark: SparkSession, sf_dir: str):
-    """Token-counted files (V_docs + V_pages) and their parsed rules."""
+    """Token counts of V_docs + V_pages (the shared ``token_counts`` table, no
+    text) and the parsed rules, each materialised once for the query."""
+    from tokenloom.session import materialize
     v = load_views(spark, sf_dir, ["v_files", "v_rules_files"])
-    files = count_tokens_job(v["v_files"].select("project", "path", "content", "size_bytes", "mtime"))
+    files = count_tokens_job(v["v_files"].select("project", "path", "content", "size_bytes", "mtime")).drop("content")
     rules = load_ignore_rules(v["v_rules_files"])
-    return files, rules
+    return materialize(files), materialize(rules)
 
 
 @register("rank_files")
@@ -175,12 +177,31 @@ def q_detect_languages(spark, sf_dir):
 
 
 def py_graph(spark, sf_dir):
+    """Python facts parsed once (materialised) and the resolved import edges."""
+    from tokenloom.session import materialize
     files = code_files(spark, sf_dir)
-    facts = X.extract_python_facts(files)
+    facts = materialize(X.extract_python_facts(files))
     edges = G.resolve_imports(facts, files)
     return files, facts, edges
 
 
+def code_model(spark, sf_dir):
+    """One pass over the Python texts: facts plus the row-local dead-code
+    summary (source files only, null for tests), materialised without text."""
+    from tokenloom.operators.deadcode import summary_columns
+    from tokenloom.session import materialize
+    files = code_files(spark, sf_dir)
+    facts = X.extract_python_facts(files, keep_content=True)
+    src = ~FL.is_test_path("path")
+    summ = summary_columns(F.col("content"), F.concat("functions", "classes"))
+    model = facts.select(*X.FACT_COLUMNS, src.alias("is_source"), *[F.when(src, c).alias(n) for n, c in summ.items()])
+    return files, materialize(model)
+
+
+def model_unused(model):
+    return DC.unused_from_summary(model.where("is_source").select("project", "path", "cands", "deco", "words"))
+
+
 @register("import_edges")
 def q_import_edges(spark, sf_dir):
     """J1 / G1 / X3."""
@@ -345,30 +366,24 @@ def q_diff_context(spark, sf_dir):
 from tokenloom.operators import deadcode as DC  # noqa: E402
 
 
-def code_defs(spark, sf_dir):
-    """Source-only Python files with their text and ordered symbols."""
-    facts = X.extract_python_facts(code_files(spark, sf_dir), keep_content=True)
-    src = FL.source_only(facts)
-    return src.select("project", "path", "content", F.concat("functions", "classes").alias("symbols"))
-
-
 @register("unused_symbols")
 def q_unused_symbols(spark, sf_dir):
     """J5 + F7 + F4 on the Python files of V_code."""
-    return DC.unused_symbols(code_defs(spark, sf_dir)).select("project", "path", "symbol")
+    return model_unused(code_model(spark, sf_dir)[1]).select("project", "path", "symbol")
 
 
 @register("unused_per_file")
 def q_unused_per_file(spark, sf_dir):
     """A13."""
-    u = DC.unused_per_file(DC.unused_symbols(code_defs(spark, sf_dir)))
+    u = DC.unused_per_file(model_unused(code_model(spark, sf_dir)[1]))
     return u.select("project", "path", F.array_join("symbols", ", ").alias("symbols"), "n_symbols")
 
 
 @register("framework_decorated")
 def q_framework_decorated(spark, sf_dir):
     """J6."""
-    return DC.framework_decorated(code_defs(spark, sf_dir))
+    m = code_model(spark, sf_dir)[1].where("is_source")
+    return m.select("project", "path", F.explode("deco").alias("symbol"))
 
 
 @register("unused_symbols_docs")
@@ -391,8 +406,9 @@ from tokenloom.operators import health as HE  # noqa: E402
 @register("project_totals")
 def q_project_totals(spark, sf_dir):
     """A1 (+U5, U6, J2)."""
+    from tokenloom.session import materialize
     files = code_files(spark, sf_dir)
-    return FA.project_totals(spark, X.extract_all_facts(files), X.detect_languages(files))
+    return FA.project_totals(spark, materialize(X.extract_all_facts(files)), X.detect_languages(files))
 
 
 @register("quality_summary")
@@ -430,21 +446,18 @@ def code_budget(spark, files):
 @register("health_score")
 def q_health_score(spark, sf_dir):
     """A11 over V_code: A3 + U1 + J5 + G4."""
-    files = code_files(spark, sf_dir)
-    facts = X.extract_python_facts(files, keep_content=True)
-    src = FL.source_only(facts)
-    defs = src.select("project", "path", "content", F.concat("functions", "classes").alias("symbols"))
+    files, model = code_model(spark, sf_dir)
+    facts = model.select(*X.FACT_COLUMNS)
     edges = G.resolve_imports(facts, files)
     cycles = G.cycle_count(facts, G.find_cycles(spark, edges))
-    return HE.health_score(code_budget(spark, files), src, DC.unused_symbols(defs), cycles)
+    return HE.health_score(code_budget(spark, files), FL.source_only(facts), model_unused(model), cycles)
 
 
 @register("audit_checks")
 def q_audit_checks(spark, sf_dir):
     """A12 (+F9, G4, A3)."""
-    files = code_files(spark, sf_dir)
-    facts = X.extract_python_facts(files)
-    cycles = G.cycle_count(facts, G.find_cycles(spark, G.resolve_imports(facts, files)))
+    files, facts, edges = py_graph(spark, sf_dir)
+    cycles = G.cycle_count(facts, G.find_cycles(spark, edges))
     return HE.audit_checks(files, code_budget(spark, files), cycles, FL.syntax_errors(facts))
 
 
@@ -519,24 +532,23 @@ def q_focus_budget(spark, sf_dir):
 @register("project_doc")
 def q_project_doc(spark, sf_dir):
     """R6 over V_code."""
-    files = code_files(spark, sf_dir)
-    facts = X.extract_python_facts(files, keep_content=True)
+    files, model = code_model(spark, sf_dir)
+    facts = model.select(*X.FACT_COLUMNS)
     edges = G.resolve_imports(facts, files)
     most = G.top_n_per_project(G.in_degree(facts, edges), "imported_by", 10)
     hot = H.hot_files(load_views(spark, sf_dir, ["v_code_changes"])["v_code_changes"], 50, 20)
-    src = FL.source_only(facts)
-    defs = src.select("project", "path", "content", F.concat("functions", "classes").alias("symbols"))
-    unused = DC.unused_per_file(DC.unused_symbols(defs))
-    return RP.project_doc(spark, facts.drop("content"), RP.dir_tree(facts), most, hot, unused,
+    unused = DC.unused_per_file(model_unused(model))
+    return RP.project_doc(spark, facts, RP.dir_tree(facts), most, hot, unused,
                           FA.detect_frameworks(spark, facts), files)
 
 
 @register("analysis_json")
 def q_analysis_json(spark, sf_dir):
     """R7 (+S7 JSON shape)."""
+    from tokenloom.session import materialize
     files = code_files(spark, sf_dir)
-    facts = X.extract_all_facts(files)
-    py = X.extract_python_facts(files)
+    facts = materialize(X.extract_all_facts(files))
+    py = facts.where(F.col("language") == "python")
     edges = G.resolve_imports(py, files)
     most = G.top_n_per_project(G.in_degree(py, edges), "imported_by", 10)
     hot = H.hot_files(load_views(spark, sf_dir, ["v_code_changes"])["v_code_changes"], 50, 20)

@@ -60,3 +60,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Write a (narrow) intermediate that several branches of a plan read,
+    so the work above it runs once: a reliable checkpoint into the shared
+    ``spark.checkpoint.dir`` (survives executor loss, cuts the lineage)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
