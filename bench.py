@@ -2,8 +2,9 @@
 
 Prints one JSON line: {"metric", "value", "unit", "queries": {name: sec}, "sf"}.
 Each query is run once cold (not reported) and then timed as the median of
-``BENCH_RUNS`` warm runs; a run materialises the full result with a
-``noop`` write so nothing is pulled to the driver.
+``BENCH_RUNS`` warm runs (JVM warm, Spark cache cleared before each run); a
+run materialises the full result with a ``noop`` write so nothing is pulled
+to the driver.
 """
 from __future__ import annotations
 
@@ -36,6 +37,8 @@ def main() -> None:
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         samples = []
         for _ in range(runs):
+            # no intermediate persisted by an earlier run may be reused
+            spark.catalog.clearCache()
             t0 = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             samples.append(time.perf_counter() - t0)

@@ -63,8 +63,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Write a (narrow) intermediate that several branches of a plan read,
-    so the work above it runs once: a reliable checkpoint into the shared
-    ``spark.checkpoint.dir`` (survives executor loss, cuts the lineage)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute a (narrow) intermediate that several branches of a plan read,
+    once: persisted in memory and disk and filled eagerly.  Lost blocks are
+    recomputed from lineage; iterative jobs whose lineage must be cut use
+    ``checkpoint()`` into ``spark.checkpoint.dir`` instead (see find_cycles)."""
+    from pyspark import StorageLevel
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
