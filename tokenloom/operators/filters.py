@@ -81,11 +81,13 @@ def rule_sets(rules: DataFrame) -> DataFrame:
 def with_rule_match(files: DataFrame, rules: DataFrame) -> DataFrame:
     """F3 building block: adds ``has_rules`` and ``rule_ignored`` to ``files``.
 
-    The per-project rule row is joined on ``project``; AQE turns the join into
-    a broadcast only when the measured size of the rule side is small, and
-    splits a skewed project otherwise.
+    The per-project rule rows (one per project with rules) are materialised
+    and broadcast when their measured size is small: the file side is then
+    not shuffled at all, and a later per-project top-k can cut rows before
+    its own shuffle.  A large rule table is joined by shuffle instead.
     """
-    rs = rule_sets(rules)
+    from tokenloom.session import small_side
+    rs = small_side(rule_sets(rules))
     j = files.join(rs, "project", "left")
     matched = (F.arrays_overlap(path_parts("path"), F.col("rule_parts"))
                | F.expr("path RLIKE full_rx") | F.expr("path RLIKE part_rx"))

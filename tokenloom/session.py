@@ -71,3 +71,21 @@ def materialize(df):
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
+
+
+# Broadcast limit for sides whose size is measured at run time (bytes).
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def measured_bytes(df) -> int:
+    """Size of a materialised DataFrame as Spark's planner sees it (cached size)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small_side(df, max_bytes: int = BROADCAST_MAX_BYTES):
+    """Materialise ``df`` and hint it for broadcast only when its measured size
+    is under ``max_bytes``; otherwise it is joined by shuffle (AQE may still
+    split skewed partitions).  Returns the DataFrame to join with."""
+    from pyspark.sql import functions as F
+    m = materialize(df)
+    return F.broadcast(m) if measured_bytes(m) <= max_bytes else m
