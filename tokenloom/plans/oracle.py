@@ -716,3 +716,11 @@ FROM fresh f LEFT JOIN last l ON l.project = f.project
 ORACLE["stream_session_usage"] = duckdb_with(["v_sessions"]) + _SESS + """
 SELECT session_id, project, mtime_s, input_tokens, output_tokens, cache_write, cache_read, total_tokens, turns, cost_usd
 FROM usage_t"""
+ORACLE["stream_reanalyze"] = code_sql(_ALL + """,
+ks AS (SELECT project, path, TRY_CAST(regexp_extract(path, '/m(\\d+)\\.', 1) AS BIGINT) AS k,
+              CAST(substr(project, 2) AS INT) AS n FROM allc)
+SELECT a.project, a.path, CASE WHEN ends_with(a.path, '.py') THEN 'python' WHEN ends_with(a.path, '.ts') THEN 'typescript'
+                               ELSE 'go' END AS language, a.lines, CAST(a.nfn AS BIGINT) AS n_functions
+FROM allc a JOIN ks ON ks.project = a.project AND ks.path = a.path
+WHERE NOT (ks.n < 10 AND coalesce(ks.k % 13 = 0, false))
+""")

@@ -657,3 +657,24 @@ def q_stream_session_delta(spark, sf_dir):
     r = _run_session_stream(spark, sf_dir)
     a = active_sessions(r, F.timestamp_seconds(F.lit(SESSIONS_NOW_S)), SESSIONS_HOURS)
     return a.select("session_id", "delta_input", "delta_output", "delta_cache_w", "delta_cache_r", "delta_cost")
+
+
+@register("stream_reanalyze")
+def q_stream_reanalyze(spark, sf_dir):
+    """V_code arrives as a full snapshot, then nations 0-9 arrive again with
+    every 6th file changed and every 13th removed; the store keeps the facts of
+    each project's latest snapshot."""
+    from tokenloom.streaming.reanalyze import read_store, stream_reanalyze
+    base = scratch_path(spark, f"reanalyze-{_uuid.uuid4().hex}")
+    files = code_files(spark, sf_dir)
+    k = F.regexp_extract("path", r"/m(\d+)\.", 1).try_cast("long")
+    nation = F.regexp_extract("project", r"^n(\d+)$", 1).cast("int")
+    second = (files.where(nation < 10).where(~F.coalesce(k % 13 == 0, F.lit(False)))
+              .withColumn("mtime", F.when(k % 6 == 0, F.col("mtime") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("mtime"))))
+    files.coalesce(1).write.parquet(f"{base}/in/a=0")
+    second.coalesce(1).write.parquet(f"{base}/in/a=1")
+    src = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/a=*")
+    q = stream_reanalyze(src.drop("a"), f"{base}/store", f"{base}/ckpt", {"availableNow": True})
+    q.awaitTermination()
+    st = read_store(spark, f"{base}/store")
+    return st.select("project", "path", "language", "lines", F.size("functions").cast("long").alias("n_functions"))
