@@ -6,6 +6,7 @@ aggregate, never a collect.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,8 @@ def prune_acyclic(edges: DataFrame, rounds: int = 2) -> DataFrame:
     return e
 
 
-def find_cycles(spark: SparkSession, edges: DataFrame, max_len: int | None = None) -> DataFrame:
+def find_cycles(spark: SparkSession, edges: DataFrame, max_len: int | None = None,
+                checkpoint_every: int = 4, stop_after: int | None = None) -> DataFrame:
     """Every simple cycle once, rooted at its smallest node, as
     ``project, cycle_len, chain`` with chain ``a -> b -> a``.
 
@@ -70,6 +72,10 @@ def find_cycles(spark: SparkSession, edges: DataFrame, max_len: int | None = Non
     every level is checkpointed (lineage cut, survives executor loss).
     The loop ends when the frontier is empty or ``max_len`` is reached (the
     number of simple cycles can grow exponentially with graph density).
+
+    ``stop_after=n`` is for consumers that only need ``min(count, n)`` per
+    project (the health score): a project leaves the search once it has n
+    cycles, so counts below n stay exact and larger ones are reported as >= n.
     """
     from tokenloom.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
@@ -93,12 +99,21 @@ def find_cycles(spark: SparkSession, edges: DataFrame, max_len: int | None = Non
                        F.when(F.col("nxt") == F.col("start"), F.col("path"))
                         .otherwise(F.concat("path", F.array("nxt"))).alias("path"),
                        (F.col("nxt") == F.col("start")).alias("closed")))
-        # each level is written to the checkpoint folder: it survives executor
-        # loss and keeps the plans of later levels small
-        lvl = lvl.checkpoint()
+        # the level is persisted and counted once; every few levels it is also
+        # written to the checkpoint folder, which bounds the lineage (plans of
+        # later levels stay small) and survives executor loss
+        lvl = lvl.persist(StorageLevel.MEMORY_AND_DISK)
         open_paths = lvl.where(~F.col("closed")).count()
+        if depth % checkpoint_every == 0:
+            lvl = lvl.checkpoint()
         levels.append(lvl.where("closed"))
         frontier = lvl.where(~F.col("closed")).drop("closed")
+        if stop_after is not None:
+            found = loops.select("project")
+            for lv in levels:
+                found = found.unionByName(lv.select("project"))
+            done = found.groupBy("project").count().where(F.col("count") >= stop_after).select("project")
+            frontier = frontier.join(done, "project", "left_anti")
         if (max_len is not None and depth >= max_len) or open_paths == 0:
             break
         depth += 1
