@@ -44,13 +44,16 @@ def _score_from(keywords: list[str], ptoks: Column, hits: Column, n_tokens: Colu
 
 
 def scored_files(files: DataFrame, keywords: list[str], keep=()) -> DataFrame:
-    """Adds ``raw_score``: the keyword hits and token count are projected once
-    (Spark keeps the non-cheap projection instead of inlining it per use)."""
+    """Adds ``raw_score``.  One regex pass per text: the identifier tokens
+    are extracted once (projected, so Spark does not inline the extraction
+    into each use); the token count and the keyword hits come from that array."""
     if not keywords:
         return files.select("project", "path", *keep, F.lit(0.0).alias("raw_score"))
-    pre = files.select("project", "path", *keep, keyword_hits("content", keywords).alias("_hits"),
-                       word_token_count("content").alias("_ntok"), word_tokens("path").alias("_ptoks"))
-    return pre.select("project", "path", *keep,
+    pre = files.select("project", "path", *keep, word_tokens("content").alias("_toks"),
+                       word_tokens("path").alias("_ptoks"))
+    mid = pre.select("project", "path", *keep, "_ptoks", F.size("_toks").alias("_ntok"),
+                     F.filter("_toks", lambda t: t.isin(*keywords)).alias("_hits"))
+    return mid.select("project", "path", *keep,
                       _score_from(keywords, F.col("_ptoks"), F.col("_hits"), F.col("_ntok")).alias("raw_score"))
 
 
@@ -58,8 +61,11 @@ def _contains_of(k: str):
     return lambda t: t.contains(k)
 
 
-def focus_reason(keywords: list[str], path: Column, content: Column) -> Column:
-    lp, lc = F.lower(path), F.lower(content)
+def focus_reason(keywords: list[str], path: Column, content: Column, lowered: Column | None = None) -> Column:
+    """``path:k1,k2 | content:k1,...`` (content part at most 5 keywords);
+    substring tests on the lower-cased path and text.  Pass ``lowered`` when
+    the lower-cased text is already a column."""
+    lp, lc = F.lower(path), (lowered if lowered is not None else F.lower(content))
     in_path = [F.when(lp.contains(k), F.lit(k)) for k in keywords]
     in_content = [F.when(lc.contains(k), F.lit(k)) for k in keywords]
     if not keywords:
@@ -85,14 +91,20 @@ def rank_files(files: DataFrame, query: str, top: int = 8, rules: DataFrame | No
     from tokenloom.operators.filters import visible, with_rule_match
 
     kws = query_keywords(query)
+    # every expression over the text in one projection: the text is lowered
+    # and tokenised once per file
     tok = F.col(tokens_col) if tokens_col else approx_tokens("content")
-    keep = ["content"] + ([tokens_col] if tokens_col else [])
-    scored = scored_files(files, kws, keep)
+    pre = files.select("project", "path", tok.alias("tokens"), F.lower("content").alias("_lc"),
+                       word_tokens("content").alias("_toks"), word_tokens("path").alias("_ptoks"))
+    mid = pre.select("project", "path", "tokens", "_ptoks", F.size("_toks").alias("_ntok"),
+                     F.filter("_toks", lambda t: t.isin(*kws)).alias("_hits") if kws else F.array().alias("_hits"),
+                     focus_reason(kws, F.col("path"), None, F.col("_lc")).alias("reason"))
+    raw = _score_from(kws, F.col("_ptoks"), F.col("_hits"), F.col("_ntok")) if kws else F.lit(0.0)
     # The "score > 0" test is applied after ranking (positive scores sort
     # first): a filter before it would be pushed below the projection and
     # re-evaluate the score expression per use.
-    hits = scored.select("project", "path", "raw_score", F.round("raw_score", 2).alias("score"), tok.alias("tokens"),
-                         focus_reason(kws, F.col("path"), F.col("content")).alias("reason"))
+    hits = (mid.select("project", "path", raw.alias("raw_score"), "tokens", "reason")
+            .withColumn("score", F.round("raw_score", 2)))
     if rules is not None:
         hits = with_rule_match(hits, rules).where(visible(egg_info_suffix=False)).drop("has_rules", "rule_ignored")
     w = Window.partitionBy("project").orderBy(F.desc("score"), F.desc(F.col("raw_score") > 0), "path")

@@ -32,14 +32,15 @@ def register(name: str):
     return deco
 
 
-def corpus(spark: SparkSession, sf_dir: str):
-    """Token counts of V_docs + V_pages (the shared ``token_counts`` table, no
-    text) and the parsed rules, each materialised once for the query."""
+def corpus(spark: SparkSession, sf_dir: str, shared: bool = True):
+    """Token counts of V_docs + V_pages (the ``token_counts`` table, no text)
+    and the parsed rules.  ``shared``: the query reads them in several
+    branches, so they are materialised once."""
     from tokenloom.session import materialize
     v = load_views(spark, sf_dir, ["v_files", "v_rules_files"])
     files = count_tokens_job(v["v_files"].select("project", "path", "content", "size_bytes", "mtime")).drop("content")
     rules = load_ignore_rules(v["v_rules_files"])
-    return materialize(files), materialize(rules)
+    return (materialize(files), materialize(rules)) if shared else (files, rules)
 
 
 @register("rank_files")
@@ -71,7 +72,7 @@ def q_ignore_rules(spark, sf_dir):
 @register("file_flags")
 def q_file_flags(spark, sf_dir):
     """Per file flags and token count."""
-    files, rules = corpus(spark, sf_dir)
+    files, rules = corpus(spark, sf_dir, shared=False)
     f = FL.with_token_flags(files, rules)
     return f.select("project", "path", "tokens", FL.is_binary("path").alias("is_binary"),
                     FL.in_dirs("parse").alias("in_parse_dirs"), FL.is_test_path("path").alias("is_test"),
@@ -81,21 +82,21 @@ def q_file_flags(spark, sf_dir):
 @register("token_budget")
 def q_token_budget(spark, sf_dir):
     """A3."""
-    files, rules = corpus(spark, sf_dir)
+    files, rules = corpus(spark, sf_dir, shared=False)
     return B.token_budget(files, rules)
 
 
 @register("tokens_by_dir")
 def q_tokens_by_dir(spark, sf_dir):
     """A4."""
-    files, rules = corpus(spark, sf_dir)
+    files, rules = corpus(spark, sf_dir, shared=False)
     return B.tokens_by_dir(B.slim_files(files, rules)).withColumn("files", F.col("files").cast("long"))
 
 
 @register("tokens_by_ext")
 def q_tokens_by_ext(spark, sf_dir):
     """A5."""
-    files, rules = corpus(spark, sf_dir)
+    files, rules = corpus(spark, sf_dir, shared=False)
     return B.tokens_by_ext(B.slim_files(files, rules)).withColumn("files", F.col("files").cast("long"))
 
 
