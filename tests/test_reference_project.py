@@ -67,3 +67,22 @@ def test_unused_relative_parts(spark, sample):
 def test_no_cycles(spark, sample):
     from tokenloom.operators.graph import find_cycles
     assert find_cycles(spark, sample[2]).count() == 0
+
+
+def test_scan_shards_split_one_big_folder(spark, tmp_path):
+    """A project whose files sit below one folder is still split into many
+    partitions, and every file (hidden and underscore names too) is read once."""
+    from tokenloom.sources.files import scan_files
+    root = tmp_path / "proj"
+    for d in range(6):
+        sub = root / "src" / f"pkg{d}"
+        sub.mkdir(parents=True)
+        (sub / "__init__.py").write_text("")
+        (sub / f"m{d}.py").write_text("x = 1\n")
+    (root / "src" / ".env").write_text("A=1\n")
+    (root / ".rules").write_text("*.log\n")
+    df = scan_files(spark, [str(root)])
+    paths = sorted(r.path for r in df.collect())
+    assert len(paths) == len(set(paths)) == 14
+    assert "src/.env" in paths and ".rules" in paths and "src/pkg0/__init__.py" in paths
+    assert df.rdd.getNumPartitions() >= 6

@@ -2,9 +2,9 @@
 
 Spark's file sources skip names starting with '_' or '.', which loses
 ``__init__.py`` and rule files; this source walks the trees itself and keeps
-them.  Partitions are shards of each root's top-level entries, listed on the
-driver (one ``listdir`` per root); the deep walk and the reads run in the
-executors.  Unreadable files are skipped; text is decoded as UTF-8 with
+them.  Partitions are shards of each root's entries, listed on the driver
+(directories only, a few levels at most); the deep walk and the reads run in
+the executors.  Unreadable files are skipped; text is decoded as UTF-8 with
 undecodable bytes dropped.  Persist the result as Parquet partitioned by
 ``project`` and run the operators on that.
 """
@@ -43,25 +43,62 @@ class ProjectFilesReader(DataSourceReader):
         self.shards = int(options.get("shards_per_root", 64))
 
     def partitions(self):
+        """Shards of (root, entries, recursive) triples.  A root whose top level
+        holds few entries is expanded a few directory levels down on the
+        driver (directories only), so one large folder does not become one
+        task; files met while expanding form their own non-recursive shard."""
         parts = []
         for root in self.roots:
-            try:
-                entries = sorted(os.listdir(root))
-            except OSError:
-                continue
-            groups = [entries[i::self.shards] for i in range(min(self.shards, max(len(entries), 1)))]
-            for g in groups:
+            units = self._units(root)
+            n = min(self.shards, max(len(units), 1))
+            for i in range(n):
+                g = units[i::n]
                 if g:
                     parts.append(InputPartition((root, tuple(g))))
         return parts
 
+    def _units(self, root: str, max_depth: int = 3):
+        """(relative entry, recursive?) units: expand directories breadth-first
+        until there are at least ``shards`` units or ``max_depth`` is reached."""
+        try:
+            units = [(e, True) for e in sorted(os.listdir(root))]
+        except OSError:
+            return []
+        depth = 1
+        while len(units) < self.shards and depth < max_depth:
+            nxt, expanded = [], False
+            for rel, rec in units:
+                full = os.path.join(root, rel)
+                if rec and os.path.isdir(full) and not os.path.islink(full):
+                    try:
+                        kids = sorted(os.listdir(full))
+                    except OSError:
+                        nxt.append((rel, rec))
+                        continue
+                    expanded = True
+                    nxt.append((rel, False))          # the folder's own files
+                    nxt.extend((os.path.join(rel, k), True) for k in kids
+                               if os.path.isdir(os.path.join(full, k)))
+                else:
+                    nxt.append((rel, rec))
+            units, depth = nxt, depth + 1
+            if not expanded:
+                break
+        return units
+
     def read(self, partition):
-        root, entries = partition.value
+        root, units = partition.value
         project = os.path.basename(os.path.normpath(root))
-        for entry in entries:
-            top = os.path.join(root, entry)
+        for rel, recursive in units:
+            top = os.path.join(root, rel)
             if os.path.isfile(top):
                 paths = [top]
+            elif not recursive:
+                try:
+                    paths = [os.path.join(top, f) for f in sorted(os.listdir(top))
+                             if os.path.isfile(os.path.join(top, f))]
+                except OSError:
+                    paths = []
             else:
                 paths = []
                 for dirpath, dirnames, filenames in os.walk(top):
@@ -74,8 +111,8 @@ class ProjectFilesReader(DataSourceReader):
                         data = fh.read()
                 except OSError:
                     continue
-                rel = os.path.relpath(p, root).replace(os.sep, "/")
-                yield (project, rel, data.decode("utf-8", errors="ignore"), int(st.st_size),
+                rel_path = os.path.relpath(p, root).replace(os.sep, "/")
+                yield (project, rel_path, data.decode("utf-8", errors="ignore"), int(st.st_size),
                        _dt.datetime.fromtimestamp(st.st_mtime_ns / 1e9, tz=_dt.timezone.utc))
 
 
