@@ -59,3 +59,18 @@ def test_stream_replay_matches_batch(spark, tmp_path):
     last = rows[-1]
     assert (last.input_tokens, last.output_tokens, last.total_tokens, last.cost_usd) == (12, 7, 19, 0.00015)
     assert (last.delta_input, last.delta_output) == (2, 2)
+
+
+def test_read_session_files(spark, tmp_path):
+    """S3 from JSONL files: project = folder, session = file stem, line order kept."""
+    from tokenloom.sources.sessions import read_session_files
+    d = tmp_path / "logs" / "myproj"
+    d.mkdir(parents=True)
+    lines = [x if isinstance(x, str) else json.dumps(x) for x in LOG]
+    (d / "abcdef0123.jsonl").write_text("\n".join(lines) + "\n")
+    (d / "zzz.jsonl").write_text(json.dumps({"type": "assistant", "uuid": "q", "message": {"usage": _u(1, 2, 3, 4)}}) + "\n")
+    df = read_session_files(spark, str(tmp_path / "logs" / "*" / "*.jsonl"))
+    got = {r.session_id: r for r in session_usage(df).collect()}
+    a = got["abcdef0123"]
+    assert (a.project, a.turns, a.input_tokens, a.output_tokens, a.total_tokens) == ("myproj", 3, 12, 7, 19)
+    assert (got["zzz"].turns, got["zzz"].cache_read) == (1, 4)

@@ -40,13 +40,16 @@ def assistant_rows(parsed: DataFrame) -> DataFrame:
 def read_session_files(spark: SparkSession, path: str) -> DataFrame:
     """JSONL files below ``path`` (``<project>/<session>.jsonl``) as log lines.
 
-    Line numbers come from the position inside each file; the project is the
-    parent folder name and the session id the file stem.
+    Line numbers follow the position inside each file (block start offset,
+    then row order inside the block, so split files keep their order); the
+    project is the parent folder name and the session id the file stem.
     """
     t = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("fp"), F.col("_metadata.file_modification_time").alias("file_mtime"),
+        "value", F.col("_metadata.file_path").alias("fp"),
+        F.col("_metadata.file_block_start").alias("blk"),
+        F.col("_metadata.file_modification_time").alias("file_mtime"),
         F.monotonically_increasing_id().alias("pos"))
-    w = Window.partitionBy("fp").orderBy("pos")
+    w = Window.partitionBy("fp").orderBy("blk", "pos")
     parts = F.split("fp", "/")
     return t.select(
         F.element_at(parts, -2).alias("project"),
