@@ -139,3 +139,42 @@ def focus_budget(ranked: DataFrame, budget: DataFrame) -> DataFrame:
                     saved.cast("long").alias("saved_tokens"),
                     F.when(F.col("project_tokens") > 0, F.round(saved / F.col("project_tokens") * 100.0, 1))
                      .otherwise(F.lit(0.0)).alias("saved_pct"))
+
+
+def rank_files_batch(files: DataFrame, queries: DataFrame, top: int = 8) -> DataFrame:
+    """W7, batch form: many task texts at once, ``queries(project, query_id,
+    query)``; each query ranks the files of its project.
+
+    Without a cross join: file tokens that are keywords of the project (the
+    keyword set is broadcast after a size check) are counted per file, path
+    tokens meet the keywords through their substrings (equi-join), and the
+    per-keyword parts are summed per (query, file).  ``files`` must be the
+    visible set.  Output ``project, query_id, rank, path, score``.
+    """
+    from tokenloom.session import small_side
+
+    kw = queries.select("project", "query_id",
+                        F.explode(F.array_distinct(word_tokens("query"))).alias("kw")).distinct()
+    kwset = small_side(kw.select("project", F.col("kw").alias("tok")).distinct())
+    base = files.select("project", "path", word_tokens("content").alias("_toks"), word_tokens("path").alias("_ptoks"))
+    ntok = base.select("project", "path", F.size("_toks").alias("ntok"))
+    counts = (base.select("project", "path", F.explode("_toks").alias("tok"))
+              .join(kwset, ["project", "tok"], "left_semi")
+              .groupBy("project", "path", "tok").agg(F.count(F.lit(1)).alias("cnt")))
+    content_part = counts.join(kw.withColumnRenamed("kw", "tok"), ["project", "tok"]).select(
+        "project", "query_id", "path", (F.lit(1.0) + F.least(F.col("cnt") - 1, F.lit(4)) * 0.2).alias("v"))
+    subs = base.select("project", "path", F.explode(F.array_distinct(F.flatten(F.flatten(F.transform(
+        "_ptoks", lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.transform(
+            F.sequence(i, F.length(t)), lambda j: F.substring(t, i, j - i + 1)))))))).alias("tok"))
+    path_part = (subs.join(kwset, ["project", "tok"], "left_semi")
+                 .join(kw.withColumnRenamed("kw", "tok"), ["project", "tok"])
+                 .select("project", "query_id", "path", F.lit(3.0).alias("v")).distinct())
+    parts = content_part.unionByName(path_part)
+    raw = (parts.groupBy("project", "query_id", "path").agg(F.sum("v").alias("s"))
+           .join(ntok, ["project", "path"])
+           .select("project", "query_id", "path",
+                   (F.col("s") / F.greatest(F.lit(1.0), F.col("ntok") / 500.0)).alias("raw_score")))
+    scored = raw.where(F.col("raw_score") > 0).withColumn("score", F.round("raw_score", 2))
+    w = Window.partitionBy("project", "query_id").orderBy(F.desc("score"), "path")
+    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+            .select("project", "query_id", F.col("rank").cast("long"), "path", "score"))

@@ -724,3 +724,23 @@ SELECT a.project, a.path, CASE WHEN ends_with(a.path, '.py') THEN 'python' WHEN
 FROM allc a JOIN ks ON ks.project = a.project AND ks.path = a.path
 WHERE NOT (ks.n < 10 AND coalesce(ks.k % 13 = 0, false))
 """)
+
+ORACLE["rank_files_batch"] = corpus_sql(f""",
+qs AS (SELECT 'p' || CAST(item_id % 7 AS STRING) AS project, item_id AS query_id, text FROM benchmark),
+kw AS (SELECT DISTINCT project, query_id, unnest({_words('text')}) AS k FROM qs),
+vis AS (SELECT project, path, content FROM sets WHERE in_focus AND project IN (SELECT DISTINCT project FROM v_docs)),
+ct AS (SELECT project, path, unnest({_words('content')}) AS t FROM vis),
+ntok AS (SELECT project, path, count(*) AS n FROM ct GROUP BY project, path),
+cf AS (SELECT ct.project, ct.path, kw.query_id, kw.k, count(*) AS c FROM ct JOIN kw ON kw.project = ct.project AND ct.t = kw.k
+       GROUP BY ct.project, ct.path, kw.query_id, kw.k),
+pt AS (SELECT project, path, unnest({_words('path')}) AS t FROM vis),
+pm AS (SELECT DISTINCT pt.project, pt.path, kw.query_id, kw.k FROM pt JOIN kw ON kw.project = pt.project AND contains(pt.t, kw.k)),
+per AS (SELECT project, path, query_id, 1.0 + least(c - 1, 4) * 0.2 AS v FROM cf
+        UNION ALL SELECT project, path, query_id, 3.0 FROM pm),
+sc AS (SELECT per.project, per.path, per.query_id, sum(v) / greatest(1.0, max(ntok.n) / 500.0) AS raw
+       FROM per JOIN ntok ON ntok.project = per.project AND ntok.path = per.path GROUP BY per.project, per.path, per.query_id),
+rk AS (SELECT *, round(raw, 2) AS score FROM sc WHERE raw > 0)
+SELECT project, query_id, rank, path, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY project, query_id ORDER BY score DESC, path) AS BIGINT) AS rank FROM rk) t
+WHERE rank <= 8
+""")

@@ -680,3 +680,18 @@ def q_stream_reanalyze(spark, sf_dir):
     q.awaitTermination()
     st = read_store(spark, f"{base}/store")
     return st.select("project", "path", "language", "lines", F.size("functions").cast("long").alias("n_functions"))
+
+
+@register("rank_files_batch")
+def q_rank_files_batch(spark, sf_dir):
+    """W7 batch form: each benchmark passage is a task text for project
+    p<item_id % 7> of V_docs (visible files only)."""
+    from tokenloom.operators.focus import rank_files_batch
+    v = load_views(spark, sf_dir, ["v_docs", "v_rules_files"])
+    rules = load_ignore_rules(v["v_rules_files"])
+    files = FL.with_rule_match(v["v_docs"].select("project", "path", "content"), rules).where(
+        FL.visible(egg_info_suffix=False)).select("project", "path", "content")
+    qs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+        F.concat(F.lit("p"), (F.col("item_id") % 7).cast("string")).alias("project"),
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return rank_files_batch(files, qs)
