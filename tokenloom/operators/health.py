@@ -39,9 +39,12 @@ def health_score(budget: DataFrame, src_facts: DataFrame, unused: DataFrame, cyc
 
 
 def audit_checks(files: DataFrame, budget: DataFrame, cycle_counts: DataFrame, syntax: DataFrame,
-                 doc_name: str = "CLAUDE.md") -> DataFrame:
+                 doc_name: str = "CONTEXT.md") -> DataFrame:
     """Per project rows ``(check, status, detail)`` and ``passed``.
 
+    ``doc_name`` is the project's context document checked for presence and
+    freshness (pass the file name your projects use).
+
     The doc freshness and token checks run only when the doc exists;
     freshness compares it with the newest ``.py`` outside virtual-env and
     cache folders (minutes stale, floored).

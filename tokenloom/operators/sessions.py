@@ -1,7 +1,7 @@
 """Session usage and cost: W2, A8, C13, J8, J10, W9."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.scores import session_cost
@@ -51,9 +51,12 @@ def compare_sessions(usage: DataFrame, a_prefix: str, b_prefix: str) -> DataFram
     """Newest session whose id starts with each prefix, side by side per
     metric with ``diff = b - a`` (a pivot of the two rows; no join)."""
     def pick(prefix: str, side: str) -> DataFrame:
-        w = Window.orderBy(F.desc("mtime"), "session_id")
+        # newest match by a global max_by (partial aggregation), not a window
+        # over all matching sessions in one task; ties -> larger session id
+        cols = [c for c in usage.columns]
         c = usage.where(F.col("session_id").startswith(prefix))
-        return c.withColumn("rn", F.row_number().over(w)).where("rn = 1").withColumn("side", F.lit(side))
+        best = c.agg(F.max_by(F.struct(*cols), F.struct("mtime", "session_id")).alias("r")).select("r.*")
+        return best.where(F.col("session_id").isNotNull()).withColumn("side", F.lit(side))
 
     both = pick(a_prefix, "a").unionByName(pick(b_prefix, "b"))
     stack = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v"))

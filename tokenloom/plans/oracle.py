@@ -376,8 +376,8 @@ FROM dedc"""
 ORACLE["recent_sessions"] = duckdb_with(["v_sessions"]) + _SESS + f"""
 SELECT * FROM usage_t WHERE mtime_s > {1704067200 + 120 * 3600} - 48 * 3600 ORDER BY mtime_s DESC, session_id LIMIT 10"""
 ORACLE["compare_sessions"] = duckdb_with(["v_sessions"]) + _SESS + """,
-a AS (SELECT * FROM usage_t WHERE starts_with(session_id, 'c1') ORDER BY mtime_s DESC, session_id LIMIT 1),
-b AS (SELECT * FROM usage_t WHERE starts_with(session_id, 'c2') ORDER BY mtime_s DESC, session_id LIMIT 1),
+a AS (SELECT * FROM usage_t WHERE starts_with(session_id, 'c1') ORDER BY mtime_s DESC, session_id DESC LIMIT 1),
+b AS (SELECT * FROM usage_t WHERE starts_with(session_id, 'c2') ORDER BY mtime_s DESC, session_id DESC LIMIT 1),
 la AS (UNPIVOT (SELECT session_id, CAST(input_tokens AS DOUBLE) AS input_tokens, CAST(output_tokens AS DOUBLE) AS output_tokens,
                        CAST(cache_write AS DOUBLE) AS cache_write, CAST(cache_read AS DOUBLE) AS cache_read,
                        CAST(total_tokens AS DOUBLE) AS total_tokens, CAST(turns AS DOUBLE) AS turns, cost_usd FROM a)
@@ -605,7 +605,7 @@ FROM tot
 
 ORACLE["audit_checks"] = code_sql(_CYCLES.format(e="edges") + _CODE_BUDGET + _SYNTAX + """,
 projects AS (SELECT DISTINCT project FROM v_code),
-doc AS (SELECT project, max(mtime_s) AS doc_s FROM v_code WHERE path = 'CLAUDE.md' GROUP BY project),
+doc AS (SELECT project, max(mtime_s) AS doc_s FROM v_code WHERE path = 'CONTEXT.md' GROUP BY project),
 newest AS (SELECT project, max(mtime_s) AS py_s FROM v_code WHERE ends_with(path, '.py') GROUP BY project),
 j AS (SELECT p.project, d.doc_s, n.py_s, b.baseline, b.optimized, coalesce(c.n_cycles, 0) AS n_cycles,
              coalesce(s.n_errors, 0) AS n_errors, s.first_files, s.more

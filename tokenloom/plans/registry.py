@@ -584,8 +584,7 @@ def q_scan_files(spark, sf_dir):
     root = scratch_path(spark, f"tree-{_uuid.uuid4().hex}")
     files = code_files(spark, sf_dir)
     _materialise_tree(spark, files, root)
-    projects = [f"{root}/{r.project}" for r in files.select("project").distinct().collect()]
-    s = scan_files(spark, projects)
+    s = scan_files(spark, projects_root=root)
     return s.select("project", "path", "size_bytes", line_count("content").alias("lines"))
 
 
@@ -618,24 +617,24 @@ def _run_session_stream(spark, sf_dir):
     from tokenloom.sources.sessions import EVENT_SCHEMA  # noqa: F401
     base = scratch_path(spark, f"stream-{_uuid.uuid4().hex}")
     lines = session_lines(spark, sf_dir)
-    cuts = [(None, 3), (4, 7), (8, None)]
-    for i, (lo, hi) in enumerate(cuts):
-        part = lines
-        if lo is not None:
-            part = part.where(F.col("line_no") >= lo)
-        if hi is not None:
-            part = part.where(F.col("line_no") <= hi)
-        part.coalesce(1).write.mode("overwrite").parquet(f"{base}/in/batch={i}")
-    src = (spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1)
-           .parquet(f"{base}/in/batch=*"))
     out_path = f"{base}/out"
 
     def sink(df, batch_id):
         df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
 
-    q = (stream_session_usage(src).writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+    # the log grows in three arrivals; after each one the stream runs once
+    # (AvailableNow) on the same checkpoint, so state carries across them
+    for lo, hi in [(None, 3), (4, 7), (8, None)]:
+        part = lines
+        if lo is not None:
+            part = part.where(F.col("line_no") >= lo)
+        if hi is not None:
+            part = part.where(F.col("line_no") <= hi)
+        part.write.mode("append").parquet(f"{base}/in")
+        src = spark.readStream.schema(lines.schema).parquet(f"{base}/in")
+        q = (stream_session_usage(src).writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
     res = spark.read.parquet(out_path)
     latest = res.groupBy("session_id").agg(F.max_by(F.struct(*[c for c in res.columns if c != "session_id"]),
                                                      "batch_id").alias("r"))
@@ -673,11 +672,12 @@ def q_stream_reanalyze(spark, sf_dir):
     nation = F.regexp_extract("project", r"^n(\d+)$", 1).cast("int")
     second = (files.where(nation < 10).where(~F.coalesce(k % 13 == 0, F.lit(False)))
               .withColumn("mtime", F.when(k % 6 == 0, F.col("mtime") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("mtime"))))
-    files.coalesce(1).write.parquet(f"{base}/in/a=0")
-    second.coalesce(1).write.parquet(f"{base}/in/a=1")
-    src = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/a=*")
-    q = stream_reanalyze(src.drop("a"), f"{base}/store", f"{base}/ckpt", {"availableNow": True})
-    q.awaitTermination()
+    src_dir = f"{base}/in"
+    for arrival in (files, second):
+        arrival.write.mode("append").parquet(src_dir)
+        src = spark.readStream.schema(files.schema).parquet(src_dir)
+        q = stream_reanalyze(src, f"{base}/store", f"{base}/ckpt", {"availableNow": True})
+        q.awaitTermination()
     st = read_store(spark, f"{base}/store")
     return st.select("project", "path", "language", "lines", F.size("functions").cast("long").alias("n_functions"))
 

@@ -205,7 +205,7 @@ SELECT 'n' || CAST(n_nationkey AS STRING) AS project, 'pkg/__init__.py' AS path,
 ' AS content, CAST(40 AS BIGINT) AS size_bytes, CAST(1704067200 AS BIGINT) AS mtime_s
 FROM {nation}
 UNION ALL
-SELECT 'n' || CAST(n_nationkey AS STRING), 'CLAUDE.md', '# Notes for nation ' || CAST(n_nationkey AS STRING) || '
+SELECT 'n' || CAST(n_nationkey AS STRING), 'CONTEXT.md', '# Notes for nation ' || CAST(n_nationkey AS STRING) || '
 ', CAST(20 AS BIGINT), CAST(1704067200 + n_nationkey * 3000 AS BIGINT)
 FROM {nation} WHERE n_nationkey % 3 = 0
 """

@@ -24,7 +24,8 @@ FILES_SCHEMA = "project string, path string, content string, size_bytes bigint,
 
 class ProjectFilesDataSource(DataSource):
     """Options: ``roots`` (comma-separated folders, one project each; the
-    project name is the folder name) and ``shards_per_root`` (default 64)."""
+    project name is the folder name) or ``projects_root`` (every sub-folder
+    is a project), and ``shards_per_root`` (default 64)."""
 
     @classmethod
     def name(cls) -> str:
@@ -40,6 +41,13 @@ class ProjectFilesDataSource(DataSource):
 class ProjectFilesReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.roots = [r for r in str(options.get("roots", "")).split(",") if r]
+        parent = options.get("projects_root")
+        if parent:
+            try:
+                self.roots += [os.path.join(parent, d) for d in sorted(os.listdir(parent))
+                               if os.path.isdir(os.path.join(parent, d))]
+            except OSError:
+                pass
         self.shards = int(options.get("shards_per_root", 64))
 
     def partitions(self):
@@ -119,9 +127,13 @@ class ProjectFilesReader(DataSourceReader):
 cloudpickle.register_pickle_by_value(_self)
 
 
-def scan_files(spark: SparkSession, roots) -> DataFrame:
-    """All files below each root (hidden and underscore names included)."""
+def scan_files(spark: SparkSession, roots=(), projects_root: str | None = None) -> DataFrame:
+    """All files below each root (hidden and underscore names included);
+    with ``projects_root`` every sub-folder of it is a project."""
     spark.dataSource.register(ProjectFilesDataSource)
     if isinstance(roots, str):
         roots = [roots]
-    return spark.read.format("project_files").option("roots", ",".join(roots)).load()
+    r = spark.read.format("project_files").option("roots", ",".join(roots))
+    if projects_root:
+        r = r.option("projects_root", projects_root)
+    return r.load()
