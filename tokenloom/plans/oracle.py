@@ -744,3 +744,40 @@ SELECT project, query_id, rank, path, score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY project, query_id ORDER BY score DESC, path) AS BIGINT) AS rank FROM rk) t
 WHERE rank <= 8
 """)
+
+# T2 + T4: three arrivals (lines <= 3, 4..7, >= 8); a session emits in each
+# arrival that has its lines; the last emission's delta is against the one before.
+_CUT_TOTALS = """
+t{i} AS (SELECT session_id, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(output_tokens) AS BIGINT) AS o,
+                CAST(sum(cache_write) AS BIGINT) AS w, CAST(sum(cache_read) AS BIGINT) AS r
+         FROM dedc_all WHERE has_usage AND line_no <= {cut} GROUP BY session_id)"""
+
+ORACLE["stream_session_delta"] = duckdb_with(["v_sessions"]) + _SESS + """,
+dedc_all AS (SELECT * FROM dedc),""" + ",".join(_CUT_TOTALS.format(i=i, cut=c) for i, c in ((1, 3), (2, 7), (3, 1000000000))) + f""",
+arr AS (SELECT session_id, max(mtime_s) AS mtime_s,
+               bool_or(line_no <= 3) AS a1, bool_or(line_no BETWEEN 4 AND 7) AS a2, bool_or(line_no >= 8) AS a3
+        FROM v_sessions GROUP BY session_id),
+lastprev AS (SELECT session_id, mtime_s,
+                    CASE WHEN a3 THEN 3 WHEN a2 THEN 2 ELSE 1 END AS last_a,
+                    CASE WHEN a3 THEN (CASE WHEN a2 THEN 2 WHEN a1 THEN 1 END)
+                         WHEN a2 THEN (CASE WHEN a1 THEN 1 END) END AS prev_a
+             FROM arr),
+tt AS (SELECT l.session_id, l.mtime_s, l.prev_a,
+              CASE l.last_a WHEN 3 THEN coalesce(t3.i, 0) WHEN 2 THEN coalesce(t2.i, 0) ELSE coalesce(t1.i, 0) END
+                - CASE l.prev_a WHEN 2 THEN coalesce(t2.i, 0) WHEN 1 THEN coalesce(t1.i, 0) ELSE 0 END AS di,
+              CASE l.last_a WHEN 3 THEN coalesce(t3.o, 0) WHEN 2 THEN coalesce(t2.o, 0) ELSE coalesce(t1.o, 0) END
+                - CASE l.prev_a WHEN 2 THEN coalesce(t2.o, 0) WHEN 1 THEN coalesce(t1.o, 0) ELSE 0 END AS do_,
+              CASE l.last_a WHEN 3 THEN coalesce(t3.w, 0) WHEN 2 THEN coalesce(t2.w, 0) ELSE coalesce(t1.w, 0) END
+                - CASE l.prev_a WHEN 2 THEN coalesce(t2.w, 0) WHEN 1 THEN coalesce(t1.w, 0) ELSE 0 END AS dw,
+              CASE l.last_a WHEN 3 THEN coalesce(t3.r, 0) WHEN 2 THEN coalesce(t2.r, 0) ELSE coalesce(t1.r, 0) END
+                - CASE l.prev_a WHEN 2 THEN coalesce(t2.r, 0) WHEN 1 THEN coalesce(t1.r, 0) ELSE 0 END AS dr
+       FROM lastprev l LEFT JOIN t1 ON t1.session_id = l.session_id LEFT JOIN t2 ON t2.session_id = l.session_id
+       LEFT JOIN t3 ON t3.session_id = l.session_id)
+SELECT session_id,
+       CAST(CASE WHEN prev_a IS NULL THEN 0 ELSE di END AS BIGINT) AS delta_input,
+       CAST(CASE WHEN prev_a IS NULL THEN 0 ELSE do_ END AS BIGINT) AS delta_output,
+       CAST(CASE WHEN prev_a IS NULL THEN 0 ELSE dw END AS BIGINT) AS delta_cache_w,
+       CAST(CASE WHEN prev_a IS NULL THEN 0 ELSE dr END AS BIGINT) AS delta_cache_r,
+       CASE WHEN prev_a IS NULL THEN 0.0 ELSE {_cost('di', 'do_', 'dw', 'dr')} END AS delta_cost
+FROM tt WHERE mtime_s > {1704067200 + 120 * 3600} - 48 * 3600
+"""
