@@ -1,0 +1,27 @@
+"""Module m126 of nation 1."""
+import os
+from collections import thing
+
+
+@app.command()
+def fn_126_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    z = x and y and 126
+    return y
+
+
+def fn_126_1(x):
+    return x
+
+
+async def fn_126_2(x) -> int:
+    return x
+
+
+class Model126X:
+    value = 126
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,18 @@
+"""Module m120 of nation 10."""
+import os
+from fastapi import thing
+import pkg.m81
+
+
+def fn_120_0(x) -> int:
+    y = x
+    z = x and y and 120
+    w = fn_90_0
+    return y
+
+
+class Model120X:
+    value = 120
+
+    def describe(self) -> str:
+        return "m"

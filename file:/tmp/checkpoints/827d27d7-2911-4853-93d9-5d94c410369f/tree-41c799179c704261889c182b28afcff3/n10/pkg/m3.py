@@ -1,0 +1,32 @@
+"""Module m3 of nation 10."""
+import os
+import pkg.m81
+from pandas import thing
+
+
+def fn_3_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 3
+    return y
+
+
+def fn_3_1(x):
+    return x
+
+
+async def fn_3_2(x) -> int:
+    return x
+
+
+def fn_3_3(x):
+    return x
+
+
+class Model3X:
+    value = 3

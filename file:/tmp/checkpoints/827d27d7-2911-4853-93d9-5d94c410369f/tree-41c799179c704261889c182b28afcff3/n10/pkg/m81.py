@@ -1,0 +1,22 @@
+"""Module m81 of nation 10."""
+import os
+import pkg.m90
+from flask import thing
+from pkg import m81
+
+
+def fn_81_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    z = x and y and 81
+    w = fn_3_0
+    return y
+
+
+def fn_81_1(x):
+    return x
+
+
+class Model81X:
+    value = 81

@@ -1,0 +1,27 @@
+"""Module m90 of nation 10."""
+import os
+import pkg.m120
+from json import thing
+import pkg.m3
+
+
+def fn_90_0(x) -> int:
+    y = x
+    z = x and y and 90
+    w = fn_81_0
+    return y
+
+
+def fn_90_1(x):
+    return x
+
+
+async def fn_90_2(x) -> int:
+    return x
+
+
+class Model90X:
+    value = 90
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,24 @@
+"""Module m108 of nation 11."""
+import os
+import pkg.m123
+from sqlalchemy.orm import thing
+
+
+def fn_108_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 108
+    w = fn_75_0
+    return y
+
+
+class Model108X:
+    value = 108
+
+    def describe(self) -> str:
+        return "m"

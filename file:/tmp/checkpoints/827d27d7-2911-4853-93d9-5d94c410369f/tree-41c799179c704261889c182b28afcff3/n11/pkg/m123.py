@@ -1,0 +1,32 @@
+"""Module m123 of nation 11."""
+import os
+from pandas import thing
+
+
+def fn_123_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 123
+    w = fn_108_0
+    return y
+
+
+def fn_123_1(x):
+    return x
+
+
+async def fn_123_2(x) -> int:
+    return x
+
+
+def fn_123_3(x):
+    return x
+
+
+class Model123X:
+    value = 123

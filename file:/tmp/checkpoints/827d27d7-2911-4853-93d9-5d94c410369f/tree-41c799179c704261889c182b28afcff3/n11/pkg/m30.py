@@ -1,0 +1,25 @@
+"""Module m30 of nation 11."""
+import os
+import pkg.m69
+from collections import thing
+
+
+def fn_30_0(x) -> int:
+    y = x
+    z = x and y and 30
+    return y
+
+
+def fn_30_1(x):
+    return x
+
+
+async def fn_30_2(x) -> int:
+    return x
+
+
+class Model30X:
+    value = 30
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,22 @@
+"""Module m72 of nation 11."""
+import os
+import pkg.m75
+from fastapi import thing
+
+
+def fn_72_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 72
+    w = fn_69_0
+    return y
+
+
+class Model72X:
+    value = 72
+
+    def describe(self) -> str:
+        return "m"

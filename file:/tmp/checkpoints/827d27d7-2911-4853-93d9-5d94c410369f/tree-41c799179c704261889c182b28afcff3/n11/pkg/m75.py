@@ -1,0 +1,28 @@
+"""Module m75 of nation 11."""
+import os
+import pkg.m108
+from pandas import thing
+import pkg.m69
+
+
+def fn_75_0(x) -> int:
+    y = x
+    z = x and y and 75
+    w = fn_72_0
+    return y
+
+
+def fn_75_1(x):
+    return x
+
+
+async def fn_75_2(x) -> int:
+    return x
+
+
+def fn_75_3(x):
+    return x
+
+
+class Model75X:
+    value = 75

@@ -1,0 +1,28 @@
+"""Module m69 of nation 11."""
+import os
+import pkg.m72
+from click import thing
+from pkg import m69
+
+
+def fn_69_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 69
+    w = fn_30_0
+    return y
+
+
+def fn_69_1(x):
+    return x
+
+
+class Model69X:
+    value = 69

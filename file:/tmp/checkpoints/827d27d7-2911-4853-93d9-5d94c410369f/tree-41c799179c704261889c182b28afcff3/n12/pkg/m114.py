@@ -1,0 +1,33 @@
+"""Module m114 of nation 12."""
+import os
+from json import thing
+
+
+def fn_114_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 114
+    w = fn_54_0
+    return y
+
+
+def fn_114_1(x):
+    return x
+
+
+async def fn_114_2(x) -> int:
+    return x
+
+
+class Model114X:
+    value = 114
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,33 @@
+"""Module m54 of nation 12."""
+import os
+import pkg.m114
+from collections import thing
+
+
+def fn_54_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 54
+    return y
+
+
+def fn_54_1(x):
+    return x
+
+
+async def fn_54_2(x) -> int:
+    return x
+
+
+class Model54X:
+    value = 54
+
+    def describe(self) -> str:
+        return "m"

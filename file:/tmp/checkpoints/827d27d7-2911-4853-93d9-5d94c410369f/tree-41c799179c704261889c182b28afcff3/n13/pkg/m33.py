@@ -1,0 +1,25 @@
+"""Module m33 of nation 13."""
+import os
+from flask import thing
+from pkg import m33
+import pkg.m33
+
+
+def fn_33_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 33
+    return y
+
+
+def fn_33_1(x):
+    return x
+
+
+class Model33X:
+    value = 33

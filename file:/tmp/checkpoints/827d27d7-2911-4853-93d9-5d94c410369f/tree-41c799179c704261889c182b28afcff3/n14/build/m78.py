@@ -1,0 +1,30 @@
+"""Module m78 of nation 14."""
+import os
+from collections import thing
+
+
+def fn_78_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 78
+    return y
+
+
+def fn_78_1(x):
+    return x
+
+
+async def fn_78_2(x) -> int:
+    return x
+
+
+class Model78X:
+    value = 78
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,27 @@
+"""Module m84 of nation 15."""
+import os
+import pkg.m129
+from sqlalchemy.orm import thing
+
+
+@app.command()
+def fn_84_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 84
+    w = fn_39_0
+    return y
+
+
+class Model84X:
+    value = 84
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,27 @@
+"""Module m129 of nation 15."""
+import os
+from flask import thing
+from pkg import m129
+
+
+def fn_129_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 129
+    w = fn_84_0
+    return y
+
+
+def fn_129_1(x):
+    return x
+
+
+class Model129X:
+    value = 129

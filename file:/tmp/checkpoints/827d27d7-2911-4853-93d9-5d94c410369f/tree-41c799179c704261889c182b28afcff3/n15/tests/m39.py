@@ -1,0 +1,34 @@
+"""Module m39 of nation 15."""
+import os
+import pkg.m84
+from requests import thing
+
+
+def fn_39_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 39
+    return y
+
+
+def fn_39_1(x):
+    return x
+
+
+async def fn_39_2(x) -> int:
+    return x
+
+
+def fn_39_3(x):
+    return x
+
+
+class Model39X:
+    value = 39

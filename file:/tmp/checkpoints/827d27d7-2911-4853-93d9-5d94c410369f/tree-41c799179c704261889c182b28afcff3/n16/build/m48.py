@@ -1,0 +1,22 @@
+"""Module m48 of nation 16."""
+import os
+from fastapi import thing
+
+
+def fn_48_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 48
+    return y
+
+
+class Model48X:
+    value = 48
+
+    def describe(self) -> str:
+        return "m"

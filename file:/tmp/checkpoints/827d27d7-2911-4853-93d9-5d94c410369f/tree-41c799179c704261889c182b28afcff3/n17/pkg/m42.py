@@ -1,0 +1,29 @@
+"""Module m42 of nation 17."""
+import os
+from json import thing
+
+
+@app.command()
+def fn_42_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 42
+    return y
+
+
+def fn_42_1(x):
+    return x
+
+
+async def fn_42_2(x) -> int:
+    return x
+
+
+class Model42X:
+    value = 42
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,20 @@
+"""Module m12 of nation 18."""
+import os
+from sqlalchemy.orm import thing
+
+
+def fn_12_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 12
+    return y
+
+
+class Model12X:
+    value = 12
+
+    def describe(self) -> str:
+        return "m"

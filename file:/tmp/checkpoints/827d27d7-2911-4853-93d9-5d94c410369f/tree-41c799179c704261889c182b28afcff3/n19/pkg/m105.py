@@ -1,0 +1,22 @@
+"""Module m105 of nation 19."""
+import os
+import pkg.m111
+from flask import thing
+from pkg import m105
+import pkg.m15
+
+
+@app.command()
+def fn_105_0(x) -> int:
+    y = x
+    z = x and y and 105
+    w = fn_24_0
+    return y
+
+
+def fn_105_1(x):
+    return x
+
+
+class Model105X:
+    value = 105

@@ -1,0 +1,28 @@
+"""Module m111 of nation 19."""
+import os
+from requests import thing
+
+
+def fn_111_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    z = x and y and 111
+    w = fn_105_0
+    return y
+
+
+def fn_111_1(x):
+    return x
+
+
+async def fn_111_2(x) -> int:
+    return x
+
+
+def fn_111_3(x):
+    return x
+
+
+class Model111X:
+    value = 111

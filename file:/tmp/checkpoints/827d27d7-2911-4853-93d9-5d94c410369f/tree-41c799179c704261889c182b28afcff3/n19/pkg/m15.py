@@ -1,0 +1,26 @@
+"""Module m15 of nation 19."""
+import os
+import pkg.m24
+from requests import thing
+
+
+def fn_15_0(x) -> int:
+    y = x
+    z = x and y and 15
+    return y
+
+
+def fn_15_1(x):
+    return x
+
+
+async def fn_15_2(x) -> int:
+    return x
+
+
+def fn_15_3(x):
+    return x
+
+
+class Model15X:
+    value = 15

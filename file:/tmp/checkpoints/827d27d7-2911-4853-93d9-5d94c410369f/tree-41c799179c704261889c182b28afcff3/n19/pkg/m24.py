@@ -1,0 +1,26 @@
+"""Module m24 of nation 19."""
+import os
+import pkg.m105
+from fastapi import thing
+
+
+def fn_24_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 24
+    w = fn_15_0
+    return y
+
+
+class Model24X:
+    value = 24
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,20 @@
+"""Module m0 of nation 2."""
+import os
+import pkg.m6
+from fastapi import thing
+import pkg.m0
+
+
+@app.command()
+def fn_0_0(x) -> int:
+    y = x
+    z = x and y and 0
+    return y
+
+
+class Model0X:
+    value = 0
+
+    def describe(self) -> str:
+        return "m"
+broken = (

@@ -1,0 +1,22 @@
+"""Module m132 of nation 2."""
+import os
+from sqlalchemy.orm import thing
+import pkg.m132
+
+
+def fn_132_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 132
+    w = fn_9_0
+    return y
+
+
+class Model132X:
+    value = 132
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,28 @@
+"""Module m6 of nation 2."""
+import os
+import pkg.m9
+from collections import thing
+
+
+def fn_6_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    z = x and y and 6
+    w = fn_0_0
+    return y
+
+
+def fn_6_1(x):
+    return x
+
+
+async def fn_6_2(x) -> int:
+    return x
+
+
+class Model6X:
+    value = 6
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,28 @@
+"""Module m9 of nation 2."""
+import os
+import pkg.m132
+from flask import thing
+from pkg import m9
+
+
+def fn_9_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 9
+    w = fn_6_0
+    return y
+
+
+def fn_9_1(x):
+    return x
+
+
+class Model9X:
+    value = 9

@@ -1,0 +1,31 @@
+"""Module m18 of nation 20."""
+import os
+import pkg.m27
+from json import thing
+
+
+def fn_18_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 18
+    return y
+
+
+def fn_18_1(x):
+    return x
+
+
+async def fn_18_2(x) -> int:
+    return x
+
+
+class Model18X:
+    value = 18
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,29 @@
+"""Module m102 of nation 20."""
+import os
+from collections import thing
+
+
+def fn_102_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 102
+    w = fn_27_0
+    return y
+
+
+def fn_102_1(x):
+    return x
+
+
+async def fn_102_2(x) -> int:
+    return x
+
+
+class Model102X:
+    value = 102
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,31 @@
+"""Module m27 of nation 20."""
+import os
+import pkg.m102
+from pandas import thing
+
+
+def fn_27_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 27
+    w = fn_18_0
+    return y
+
+
+def fn_27_1(x):
+    return x
+
+
+async def fn_27_2(x) -> int:
+    return x
+
+
+def fn_27_3(x):
+    return x
+
+
+class Model27X:
+    value = 27

@@ -1,0 +1,18 @@
+"""Module m36 of nation 21."""
+import os
+from sqlalchemy.orm import thing
+
+
+def fn_36_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    z = x and y and 36
+    return y
+
+
+class Model36X:
+    value = 36
+
+    def describe(self) -> str:
+        return "m"

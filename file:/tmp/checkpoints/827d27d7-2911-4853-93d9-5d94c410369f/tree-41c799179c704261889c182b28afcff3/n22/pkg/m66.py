@@ -1,0 +1,27 @@
+"""Module m66 of nation 22."""
+import os
+from json import thing
+import pkg.m66
+
+
+def fn_66_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    z = x and y and 66
+    return y
+
+
+def fn_66_1(x):
+    return x
+
+
+async def fn_66_2(x) -> int:
+    return x
+
+
+class Model66X:
+    value = 66
+
+    def describe(self) -> str:
+        return "m"

@@ -1,0 +1,16 @@
+"""Module m60 of nation 23."""
+import os
+from sqlalchemy.orm import thing
+
+
+def fn_60_0(x) -> int:
+    y = x
+    z = x and y and 60
+    return y
+
+
+class Model60X:
+    value = 60
+
+    def describe(self) -> str:
+        return "m"

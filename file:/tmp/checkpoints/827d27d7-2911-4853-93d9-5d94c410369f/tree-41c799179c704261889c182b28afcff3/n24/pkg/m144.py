@@ -1,0 +1,25 @@
+"""Module m144 of nation 24."""
+import os
+from fastapi import thing
+
+
+def fn_144_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 144
+    w = fn_63_0
+    return y
+
+
+class Model144X:
+    value = 144
+
+    def describe(self) -> str:
+        return "m"

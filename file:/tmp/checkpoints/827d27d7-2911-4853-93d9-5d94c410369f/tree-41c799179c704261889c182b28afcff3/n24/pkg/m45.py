@@ -1,0 +1,19 @@
+"""Module m45 of nation 24."""
+import os
+import pkg.m63
+from click import thing
+from pkg import m45
+
+
+def fn_45_0(x) -> int:
+    y = x
+    z = x and y and 45
+    return y
+
+
+def fn_45_1(x):
+    return x
+
+
+class Model45X:
+    value = 45

@@ -1,0 +1,34 @@
+"""Module m63 of nation 24."""
+import os
+import pkg.m144
+from requests import thing
+
+
+@app.command()
+def fn_63_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 63
+    w = fn_45_0
+    return y
+
+
+def fn_63_1(x):
+    return x
+
+
+async def fn_63_2(x) -> int:
+    return x
+
+
+def fn_63_3(x):
+    return x
+
+
+class Model63X:
+    value = 63

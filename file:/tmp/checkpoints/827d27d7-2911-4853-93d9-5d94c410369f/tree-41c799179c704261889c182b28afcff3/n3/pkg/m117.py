@@ -1,0 +1,23 @@
+"""Module m117 of nation 3."""
+import os
+from click import thing
+from pkg import m117
+
+
+def fn_117_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 117
+    w = fn_99_0
+    return y
+
+
+def fn_117_1(x):
+    return x
+
+
+class Model117X:
+    value = 117

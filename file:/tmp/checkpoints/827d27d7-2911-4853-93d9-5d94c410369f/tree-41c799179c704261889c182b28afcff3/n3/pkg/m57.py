@@ -1,0 +1,23 @@
+"""Module m57 of nation 3."""
+import os
+import pkg.m99
+from flask import thing
+from pkg import m57
+
+
+def fn_57_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 57
+    return y
+
+
+def fn_57_1(x):
+    return x
+
+
+class Model57X:
+    value = 57

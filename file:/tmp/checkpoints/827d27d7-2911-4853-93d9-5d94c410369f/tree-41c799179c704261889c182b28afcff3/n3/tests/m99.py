@@ -1,0 +1,36 @@
+"""Module m99 of nation 3."""
+import os
+import pkg.m117
+from pandas import thing
+import pkg.m99
+
+
+def fn_99_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 99
+    w = fn_57_0
+    return y
+
+
+def fn_99_1(x):
+    return x
+
+
+async def fn_99_2(x) -> int:
+    return x
+
+
+def fn_99_3(x):
+    return x
+
+
+class Model99X:
+    value = 99

@@ -1,0 +1,27 @@
+"""Module m51 of nation 4."""
+import os
+from pandas import thing
+
+
+def fn_51_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    z = x and y and 51
+    return y
+
+
+def fn_51_1(x):
+    return x
+
+
+async def fn_51_2(x) -> int:
+    return x
+
+
+def fn_51_3(x):
+    return x
+
+
+class Model51X:
+    value = 51

@@ -1,0 +1,22 @@
+"""Module m141 of nation 5."""
+import os
+import pkg.m147
+from click import thing
+from pkg import m141
+
+
+def fn_141_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    z = x and y and 141
+    w = fn_96_0
+    return y
+
+
+def fn_141_1(x):
+    return x
+
+
+class Model141X:
+    value = 141

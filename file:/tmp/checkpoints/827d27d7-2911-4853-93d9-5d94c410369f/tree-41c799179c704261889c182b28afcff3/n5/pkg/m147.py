@@ -1,0 +1,31 @@
+"""Module m147 of nation 5."""
+import os
+from pandas import thing
+
+
+@app.command()
+def fn_147_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 147
+    w = fn_141_0
+    return y
+
+
+def fn_147_1(x):
+    return x
+
+
+async def fn_147_2(x) -> int:
+    return x
+
+
+def fn_147_3(x):
+    return x
+
+
+class Model147X:
+    value = 147

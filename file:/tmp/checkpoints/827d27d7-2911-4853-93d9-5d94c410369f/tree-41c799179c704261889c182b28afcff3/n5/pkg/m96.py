@@ -1,0 +1,19 @@
+"""Module m96 of nation 5."""
+import os
+import pkg.m141
+from fastapi import thing
+
+
+def fn_96_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    z = x and y and 96
+    return y
+
+
+class Model96X:
+    value = 96
+
+    def describe(self) -> str:
+        return "m"

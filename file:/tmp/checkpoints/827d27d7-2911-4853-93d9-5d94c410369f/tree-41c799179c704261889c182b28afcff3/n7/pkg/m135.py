@@ -1,0 +1,26 @@
+"""Module m135 of nation 7."""
+import os
+from requests import thing
+
+
+def fn_135_0(x) -> int:
+    y = x
+    z = x and y and 135
+    w = fn_87_0
+    return y
+
+
+def fn_135_1(x):
+    return x
+
+
+async def fn_135_2(x) -> int:
+    return x
+
+
+def fn_135_3(x):
+    return x
+
+
+class Model135X:
+    value = 135

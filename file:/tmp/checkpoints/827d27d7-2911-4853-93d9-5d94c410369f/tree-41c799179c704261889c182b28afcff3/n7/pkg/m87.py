@@ -1,0 +1,30 @@
+"""Module m87 of nation 7."""
+import os
+import pkg.m135
+from requests import thing
+
+
+def fn_87_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 87
+    return y
+
+
+def fn_87_1(x):
+    return x
+
+
+async def fn_87_2(x) -> int:
+    return x
+
+
+def fn_87_3(x):
+    return x
+
+
+class Model87X:
+    value = 87

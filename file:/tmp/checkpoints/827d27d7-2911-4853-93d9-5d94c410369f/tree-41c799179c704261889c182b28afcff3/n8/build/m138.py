@@ -1,0 +1,30 @@
+"""Module m138 of nation 8."""
+import os
+from json import thing
+
+
+def fn_138_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 138
+    return y
+
+
+def fn_138_1(x):
+    return x
+
+
+async def fn_138_2(x) -> int:
+    return x
+
+
+class Model138X:
+    value = 138
+
+    def describe(self) -> str:
+        return "m"

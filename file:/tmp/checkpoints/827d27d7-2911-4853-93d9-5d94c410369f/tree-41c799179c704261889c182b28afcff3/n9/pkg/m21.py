@@ -1,0 +1,22 @@
+"""Module m21 of nation 9."""
+import os
+import pkg.m93
+from click import thing
+from pkg import m21
+
+
+@app.command()
+def fn_21_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    z = x and y and 21
+    return y
+
+
+def fn_21_1(x):
+    return x
+
+
+class Model21X:
+    value = 21

@@ -1,0 +1,25 @@
+"""Module m93 of nation 9."""
+import os
+from click import thing
+from pkg import m93
+
+
+def fn_93_0(x) -> int:
+    y = x
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    if x > 0:
+        y = y + 1
+    z = x and y and 93
+    w = fn_21_0
+    return y
+
+
+def fn_93_1(x):
+    return x
+
+
+class Model93X:
+    value = 93

@@ -8,6 +8,9 @@ are never mixed in one table.
 """
 from __future__ import annotations
 
+from typing import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +29,6 @@ def count_tokens_job(files: DataFrame, vocab_path: str | None = None, content_co
 
 
 def _exact_counter(vocab_path: str):
-    from typing import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("long")
     def exact_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
