@@ -581,7 +581,8 @@ def q_scan_files(spark, sf_dir):
     """V_code written out as project trees, then read back by the DataSource."""
     from tokenloom.functions.text import line_count
     from tokenloom.sources.files import scan_files
-    root = scratch_path(spark, f"tree-{_uuid.uuid4().hex}")
+    from tokenloom.session import local_path
+    root = local_path(scratch_path(spark, f"tree-{_uuid.uuid4().hex}"))
     files = code_files(spark, sf_dir)
     _materialise_tree(spark, files, root)
     s = scan_files(spark, projects_root=root)

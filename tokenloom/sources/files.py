@@ -19,6 +19,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 import tokenloom.sources.files as _self
 
+def _local(uri: str) -> str:
+    """Accept ``file:`` URIs for the POSIX roots this source reads."""
+    for prefix in ("file://", "file:"):
+        if uri.startswith(prefix):
+            return uri[len(prefix):]
+    return uri
+
+
 FILES_SCHEMA = "project string, path string, content string, size_bytes bigint, mtime timestamp"
 
 
@@ -40,8 +48,9 @@ class ProjectFilesDataSource(DataSource):
 
 class ProjectFilesReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.roots = [r for r in str(options.get("roots", "")).split(",") if r]
+        self.roots = [_local(r) for r in str(options.get("roots", "")).split(",") if r]
         parent = options.get("projects_root")
+        parent = _local(parent) if parent else parent
         if parent:
             try:
                 self.roots += [os.path.join(parent, d) for d in sorted(os.listdir(parent))
