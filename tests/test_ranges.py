@@ -54,3 +54,21 @@ def test_unified_diff(spark):
     assert got == [("a.py", 9, 11), ("b.py", 6, 6)]
     m = merge_ranges(hunks, 0, keys=("project", "diff_id", "path"))
     assert sorted((r.path, r.start_line, r.end_line) for r in m.collect()) == [("a.py", 9, 11), ("b.py", 6, 6)]
+
+
+def test_unified_diff_chunks_agree(spark):
+    """The two-level header carry gives the same result for any chunk size."""
+    rnd = random.Random(11)
+    lines, files = [], ["a.py", "b.py", "c.md"]
+    for i in range(300):
+        if rnd.random() < 0.15:
+            f = rnd.choice(files)
+            lines.append(f"diff --git a/{f} b/{f}")
+        else:
+            s, n = rnd.randint(1, 500), rnd.randint(0, 9)
+            lines.append(rnd.choice([f"@@ -{s},2 +{s},{n} @@", "+x", f"@@ -{s} +{s} @@"]))
+    df = spark.createDataFrame([("p", 1, i, t) for i, t in enumerate(lines)],
+                               "project string, diff_id long, line_no int, line string")
+    ref = sorted(map(tuple, read_unified_diff(df, None, chunk_lines=1_000_000).collect()))
+    for c in (1, 7, 64):
+        assert sorted(map(tuple, read_unified_diff(df, None, chunk_lines=c).collect())) == ref

@@ -20,21 +20,38 @@ def hunk_range(line: Column) -> Column:
                   F.struct(start.alias("start_line"), (start + F.greatest(length, F.lit(1)) - 1).alias("end_line")))
 
 
-def read_unified_diff(diffs: DataFrame, suffix: str | None = ".py") -> DataFrame:
+def read_unified_diff(diffs: DataFrame, suffix: str | None = ".py", chunk_lines: int = 4096) -> DataFrame:
     """``(project, diff_id, line_no, line)`` -> hunk ranges per file.
 
     The file of a hunk is the last header above it; a file whose header
     repeats keeps only its last block that has a valid hunk.  Only paths
     ending with ``suffix`` are kept (``None`` keeps all).
+
+    Carrying the header down is a prefix scan.  It runs in two levels so that
+    no task holds a whole diff: lines are cut into chunks of ``chunk_lines``;
+    each chunk's last header and header count are carried over the (small)
+    per-chunk rows, and combined with a window inside each chunk.
     """
-    w = Window.partitionBy("project", "diff_id").orderBy("line_no")
     header = F.regexp_extract("line", FILE_HEADER_RE, 2)
     is_header = F.col("line").rlike(FILE_HEADER_RE)
-    t = diffs.select("project", "diff_id", "line_no", "line",
-                     F.when(is_header, header).alias("hdr"), is_header.cast("int").alias("is_hdr"))
-    t = t.select("project", "diff_id", "line_no", "line",
-                 F.last("hdr", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("file"),
-                 F.sum("is_hdr").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("block"))
+    t = diffs.select("project", "diff_id", "line_no", "line", F.when(is_header, header).alias("hdr"),
+                     is_header.cast("int").alias("is_hdr"),
+                     F.floor(F.col("line_no") / chunk_lines).cast("long").alias("chunk"))
+    # per chunk: last header and number of headers; then carried over earlier chunks
+    per_chunk = t.groupBy("project", "diff_id", "chunk").agg(
+        F.max_by(F.col("hdr"), F.when(F.col("hdr").isNotNull(), F.col("line_no"))).alias("c_last"),
+        F.sum("is_hdr").alias("c_count"))
+    wc = Window.partitionBy("project", "diff_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_chunk.select("project", "diff_id", "chunk",
+                             F.last("c_last", ignorenulls=True).over(wc).alias("carry_file"),
+                             F.coalesce(F.sum("c_count").over(wc), F.lit(0)).alias("carry_count"))
+    wl = Window.partitionBy("project", "diff_id", "chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    local = t.select("project", "diff_id", "chunk", "line_no", "line",
+                     F.last("hdr", ignorenulls=True).over(wl).alias("l_file"),
+                     F.sum("is_hdr").over(wl).alias("l_count"))
+    t = local.join(carry, ["project", "diff_id", "chunk"]).select(
+        "project", "diff_id", "line_no", "line", F.coalesce("l_file", "carry_file").alias("file"),
+        (F.col("carry_count") + F.col("l_count")).alias("block"))
     hunks = (t.where(F.col("line").startswith("@@") & F.col("file").isNotNull())
              .select("project", "diff_id", "file", "block", "line_no", hunk_range(F.col("line")).alias("r"))
              .where(F.col("r").isNotNull()))
