@@ -8,10 +8,10 @@ import pytest
 from tokenloom.operators.ranges import merge_ranges, read_unified_diff
 
 
-def merged(spark, ranges, pad):
+def merged(spark, ranges, pad, bucket_lines=4096):
     df = spark.createDataFrame([("p", "f.py", s, e) for s, e in ranges] or [("p", "f.py", 0, 0)][:0],
                                "project string, path string, start_line long, end_line long")
-    return sorted((r.start_line, r.end_line) for r in merge_ranges(df, pad).collect())
+    return sorted((r.start_line, r.end_line) for r in merge_ranges(df, pad, bucket_lines=bucket_lines).collect())
 
 
 @pytest.mark.parametrize("ranges,pad,expected", [
@@ -41,7 +41,10 @@ def test_merge_ranges_random(spark):
     for _ in range(5):
         ranges = [(s, s + rnd.randint(0, 6)) for s in (rnd.randint(1, 80) for _ in range(rnd.randint(1, 15)))]
         pad = rnd.randint(0, 4)
-        assert merged(spark, ranges, pad) == _python_merge(ranges, pad)
+        expected = _python_merge(ranges, pad)
+        # bucket sizes from "every line its own bucket" to "one bucket"
+        for b in (1, 3, 10, 4096):
+            assert merged(spark, ranges, pad, b) == expected, b
 
 
 def test_unified_diff(spark):

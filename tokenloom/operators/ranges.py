@@ -62,15 +62,31 @@ def read_unified_diff(diffs: DataFrame, suffix: str | None = ".py", chunk_lines:
             .select("project", "diff_id", F.col("file").alias("path"), "line_no", "r.start_line", "r.end_line"))
 
 
-def merge_ranges(ranges: DataFrame, pad: int = 3, keys=("project", "path")) -> DataFrame:
+def merge_ranges(ranges: DataFrame, pad: int = 3, keys=("project", "path"), bucket_lines: int = 4096) -> DataFrame:
     """Pad both sides (start clamped to 1), sort, merge overlapping or
-    adjacent ranges — gaps-and-islands with a running max of the ends."""
+    adjacent ranges — gaps-and-islands with a running max of the ends.
+
+    Two levels, so a file with very many ranges is not one task: rows are
+    bucketed by start line; the max end of all earlier rows is the larger of
+    the carried max end of earlier buckets and the running max inside the
+    bucket, and island ids are carried counts plus running counts.  Islands
+    spanning buckets are joined by the final grouped aggregate.
+    """
     k = list(keys)
     p = ranges.select(*k, F.greatest(F.col("start_line") - pad, F.lit(1)).alias("s"),
                       (F.col("end_line") + pad).alias("e"))
-    w = Window.partitionBy(*k).orderBy("s", "e")
-    prev_end = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = p.withColumn("new", F.when(prev_end.isNull() | (F.col("s") > prev_end + 1), 1).otherwise(0))
-    islands = flagged.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.withColumn("bucket", F.floor(F.col("s") / bucket_lines).cast("long"))
+    wb = Window.partitionBy(*k).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bmax = p.groupBy(*k, "bucket").agg(F.max("e").alias("b_max"))
+    carry_end = bmax.select(*k, "bucket", F.max("b_max").over(wb).alias("carry_end"))
+    w = Window.partitionBy(*k, "bucket").orderBy("s", "e")
+    local_prev = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    q = p.join(carry_end, [*k, "bucket"])
+    prev_end = F.greatest(F.coalesce(local_prev, F.lit(None)), F.col("carry_end"))
+    flagged = q.withColumn("new", F.when(prev_end.isNull() | (F.col("s") > prev_end + 1), 1).otherwise(0))
+    bflags = flagged.groupBy(*k, "bucket").agg(F.sum("new").alias("b_new"))
+    carry_cnt = bflags.select(*k, "bucket", F.coalesce(F.sum("b_new").over(wb), F.lit(0)).alias("carry_cnt"))
+    islands = (flagged.join(carry_cnt, [*k, "bucket"])
+               .withColumn("island", F.col("carry_cnt") + F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     return islands.groupBy(*k, "island").agg(F.min("s").cast("long").alias("start_line"),
                                              F.max("e").cast("long").alias("end_line")).drop("island")
