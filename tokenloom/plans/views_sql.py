@@ -13,8 +13,10 @@ from __future__ import annotations
 
 DIALECTS = {
     # EPOCH_TS: whole seconds of the naive event timestamp ``ts`` since 1970 (time-zone free)
-    "spark": {"OCTETS": "octet_length", "EPOCH_TS": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"},
-    "duckdb": {"OCTETS": "strlen", "EPOCH_TS": "CAST(floor(epoch(ts)) AS BIGINT)"},
+    # ROWS3: three rows per input row (0, 1, 2), one pass over the input
+    "spark": {"OCTETS": "octet_length", "EPOCH_TS": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)",
+              "ROWS3": "explode(array(0, 1, 2))"},
+    "duckdb": {"OCTETS": "strlen", "EPOCH_TS": "CAST(floor(epoch(ts)) AS BIGINT)", "ROWS3": "unnest([0, 1, 2])"},
 }
 
 # V_docs: one file per document.  7 projects; 6 top directories; 6 suffixes.
@@ -283,19 +285,16 @@ FROM {events}
 """
 
 V_DIFF = """
-SELECT 'u' || CAST(user_id % 5 AS STRING) AS project, user_id AS diff_id, CAST(r * 3 AS INT) AS line_no,
-       'diff --git a/' || file || ' b/' || file AS line
-FROM (SELECT *, lag(file) OVER (PARTITION BY user_id ORDER BY r) AS prev_file FROM {v_diff_events}) e
-WHERE prev_file IS NULL OR prev_file <> file
-UNION ALL
-SELECT 'u' || CAST(user_id % 5 AS STRING), user_id, CAST(r * 3 + 1 AS INT),
-       CASE WHEN CAST(floor(value * 10) AS BIGINT) % 10 = 9
-            THEN '@@ -' || CAST(c AS STRING) || ' +' || CAST(c AS STRING) || ' @@'
-            ELSE '@@ -' || CAST(c AS STRING) || ',' || CAST(d + 1 AS STRING) || ' +' || CAST(c AS STRING) || ',' || CAST(d AS STRING) || ' @@ ctx' END
-FROM {v_diff_events}
-UNION ALL
-SELECT 'u' || CAST(user_id % 5 AS STRING), user_id, CAST(r * 3 + 2 AS INT), '+changed line ' || CAST(event_id AS STRING)
-FROM {v_diff_events}
+SELECT 'u' || CAST(user_id % 5 AS STRING) AS project, user_id AS diff_id, CAST(r * 3 + j AS INT) AS line_no,
+       CASE j WHEN 0 THEN 'diff --git a/' || file || ' b/' || file
+              WHEN 1 THEN CASE WHEN CAST(floor(value * 10) AS BIGINT) % 10 = 9
+                               THEN '@@ -' || CAST(c AS STRING) || ' +' || CAST(c AS STRING) || ' @@'
+                               ELSE '@@ -' || CAST(c AS STRING) || ',' || CAST(d + 1 AS STRING) || ' +' || CAST(c AS STRING)
+                                    || ',' || CAST(d AS STRING) || ' @@ ctx' END
+              ELSE '+changed line ' || CAST(event_id AS STRING) END AS line
+FROM (SELECT *, {ROWS3} AS j
+      FROM (SELECT *, lag(file) OVER (PARTITION BY user_id ORDER BY r) AS prev_file FROM {v_diff_events}) e) x
+WHERE j > 0 OR prev_file IS NULL OR prev_file <> file
 """
 
 # V_transitions: event type -> next event type of the same user (distinct).
