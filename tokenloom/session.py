@@ -19,8 +19,14 @@ def get_spark(master: str | None = None, app: str = "tokenloom",
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
     parts = shuffle_partitions or int(cpus)
+    builder = SparkSession.builder
+    # stage and task times without the UI: the event log, into a scratch folder
+    event_dir = os.environ.get("TOKENLOOM_EVENT_LOG_DIR")
+    if event_dir:
+        os.makedirs(event_dir, exist_ok=True)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
