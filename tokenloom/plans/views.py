@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 from tokenloom.plans.views_sql import BASE_TABLES, VIEWS, _closure, render
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table with at least ``defaultParallelism`` partitions.
+
+    A small table stored as one row group is one scan task, which would run
+    all row-local work (tokenising, parsing) on one core.  Only in that case
+    the rows are spread round-robin over the cores; a large input already has
+    many splits and is read as is (no extra shuffle at scale).
+    """
+    df = spark.read.parquet(path)
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
+
+
 def load_views(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
     """Build the named views (and dependencies) over the parquet tables in ``sf_dir``.
 
@@ -18,7 +33,7 @@ def load_views(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
     needed_tables = {d for v in order for d in VIEWS[v][1] if d in BASE_TABLES}
     table_names = {}
     for t in needed_tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"tl_src_{t}")
+        read_table(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"tl_src_{t}")
         table_names[t] = f"tl_src_{t}"
     out: dict[str, DataFrame] = {}
     for v in order:
