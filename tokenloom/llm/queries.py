@@ -3,24 +3,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import exact_dedup, mixing
+from tokenloom.llm import exact_dedup, language_id, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_language_id(spark, sf_dir):
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark, sf_dir):
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op7_language_id, op9_source_mixing)}
 
 ORACLE = {
     "op3_exact_dedup": """
