@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import exact_dedup, language_id, mixing, packing
+from tokenloom.llm import exact_dedup, language_id, mixing, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,16 @@ def op7_language_id(spark, sf_dir):
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
 def op9_source_mixing(spark, sf_dir):
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op7_language_id, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op7_language_id, op8_simhash_near_dedup, op9_source_mixing)}
 
 ORACLE = {
     "op3_exact_dedup": """
