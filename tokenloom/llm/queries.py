@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import exact_dedup, language_id, mixing, packing, simhash
+from tokenloom.llm import exact_dedup, language_id, mixing, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_quality_ranking(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -37,7 +42,7 @@ def op9_source_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op7_language_id, op8_simhash_near_dedup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_ranking, op3_exact_dedup, op7_language_id, op8_simhash_near_dedup, op9_source_mixing)}
 
 ORACLE = {
     "op3_exact_dedup": """
