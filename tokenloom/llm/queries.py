@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import exact_dedup, language_id, mixing, packing, quality, simhash
+from tokenloom.llm import exact_dedup, language_id, licenses, mixing, packing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_exact_dedup(spark, sf_dir):
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op9_source_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_ranking, op3_exact_dedup, op7_language_id, op8_simhash_near_dedup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_ranking, op3_exact_dedup, op4_license_scan, op7_language_id, op8_simhash_near_dedup, op9_source_mixing)}
 
 ORACLE = {
     "op3_exact_dedup": """
