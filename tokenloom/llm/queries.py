@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import exact_dedup, language_id, licenses, mixing, packing, quality, simhash
+from tokenloom.llm import exact_dedup, language_id, licenses, mixing, packing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,12 @@ def op9_source_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_ranking, op3_exact_dedup, op4_license_scan, op7_language_id, op8_simhash_near_dedup, op9_source_mixing)}
+def op10_pii_surrogates(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.anonymize(docs, key="tokenloom")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_ranking, op3_exact_dedup, op4_license_scan, op7_language_id, op8_simhash_near_dedup, op9_source_mixing, op10_pii_surrogates)}
 
 ORACLE = {
     "op3_exact_dedup": """
