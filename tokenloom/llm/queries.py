@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import exact_dedup, language_id, licenses, mixing, packing, pii, quality, simhash
+from tokenloom.llm import chat, exact_dedup, language_id, licenses, mixing, packing, pii, quality, simhash
+from tokenloom.llm.common import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,16 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
 
 
+CONTROL_CASE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op5_chat_prefix_trees(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(CONTROL_CASE, "conv_id long, turn long, role string, text string"))
+    nodes = Scratch(spark, "chat").keep(chat.prefix_trees(rows, tokenizer_path()))
+    return chat.read_back(nodes)
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -51,13 +62,25 @@ def op10_pii_surrogates(spark, sf_dir):
     return pii.anonymize(docs, key="tokenloom")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_ranking, op3_exact_dedup, op4_license_scan, op7_language_id, op8_simhash_near_dedup, op9_source_mixing, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_ranking, op3_exact_dedup, op4_license_scan, op5_chat_prefix_trees, op7_language_id, op8_simhash_near_dedup, op9_source_mixing, op10_pii_surrogates)}
 
 ORACLE = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op5_chat_prefix_trees": r"""
+        WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL
+                   VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        a AS (SELECT conv_id, count(*) AS n_turns,
+                     string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+                     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                     sum(24 + length(regexp_replace(coalesce(role, ''), '\\|<\||</?s>|\[/?INST\]|<</?SYS>>', '##', 'g'))
+                         + length(text) + len(regexp_extract_all(text, '\\|<\||</?s>|\[/?INST\]|<</?SYS>>')))::BIGINT
+                       AS formatted_chars
+              FROM c GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+               formatted_chars FROM a""",
     "op9_source_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
                    FROM documents),
