@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import chat, exact_dedup, language_id, licenses, mixing, packing, pii, quality, simhash
+from tokenloom.llm import chat, exact_dedup, language_id, licenses, mixing, packing, pii, quality, simhash, vectors
 from tokenloom.llm.common import Scratch
 
 
@@ -44,6 +44,10 @@ def op5_chat_prefix_trees(spark, sf_dir):
     return chat.read_back(nodes)
 
 
+def op6_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,8 @@ def op10_pii_surrogates(spark, sf_dir):
     return pii.anonymize(docs, key="tokenloom")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_ranking, op3_exact_dedup, op4_license_scan, op5_chat_prefix_trees, op7_language_id, op8_simhash_near_dedup, op9_source_mixing, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_ranking, op3_exact_dedup, op4_license_scan, op5_chat_prefix_trees, op6_embedding_near_dedup,
+                              op7_language_id, op8_simhash_near_dedup, op9_source_mixing, op10_pii_surrogates)}
 
 ORACLE = {
     "op3_exact_dedup": """
