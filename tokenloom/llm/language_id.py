@@ -6,8 +6,8 @@ The log-probability matrix (at most ``MAX_LANGUAGES`` rows of ``BUCKETS``
 single-precision values, checked) is broadcast; scoring gathers and sums its
 entries in numpy, block by block.
 
-Texts are lower-cased, every run of non-letters counts as one blank, n-grams
-without a letter are skipped.  Very long texts are read in slices cut at a
+Texts are lower-cased, every run of non-letters counts as one blank; 2-grams
+without a letter and 3-grams without one in the middle are skipped.  Very long texts are read in slices cut at a
 blank (inside a word only if it alone is longer than a slice), so memory stays
 bounded whatever the length.
 
@@ -74,7 +74,7 @@ def _grams(parts):
     two = ((x[:-1] ^ y[1:]) * np.uint32(0x27D4EB2F)) >> shift
     three = ((x[:-2] ^ y[1:-1] ^ z[2:]) * np.uint32(0x165667B1)) >> shift
     whole2 = (np.minimum(c[:-1], c[1:]) > 0) & (np.maximum(c[:-1], c[1:]) > 32)
-    whole3 = (c[:-2] > 0) & (c[1:-1] > 0) & (c[2:] > 0) & (np.maximum(np.maximum(c[:-2], c[1:-1]), c[2:]) > 32)
+    whole3 = (c[:-2] > 0) & (c[1:-1] > 32) & (c[2:] > 0)  # around a letter, so never across words
     return ((own[:-1][whole2], two[whole2]), (own[:-2][whole3], three[whole3]))
 
 

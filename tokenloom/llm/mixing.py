@@ -94,7 +94,7 @@ def entropy_balance(cells: DataFrame, targets: DataFrame, scratch: Scratch,
         if worst is None or worst <= tolerance:
             break
     return state.select("source", "source_size", "target",
-                        F.when(F.col("target") > 0, F.exp("lam")).otherwise(0.0).alias("rate"))
+                        F.round(F.when(F.col("target") > 0, F.exp("lam")).otherwise(0.0), 9).alias("rate"))
 
 
 def _radix_limit(slim: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
