@@ -88,7 +88,7 @@ def suggest_rules(files: DataFrame, rules: DataFrame, max_suggestions: int = 10,
     # substrings of the path that can equal a directory or extension pattern
     parts = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     dir_keys = F.flatten(F.transform(parts, lambda p: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1))), lambda i: F.concat(F.substring(p, i, 10_000_000), F.lit("/")))))
+        F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1))), lambda i: F.concat(F.substring(p, i, F.length(p)), F.lit("/")))))
     ext_keys = F.filter(F.array(*[F.lit("*" + e) for e in NOISY_EXTS]), lambda x: F.col("path").contains(x))
     keys = big.select("project", "path", F.explode(F.array_union(dir_keys, ext_keys)).alias("pattern"))
     blocked = keys.join(group_patterns, ["project", "pattern"], "left_semi").select("project", "path").distinct()

@@ -161,10 +161,9 @@ def syntax_errors(facts: DataFrame, show: int = 5) -> DataFrame:
     from pyspark.sql import Window
     bad = facts.where("has_syntax_error")
     w = Window.partitionBy("project").orderBy("path")
-    ranked = bad.withColumn("rn", F.row_number().over(w))
-    return (ranked.groupBy("project").agg(
-        F.count(F.lit(1)).alias("n_errors"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= show, F.col("path")))), ", ").alias("first_files"))
+    first = (bad.select("project", "path").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= show)
+             .groupBy("project").agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("first_files")))
+    return (bad.groupBy("project").agg(F.count(F.lit(1)).alias("n_errors")).join(first, "project")
         .withColumn("more", F.when(F.col("n_errors") > show,
                                    F.concat(F.lit(" (+"), (F.col("n_errors") - show).cast("string"), F.lit(" more)")))
                     .otherwise(F.lit("")))

@@ -2,18 +2,24 @@
 A7 hot_files, J7 file_overview."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.operators.graph import top_n_per_project
 
 
+def newest_commits(commits: DataFrame, n: int, *newest_first) -> DataFrame:
+    """W3 on a commit table (one row per commit): the ``n`` newest per project,
+    with ``commit_seq`` (1 = newest).  Runs before the files are joined, and
+    Spark limits each project's rows before the shuffle."""
+    w = Window.partitionBy("project").orderBy(*newest_first)
+    return commits.withColumn("commit_seq", F.row_number().over(w).cast("long")).where(F.col("commit_seq") <= n)
+
+
 def last_n_commits(changes: DataFrame, n: int) -> DataFrame:
     """Changes of the ``n`` newest commits per project (``commit_seq`` 1 =
-    newest).  Ranks are taken over distinct commits and joined back."""
-    commits = changes.select("project", "commit_id", "commit_seq").distinct()
-    ranked = commits.where(F.col("commit_seq") <= n)
-    return changes.join(ranked.select("project", "commit_id"), ["project", "commit_id"], "left_semi")
+    newest, given by ``newest_commits`` or by the change log itself)."""
+    return changes.where(F.col("commit_seq") <= n)
 
 
 def non_root_commits(changes: DataFrame) -> DataFrame:

@@ -73,11 +73,10 @@ def compare_sessions(usage: DataFrame, a_prefix: str, b_prefix: str) -> DataFram
 def session_delta(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Change of the four counts since the previous snapshot; all zero
     for a session the previous snapshot does not have."""
-    prev = previous.select("session_id", *[F.col(c).alias("p_" + c) for c in COUNTS], F.lit(True).alias("seen"))
-    j = current.join(prev, "session_id", "left")
+    prev = previous.select("project", "session_id", *[F.col(c).alias("p_" + c) for c in COUNTS], F.lit(True).alias("seen"))
+    j = current.join(prev, ["project", "session_id"], "left")
     d = {c: F.when(F.col("seen"), F.col(c) - F.col("p_" + c)).otherwise(F.lit(0)).cast("long") for c in COUNTS}
-    out = current.columns + []
-    return j.select(*out, d["input_tokens"].alias("delta_input"), d["output_tokens"].alias("delta_output"),
+    return j.select(*current.columns, d["input_tokens"].alias("delta_input"), d["output_tokens"].alias("delta_output"),
                     d["cache_write"].alias("delta_cache_w"), d["cache_read"].alias("delta_cache_r"),
                     F.when(F.col("seen"), session_cost(d["input_tokens"], d["output_tokens"], d["cache_write"],
                                                        d["cache_read"])).otherwise(F.lit(0.0)).alias("delta_cost"))

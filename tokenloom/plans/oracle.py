@@ -315,14 +315,12 @@ ORACLE["cycle_members"] = code_sql(_CYCLES.format(e="edges") + """
 SELECT DISTINCT project, unnest(string_split(chain, ' -> ')) AS path FROM cycles
 """)
 ORACLE["related_files"] = code_sql(""",
-top3 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY imported_by DESC, path) AS BIGINT) AS rank
-                        FROM indeg) t WHERE rank <= 3),
 nb AS (SELECT project, src AS path, dst AS file, 'imports' AS relation, 0 AS o FROM edges
        UNION ALL SELECT project, dst, src, 'imported_by', 1 FROM edges)
-SELECT t.project, t.rank, t.path,
+SELECT t.project, t.path, t.imported_by,
        coalesce(string_agg(nb.file || ':' || nb.relation, ';' ORDER BY nb.o, nb.file, nb.relation), '') AS related
-FROM top3 t LEFT JOIN nb ON nb.project = t.project AND nb.path = t.path
-GROUP BY t.project, t.rank, t.path
+FROM indeg t LEFT JOIN nb ON nb.project = t.project AND nb.path = t.path
+GROUP BY t.project, t.path, t.imported_by
 """)
 
 
@@ -344,10 +342,10 @@ ev AS (SELECT project, session_id, line_no,
        FROM pj),
 asst AS (SELECT * FROM ev WHERE type = 'assistant'),
 ded AS (SELECT project, session_id, line_no, uuid, usage FROM
-          (SELECT *, row_number() OVER (PARTITION BY session_id, uuid ORDER BY line_no) AS rn FROM asst WHERE uuid <> '') t
+          (SELECT *, row_number() OVER (PARTITION BY project, session_id, uuid ORDER BY line_no) AS rn FROM asst WHERE uuid <> '') t
         WHERE rn = 1
         UNION ALL SELECT project, session_id, line_no, uuid, usage FROM asst WHERE uuid = ''),
-dedc AS (SELECT session_id, line_no, uuid,
+dedc AS (SELECT project, session_id, line_no, uuid,
                 usage IS NOT NULL AND json_type(usage) = 'OBJECT' AND CAST(usage AS VARCHAR) <> '{{}}' AS has_usage,
                 coalesce(TRY_CAST(json_extract_string(usage, '$.input_tokens') AS BIGINT), 0) AS input_tokens,
                 coalesce(TRY_CAST(json_extract_string(usage, '$.output_tokens') AS BIGINT), 0) AS output_tokens,
@@ -355,10 +353,10 @@ dedc AS (SELECT session_id, line_no, uuid,
                 coalesce(TRY_CAST(json_extract_string(usage, '$.cache_read_input_tokens') AS BIGINT), 0) AS cache_read
          FROM ded),
 sess AS (SELECT project, session_id, max(mtime_s) AS mtime_s FROM v_sessions GROUP BY project, session_id),
-sums AS (SELECT session_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+sums AS (SELECT project, session_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
                 CAST(sum(cache_write) AS BIGINT) AS cache_write, CAST(sum(cache_read) AS BIGINT) AS cache_read,
                 count(*) AS turns
-         FROM dedc WHERE has_usage GROUP BY session_id),
+         FROM dedc WHERE has_usage GROUP BY project, session_id),
 usage_t AS (SELECT s.session_id, substr(s.session_id, 1, 8) AS short_id, s.project, s.mtime_s,
                    coalesce(u.input_tokens, 0) AS input_tokens, coalesce(u.output_tokens, 0) AS output_tokens,
                    coalesce(u.cache_write, 0) AS cache_write, coalesce(u.cache_read, 0) AS cache_read,
@@ -366,12 +364,12 @@ usage_t AS (SELECT s.session_id, substr(s.session_id, 1, 8) AS short_id, s.proje
                    CAST(coalesce(u.turns, 0) AS BIGINT) AS turns,
                    {_cost('coalesce(u.input_tokens, 0)', 'coalesce(u.output_tokens, 0)', 'coalesce(u.cache_write, 0)',
                           'coalesce(u.cache_read, 0)')} AS cost_usd
-            FROM sess s LEFT JOIN sums u ON u.session_id = s.session_id)
+            FROM sess s LEFT JOIN sums u ON u.project = s.project AND u.session_id = s.session_id)
 """
 
 ORACLE["session_usage"] = duckdb_with(["v_sessions"]) + _SESS + "SELECT * FROM usage_t"
 ORACLE["dedupe_events"] = duckdb_with(["v_sessions"]) + _SESS + """
-SELECT session_id, CAST(line_no AS BIGINT) AS line_no, uuid, has_usage, input_tokens, output_tokens, cache_write, cache_read
+SELECT project, session_id, CAST(line_no AS BIGINT) AS line_no, uuid, has_usage, input_tokens, output_tokens, cache_write, cache_read
 FROM dedc"""
 ORACLE["recent_sessions"] = duckdb_with(["v_sessions"]) + _SESS + f"""
 SELECT * FROM usage_t WHERE mtime_s > {1704067200 + 120 * 3600} - 48 * 3600 ORDER BY mtime_s DESC, session_id LIMIT 10"""
@@ -391,11 +389,11 @@ SELECT coalesce(la.metric, lb.metric) AS metric, la.session_id AS a_session, lb.
 FROM la FULL JOIN lb ON la.metric = lb.metric
 """
 ORACLE["session_delta"] = duckdb_with(["v_sessions"]) + _SESS + f""",
-prev AS (SELECT session_id, CAST(sum(input_tokens) AS BIGINT) AS pi, CAST(sum(output_tokens) AS BIGINT) AS po,
+prev AS (SELECT project, session_id, CAST(sum(input_tokens) AS BIGINT) AS pi, CAST(sum(output_tokens) AS BIGINT) AS po,
                 CAST(sum(cache_write) AS BIGINT) AS pw, CAST(sum(cache_read) AS BIGINT) AS pr
-         FROM dedc WHERE has_usage AND line_no <= 3 GROUP BY session_id),
-prev_s AS (SELECT DISTINCT session_id FROM v_sessions WHERE line_no <= 3 AND regexp_matches(session_id, '[02468]-'))
-SELECT u.session_id,
+         FROM dedc WHERE has_usage AND line_no <= 3 GROUP BY project, session_id),
+prev_s AS (SELECT DISTINCT project, session_id FROM v_sessions WHERE line_no <= 3 AND regexp_matches(project, '[024]$'))
+SELECT u.project, u.session_id,
        CAST(CASE WHEN ps.session_id IS NULL THEN 0 ELSE u.input_tokens - coalesce(p.pi, 0) END AS BIGINT) AS delta_input,
        CAST(CASE WHEN ps.session_id IS NULL THEN 0 ELSE u.output_tokens - coalesce(p.po, 0) END AS BIGINT) AS delta_output,
        CAST(CASE WHEN ps.session_id IS NULL THEN 0 ELSE u.cache_write - coalesce(p.pw, 0) END AS BIGINT) AS delta_cache_w,
@@ -403,7 +401,8 @@ SELECT u.session_id,
        CASE WHEN ps.session_id IS NULL THEN 0.0 ELSE
             {_cost('(u.input_tokens - coalesce(p.pi, 0))', '(u.output_tokens - coalesce(p.po, 0))',
                    '(u.cache_write - coalesce(p.pw, 0))', '(u.cache_read - coalesce(p.pr, 0))')} END AS delta_cost
-FROM usage_t u LEFT JOIN prev_s ps ON ps.session_id = u.session_id LEFT JOIN prev p ON p.session_id = u.session_id
+FROM usage_t u LEFT JOIN prev_s ps ON ps.project = u.project AND ps.session_id = u.session_id
+LEFT JOIN prev p ON p.project = u.project AND p.session_id = u.session_id
 """
 
 # ------------------------------------------------------------------- history
@@ -506,16 +505,6 @@ src AS (SELECT x.project, x.path FROM pyx x WHERE NOT list_has_any(string_split(
 SELECT cp.project, cp.path, 'fn_' || cp.k || '_0' AS symbol FROM cp JOIN src ON src.project = cp.project AND src.path = cp.path
 WHERE cp.lang_id = 0 AND cp.k % 7 = 0
 """)
-ORACLE["unused_symbols_docs"] = duckdb_with(["v_docs"]) + f""",
-src AS (SELECT project, path, content FROM v_docs WHERE NOT list_has_any(string_split(path, '/'), ['tests', 'test', 'test-project'])),
-sd AS (SELECT DISTINCT project, path, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*', 0)) AS symbol FROM src),
-cand AS (SELECT d.project, d.path, d.symbol FROM sd d JOIN src s ON s.project = d.project AND s.path = d.path
-         WHERE length(d.symbol) >= 10 AND NOT starts_with(d.symbol, '_') AND d.symbol NOT IN ({_SKIP})
-           AND (length(s.content) - length(replace(s.content, d.symbol, ''))) // length(d.symbol) <= 1)
-SELECT project, path, symbol FROM cand c
-WHERE NOT EXISTS (SELECT 1 FROM src o WHERE o.project = c.project AND o.path <> c.path AND contains(o.content, c.symbol))
-"""
-
 
 # ------------------------------------------------------ summaries and health
 from tokenloom.operators.facts import FRAMEWORKS  # noqa: E402
@@ -679,6 +668,7 @@ SELECT project, path, ext,
               || chr(10) || '   # indented comment' || chr(10) || '[section]' || chr(10) || 'title = ' || title || chr(10)
               || 'end = 1' END AS body
 FROM (SELECT c.*, CAST(d.n_chars AS STRING) AS n FROM v_conf c JOIN documents d ON d.doc_id = c.doc_id) t
+WHERE strlen(content) < 4096
 """
 ORACLE["focus_budget"] = ORACLE["rank_files"].replace("SELECT rk.project, CAST(rk.rank AS BIGINT) AS rank", """,
 top AS (SELECT rk.project, CAST(rk.rank AS BIGINT) AS rank""", 1).replace("WHERE rk.rank <= 8", """WHERE rk.rank <= 8),
@@ -706,10 +696,10 @@ FROM allc a JOIN ks ON ks.project = a.project AND ks.path = a.path
 WHERE NOT coalesce(ks.k % 13 = 0, false)
 """)
 ORACLE["append_rules"] = corpus_sql(_SUGGEST + """,
-sg AS (SELECT DISTINCT project, pattern FROM ranked WHERE rank <= 10),
+sg AS (SELECT project, pattern, min(rank) AS rk FROM ranked WHERE rank <= 10 GROUP BY project, pattern),
 fresh AS (SELECT * FROM sg WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.project = sg.project AND r.pattern = sg.pattern)),
 last AS (SELECT project, max(ord) AS last_ord FROM rules GROUP BY project)
-SELECT f.project, CAST(coalesce(l.last_ord, 0) + row_number() OVER (PARTITION BY f.project ORDER BY f.pattern) AS BIGINT) AS ord,
+SELECT f.project, CAST(coalesce(l.last_ord, 0) + row_number() OVER (PARTITION BY f.project ORDER BY f.rk, f.pattern) AS BIGINT) AS ord,
        f.pattern
 FROM fresh f LEFT JOIN last l ON l.project = f.project
 """)
@@ -748,21 +738,21 @@ WHERE rank <= 8
 # T2 + T4: three arrivals (lines <= 3, 4..7, >= 8); a session emits in each
 # arrival that has its lines; the last emission's delta is against the one before.
 _CUT_TOTALS = """
-t{i} AS (SELECT session_id, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(output_tokens) AS BIGINT) AS o,
+t{i} AS (SELECT project, session_id, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(output_tokens) AS BIGINT) AS o,
                 CAST(sum(cache_write) AS BIGINT) AS w, CAST(sum(cache_read) AS BIGINT) AS r
-         FROM dedc_all WHERE has_usage AND line_no <= {cut} GROUP BY session_id)"""
+         FROM dedc_all WHERE has_usage AND line_no <= {cut} GROUP BY project, session_id)"""
 
 ORACLE["stream_session_delta"] = duckdb_with(["v_sessions"]) + _SESS + """,
 dedc_all AS (SELECT * FROM dedc),""" + ",".join(_CUT_TOTALS.format(i=i, cut=c) for i, c in ((1, 3), (2, 7), (3, 1000000000))) + f""",
-arr AS (SELECT session_id, max(mtime_s) AS mtime_s,
+arr AS (SELECT project, session_id, max(mtime_s) AS mtime_s,
                bool_or(line_no <= 3) AS a1, bool_or(line_no BETWEEN 4 AND 7) AS a2, bool_or(line_no >= 8) AS a3
-        FROM v_sessions GROUP BY session_id),
-lastprev AS (SELECT session_id, mtime_s,
+        FROM v_sessions GROUP BY project, session_id),
+lastprev AS (SELECT project, session_id, mtime_s,
                     CASE WHEN a3 THEN 3 WHEN a2 THEN 2 ELSE 1 END AS last_a,
                     CASE WHEN a3 THEN (CASE WHEN a2 THEN 2 WHEN a1 THEN 1 END)
                          WHEN a2 THEN (CASE WHEN a1 THEN 1 END) END AS prev_a
              FROM arr),
-tt AS (SELECT l.session_id, l.mtime_s, l.prev_a,
+tt AS (SELECT l.project, l.session_id, l.mtime_s, l.prev_a,
               CASE l.last_a WHEN 3 THEN coalesce(t3.i, 0) WHEN 2 THEN coalesce(t2.i, 0) ELSE coalesce(t1.i, 0) END
                 - CASE l.prev_a WHEN 2 THEN coalesce(t2.i, 0) WHEN 1 THEN coalesce(t1.i, 0) ELSE 0 END AS di,
               CASE l.last_a WHEN 3 THEN coalesce(t3.o, 0) WHEN 2 THEN coalesce(t2.o, 0) ELSE coalesce(t1.o, 0) END
@@ -771,9 +761,10 @@ tt AS (SELECT l.session_id, l.mtime_s, l.prev_a,
                 - CASE l.prev_a WHEN 2 THEN coalesce(t2.w, 0) WHEN 1 THEN coalesce(t1.w, 0) ELSE 0 END AS dw,
               CASE l.last_a WHEN 3 THEN coalesce(t3.r, 0) WHEN 2 THEN coalesce(t2.r, 0) ELSE coalesce(t1.r, 0) END
                 - CASE l.prev_a WHEN 2 THEN coalesce(t2.r, 0) WHEN 1 THEN coalesce(t1.r, 0) ELSE 0 END AS dr
-       FROM lastprev l LEFT JOIN t1 ON t1.session_id = l.session_id LEFT JOIN t2 ON t2.session_id = l.session_id
-       LEFT JOIN t3 ON t3.session_id = l.session_id)
-SELECT session_id,
+       FROM lastprev l LEFT JOIN t1 ON t1.project = l.project AND t1.session_id = l.session_id
+       LEFT JOIN t2 ON t2.project = l.project AND t2.session_id = l.session_id
+       LEFT JOIN t3 ON t3.project = l.project AND t3.session_id = l.session_id)
+SELECT project, session_id,
        CAST(CASE WHEN prev_a IS NULL THEN 0 ELSE di END AS BIGINT) AS delta_input,
        CAST(CASE WHEN prev_a IS NULL THEN 0 ELSE do_ END AS BIGINT) AS delta_output,
        CAST(CASE WHEN prev_a IS NULL THEN 0 ELSE dw END AS BIGINT) AS delta_cache_w,

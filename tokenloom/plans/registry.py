@@ -251,12 +251,11 @@ def q_cycle_members(spark, sf_dir):
 
 @register("related_files")
 def q_related_files(spark, sf_dir):
-    """J3 on the three most imported files per project."""
+    """J3 on every parsed file, ranked by in-degree."""
     from tokenloom.operators.focus import related_files
     _, facts, edges = py_graph(spark, sf_dir)
-    top = G.top_n_per_project(G.in_degree(facts, edges), "imported_by", 3)
-    r = related_files(top.select("project", "rank", "path"), edges)
-    return r.select("project", "rank", "path", F.array_join(F.transform(
+    r = related_files(G.in_degree(facts, edges), edges)
+    return r.select("project", "path", "imported_by", F.array_join(F.transform(
         "related", lambda x: F.concat(x["file"], F.lit(":"), x["relation"])), ";").alias("related"))
 
 
@@ -290,7 +289,7 @@ def q_dedupe_events(spark, sf_dir):
     """Surviving assistant rows."""
     from tokenloom.sources.sessions import assistant_rows, read_session_log
     d = SS.dedupe_first_by_uuid(assistant_rows(read_session_log(session_lines(spark, sf_dir))))
-    return d.select("session_id", F.col("line_no").cast("long"), "uuid", "has_usage", *SS.COUNTS)
+    return d.select("project", "session_id", F.col("line_no").cast("long"), "uuid", "has_usage", *SS.COUNTS)
 
 
 @register("recent_sessions")
@@ -313,8 +312,8 @@ def q_session_delta(spark, sf_dir):
     lines = session_lines(spark, sf_dir)
     cur = SS.session_usage(lines)
     prev = SS.session_usage(lines.where(F.col("line_no") <= PREVIOUS_POLL_LAST_LINE).where(
-        F.col("session_id").rlike("[02468]-")))
-    return SS.session_delta(cur, prev).select("session_id", "delta_input", "delta_output", "delta_cache_w",
+        F.col("project").rlike("[024]$")))
+    return SS.session_delta(cur, prev).select("project", "session_id", "delta_input", "delta_output", "delta_cache_w",
                                               "delta_cache_r", "delta_cost")
 
 
@@ -324,9 +323,11 @@ from tokenloom.operators import history as H  # noqa: E402
 
 @register("hot_files")
 def q_hot_files(spark, sf_dir):
-    """S4 + W3 + F8 + A7 over the order/lineitem change log (N = 500)."""
-    ch = load_views(spark, sf_dir, ["v_changes"])["v_changes"]
-    return H.hot_files(ch, 500, 20)
+    """S4 + W3 + F8 + A7 over the order/lineitem change log (N = 500): commits
+    are ranked and cut before they meet their files."""
+    v = load_views(spark, sf_dir, ["v_commits", "v_commit_files"])
+    newest = H.newest_commits(v["v_commits"], 500, F.desc("committed"), F.desc("commit_id"))
+    return H.hot_files(newest.join(v["v_commit_files"], "commit_id"), 500, 20)
 
 
 @register("file_overview")
@@ -390,11 +391,11 @@ def q_framework_decorated(spark, sf_dir):
 @register("unused_symbols_docs")
 def q_unused_symbols_docs(spark, sf_dir):
     """J5 at text scale: every document of V_docs outside tests/ is a source
-    file; its distinct identifier words of >= 10 letters are its symbols."""
+    file; its distinct identifier words are its symbols.  (No oracle: brute
+    force in SQL is too slow here; tests compare it on a small fixture.)"""
     d = load_views(spark, sf_dir, ["v_docs"])["v_docs"].select("project", "path", "content")
     src = FL.source_only(d)
-    words = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0),
-                                                   lambda w: F.length(w) >= 10)))
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0)))
     defs = src.select("project", "path", "content", words.alias("symbols"))
     return DC.unused_symbols(defs).select("project", "path", "symbol")
 
@@ -450,8 +451,7 @@ def q_health_score(spark, sf_dir):
     files, model = code_model(spark, sf_dir)
     facts = model.select(*X.FACT_COLUMNS)
     edges = G.resolve_imports(facts, files)
-    # the cycle part is 0 from 4 cycles on: min(count, 4) is all it needs
-    cycles = G.cycle_count(facts, G.find_cycles(spark, edges, stop_after=4))
+    cycles = G.cycle_count(facts, G.find_cycles(spark, edges))
     return HE.health_score(code_budget(spark, files), FL.source_only(facts), model_unused(model), cycles)
 
 
@@ -609,7 +609,7 @@ def q_append_rules(spark, sf_dir):
     """S6 + X2: suggested patterns that are new for each project's rules."""
     from tokenloom.sources.rules import append_rules
     files, rules = corpus(spark, sf_dir)
-    sugg = B.suggest_rules(files, rules).select("project", "pattern")
+    sugg = B.suggest_rules(files, rules).select("project", "pattern", "rank")
     return append_rules(rules, sugg).select("project", F.col("ord").cast("long"), "pattern")
 
 
@@ -637,9 +637,9 @@ def _run_session_stream(spark, sf_dir):
              .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
         q.awaitTermination()
     res = spark.read.parquet(out_path)
-    latest = res.groupBy("session_id").agg(F.max_by(F.struct(*[c for c in res.columns if c != "session_id"]),
-                                                     "batch_id").alias("r"))
-    return latest.select("session_id", "r.*").drop("batch_id")
+    keys = ["project", "session_id"]
+    latest = res.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in res.columns if c not in keys]), "batch_id").alias("r"))
+    return latest.select(*keys, "r.*").drop("batch_id")
 
 
 @register("stream_session_usage")
@@ -658,7 +658,7 @@ def q_stream_session_delta(spark, sf_dir):
     from tokenloom.streaming.sessions import active_sessions
     r = _run_session_stream(spark, sf_dir)
     a = active_sessions(r, F.timestamp_seconds(F.lit(SESSIONS_NOW_S)), SESSIONS_HOURS)
-    return a.select("session_id", "delta_input", "delta_output", "delta_cache_w", "delta_cache_r", "delta_cost")
+    return a.select("project", "session_id", "delta_input", "delta_output", "delta_cache_w", "delta_cache_r", "delta_cost")
 
 
 @register("stream_reanalyze")

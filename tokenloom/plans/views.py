@@ -6,20 +6,21 @@ from pyspark.sql import functions as F
 
 from tokenloom.plans.views_sql import BASE_TABLES, VIEWS, _closure, render
 
+#: Fixed size up to which a table is spread over the cores.
+SPREAD_BYTES = 32 << 20
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read a Parquet table with at least ``defaultParallelism`` partitions.
+    """Read a Parquet table.
 
-    A small table stored as one row group is one scan task, which would run
-    all row-local work (tokenising, parsing) on one core.  Only in that case
-    the rows are spread round-robin over the cores; a large input already has
-    many splits and is read as is (no extra shuffle at scale).
+    A table of one row group is one scan task, which would run all row-local
+    work (tokenising, parsing) on one core.  Tables of at most ``SPREAD_BYTES``
+    on storage are spread round-robin over the cores; the bound is fixed, so
+    nothing larger is ever shuffled for this, however many cores there are.
     """
     df = spark.read.parquet(path)
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 def load_views(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:

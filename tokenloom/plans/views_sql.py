@@ -227,18 +227,19 @@ end = 1
 ' AS content
 FROM (SELECT doc_id, n_chars,
              CASE doc_id % 5 WHEN 0 THEN 'toml' WHEN 1 THEN 'ini' WHEN 2 THEN 'cfg' WHEN 3 THEN 'yml' ELSE 'md' END AS ext,
-             replace(replace(substr(text, 1, 20), chr(10), ' '), chr(13), ' ') AS title
+             replace(replace(text, chr(10), ' '), chr(13), ' ') AS title
       FROM {documents}) d
 """
 
-# V_sessions: conversations as session log lines (JSON text per line).
+# V_sessions: conversations as session log lines (JSON text per line); two
+# projects share each session id and some uuids.
 V_SESSIONS = """
 SELECT 'proj' || CAST(conv_id % 5 AS STRING) AS project,
-       'c' || CAST(conv_id AS STRING) || '-5e55-4a1b' AS session_id,
+       'c' || CAST(conv_id - conv_id % 2 AS STRING) || '-5e55-4a1b' AS session_id,
        CAST(turn AS INT) AS line_no,
        CASE WHEN conv_id % 17 = 0 AND turn = 1 THEN '{{"type":"assistant","uuid":"broken'
        ELSE '{{"type":"' || role || '"'
-            || CASE WHEN turn % 7 = 3 THEN '' ELSE ',"uuid":"' || CAST(conv_id AS STRING) || '-'
+            || CASE WHEN turn % 7 = 3 THEN '' ELSE ',"uuid":"' || CAST(conv_id - conv_id % 2 AS STRING) || '-'
                     || CAST(CAST(floor(turn / 4) AS BIGINT) AS STRING) || '"' END
             || ',"message":{{"role":"' || role || '"'
             || CASE WHEN conv_id % 13 = 5 THEN '' ELSE ',"usage":{{"input_tokens":' || CAST(length(text) AS STRING)
@@ -263,6 +264,21 @@ FROM (SELECT o_orderkey, 'r' || CAST(o_custkey % 4 AS STRING) AS project,
 JOIN {lineitem} ON l_orderkey = o.o_orderkey
 """
 
+# The same log as a commit table and the files of each commit.
+V_COMMITS = """
+SELECT o_orderkey AS commit_id, 'r' || CAST(o_custkey % 4 AS STRING) AS project, o_orderdate AS committed,
+       o_orderkey % 97 <> 0 AS has_parent
+FROM {orders}
+"""
+
+V_COMMIT_FILES = """
+SELECT l_orderkey AS commit_id,
+       'p' || CAST(l_partkey AS STRING) || CASE WHEN l_partkey % 3 = 0 THEN '.md' ELSE '.py' END AS a_path,
+       CASE WHEN l_linenumber % 4 = 0 THEN 'q' || CAST(l_partkey AS STRING) || '.py'
+            ELSE 'p' || CAST(l_partkey AS STRING) || CASE WHEN l_partkey % 3 = 0 THEN '.md' ELSE '.py' END END AS b_path
+FROM {lineitem}
+"""
+
 # V_ranges: per user, one changed range per event: start minute since 2024-01-01.
 V_RANGES = """
 SELECT 'u' || CAST(user_id % 5 AS STRING) AS project,
@@ -328,6 +344,8 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "v_code": (V_CODE, ("v_code_params", "nation")),
     "v_conf": (V_CONF, ("documents",)),
     "v_sessions": (V_SESSIONS, ("conversations",)),
+    "v_commits": (V_COMMITS, ("orders",)),
+    "v_commit_files": (V_COMMIT_FILES, ("lineitem",)),
     "v_changes": (V_CHANGES, ("orders", "lineitem")),
     "v_ranges": (V_RANGES, ("events",)),
     "v_diff_events": (V_DIFF_EVENTS, ("events",)),
@@ -359,11 +377,7 @@ def render(name: str, dialect: str, table_names: dict[str, str]) -> str:
     d = DIALECTS[dialect]
     fmt = dict(d)
     fmt.update(table_names)
-    text = sql.format(**fmt)
-    if dialect == "duckdb":
-        # make_timestamp takes microseconds: close the bracket opened by TS
-        text = text.replace("make_timestamp(1000000 * (", "make_timestamp(1000000 * (")
-    return text
+    return sql.format(**fmt)
 
 
 def duckdb_with(views: list[str]) -> str:

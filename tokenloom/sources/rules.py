@@ -23,17 +23,19 @@ def load_ignore_rules(rule_files: DataFrame) -> DataFrame:
 
 
 def append_rules(rules: DataFrame, new_patterns: DataFrame) -> DataFrame:
-    """Rows to append — new ``(project, pattern)`` not already present.
+    """Rows to append — new ``(project, pattern)`` not already present, in
+    the order of their ``rank`` (the suggestion order) if they have one.
 
     The result carries ``ord`` after the last existing line so that a plain
     ``unionByName`` (or an append write) yields the updated rule table.  The
     number of rows is the "patterns added" count.
     """
-    fresh = new_patterns.select("project", "pattern").distinct().join(
+    order = F.min("rank") if "rank" in new_patterns.columns else F.lit(0)
+    fresh = new_patterns.groupBy("project", "pattern").agg(order.alias("rank")).join(
         rules.select("project", "pattern"), ["project", "pattern"], "left_anti")
     last = rules.groupBy("project").agg(F.max("ord").alias("last_ord"))
     from pyspark.sql import Window
-    w = Window.partitionBy("project").orderBy("pattern")
+    w = Window.partitionBy("project").orderBy("rank", "pattern")
     return (fresh.join(last, "project", "left")
             .select("project",
                     (F.coalesce(F.col("last_ord"), F.lit(0)) + F.row_number().over(w)).cast("int").alias("ord"),

@@ -2,14 +2,16 @@
 active window.
 
 The stream carries session log rows ``(project, session_id, line_no, raw,
-file_mtime)``.  One stateful step per session keeps the uuids seen, the four
-running counts and the totals last emitted, so the first line of a uuid wins
-exactly as in the batch operator (rows of a micro-batch are taken in
-``line_no`` order; logs append, so later batches carry later lines).  State is
-per session and bounded by that session's distinct uuids.
+file_mtime)``.  One stateful step per (project, session) keeps, for every uuid,
+its smallest line number and that line's counts, the sums of the lines without
+uuid, and the counts last emitted.  Taking the smallest line makes the step
+independent of the order of rows, Arrow batches and micro-batches, so the first
+line of a uuid wins exactly as in the batch operator.  State is bounded by the
+session's distinct uuids.
 """
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
 from typing import Iterator
 
 import pandas as pd
@@ -22,63 +24,64 @@ import tokenloom.streaming.sessions as _self
 from tokenloom.functions.scores import PRICE_CACHE_READ, PRICE_CACHE_WRITE, PRICE_INPUT, PRICE_OUTPUT
 from tokenloom.sources.sessions import read_session_log
 
+COUNTS = ["input_tokens", "output_tokens", "cache_write", "cache_read"]
+KEPT = ["uuid", "line_no", "has_usage", *COUNTS]
 OUTPUT_SCHEMA = ("project string, session_id string, mtime timestamp, input_tokens long, output_tokens long, "
                  "cache_write long, cache_read long, total_tokens long, turns long, cost_usd double, "
                  "delta_input long, delta_output long, delta_cache_w long, delta_cache_r long, delta_cost double")
-STATE_SCHEMA = ("seen array<string>, inp long, out long, cw long, cr long, turns long, mtime timestamp, "
-                "emitted boolean, e_inp long, e_out long, e_cw long, e_cr long")
+STATE_SCHEMA = ("uuid array<string>, line_no array<long>, has_usage array<boolean>, input_tokens array<long>, "
+                "output_tokens array<long>, cache_write array<long>, cache_read array<long>, "
+                "loose array<long>, last array<long>, mtime timestamp")
 
 
 def _cost(i, o, w, r) -> float:
-    return round(i * PRICE_INPUT + o * PRICE_OUTPUT + w * PRICE_CACHE_WRITE + r * PRICE_CACHE_READ, 5)
+    """Rounded half up on the decimal text of the sum, as the batch operator rounds."""
+    total = float(i * PRICE_INPUT + o * PRICE_OUTPUT + w * PRICE_CACHE_WRITE + r * PRICE_CACHE_READ)
+    return float(Decimal(repr(total)).quantize(Decimal("0.00001"), ROUND_HALF_UP))
 
 
 def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    project, session_id = key
     if state.exists:
-        seen_l, inp, out, cw, cr, turns, mtime, emitted, e_inp, e_out, e_cw, e_cr = state.get
-        seen = set(seen_l or [])
+        *columns, loose, last, mtime = state.get
+        named = pd.DataFrame({c: list(v) for c, v in zip(KEPT, columns)})
+        loose = pd.Series(list(loose), index=[*COUNTS, "turns"])
+        last = list(last) if last is not None else None
     else:
-        seen, inp, out, cw, cr, turns, mtime, emitted = set(), 0, 0, 0, 0, 0, None, False
-        e_inp = e_out = e_cw = e_cr = 0
-    project = None
+        named, loose, last, mtime = None, pd.Series(0, index=[*COUNTS, "turns"]), None, None
     for pdf in batches:
-        pdf = pdf.sort_values("line_no", kind="stable")
-        for r in pdf.itertuples(index=False):
-            project = r.project
-            if r.file_mtime is not None and (mtime is None or r.file_mtime > mtime):
-                mtime = r.file_mtime
-            if r.type != "assistant":
-                continue
-            uid = r.uuid or ""
-            if uid and uid in seen:
-                continue
-            if uid:
-                seen.add(uid)
-            if not r.has_usage:
-                continue
-            inp, out, cw, cr, turns = (inp + int(r.input_tokens), out + int(r.output_tokens),
-                                       cw + int(r.cache_write), cr + int(r.cache_read), turns + 1)
-    if emitted:
-        d = (inp - e_inp, out - e_out, cw - e_cw, cr - e_cr)
-        dcost = _cost(*d)
-    else:
-        d, dcost = (0, 0, 0, 0), 0.0
-    state.update((sorted(seen), inp, out, cw, cr, turns, mtime, True, inp, out, cw, cr))
+        seen = pdf["file_mtime"].max()
+        if not pd.isna(seen) and (mtime is None or seen > mtime):
+            mtime = seen
+        rows = pdf.loc[pdf["type"] == "assistant", KEPT].copy()
+        rows["uuid"] = rows["uuid"].fillna("")
+        without = rows[(rows["uuid"] == "") & rows["has_usage"].astype(bool)]
+        loose = loose + pd.Series([*(int(without[c].sum()) for c in COUNTS), len(without)], index=loose.index)
+        rows = rows[rows["uuid"] != ""]
+        named = rows if named is None else pd.concat([named, rows])
+        named = named.sort_values("line_no", kind="stable").drop_duplicates("uuid")
+    used = named[named["has_usage"].astype(bool)] if named is not None else None
+    n = [int(loose[c]) + (int(used[c].sum()) if used is not None else 0) for c in COUNTS]
+    turns = int(loose["turns"]) + (len(used) if used is not None else 0)
+    d = [a - b for a, b in zip(n, last)] if last is not None else [0, 0, 0, 0]
+    held = [[] for _ in KEPT] if named is None else [
+        named["uuid"].tolist(), [int(x) for x in named["line_no"]], [bool(x) for x in named["has_usage"]],
+        *([int(x) for x in named[c]] for c in COUNTS)]
+    state.update((*held, [int(x) for x in loose], n, mtime))
     yield pd.DataFrame([{
-        "project": project, "session_id": key[0], "mtime": mtime, "input_tokens": inp, "output_tokens": out,
-        "cache_write": cw, "cache_read": cr, "total_tokens": inp + out, "turns": turns,
-        "cost_usd": _cost(inp, out, cw, cr), "delta_input": d[0], "delta_output": d[1], "delta_cache_w": d[2],
-        "delta_cache_r": d[3], "delta_cost": dcost}])
+        "project": project, "session_id": session_id, "mtime": mtime, **dict(zip(COUNTS, n)), "total_tokens": n[0] + n[1],
+        "turns": turns, "cost_usd": _cost(*n), "delta_input": d[0], "delta_output": d[1], "delta_cache_w": d[2],
+        "delta_cache_r": d[3], "delta_cost": _cost(*d) if last is not None else 0.0}])
 
 
 cloudpickle.register_pickle_by_value(_self)
 
 
 def stream_session_usage(lines: DataFrame) -> DataFrame:
-    """T1 + T2: streaming (or batch) log rows -> per-session totals and the
-    change since the previous emission, in ``update`` output mode."""
+    """T1 + T2: streaming (or batch) log rows -> totals per (project, session)
+    and the change since the previous emission, in ``update`` output mode."""
     parsed = read_session_log(lines)
-    return parsed.groupBy("session_id").applyInPandasWithState(
+    return parsed.groupBy("project", "session_id").applyInPandasWithState(
         _update, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
 
