@@ -66,15 +66,16 @@ def rule_sets(rules: DataFrame) -> DataFrame:
     One row per project, bounded by the number of rules of that project.
     """
     stripped = F.regexp_replace(F.col("pattern"), "/+$", "")
-    r = rules.select("project", stripped.alias("p"))
+    r = rules.select("project", stripped.alias("p")).select(
+        "project", "p", glob_to_regex(F.col("p")).alias("whole"), glob_to_regex(F.col("p"), within_part=True).alias("part"))
     # a pattern containing '/' can never match a single path part
-    part_globs = F.collect_list(F.when(F.instr("p", "/") == 0, glob_to_regex(F.col("p"), within_part=True)))
+    part_globs = F.collect_list(F.when(F.instr("p", "/") == 0, F.col("part")))
     return r.groupBy("project").agg(
         F.collect_set("p").alias("rule_parts"),
-        F.concat(F.lit("^(?:"), F.array_join(F.collect_list(glob_to_regex(F.col("p"))), "|"), F.lit(")$")).alias("full_rx"),
+        F.concat(F.lit("(?s)\\A(?:"), F.array_join(F.collect_list("whole"), "|"), F.lit(")\\z")).alias("full_rx"),
         part_globs.alias("pg"),
     ).select("project", "rule_parts", "full_rx",
-             F.when(F.size("pg") > 0, F.concat(F.lit("(?:^|/)(?:"), F.array_join("pg", "|"), F.lit(")(?:/|$)")))
+             F.when(F.size("pg") > 0, F.concat(F.lit("(?s)(?:\\A|/)(?:"), F.array_join("pg", "|"), F.lit(")(?:/|\\z)")))
              .otherwise(F.lit("(?!)")).alias("part_rx"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.session import materialize
+
 # Unified-diff header patterns.
 HUNK_RE = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 FILE_HEADER_RE = r"^diff --git a/(.+?) b/(.+)$"
@@ -32,11 +34,13 @@ def read_unified_diff(diffs: DataFrame, suffix: str | None = ".py", chunk_lines:
     each chunk's last header and header count are carried over the (small)
     per-chunk rows, and combined with a window inside each chunk.
     """
-    header = F.regexp_extract("line", FILE_HEADER_RE, 2)
     is_header = F.col("line").rlike(FILE_HEADER_RE)
-    t = diffs.select("project", "diff_id", "line_no", "line", F.when(is_header, header).alias("hdr"),
-                     is_header.cast("int").alias("is_hdr"),
-                     F.floor(F.col("line_no") / chunk_lines).cast("long").alias("chunk"))
+    # of a diff only headers and hunk starts matter: every other line goes
+    # before anything is shuffled, the rest is narrow and computed once
+    t = materialize(diffs.where(F.col("line").startswith("@@") | is_header).select(
+        "project", "diff_id", "line_no", F.when(is_header, F.regexp_extract("line", FILE_HEADER_RE, 2)).alias("hdr"),
+        is_header.cast("int").alias("is_hdr"), hunk_range(F.col("line")).alias("r"),
+        F.floor(F.col("line_no") / chunk_lines).cast("long").alias("chunk")))
     # per chunk: last header and number of headers; then carried over earlier chunks
     per_chunk = t.groupBy("project", "diff_id", "chunk").agg(
         F.max_by(F.col("hdr"), F.when(F.col("hdr").isNotNull(), F.col("line_no"))).alias("c_last"),
@@ -46,17 +50,16 @@ def read_unified_diff(diffs: DataFrame, suffix: str | None = ".py", chunk_lines:
                              F.last("c_last", ignorenulls=True).over(wc).alias("carry_file"),
                              F.coalesce(F.sum("c_count").over(wc), F.lit(0)).alias("carry_count"))
     wl = Window.partitionBy("project", "diff_id", "chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    local = t.select("project", "diff_id", "chunk", "line_no", "line",
+    local = t.select("project", "diff_id", "chunk", "line_no", "r",
                      F.last("hdr", ignorenulls=True).over(wl).alias("l_file"),
                      F.sum("is_hdr").over(wl).alias("l_count"))
     t = local.join(carry, ["project", "diff_id", "chunk"]).select(
-        "project", "diff_id", "line_no", "line", F.coalesce("l_file", "carry_file").alias("file"),
+        "project", "diff_id", "line_no", "r", F.coalesce("l_file", "carry_file").alias("file"),
         (F.col("carry_count") + F.col("l_count")).alias("block"))
-    hunks = (t.where(F.col("line").startswith("@@") & F.col("file").isNotNull())
-             .select("project", "diff_id", "file", "block", "line_no", hunk_range(F.col("line")).alias("r"))
-             .where(F.col("r").isNotNull()))
+    hunks = t.where(F.col("r").isNotNull() & F.col("file").isNotNull())
     if suffix is not None:
         hunks = hunks.where(F.col("file").endswith(suffix))
+    hunks = materialize(hunks)
     last_block = hunks.groupBy("project", "diff_id", "file").agg(F.max("block").alias("block"))
     return (hunks.join(last_block, ["project", "diff_id", "file", "block"], "left_semi")
             .select("project", "diff_id", F.col("file").alias("path"), "line_no", "r.start_line", "r.end_line"))
@@ -75,7 +78,7 @@ def merge_ranges(ranges: DataFrame, pad: int = 3, keys=("project", "path"), buck
     k = list(keys)
     p = ranges.select(*k, F.greatest(F.col("start_line") - pad, F.lit(1)).alias("s"),
                       (F.col("end_line") + pad).alias("e"))
-    p = p.withColumn("bucket", F.floor(F.col("s") / bucket_lines).cast("long"))
+    p = materialize(p.withColumn("bucket", F.floor(F.col("s") / bucket_lines).cast("long")))
     wb = Window.partitionBy(*k).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bmax = p.groupBy(*k, "bucket").agg(F.max("e").alias("b_max"))
     carry_end = bmax.select(*k, "bucket", F.max("b_max").over(wb).alias("carry_end"))
@@ -83,7 +86,7 @@ def merge_ranges(ranges: DataFrame, pad: int = 3, keys=("project", "path"), buck
     local_prev = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     q = p.join(carry_end, [*k, "bucket"])
     prev_end = F.greatest(F.coalesce(local_prev, F.lit(None)), F.col("carry_end"))
-    flagged = q.withColumn("new", F.when(prev_end.isNull() | (F.col("s") > prev_end + 1), 1).otherwise(0))
+    flagged = materialize(q.withColumn("new", F.when(prev_end.isNull() | (F.col("s") > prev_end + 1), 1).otherwise(0)))
     bflags = flagged.groupBy(*k, "bucket").agg(F.sum("new").alias("b_new"))
     carry_cnt = bflags.select(*k, "bucket", F.coalesce(F.sum("b_new").over(wb), F.lit(0)).alias("carry_cnt"))
     islands = (flagged.join(carry_cnt, [*k, "bucket"])

@@ -7,9 +7,11 @@ of row-local arrays, brute-force containment instead of n-gram joins).
 """
 from __future__ import annotations
 
+import fnmatch
+
 from tokenloom.functions.text import APPROX_TOKEN_RE, WORD_TOKEN_RE
 from tokenloom.operators.filters import BASELINE_SKIP_DIRS, BINARY_SUFFIXES, DEFAULT_IGNORE_DIRS
-from tokenloom.plans.views_sql import duckdb_with
+from tokenloom.plans.views_sql import RULES_A, RULES_B, RULES_C, duckdb_with
 
 ORACLE: dict[str, str] = {}
 
@@ -27,10 +29,14 @@ def _words(col: str) -> str:
 
 
 def _glob(p: str) -> str:
-    """fnmatch pattern -> RE2 body, written with DuckDB string functions."""
-    x = f"regexp_replace({p}, '([.^$+{{}}()|\\\\/#&~ ])', '\\\\\\1', 'g')"
-    x = f"replace(replace(replace({x}, '*', '.*'), '?', '.'), '[!', '[^')"
-    return x
+    """The standard library's own translation of each rule of the proof view."""
+    rules = {line.strip().rstrip("/") for text in (RULES_A, RULES_B, RULES_C) for line in text.splitlines()}
+    cases = []
+    for rule in sorted(rules):
+        rx = fnmatch.translate(rule).removeprefix("(?s:").removesuffix(")\\z").removesuffix(")\\Z")
+        rx = rx.replace("(?>", "(?:").replace("(?!)", "[^\\x{0}-\\x{10FFFF}]").replace("'", "''")
+        cases.append(f"WHEN '{rule.replace(chr(39), chr(39) * 2)}' THEN '(?s:{rx})'")
+    return f"CASE {p} {' '.join(cases)} END"
 
 
 # Parsed rules, per-rule match of every file, and the three file sets.
@@ -39,7 +45,7 @@ rl AS (SELECT project, unnest(generate_series(1, len(string_split(content, chr(1
               unnest(string_split(content, chr(10))) AS line FROM v_rules_files),
 rules AS (SELECT project, ord, trim(line) AS pattern FROM rl
           WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')),
-rx AS (SELECT project, pattern, rtrim(pattern, '/') AS p, '^(?:' || {_glob("rtrim(pattern, '/')")} || ')$' AS g FROM rules),
+rx AS (SELECT project, pattern, rtrim(pattern, '/') AS p, {_glob("rtrim(pattern, '/')")} AS g FROM rules),
 has_rules AS (SELECT DISTINCT project FROM rules),
 ft AS (SELECT project, path, content, {_approx('content')} AS tokens, string_split(path, '/') AS parts,
               regexp_extract(string_split(path, '/')[-1], '.(\\.[^.]+)$', 1) AS sfx FROM v_files),

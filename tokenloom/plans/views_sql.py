@@ -61,9 +61,9 @@ SELECT project, path, content, size_bytes, mtime_s FROM {v_pages}
 """
 
 # The three rule files handed to projects (A, B = comments only, C).
-RULES_A = "# project rules\n*.log\n\nvendor/\n  examples  \ndoc_1?.md\nen/*\n"
+RULES_A = "# project rules\n*.log\n\nvendor/\n  examples  \ndoc_1?.md\nen/*\n*doc_[*]1*\n[z-a]*\n[[]x\n*doc_[!0-4]*[?]x\n"
 RULES_B = "# nothing but comments\n\n   \n# more\n"
-RULES_C = "*.json\nbuild\n[!s]*.txt\nfr/\n*.html\n"
+RULES_C = "*.json\nbuild\n[!s]*.txt\nfr/\n*.html\n*doc_[5-7][1-]*.md\n*[]9].py\n"
 
 V_RULES_FILES = """
 SELECT project,
