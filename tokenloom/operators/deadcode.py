@@ -3,12 +3,11 @@ A13 unused_per_file.
 
 A symbol counts as used when its text occurs (as a substring) in another
 source file of the project.  Every occurrence lies inside one maximal word
-run, so the test runs against each project's vocabulary of distinct words:
-the words' substrings of exactly the symbol lengths in use are equi-joined
-with the symbols.  No nested loop over texts and no symbol x word pairs are
-formed; a symbol meets only the words that really contain it, and "in
-another file" is decided from the per-word first/last file (partial
-aggregates), never from a list of files.
+run, so the test runs against each project's vocabulary of distinct words,
+indexed by short grams: a symbol is joined with the words that hold its rarest
+gram and verified.  No nested loop over texts is formed, the index is linear in
+the length of a word, and "in another file" is decided from the per-word
+first/last file (partial aggregates), never from a list of files.
 """
 from __future__ import annotations
 
@@ -49,17 +48,18 @@ def framework_decorated(defs: DataFrame) -> DataFrame:
     return defs.select("project", "path", F.explode(decorated_names(F.col("content"))).alias("symbol"))
 
 
-def _substrings(word: Column, lengths: list[int]) -> Column:
-    """All substrings of ``word`` whose length is in ``lengths``."""
-    parts = []
-    for n in lengths:
-        parts.append(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(0))),
-                                 _sub_at(word, n)))
-    return F.filter(F.flatten(F.array(*parts)), lambda x: F.length(x) > 0)
+# Length of the grams under which words are indexed; symbols up to this length
+# are grams themselves, longer ones are looked up by their rarest gram.
+GRAM = 5
 
 
-def _sub_at(word: Column, n: int):
-    return lambda i: F.when(i > 0, F.substring(word, i, n)).otherwise(F.lit(""))
+def _grams(word: Column, sizes) -> Column:
+    """Distinct substrings of ``word`` of the given sizes: at most one of each
+    size per letter, so the index grows linearly with the words."""
+    def of(n):
+        starts = F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: i <= F.length(word) - n + 1)
+        return F.transform(starts, lambda i: F.substring(word, i, n))
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
 
 
 def summary_columns(content: Column, symbols: Column) -> dict[str, Column]:
@@ -85,20 +85,27 @@ def symbol_summary(defs: DataFrame) -> DataFrame:
 
 def symbol_usage(summary: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per ``(project, symbol)`` the first and last source file (by path) whose
-    text contains the symbol."""
+    text contains the symbol.
+
+    A symbol of at most ``GRAM`` letters is a gram: its files are those of the
+    gram.  A longer one is contained only in words that hold its rarest gram;
+    these are joined on that gram and verified with ``contains``."""
     words = summary.select("project", "path", F.explode("words").alias("w"))
     word_files = words.groupBy("project", "w").agg(F.min("path").alias("first_file"), F.max("path").alias("last_file"))
-    # symbol lengths in use: a short list bounded by the longest identifier
-    lengths = sorted(r[0] for r in symbols.select(F.length("symbol")).distinct().collect())
-    if not lengths:
-        return symbols.select("project", "symbol", F.lit(None).cast("string").alias("first_file"),
-                              F.lit(None).cast("string").alias("last_file")).limit(0)
-    subs = (word_files.where(F.length("w") >= lengths[0])
-            .select("project", "first_file", "last_file",
-                    F.explode(F.array_distinct(_substrings(F.col("w"), lengths))).alias("symbol")))
-    hit = subs.join(symbols.select("project", "symbol").distinct(), ["project", "symbol"], "left_semi")
-    return hit.groupBy("project", "symbol").agg(F.min("first_file").alias("first_file"),
-                                                F.max("last_file").alias("last_file"))
+    index = word_files.select("project", "w", "first_file", "last_file", F.explode(_grams(F.col("w"), range(1, GRAM + 1))).alias("gram"))
+    per_gram = index.groupBy("project", "gram").agg(F.min("first_file").alias("first_file"), F.max("last_file").alias("last_file"),
+                                                    F.count(F.lit(1)).alias("n"))
+    asked = symbols.select("project", "symbol").distinct()
+    short = (asked.where(F.length("symbol") <= GRAM)
+             .join(per_gram.select("project", F.col("gram").alias("symbol"), "first_file", "last_file"), ["project", "symbol"]))
+    rarest = (asked.where(F.length("symbol") > GRAM)
+              .select("project", "symbol", F.explode(_grams(F.col("symbol"), [GRAM])).alias("gram"))
+              .join(per_gram.select("project", "gram", "n"), ["project", "gram"])
+              .groupBy("project", "symbol").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
+    held = (rarest.join(index.where(F.length("gram") == GRAM), ["project", "gram"])
+            .where(F.contains("w", "symbol"))
+            .groupBy("project", "symbol").agg(F.min("first_file").alias("first_file"), F.max("last_file").alias("last_file")))
+    return short.unionByName(held)
 
 
 def unused_from_summary(summary: DataFrame) -> DataFrame:

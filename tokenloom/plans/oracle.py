@@ -718,7 +718,7 @@ ks AS (SELECT project, path, TRY_CAST(regexp_extract(path, '/m(\\d+)\\.', 1) AS
 SELECT a.project, a.path, CASE WHEN ends_with(a.path, '.py') THEN 'python' WHEN ends_with(a.path, '.ts') THEN 'typescript'
                                ELSE 'go' END AS language, a.lines, CAST(a.nfn AS BIGINT) AS n_functions
 FROM allc a JOIN ks ON ks.project = a.project AND ks.path = a.path
-WHERE NOT (ks.n < 10 AND coalesce(ks.k % 13 = 0, false))
+WHERE ks.n > 0 AND NOT (ks.n < 10 AND coalesce(ks.k % 13 = 0, false))
 """)
 
 ORACLE["rank_files_batch"] = corpus_sql(f""",

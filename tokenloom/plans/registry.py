@@ -663,18 +663,24 @@ def q_stream_session_delta(spark, sf_dir):
 
 @register("stream_reanalyze")
 def q_stream_reanalyze(spark, sf_dir):
-    """V_code arrives as a full snapshot, then nations 0-9 arrive again with
-    every 6th file changed and every 13th removed; the store keeps the facts of
-    each project's latest snapshot."""
+    """V_code arrives as a full snapshot, then nations 1-9 arrive again, split
+    over two batches, with every 6th file changed and every 13th removed, and
+    nation 0 arrives emptied; the store keeps each project's latest snapshot."""
     from tokenloom.streaming.reanalyze import read_store, stream_reanalyze
     base = scratch_path(spark, f"reanalyze-{_uuid.uuid4().hex}")
     files = code_files(spark, sf_dir)
     k = F.regexp_extract("path", r"/m(\d+)\.", 1).try_cast("long")
     nation = F.regexp_extract("project", r"^n(\d+)$", 1).cast("int")
-    second = (files.where(nation < 10).where(~F.coalesce(k % 13 == 0, F.lit(False)))
+    files = files.withColumn("snapshot_id", F.lit(1).cast("long"))
+    second = (files.where(nation.between(1, 9)).withColumn("snapshot_id", F.lit(2).cast("long")).where(~F.coalesce(k % 13 == 0, F.lit(False)))
               .withColumn("mtime", F.when(k % 6 == 0, F.col("mtime") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("mtime"))))
     src_dir = f"{base}/in"
-    for arrival in (files, second):
+    emptied = (files.where(nation == 0).select("project", "snapshot_id").distinct()
+               .select("project", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("content"),
+                       F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("mtime"),
+                       F.lit(2).cast("long").alias("snapshot_id")))
+    half = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    for arrival in (files, second.where(half), second.where(~half).unionByName(emptied)):
         arrival.write.mode("append").parquet(src_dir)
         src = spark.readStream.schema(files.schema).parquet(src_dir)
         q = stream_reanalyze(src, f"{base}/store", f"{base}/ckpt", {"availableNow": True})

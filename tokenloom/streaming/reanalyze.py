@@ -1,11 +1,15 @@
 """Streaming re-analysis into a fact store.
 
-Each micro-batch carries complete snapshots of some projects (all their file
-rows).  The batch is compared with the stored facts of just those projects by
-signature (J9): unchanged files keep their stored facts, changed and new
-files are parsed, vanished files drop out.  The store is Parquet partitioned
-by ``project`` and written with dynamic partition overwrite, so a batch
-rewrites only the projects it carries.
+Rows carry a ``snapshot_id`` per project (rows of streams without the column
+form one snapshot per batch).  Rows of a newer snapshot replace the project's
+facts, rows of the same snapshot add to them, so a snapshot may arrive in any
+number of batches; rows of an older one are ignored.  A row without a path says
+that the snapshot exists even if it has no files (an emptied project).
+
+Files whose signature is in the store keep their facts (J9), the others are
+parsed.  The store is Parquet partitioned by ``project``, written with dynamic
+partition overwrite; every partition holds one marker row (path '') with the
+snapshot id, so an emptied project is overwritten like any other.
 """
 from __future__ import annotations
 
@@ -17,33 +21,54 @@ from tokenloom.operators.incremental import changed_files
 
 STORE_SCHEMA = ("project string, path string, language string, lines long, functions array<string>, "
                 "classes array<string>, imports array<string>, complexity long, typed_functions long, "
-                "has_syntax_error boolean, sig string")
+                "has_syntax_error boolean, sig string, snapshot_id long")
+MARKER = ""
 
 
-def read_store(spark: SparkSession, store_path: str) -> DataFrame:
-    try:
-        return spark.read.schema(STORE_SCHEMA).parquet(store_path)
-    except Exception:  # noqa: BLE001 - no store yet
+def _stored(spark: SparkSession, store_path: str) -> DataFrame:
+    """All rows of the store, markers included; empty before the first batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], STORE_SCHEMA)
+    return spark.read.schema(STORE_SCHEMA).parquet(store_path)
 
 
-def reanalyze_batch(batch: DataFrame, store_path: str) -> None:
-    """J9 for the projects of one batch; rewrites only their store partitions."""
+def read_store(spark: SparkSession, store_path: str) -> DataFrame:
+    """The facts of every project's latest snapshot."""
+    return _stored(spark, store_path).where(F.col("path") != MARKER)
+
+
+def reanalyze_batch(batch: DataFrame, store_path: str, batch_id: int = 0) -> None:
+    """Bring the store partitions of the batch's projects up to date."""
+    from tokenloom.session import materialize
     spark = batch.sparkSession
-    projects = batch.select("project").distinct()
-    store = read_store(spark, store_path).join(projects, "project", "left_semi")
-    new = changed_files(batch, store).select(*FACT_COLUMNS, "sig")
+    if "snapshot_id" not in batch.columns:
+        batch = batch.withColumn("snapshot_id", F.lit(batch_id).cast("long"))
+    store = _stored(spark, store_path)
+    newest = (batch.groupBy("project").agg(F.max("snapshot_id").alias("b"))
+              .join(store.where(F.col("path") == MARKER).select("project", F.col("snapshot_id").alias("s")), "project", "left")
+              .select("project", F.greatest("b", "s").alias("current"), F.coalesce("s", F.lit(-1)).alias("held")))
+    newest = materialize(newest)  # one row per project of the batch
+    files = (batch.join(newest.select("project", F.col("current").alias("snapshot_id")), ["project", "snapshot_id"], "left_semi")
+             .where(F.col("path").isNotNull() & (F.col("path") != MARKER)))
+    known = store.join(newest.select("project"), "project", "left_semi").where(F.col("path") != MARKER)
+    facts = changed_files(files, known).select(*FACT_COLUMNS, "sig")
+    # a snapshot that goes on keeps what it had, but for files sent again
+    kept = (known.join(newest.where(F.col("held") == F.col("current")).select("project"), "project", "left_semi")
+            .join(files.select("project", "path"), ["project", "path"], "left_anti").select(*FACT_COLUMNS, "sig"))
+    out = facts.unionByName(kept).join(newest.select("project", F.col("current").alias("snapshot_id")), "project")
+    markers = newest.select("project", F.lit(MARKER).alias("path"), F.col("current").alias("snapshot_id"))
     # materialise before overwriting the partitions it was read from
-    from tokenloom.session import materialize
-    new = materialize(new)
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out = materialize(out.unionByName(markers, allowMissingColumns=True))
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("project").parquet(store_path))
-    new.unpersist()
+    out.unpersist()
+    newest.unpersist()
 
 
 def stream_reanalyze(files_stream: DataFrame, store_path: str, checkpoint_location: str, trigger=None):
     """Start the T3 query; returns the StreamingQuery."""
-    w = (files_stream.writeStream.foreachBatch(lambda df, _id: reanalyze_batch(df, store_path))
+    w = (files_stream.writeStream.foreachBatch(lambda df, i: reanalyze_batch(df, store_path, i))
          .option("checkpointLocation", checkpoint_location))
     if trigger is not None:
         w = w.trigger(**trigger)
