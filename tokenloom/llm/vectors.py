@@ -11,8 +11,8 @@ shard by brute force.  The beam is doubled until at least ``AUDIT_RECALL`` of
 the audited links are found (a beam as wide as the shard finds all of them).
 
 Search: every vector queries every shard.  Queries stream through the task that
-holds the shard's graph; a search keeps expanding while it meets vectors within
-the threshold, so large groups are followed to their end.  Every candidate is
+holds the shard's graph; from the hits of a beam their links are followed while
+vectors within the threshold turn up, so large groups are found to their end.  Every candidate is
 verified by its cosine in double precision.  Per query and shard only the number
 of linked vectors and one link per local component leave the task; components
 of the links are contracted by stars.
@@ -38,7 +38,7 @@ from tokenloom.llm.components import connected_components
 SHARDS = 6          # at least; more where a shard would exceed SHARD_ROWS
 SHARD_ROWS = 131_072
 DEGREE = 12         # neighbours of a vector on a level; twice as many on the lowest
-BEAM = 32           # first beam
+BEAM = 16           # first beam
 AUDIT = 64          # audited vectors of a shard
 AUDIT_RECALL = 0.99
 SLICE = 65_536      # queries that one (shard, slice) task takes at most
@@ -52,75 +52,47 @@ class Level:
         self.nodes, self.links = nodes, links
 
 
-def _search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int,
-            floor: float = 2.0, alive: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of all queries in lock step over one level's graph.
-
-    Returns per query the ``beam`` best positions and similarities (-1, -2 pad).
-    Expansion goes on as long as an unexpanded candidate is in the beam.  With a
-    ``floor`` the beam of a query is as wide as needed to hold every vector met
-    at or above it.
-    """
-    q, n = len(queries), len(x)
-    rows = np.arange(q)
-    seen = np.zeros((q, n), bool)
-    width = entry.shape[1]
-    cand = np.full((q, beam), -1, np.int64)
-    sim = np.full((q, beam), -2.0)
+def _search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray,
+            beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beam search of all queries in lock step over one level's graph: per query
+    the ``beam`` best positions and similarities (-1 and -2 pad).  Every step
+    expands each query's best unexpanded position; a query ends when its whole
+    beam is expanded."""
+    q, rows = len(queries), np.arange(len(queries))
+    seen = np.zeros((q, len(x)), bool)
+    cand, sim = np.full((q, beam), -1, np.int64), np.full((q, beam), -2.0)
     ok = entry >= 0
     first = np.where(ok, entry, 0)
-    s = np.einsum("qd,qkd->qk", queries, x[first])
-    s[~ok] = -2.0
-    keep = min(width, beam)
+    s = np.where(ok, np.einsum("qd,qkd->qk", queries, x[first]), -2.0)
+    keep = min(entry.shape[1], beam)
     top = np.argsort(-s, axis=1, kind="stable")[:, :keep]
     cand[:, :keep] = np.take_along_axis(np.where(ok, entry, -1), top, 1)
     sim[:, :keep] = np.take_along_axis(s, top, 1)
-    np.logical_or.at(seen, (np.repeat(rows, width)[ok.ravel()], first[ok]), True)
-    expanded = cand < 0
-    active = rows
+    seen[np.repeat(rows, entry.shape[1])[ok.ravel()], first[ok]] = True
+    expanded, active = cand < 0, rows
     while len(active):
         todo = ~expanded[active]
         has = todo.any(1)
-        active = active[has]
+        active, todo = active[has], todo[has]
         if not len(active):
             break
-        at = np.where(todo[has], sim[active], -3.0).argmax(1)
+        at = np.where(todo, sim[active], -3.0).argmax(1)
         node = cand[active, at]
         expanded[active, at] = True
         near = links[node]
         fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
-        if not fresh.any():
-            continue
         r, c = np.nonzero(fresh)
+        if not len(r):
+            continue
         who, what = active[r], near[r, c]
         seen[who, what] = True
         s = np.full(near.shape, -2.0)
         s[r, c] = np.einsum("nd,nd->n", queries[who], x[what])
-        new_c, new_s = np.where(fresh, near, -1), s
-        all_c = np.concatenate((cand[active], new_c), 1)
-        all_s = np.concatenate((sim[active], new_s), 1)
+        all_c = np.concatenate((cand[active], np.where(fresh, near, -1)), 1)
+        all_s = np.concatenate((sim[active], s), 1)
         all_e = np.concatenate((expanded[active], ~fresh), 1)
-        wide = cand.shape[1]
-        if floor <= 1.0:
-            need = int((all_s >= floor).sum(1).max())
-            if need > wide - beam // 2:  # room for the group and half a beam around it
-                grow = max(wide, need + beam // 2) - wide + wide // 2
-                cand = np.concatenate((cand, np.full((q, grow), -1, np.int64)), 1)
-                sim = np.concatenate((sim, np.full((q, grow), -2.0)), 1)
-                expanded = np.concatenate((expanded, np.ones((q, grow), bool)), 1)
-                wide += grow
-                all_c = np.concatenate((cand[active], new_c), 1)
-                all_s = np.concatenate((sim[active], new_s), 1)
-                all_e = np.concatenate((expanded[active], ~fresh), 1)
-        top = np.argpartition(-all_s, wide - 1, axis=1)[:, :wide] if all_s.shape[1] > wide else np.tile(
-            np.arange(all_s.shape[1]), (len(active), 1))
-        top_s = np.take_along_axis(all_s, top, 1)
-        top_e = np.take_along_axis(all_e, top, 1)
-        if floor <= 1.0 and wide > beam:
-            # beyond the first beam only vectors within the floor are expanded
-            rank = np.argsort(np.argsort(-top_s, axis=1, kind="stable"), axis=1, kind="stable")
-            top_e = top_e | ((rank >= beam) & (top_s < floor))
-        cand[active], sim[active], expanded[active] = np.take_along_axis(all_c, top, 1), top_s, top_e
+        top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
+        cand[active], sim[active], expanded[active] = (np.take_along_axis(v, top, 1) for v in (all_c, all_s, all_e))
     return cand, sim
 
 
@@ -263,10 +235,27 @@ class Shard:
         for lo in range(0, len(queries), batch):
             q = queries[lo:lo + batch]
             entry = _descend(self.x, self.levels[:-1], q) if len(self.levels) > 1 else np.zeros((len(q), 1), np.int64)
-            c, s = _search(self.x, self.levels[-1].links, q, entry, self.beam, floor=self.threshold)
-            out += [c[i][s[i] >= self.threshold] for i in range(len(q))]
+            c, s = _search(self.x, self.levels[-1].links, q, entry, self.beam)
+            out += [self._group(q[i], c[i], c[i][s[i] >= self.threshold]) for i in range(len(q))]
         return out
 
+    def _group(self, query: np.ndarray, met: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Follow the links from all hits at once, as long as new ones turn up:
+        a group larger than the beam is found to its end."""
+        if not len(hits):
+            return hits
+        links, seen = self.levels[-1].links, np.zeros(len(self.x), bool)
+        seen[met[met >= 0]] = True
+        found, edge = [hits], hits
+        while len(edge):
+            near = links[edge].ravel()
+            near = near[near >= 0]
+            near = np.unique(near[~seen[near]])
+            seen[near] = True
+            edge = near[self.x[near] @ query >= self.threshold]
+            found.append(edge)
+        return np.concatenate(found)
+
     def save(self) -> bytes:
         f = io.BytesIO()
         np.savez(f, ids=self.ids, x=self.x, beam=self.beam, threshold=self.threshold,
