@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import fnmatch
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,16 +86,30 @@ def test_ignore_rule_matching(spark):
 
 
 def test_glob_against_fnmatch(spark):
-    pats = ["*.py", "a?c", "[!x]*.md", "[a-c]*", "docs", "x.y+z", "(a)|b", "a$b^c", "we ird{1}"]
-    names = ["a.py", "abc", "x.md", "y.md", "b1", "docs", "x.y+z", "(a)|b", "a$b^c", "we ird{1}", "aXc", "d.py/q"]
+    pats = ["*.py", "a?c", "[!x]*.md", "[a-c]*", "docs", "x.y+z", "(a)|b", "a$b^c", "we ird{1}", "a[*]b", "a[?]b", "[[]x",
+            "[z-a]*", "[]a]", "[!]a]", "[a-]", "[--a]", "[!", "[a", "a[]", "[&&b]", "[\\d]", "a\nb"]
+    names = ["a.py", "abc", "x.md", "y.md", "b1", "docs", "x.y+z", "(a)|b", "a$b^c", "we ird{1}", "aXc", "d.py/q", "a*b", "a?b",
+             "axb", "[x", "]", "-", "&", "\\", "d", "[a", "[!", "a[]", "a\nb", "", "a"]
+    rnd = random.Random(5)
+    letters = "ab-z[]!*?^\\/.&~|"
     rows = [(p, n) for p in pats for n in names]
+    for _ in range(1500):
+        p = "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 8)))
+        rows += [(p, "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 5)))), (p, p.replace("*", "a").replace("?", "b"))]
     df = spark.createDataFrame(rows, "p string, n string")
     out = (df.withColumn("rx", P.glob_to_regex("p"))
-           .select("p", "n", F.expr("n RLIKE concat('^(?:', rx, ')$')").alias("m")).collect())
+           .select("p", "n", F.expr("n RLIKE concat('(?s)\\\\A(?:', rx, ')\\\\z')").alias("m")).collect())
     for r in out:
         assert r.m == fnmatch.fnmatchcase(r.n, r.p), (r.p, r.n)
 
 
+def test_bad_rules_match_nothing(spark):
+    files = spark.createDataFrame([("p", "a/[x"), ("p", "a/b.py"), ("q", "z.md")], "project string, path string")
+    rules = spark.createDataFrame([("p", 1, "[z-a]*"), ("p", 2, "[[]x"), ("q", 1, "[!z]*")], "project string, ord int, pattern string")
+    got = {r.path: r.rule_ignored for r in FL.with_rule_match(files, rules).collect()}
+    assert got == {"a/[x": True, "a/b.py": False, "z.md": False}
+
+
 def test_scores(spark):
     assert one(spark, S.session_cost(F.lit(12), F.lit(7), F.lit(2), F.lit(1)), x="") == 0.00015
     assert one(spark, S.human_count(F.lit(1_234_567)), x="") == "1.23M"

@@ -37,3 +37,30 @@ def test_changed_files_and_invalidate(spark):
     assert sig == f"{int(t0.timestamp()) * 1_000_000_000}:10"
     left = invalidate(store, spark.createDataFrame([("p", "a.py")], "project string, path string"))
     assert [r.path for r in left.collect()] == ["b.go"]
+
+
+def test_store_follows_split_and_emptied_snapshots(spark, tmp_path):
+    """A snapshot in two batches keeps all its facts, a newer one replaces
+    them, an emptied project leaves none, late rows of an old one change nothing."""
+    from tokenloom.streaming.reanalyze import read_store, reanalyze_batch
+    store = str(tmp_path / "store")
+    schema = "project string, path string, content string, size_bytes long, mtime timestamp, snapshot_id long"
+    at = __import__("datetime").datetime(2024, 1, 1)
+
+    def feed(*rows):
+        reanalyze_batch(spark.createDataFrame([(p, f, c, len(c or ""), at, s) for p, f, c, s in rows], schema), store)
+        return sorted((r.project, r.path, r.functions[0] if r.functions else "") for r in read_store(spark, store).collect())
+
+    a, b = "def a():\n    pass\n", "def bb():\n    pass\n"
+    assert feed(("p", "a.py", a, 1), ("q", "q.py", a, 1)) == [("p", "a.py", "a"), ("q", "q.py", "a")]
+    assert feed(("p", "b.py", b, 1)) == [("p", "a.py", "a"), ("p", "b.py", "bb"), ("q", "q.py", "a")]
+    assert feed(("p", "b.py", b, 2)) == [("p", "b.py", "bb"), ("q", "q.py", "a")]
+    assert feed(("p", "a.py", a, 1)) == [("p", "b.py", "bb"), ("q", "q.py", "a")]
+    assert feed(("q", None, None, 2)) == [("p", "b.py", "bb")]
+
+
+def test_new_rules_keep_the_suggestion_order(spark):
+    from tokenloom.sources.rules import append_rules
+    rules = spark.createDataFrame([("p", 3, "old")], "project string, ord int, pattern string")
+    new = spark.createDataFrame([("p", "zz", 1), ("p", "aa", 2), ("p", "old", 3)], "project string, pattern string, rank long")
+    assert [(r.ord, r.pattern) for r in append_rules(rules, new).orderBy("ord").collect()] == [(4, "zz"), (5, "aa")]

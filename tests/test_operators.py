@@ -84,3 +84,19 @@ def test_partition_invariance(spark, sf_small, parts):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     for q in INVARIANT:
         assert again[q] == base[q], q
+
+
+def test_unused_symbols_follow_brute_force(spark):
+    """J5 with symbols of all lengths, and a very long word."""
+    import random
+
+    from tokenloom.operators.deadcode import unused_symbols
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 12))) for _ in range(120)]
+    texts = {f"f{k}.py": " ".join(rnd.sample(words, 40)) + (" " + "abcab" * 4000 if k == 0 else "") for k in range(6)}
+    rows = [("p", path, text, sorted(set(text.split()))) for path, text in texts.items()]
+    got = {(r.path, r.symbol) for r in unused_symbols(spark.createDataFrame(
+        rows, "project string, path string, content string, symbols array<string>")).collect()}
+    want = {(p, s) for _, p, t, symbols in rows for s in symbols
+            if t.count(s) <= 1 and not any(s in o for q, o in texts.items() if q != p)}
+    assert got == want and want

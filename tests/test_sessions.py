@@ -74,3 +74,62 @@ def test_read_session_files(spark, tmp_path):
     a = got["abcdef0123"]
     assert (a.project, a.turns, a.input_tokens, a.output_tokens, a.total_tokens) == ("myproj", 3, 12, 7, 19)
     assert (got["zzz"].turns, got["zzz"].cache_read) == (1, 4)
+
+
+def test_sessions_of_two_projects_stay_apart(spark):
+    """J10 and T1 key by (project, session): the same id and uuid in two projects."""
+    from tokenloom.operators.sessions import session_delta
+    lines = log_df(spark)
+    both = lines.unionByName(lines.selectExpr("'other' as project", "session_id", "line_no", "raw", "file_mtime").where("line_no = 1"))
+    usage = session_usage(both)
+    before = session_usage(both.where("line_no = 1"))
+    got = {r.project: r for r in session_delta(usage, before).collect()}
+    assert {p: (r.input_tokens, r.delta_input) for p, r in got.items()} == {"proj": (12, 2), "other": (10, 0)}
+
+
+def test_stream_step_ignores_row_order_and_batches(spark):
+    """The first line of a uuid wins however rows, Arrow chunks and refreshes are cut."""
+    import random
+
+    import pandas as pd
+
+    from tokenloom.streaming.sessions import COUNTS, _update
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    rnd = random.Random(3)
+    rows = [("s", n, f"u{n % 4}" if n % 5 else "", n % 3 != 0, n, 2 * n, 1, 1) for n in range(30)]
+    names = ["session_id", "line_no", "uuid", "has_usage", *COUNTS]
+    pdf = pd.DataFrame(rows, columns=names).assign(project="p", type="assistant", file_mtime=pd.Timestamp("2024-01-01"))
+
+    def run(chunks):
+        state, last = State(), None
+        for refresh in chunks:
+            last = next(iter(_update(("p", "s"), iter(refresh), state)))
+        return last[[*COUNTS, "turns"]].iloc[0].tolist()
+
+    want = run([[pdf]])
+    first = pdf[(pdf.uuid != "")].sort_values("line_no").drop_duplicates("uuid")
+    used = pd.concat([first, pdf[pdf.uuid == ""]])
+    used = used[used.has_usage]
+    assert want == [int(used[c].sum()) for c in COUNTS] + [len(used)]
+    for _ in range(20):
+        order = list(range(30))
+        rnd.shuffle(order)
+        mixed = pdf.iloc[order]
+        parts = [mixed.iloc[i:i + 4] for i in range(0, 30, 4)]
+        assert run([parts]) == want and run([parts[:3], parts[3:5], parts[5:]]) == want
+
+
+def test_stream_cost_rounds_like_the_batch(spark):
+    from pyspark.sql import functions as F
+
+    from tokenloom.functions.scores import session_cost
+    from tokenloom.streaming.sessions import _cost
+    rows = [(i, 3 * i + 1, 7 * i % 13, i % 5) for i in range(0, 4000, 7)]
+    df = spark.createDataFrame(rows, "i long, o long, w long, r long").withColumn("c", session_cost("i", "o", "w", "r"))
+    assert all(r.c == _cost(r.i, r.o, r.w, r.r) for r in df.collect())
