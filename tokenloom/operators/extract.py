@@ -111,13 +111,11 @@ def extract_go_facts(files: DataFrame) -> DataFrame:
     g = parse_scope(files).where(F.col("path").endswith(GO_EXTENSIONS[0])).select(
         "project", "path", F.col("content").alias("src"))
     blocks = F.regexp_extract_all("src", F.lit(GO_IMPORT_BLOCK_RE), 1)
-    block_imports = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(GO_IMPORT_PATH_RE), 1)))
     singles = F.regexp_extract_all("src", F.lit(GO_IMPORT_SINGLE_RE), 1)
     pre = g.select("project", "path", "src", F.regexp_extract_all("src", F.lit(GO_FUNC_RE), 1).alias("functions"),
                    blocks.alias("blocks"))
     imports = F.transform(F.when(F.size("blocks") > 0, F.flatten(F.transform("blocks", lambda b: F.regexp_extract_all(
         b, F.lit(GO_IMPORT_PATH_RE), 1)))).otherwise(singles), lambda p: F.substring_index(p, "/", -1))
-    del block_imports
     return pre.select(
         "project", "path", F.lit("go").alias("language"), line_count("src").alias("lines"), "functions",
         F.regexp_extract_all("src", F.lit(GO_TYPE_RE), 1).alias("classes"), imports.alias("imports"),

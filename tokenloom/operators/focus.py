@@ -82,11 +82,11 @@ def rank_files(files: DataFrame, query: str, top: int = 8, rules: DataFrame | No
     """Per project, the ``top`` files most relevant to ``query``.
 
     Output ``project, rank, path, score, tokens, reason``; ties by path.
-    Score, tokens and reason are computed row-locally on the scan, so no file
-    content is shuffled: only the (small) hit rows meet the project's ignore
-    rules (``rules`` given: F1-F3 visibility, default dirs when a project has
-    none) and the per-project top-k.  Pass ``tokens_col`` when the files
-    already carry U4 token counts.
+    ``rules`` (F1-F3 visibility, default dirs when a project has none) decide
+    on paths first, so the text of an ignored file is never tokenised; the rule
+    rows are broadcast while they are small.  Score, tokens and reason are then
+    computed row-locally and only narrow rows enter the per-project top-k.
+    Pass ``tokens_col`` when the files already carry U4 token counts.
     """
     from tokenloom.operators.filters import visible, with_rule_match
 
@@ -94,6 +94,8 @@ def rank_files(files: DataFrame, query: str, top: int = 8, rules: DataFrame | No
     # every expression over the text in one projection: the text is lowered
     # and tokenised once per file
     tok = F.col(tokens_col) if tokens_col else approx_tokens("content")
+    if rules is not None:
+        files = with_rule_match(files, rules).where(visible(egg_info_suffix=False))
     pre = files.select("project", "path", tok.alias("tokens"), F.lower("content").alias("_lc"),
                        word_tokens("content").alias("_toks"), word_tokens("path").alias("_ptoks"))
     mid = pre.select("project", "path", "tokens", "_ptoks", F.size("_toks").alias("_ntok"),
@@ -105,8 +107,6 @@ def rank_files(files: DataFrame, query: str, top: int = 8, rules: DataFrame | No
     # re-evaluate the score expression per use.
     hits = (mid.select("project", "path", raw.alias("raw_score"), "tokens", "reason")
             .withColumn("score", F.round("raw_score", 2)))
-    if rules is not None:
-        hits = with_rule_match(hits, rules).where(visible(egg_info_suffix=False)).drop("has_rules", "rule_ignored")
     w = Window.partitionBy("project").orderBy(F.desc("score"), F.desc(F.col("raw_score") > 0), "path")
     ranked = (hits.withColumn("rank", F.row_number().over(w))
               .where((F.col("rank") <= top) & (F.col("raw_score") > 0)))
