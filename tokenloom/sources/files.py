@@ -4,7 +4,8 @@ Spark's file sources skip names starting with '_' or '.', which loses
 ``__init__.py`` and rule files; this source walks the trees itself and keeps
 them.  Partitions are shards of each root's entries, listed on the driver
 (directories only, a few levels at most); the deep walk and the reads run in
-the executors.  Unreadable files are skipped; text is decoded as UTF-8 with
+the executors.  A folder that can't be listed and a file that
+can't be read end the job, files without permission are skipped; text is decoded as UTF-8 with
 undecodable bytes dropped.  Persist the result as Parquet partitioned by
 ``project`` and run the operators on that.
 """
@@ -30,6 +31,10 @@ def _local(uri: str) -> str:
 FILES_SCHEMA = "project string, path string, content string, size_bytes bigint, mtime timestamp"
 
 
+def _fail(error: OSError):
+    raise error
+
+
 class ProjectFilesDataSource(DataSource):
     """Options: ``roots`` (comma-separated folders, one project each; the
     project name is the folder name) or ``projects_root`` (every sub-folder
@@ -52,11 +57,8 @@ class ProjectFilesReader(DataSourceReader):
         parent = options.get("projects_root")
         parent = _local(parent) if parent else parent
         if parent:
-            try:
-                self.roots += [os.path.join(parent, d) for d in sorted(os.listdir(parent))
-                               if os.path.isdir(os.path.join(parent, d))]
-            except OSError:
-                pass
+            self.roots += [os.path.join(parent, d) for d in sorted(os.listdir(parent))
+                           if os.path.isdir(os.path.join(parent, d))]
         self.shards = int(options.get("shards_per_root", 64))
 
     def partitions(self):
@@ -77,21 +79,14 @@ class ProjectFilesReader(DataSourceReader):
     def _units(self, root: str, max_depth: int = 3):
         """(relative entry, recursive?) units: expand directories breadth-first
         until there are at least ``shards`` units or ``max_depth`` is reached."""
-        try:
-            units = [(e, True) for e in sorted(os.listdir(root))]
-        except OSError:
-            return []
+        units = [(e, True) for e in sorted(os.listdir(root))]  # a folder that can't be listed is an error
         depth = 1
         while len(units) < self.shards and depth < max_depth:
             nxt, expanded = [], False
             for rel, rec in units:
                 full = os.path.join(root, rel)
                 if rec and os.path.isdir(full) and not os.path.islink(full):
-                    try:
-                        kids = sorted(os.listdir(full))
-                    except OSError:
-                        nxt.append((rel, rec))
-                        continue
+                    kids = sorted(os.listdir(full))
                     expanded = True
                     nxt.append((rel, False))          # the folder's own files
                     nxt.extend((os.path.join(rel, k), True) for k in kids
@@ -111,14 +106,11 @@ class ProjectFilesReader(DataSourceReader):
             if os.path.isfile(top):
                 paths = [top]
             elif not recursive:
-                try:
-                    paths = [os.path.join(top, f) for f in sorted(os.listdir(top))
-                             if os.path.isfile(os.path.join(top, f))]
-                except OSError:
-                    paths = []
+                paths = [os.path.join(top, f) for f in sorted(os.listdir(top))
+                         if os.path.isfile(os.path.join(top, f))]
             else:
                 paths = []
-                for dirpath, dirnames, filenames in os.walk(top):
+                for dirpath, dirnames, filenames in os.walk(top, onerror=_fail):
                     dirnames.sort()
                     paths.extend(os.path.join(dirpath, f) for f in sorted(filenames))
             for p in paths:
@@ -126,8 +118,8 @@ class ProjectFilesReader(DataSourceReader):
                     st = os.stat(p)
                     with open(p, "rb") as fh:
                         data = fh.read()
-                except OSError:
-                    continue
+                except PermissionError:
+                    continue  # a file nobody may read is skipped; any other error ends the job
                 rel_path = os.path.relpath(p, root).replace(os.sep, "/")
                 yield (project, rel_path, data.decode("utf-8", errors="ignore"), int(st.st_size),
                        _dt.datetime.fromtimestamp(st.st_mtime_ns / 1e9, tz=_dt.timezone.utc))
