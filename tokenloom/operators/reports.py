@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions.scores import reduction_pct
 from tokenloom.functions.text import approx_tokens, pystrip, signature_lines, strip_boilerplate
 from tokenloom.operators.filters import DOC_EXTENSIONS
 
@@ -104,9 +105,7 @@ def snapshot_stats(snap: DataFrame, budget: DataFrame) -> DataFrame:
     s = snap.select("project", approx_tokens("doc").alias("snapshot_tokens"))
     j = s.join(budget.select("project", F.col("optimized").alias("with_rules_tokens")), "project")
     return j.select("project", "with_rules_tokens", "snapshot_tokens",
-                    F.when(F.col("with_rules_tokens") > 0,
-                           F.round((1 - F.col("snapshot_tokens") / F.col("with_rules_tokens")) * 100.0, 1))
-                    .otherwise(F.lit(0.0)).alias("reduction_pct"))
+                    reduction_pct("snapshot_tokens", "with_rules_tokens").alias("reduction_pct"))
 
 
 # Rules recommended in the generated project doc.

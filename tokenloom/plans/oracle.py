@@ -87,6 +87,18 @@ SELECT doc_id, CAST(len({_words('text')}) AS BIGINT) AS n_words,
 FROM documents
 """
 
+def _short(x: str) -> str:
+    return (f"CASE WHEN {x} >= 1000000 THEN format('{{:.2f}}M', ({x}) / 1000000.0) WHEN {x} >= 1000 THEN "
+            f"CAST((({x}) + 50) // 1000 AS VARCHAR) || '.' || CAST((({x}) + 50) // 100 % 10 AS VARCHAR) || 'k' "
+            f"ELSE CAST({x} AS VARCHAR) END")
+
+
+ORACLE["size_labels"] = f"""
+SELECT doc_id, {_short('n_chars')} AS chars, {_short('(n_chars * 997 + 13)')} AS scaled,
+       CASE WHEN length(text) > 0 THEN round((1 - length(replace(text, ' ', '')) / length(text)) * 100.0, 1) ELSE 0.0 END AS blank_pct
+FROM documents
+"""
+
 ORACLE["file_flags"] = corpus_sql("""
 SELECT project, path, tokens, is_binary,
        list_has_any(parts, ['.venv', 'venv', '__pycache__', '.git', 'node_modules', 'dist', 'build', '.egg-info',

@@ -62,6 +62,16 @@ def q_word_tokens(spark, sf_dir):
                     line_count("text").alias("n_lines"), approx_tokens("text").alias("approx_tokens"))
 
 
+@register("size_labels")
+def q_size_labels(spark, sf_dir):
+    """C14 + C17: short forms of two counts and the share of blanks per document."""
+    from tokenloom.functions.scores import human_count, reduction_pct
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dense = F.length(F.replace("text", F.lit(" "), F.lit("")))
+    return d.select("doc_id", human_count(F.col("n_chars")).alias("chars"), human_count(F.col("n_chars") * 997 + 13).alias("scaled"),
+                    reduction_pct(dense, F.length("text")).alias("blank_pct"))
+
+
 @register("ignore_rules")
 def q_ignore_rules(spark, sf_dir):
     """S2."""
