@@ -53,13 +53,10 @@ def framework_decorated(defs: DataFrame) -> DataFrame:
 GRAM = 5
 
 
-def _grams(word: Column, sizes) -> Column:
-    """Distinct substrings of ``word`` of the given sizes: at most one of each
-    size per letter, so the index grows linearly with the words."""
-    def of(n):
-        starts = F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: i <= F.length(word) - n + 1)
-        return F.transform(starts, lambda i: F.substring(word, i, n))
-    return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
+def _grams(word: Column, size: int) -> Column:
+    """Distinct substrings of ``size`` letters of a word of at least that many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - size + 1),
+                                        lambda i: F.substring(word, i, size)))
 
 
 def summary_columns(content: Column, symbols: Column) -> dict[str, Column]:
@@ -87,25 +84,32 @@ def symbol_usage(summary: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per ``(project, symbol)`` the first and last source file (by path) whose
     text contains the symbol.
 
-    A symbol of at most ``GRAM`` letters is a gram: its files are those of the
-    gram.  A longer one is contained only in words that hold its rarest gram;
+    A symbol of at most ``GRAM`` letters is itself a gram of the words that
+    contain it.  A longer one is contained only in words that hold its rarest gram;
     these are joined on that gram and verified with ``contains``."""
     words = summary.select("project", "path", F.explode("words").alias("w"))
     word_files = words.groupBy("project", "w").agg(F.min("path").alias("first_file"), F.max("path").alias("last_file"))
-    index = word_files.select("project", "w", "first_file", "last_file", F.explode(_grams(F.col("w"), range(1, GRAM + 1))).alias("gram"))
-    per_gram = index.groupBy("project", "gram").agg(F.min("first_file").alias("first_file"), F.max("last_file").alias("last_file"),
-                                                    F.count(F.lit(1)).alias("n"))
     asked = symbols.select("project", "symbol").distinct()
-    short = (asked.where(F.length("symbol") <= GRAM)
-             .join(per_gram.select("project", F.col("gram").alias("symbol"), "first_file", "last_file"), ["project", "symbol"]))
+    files = [F.min("first_file").alias("first_file"), F.max("last_file").alias("last_file")]
+
+    index = (word_files.where(F.length("w") >= GRAM)
+             .select("project", "w", "first_file", "last_file", F.explode(_grams(F.col("w"), GRAM)).alias("gram")))
+    per_gram = index.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (asked.where(F.length("symbol") > GRAM)
-              .select("project", "symbol", F.explode(_grams(F.col("symbol"), [GRAM])).alias("gram"))
-              .join(per_gram.select("project", "gram", "n"), ["project", "gram"])
+              .select("project", "symbol", F.explode(_grams(F.col("symbol"), GRAM)).alias("gram"))
+              .join(per_gram, ["project", "gram"])
               .groupBy("project", "symbol").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
-    held = (rarest.join(index.where(F.length("gram") == GRAM), ["project", "gram"])
-            .where(F.contains("w", "symbol"))
-            .groupBy("project", "symbol").agg(F.min("first_file").alias("first_file"), F.max("last_file").alias("last_file")))
-    return short.unionByName(held)
+    held = (rarest.join(index, ["project", "gram"]).where(F.contains("w", "symbol"))
+            .groupBy("project", "symbol").agg(*files))
+    short = asked.where(F.length("symbol") <= GRAM)
+    if short.isEmpty():
+        return held
+    for n in range(1, GRAM + 1):
+        of_size = (word_files.where(F.length("w") >= n)
+                   .select("project", "first_file", "last_file", F.explode(_grams(F.col("w"), n)).alias("symbol")))
+        held = held.unionByName(of_size.join(short.where(F.length("symbol") == n), ["project", "symbol"], "left_semi")
+                                .groupBy("project", "symbol").agg(*files))
+    return held
 
 
 def unused_from_summary(summary: DataFrame) -> DataFrame:
