@@ -84,3 +84,17 @@ def test_odd_vectors(spark):
     assert {i for i, r in got.items() if r.n_links == 4} == {1, 2, 3, 11, 12} and {got[i].component_id for i in (1, 2, 3, 11, 12)} == {1}
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in (4, 5, 6, 7, 8, 9, 10, 13))
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_audit_of_a_table_without_pairs(monkeypatch):
+    """A shard whose vectors link with nothing must still widen a beam that misses."""
+    monkeypatch.setattr(vectors, "BEAM", 1)
+    x = np.random.default_rng(3).normal(size=(3000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ((x @ x.T >= 0.9).sum(1) == 1).all()
+    shard = vectors.Shard(np.arange(len(x)), x, 0.9)
+    assert shard.beam > 1
+    move = np.random.default_rng(4).normal(size=x.shape)
+    move -= (move * shard.x).sum(1, keepdims=True) * shard.x
+    q = 0.91 * shard.x + (1 - 0.91 ** 2) ** 0.5 * move / np.linalg.norm(move, axis=1, keepdims=True)
+    assert sum(i in hit for i, hit in enumerate(shard.near(q))) >= 0.98 * len(q)

@@ -6,9 +6,12 @@ small-world graph: every vector draws a top level, each level is a graph over
 the vectors that reach it, built from the top down by beam searches that start
 from the level above, with diverse neighbours and pruned back links.
 
-Audit: in each shard a fixed set of its own vectors is compared with the whole
-shard by brute force.  The beam is doubled until at least ``AUDIT_RECALL`` of
-the audited links are found (a beam as wide as the shard finds all of them).
+Audit: each shard is asked by vectors drawn from all shards and by seeded copies
+of its own vectors moved away to just within the threshold, none of them nodes
+of the graph, and the answers are compared with brute force.  A moved copy links
+with its original at least, so no audit is empty.  The beam is doubled until at
+least ``AUDIT_RECALL`` of the originals, and of all audited links, are found (a
+beam as wide as the shard finds all of them).
 
 Search: every vector queries every shard.  Queries stream through the task that
 holds the shard's graph; from the hits of a beam their links are followed while
@@ -39,7 +42,8 @@ SHARDS = 6          # at least; more where a shard would exceed SHARD_ROWS
 SHARD_ROWS = 131_072
 DEGREE = 12         # neighbours of a vector on a level; twice as many on the lowest
 BEAM = 16           # first beam
-AUDIT = 64          # audited vectors of a shard
+AUDIT = 512         # moved copies that audit a shard
+ASKED = 256         # vectors of all shards that audit every shard
 AUDIT_RECALL = 0.99
 SLICE = 65_536      # queries that one (shard, slice) task takes at most
 BATCH = 512         # queries searched in lock step
@@ -202,7 +206,7 @@ def _descend(x: np.ndarray, levels: list[Level], queries: np.ndarray, beam: int
 class Shard:
     """A built graph with its vectors in the order of the lowest level."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, threshold: float):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, threshold: float, asked: np.ndarray | None = None):
         self.threshold = threshold
         self.levels = build(x)
         nodes = self.levels[-1].nodes
@@ -210,19 +214,29 @@ class Shard:
         back = np.argsort(nodes, kind="stable")
         self.levels = [Level(back[lv.nodes], lv.links) for lv in self.levels]
         self.beam = BEAM
-        self._audit()
+        self._audit(asked)
 
-    def _audit(self) -> None:
+    def _audit(self, asked: np.ndarray | None = None) -> None:
         """Widen the beam until the audited links are found."""
         n = len(self.x)
         some = np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(int))
-        true = self.x[some] @ self.x.T >= self.threshold
-        true[np.arange(len(some)), some] = False
+        queries = _moved(self.x, some, self.threshold)
+        if asked is not None and len(asked):
+            queries = np.concatenate((queries, asked))
         while self.beam < n:
-            found = np.zeros_like(true)
-            for i, hit in zip(range(len(some)), self.near(self.x[some])):
-                found[i, hit] = True
-            if (found & true).sum() >= AUDIT_RECALL * true.sum():
+            own = ours = found = true = 0
+            for lo in range(0, len(queries), 64):
+                q = queries[lo:lo + 64]
+                near = q @ self.x.T >= self.threshold
+                for k, hit in enumerate(self.near(q)):
+                    if lo + k < len(some) and near[k, some[lo + k]]:
+                        ours += 1
+                        own += some[lo + k] in hit
+                    # an asked vector that is a node finds itself: no link
+                    near[k, hit[self.x[hit] @ q[k] > 1 - 1e-12]] = False
+                    found += near[k, hit].sum()
+                true += near.sum()
+            if own >= AUDIT_RECALL * ours and found >= AUDIT_RECALL * true:
                 return
             self.beam *= 2
 
@@ -272,16 +286,29 @@ class Shard:
         return out
 
 
+def _moved(x: np.ndarray, some: np.ndarray, threshold: float, seed: int = 5) -> np.ndarray:
+    """Copies of ``x[some]`` moved to just within the threshold, in turn in a
+    random direction and towards another vector."""
+    draw = np.random.default_rng(seed)
+    own, cos = x[some], min(threshold + 0.02 * (1 - threshold), 1.0)
+    away = draw.normal(size=own.shape)
+    away[1::2] = x[draw.integers(0, len(x), len(some))][1::2] + 1e-3 * away[1::2]
+    away -= np.einsum("nd,nd->n", away, own)[:, None] * own
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+    out = cos * own + np.sqrt(1 - cos * cos) * away
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
 def _unit(vectors) -> np.ndarray:
     x = np.array(list(vectors), dtype=np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # so that tiny and huge vectors neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _index(threshold: float):
+def _index(threshold: float, asked: dict[int, np.ndarray]):
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
-        graph = Shard(pdf["rep"].to_numpy(np.int64), _unit(pdf["v"]), threshold)
+        graph = Shard(pdf["rep"].to_numpy(np.int64), _unit(pdf["v"]), threshold, asked.get(int(pdf["dim"].iloc[0])))
         size = pdf["size"].to_numpy(np.int64)[np.searchsorted(pdf["rep"].to_numpy(np.int64), graph.ids)]
         return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]],
                              "graph": [graph.save()], "sizes": [size]})
@@ -346,8 +373,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     n = classes.count()
     shards, slices = max(SHARDS, -(-n // SHARD_ROWS)), max(4, -(-n // SLICE))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    drawn = classes.filter(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(max(1, n // ASKED))) == 0).limit(2 * ASKED)
+    asked: dict[int, list] = {}
+    for r in drawn.select("dim", "v").collect():  # bounded by ASKED
+        asked.setdefault(r["dim"], []).append(r["v"])
     graphs = scratch.keep(dealt.groupBy("dim", "shard").applyInPandas(
-        _index(threshold), "dim long, shard long, graph binary, sizes array<long>"))
+        _index(threshold, {k: _unit(v) for k, v in asked.items()}), "dim long, shard long, graph binary, sizes array<long>"))
     key = F.concat_ws(":", "dim", "shard", "slice")
     held = graphs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(
         key.alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rep"),
