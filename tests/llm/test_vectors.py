@@ -98,3 +98,16 @@ def test_audit_of_a_table_without_pairs(monkeypatch):
     move -= (move * shard.x).sum(1, keepdims=True) * shard.x
     q = 0.91 * shard.x + (1 - 0.91 ** 2) ** 0.5 * move / np.linalg.norm(move, axis=1, keepdims=True)
     assert sum(i in hit for i, hit in enumerate(shard.near(q))) >= 0.98 * len(q)
+
+
+def test_first_beam_finds_isolated_partners(monkeypatch):
+    """Without the audit's help: construction and first beam on vectors that link with nothing."""
+    monkeypatch.setattr(vectors.Shard, "_audit", lambda self, asked=None: None)
+    x = np.random.default_rng(6).normal(size=(12_000, 96))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shard = vectors.Shard(np.arange(len(x)), x, 0.9)
+    some = np.random.default_rng(7).choice(len(x), 2000, replace=False)
+    move = np.random.default_rng(8).normal(size=(len(some), 96))
+    move -= (move * shard.x[some]).sum(1, keepdims=True) * shard.x[some]
+    q = 0.905 * shard.x[some] + (1 - 0.905 ** 2) ** 0.5 * move / np.linalg.norm(move, axis=1, keepdims=True)
+    assert sum(i in hit for i, hit in zip(some, shard.near(q))) >= 0.97 * len(some)

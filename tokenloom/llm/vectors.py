@@ -41,7 +41,8 @@ from tokenloom.llm.components import connected_components
 SHARDS = 6          # at least; more where a shard would exceed SHARD_ROWS
 SHARD_ROWS = 131_072
 DEGREE = 12         # neighbours of a vector on a level; twice as many on the lowest
-BEAM = 16           # first beam
+BUILD_BEAM = 32     # beam of the construction
+BEAM = 32           # first beam of the search
 AUDIT = 512         # moved copies that audit a shard
 ASKED = 256         # vectors of all shards that audit every shard
 AUDIT_RECALL = 0.99
@@ -159,7 +160,7 @@ def _back_links(x: np.ndarray, links: np.ndarray, new: np.ndarray, degree: int)
         links[o] = _diverse(x, o, cand, sim, degree)
 
 
-def build(x: np.ndarray, beam: int = BEAM, seed: int = 11) -> list[Level]:
+def build(x: np.ndarray, beam: int = BUILD_BEAM, seed: int = 11) -> list[Level]:
     """Levels of the graph over unit vectors, highest first."""
     n = len(x)
     level = np.minimum((-np.log(np.random.default_rng(seed).random(n)) / np.log(DEGREE)).astype(int), 12)
