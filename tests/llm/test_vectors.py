@@ -100,6 +100,34 @@ def test_audit_of_a_table_without_pairs(monkeypatch):
     assert sum(i in hit for i, hit in enumerate(shard.near(q))) >= 0.98 * len(q)
 
 
+def test_links_count_for_both_ends(spark, monkeypatch):
+    """Searches that find each link from one end only must not halve n_links."""
+    near = vectors.Shard.near
+
+    def one_way(self, queries):
+        for q, hit in zip(queries, near(self, queries)):
+            yield hit[self.x[hit, 0] >= q[0]]
+
+    x = _groups(6, 25, 200, seed=8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links, roots = _brute(list(range(len(x))), x, 0.9)
+    monkeypatch.setattr(vectors.Shard, "_audit", lambda self, asked=None: None)
+    monkeypatch.setattr(vectors.Shard, "near", one_way)
+    got = sorted(vectors.near_duplicates(df).collect())
+    assert sum(r.n_links for r in got) >= 0.99 * links.sum() and all(r.n_links <= n for r, n in zip(got, links))
+    assert [r.component_id for r in got] == roots
+    assert all(r.kept or r.n_links for r in got)
+
+
+def test_large_groups_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PAIRS", 3)
+    x = _groups(6, 60, 100, seed=9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links, roots = _brute(list(range(len(x))), x, 0.9)
+    got = sorted(vectors.near_duplicates(df).collect())
+    assert [r.n_links for r in got] == links.tolist() and [r.component_id for r in got] == roots
+
+
 def test_first_beam_finds_isolated_partners(monkeypatch):
     """Without the audit's help: construction and first beam on vectors that link with nothing."""
     monkeypatch.setattr(vectors.Shard, "_audit", lambda self, asked=None: None)

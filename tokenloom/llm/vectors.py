@@ -16,9 +16,11 @@ beam as wide as the shard finds all of them).
 Search: every vector queries every shard.  Queries stream through the task that
 holds the shard's graph; from the hits of a beam their links are followed while
 vectors within the threshold turn up, so large groups are found to their end.  Every candidate is
-verified by its cosine in double precision.  Per query and shard only the number
-of linked vectors and one link per local component leave the task; components
-of the links are contracted by stars.
+verified by its cosine in double precision.  Per query and shard at most
+``PAIRS`` links leave the task as pairs; they count for both ends, whichever end
+found them.  A query with more links in a shard is counted there by brute force,
+and only links that connect what the task found leave it.  Components of the
+links are contracted by stars.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and vectors of another length than the query's, link with nothing;
@@ -46,6 +48,7 @@ BEAM = 32           # first beam of the search
 AUDIT = 512         # moved copies that audit a shard
 ASKED = 256         # vectors of all shards that audit every shard
 AUDIT_RECALL = 0.99
+PAIRS = 128         # links of a query in a shard that are paired; beyond it they are counted
 SLICE = 65_536      # queries that one (shard, slice) task takes at most
 BATCH = 512         # queries searched in lock step
 
@@ -241,18 +244,21 @@ class Shard:
                 return
             self.beam *= 2
 
-    def near(self, queries: np.ndarray) -> list[np.ndarray]:
-        """Positions at or above the threshold for each query."""
-        if self.beam >= len(self.x):
-            return [np.flatnonzero(r >= self.threshold) for r in queries @ self.x.T]
-        out = []
+    def near(self, queries: np.ndarray):
+        """Positions at or above the threshold for each query, one after the other;
+        more than ``PAIRS`` of them are all there are, by brute force."""
         batch = max(16, min(BATCH, (1 << 25) // len(self.x)))  # the seen table stays below 32 MB
+        if self.beam >= len(self.x):
+            for lo in range(0, len(queries), 16):
+                yield from (np.flatnonzero(r >= self.threshold) for r in queries[lo:lo + 16] @ self.x.T)
+            return
         for lo in range(0, len(queries), batch):
             q = queries[lo:lo + batch]
             entry = _descend(self.x, self.levels[:-1], q) if len(self.levels) > 1 else np.zeros((len(q), 1), np.int64)
             c, s = _search(self.x, self.levels[-1].links, q, entry, self.beam)
-            out += [self._group(q[i], c[i], c[i][s[i] >= self.threshold]) for i in range(len(q))]
-        return out
+            for i in range(len(q)):
+                hit = self._group(q[i], c[i], c[i][s[i] >= self.threshold])
+                yield hit if len(hit) <= PAIRS else np.flatnonzero(self.x @ q[i] >= self.threshold)
 
     def _group(self, query: np.ndarray, met: np.ndarray, hits: np.ndarray) -> np.ndarray:
         """Follow the links from all hits at once, as long as new ones turn up:
@@ -319,9 +325,10 @@ def _index(threshold: float, asked: dict[int, np.ndarray]):
 def _query(batches):
     """Rows sorted by (key, graph first): a shard's graph, then its queries.
 
-    Per query: the rows it links with, and links that connect what it found.
-    Hits that the task has already joined need no further link, so at most one
-    link per query and one per vector of the shard leave the task."""
+    Per query: links that connect what it found, and its links as pairs with
+    their sizes or, beyond ``PAIRS``, the rows it links with as a count.  Hits
+    that the task has already joined need no further link, so at most one link
+    per query and one per vector of the shard are there to connect."""
     graph = sizes = root = key = None
 
     def find(i):
@@ -340,7 +347,9 @@ def _query(batches):
             asks = part[~is_graph]
             if not len(asks) or k != key:
                 continue
-            for i, hit in zip(asks["rep"].tolist(), graph.near(_unit(asks["v"]))):
+            shard = int(str(k).split(":")[1])
+            for i, home, size, hit in zip(asks["rep"].tolist(), asks["home"].tolist(), asks["size"].tolist(),
+                                          graph.near(_unit(asks["v"]))):
                 hit = hit[graph.ids[hit] != i]
                 if not len(hit):
                     continue
@@ -351,9 +360,32 @@ def _query(batches):
                     if r != first:
                         root[r] = first
                         joins.append(j)
-                out.append((i, int(sizes[hit].sum()), graph.ids[joins]))
+                counted = len(hit) > PAIRS
+                told = np.array(joins) if counted else hit  # what connects counts for both ends in any case
+                out.append((i, int(home), int(size), shard, int(sizes[hit].sum()) if counted else None,
+                            graph.ids[joins], graph.ids[told], sizes[told]))
         if out:
-            yield pd.DataFrame(out, columns=["rep", "linked", "others"])
+            out = pd.DataFrame(out, columns=["rep", "home", "size", "shard", "counted", "others", "told", "sizes"])
+            yield out.astype({"counted": "Int64"})
+
+
+FOUND = ("rep long, home long, size long, shard long, counted long, others array<long>, told array<long>, "
+         "sizes array<long>")
+
+
+def _linked(found: DataFrame) -> DataFrame:
+    """(rep, linked) from the rows of ``_query``: where a vector was counted in a
+    shard, the count; elsewhere its distinct pairs with vectors of that shard,
+    found from either end."""
+    counted = found.filter("counted is not null").select("rep", "shard", F.col("counted").alias("n"))
+    ends = found.select("rep", "home", "size", "shard", F.explode(F.arrays_zip("told", "sizes")).alias("t")).select(
+        "rep", "home", "size", "shard", F.col("t.told").alias("other"), F.col("t.sizes").alias("n"))
+    pairs = (ends.select("rep", "shard", "other", "n")
+             .unionByName(ends.select(F.col("other").alias("rep"), F.col("home").alias("shard"),
+                                      F.col("rep").alias("other"), F.col("size").alias("n")))
+             .distinct().groupBy("rep", "shard").agg(F.sum("n").alias("n")))
+    pairs = pairs.join(counted.select("rep", "shard"), ["rep", "shard"], "left_anti")
+    return pairs.unionByName(counted).groupBy("rep").agg(F.sum("n").alias("linked"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
@@ -382,15 +414,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         _index(threshold, {k: _unit(v) for k, v in asked.items()}), "dim long, shard long, graph binary, sizes array<long>"))
     key = F.concat_ws(":", "dim", "shard", "slice")
     held = graphs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(
-        key.alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rep"),
+        key.alias("key"), F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("rep", "home", "size")],
         F.lit(None).cast("array<double>").alias("v"), "graph", "sizes")
-    asks = (classes.withColumn("slice", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(slices)))
+    asks = (dealt.withColumnRenamed("shard", "home").withColumn("slice", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(slices)))
             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
-        key.alias("key"), F.lit(1).alias("kind"), "rep", "v", F.lit(None).cast("binary").alias("graph"),
+        key.alias("key"), F.lit(1).alias("kind"), "rep", "home", "size", "v", F.lit(None).cast("binary").alias("graph"),
         F.lit(None).cast("array<long>").alias("sizes")))
     found = scratch.keep(held.unionByName(asks).repartition("key").sortWithinPartitions("key", "kind")
-                         .mapInPandas(_query, "rep long, linked long, others array<long>"))
-    linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
+                         .mapInPandas(_query, FOUND))
+    linked = _linked(found)
     stars = connected_components(found.select(F.col("rep").alias("a"), F.explode("others").alias("b")), scratch)
     stars = scratch.keep(stars)
     told = (classes.select("h", "rep", "size").join(linked.withColumnRenamed("rep", "_r"), F.col("rep") == F.col("_r"), "left")
