@@ -113,6 +113,26 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(flat)) == len(values) and not set(flat) & set(values)
 
 
+def test_persons_and_secrets_are_one_space_each(spark):
+    """One-word names of all titles share the surnames; a name or key is the same entity in any form."""
+    names = [a + b for a in "Ab Ce Di Fo Gu Ha Ki Lo Mu Ne".split() for b in "ba ce di fo gu ha ki lo mu ne ra si tu va wo".split()]
+    rows = [f"{t} {n}{e}" for t, e in (("Mr", "m"), ("Mrs", "f"), ("Dr", "x")) for n in names]
+    key = "ghp_" + "aB3" * 12
+    docs = spark.createDataFrame([*enumerate(rows), (-1, "Mr John Smith met Dr John Smith."), (-2, "Dr John Smith, Dr Ann Lee"), (-3, "Mrs Ann Lee"),
+                                  (-4, f"{key} and api_key={key}"), (-5, "Mr Kim Roe"), (-6, "Mrs Kim Roe")], "doc_id long, text string")
+    got = {r.doc_id: r.surrogates for r in pii.anonymize(docs, "k").collect()}
+    new = [got[k][0].surrogate.split(" ", 1)[1] for k in range(len(rows))]
+    assert len(set(new)) == len(rows)
+    assert not {n.lower() for n in new} & {r.split(" ")[1].lower() for r in rows}
+    smith = {s.surrogate.split(" ", 1)[1] for s in (*got[-1], got[-2][0])}
+    lee = {got[-2][1].surrogate.split(" ", 1)[1], got[-3][0].surrogate.split(" ", 1)[1]}
+    assert len(smith) == len(lee) == 1
+    assert smith.pop().split()[0] in pii.GIVEN["latin", "m"].split() and lee.pop().split()[0] in pii.GIVEN["latin", "f"].split()
+    assert got[-5][0].surrogate.split(" ", 1)[1] == got[-6][0].surrogate.split(" ", 1)[1]
+    bare, behind = got[-4]
+    assert (bare.type, behind.type) == ("key", "secret") and behind.surrogate == "api_key=" + bare.surrogate and bare.surrogate[:4] == "ghp_"
+
+
 def test_private_data_of_the_table_goes(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     private = [r"[\w.%+-]+@[\w.-]+\w", r"\+\d ?\(\d{3}\) ?\d{3}-\d{4}", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"(?<=token = \")[0-9a-f]+"]

@@ -6,17 +6,21 @@ names, well-known key formats, and person names after a title.  One regular
 expression finds all of them; a text is cut at its matches, each match is
 replaced by its surrogate, everything else stays as it was.
 
-A surrogate is a function of the key, the type and the entity's identity (case
+A surrogate is a function of the key, the space and the entity's identity (case
 and digit grouping do not matter), so equal entities get equal surrogates in
-every document (coreference).  It keeps type and format: digits stay digits,
+every document (coreference).  A space is a type, but all persons are one space
+whatever their title, and so are secret values and keys: a name or key is the
+same entity behind any title or assignment.  It keeps type and format: digits stay digits,
 letters letters of their script and case, cards stay Luhn-valid, addresses
 valid, country codes, top-level domains and titles are kept, a person's
-surrogate follows the gender of the title and the script of the name.
+surrogate follows the script of the name and the gender of its titles in all
+documents (none if they contradict each other).
 
-Collision check: over all distinct entities, a surrogate that two entities
-share or that is itself a real entity is drawn again for all but one (the
-attempt enters the hash) until all are distinct.  Only the entities that needed
-another attempt are joined back to the documents.
+Collision check: over all distinct entities of a space, a surrogate that two
+entities share or that is itself a real entity is drawn again for all but one
+(the attempt enters the hash) until all are distinct.  Only the entities that
+needed another attempt, and names whose titles differ, are joined back to the
+documents.
 
 Edge cases: a null text stays null, an empty one empty; matches that fail
 their check stay unchanged; null ids, repeated rows and empty tables need no
@@ -97,9 +101,20 @@ def identity(value: Column, type_: Column) -> Column:
             .when(type_ == "email", F.lower(value)).when(type_.startswith("person"), F.lower(rest)).otherwise(rest))
 
 
-def _stream(key: str, type_: Column, ident: Column, attempt: Column) -> Column:
-    """512 hex digits drawn from the key, type, identity and attempt."""
-    seed = F.concat_ws("\x1f", F.lit(key), type_, ident, attempt.cast("string"))
+def space(type_: Column) -> Column:
+    """Where identities are told apart: a type, but one for all persons and one
+    for secret values and keys."""
+    return F.when(type_.startswith("person"), "person").when(type_ == "key", "secret").otherwise(type_)
+
+
+def form(type_: Column, ident: Column) -> Column:
+    """The type whose form the surrogate takes, as far as one mention tells."""
+    return F.when((type_ == "secret") & _is(ident, "key"), "key").otherwise(type_)
+
+
+def _stream(key: str, space_: Column, ident: Column, attempt: Column) -> Column:
+    """512 hex digits drawn from the key, space, identity and attempt."""
+    seed = F.concat_ws("\x1f", F.lit(key), space_, ident, attempt.cast("string"))
     return F.concat(*[F.sha2(F.concat(seed, F.lit(f"\x1f{k}")).cast("binary"), 512) for k in range(4)])
 
 
@@ -130,11 +145,12 @@ def _listed(words: list[str], n: Column) -> Column:
     return F.element_at(F.split(F.lit(" ".join(words)), " "), n + 1)
 
 
-def _surname(stream: Column, at: int, script: str, long_: Column) -> Column:
+def _surname(stream: Column, at: int, script: str, attempt: Column) -> Column:
     syl = SYLLABLES[script]
-    parts = [_listed(syl, _draw(stream, F.lit(at + k), len(syl))) for k in range(4)]
+    parts = [_listed(syl, _draw(stream, F.lit(k), len(syl))) for k in (at, at + 1, at + 2, at + 3, at + 20, at + 21)]
     end = _listed(ENDINGS[script], _draw(stream, F.lit(at + 4), len(ENDINGS[script])))
-    return F.initcap(F.concat(parts[0], parts[1], F.when(long_, F.concat(parts[2], parts[3])).otherwise(""), end))
+    return F.initcap(F.concat(parts[0], parts[1], F.when(attempt >= LONGER, F.concat(parts[2], parts[3])).otherwise(""),
+                              F.when(attempt >= 2 * LONGER, F.concat(parts[4], parts[5])).otherwise(""), end))
 
 
 def _person(ident: Column, type_: Column, stream: Column, attempt: Column) -> Column:
@@ -144,11 +160,10 @@ def _person(ident: Column, type_: Column, stream: Column, attempt: Column) -> Co
             return _listed(names, _draw(stream, F.lit(100), len(names)))
         first = (F.when(type_ == "person_m", given("m")).when(type_ == "person_f", given("f"))
                  .otherwise(F.when(_draw(stream, F.lit(101), 2) == 0, given("m")).otherwise(given("f"))))
-        long_ = attempt >= LONGER
         n = F.size(F.split(ident, " "))
-        return (F.when(n == 1, _surname(stream, 0, script, long_))
-                .when(n == 2, F.concat_ws(" ", first, _surname(stream, 0, script, long_)))
-                .otherwise(F.concat_ws(" ", first, _surname(stream, 5, script, long_), _surname(stream, 0, script, long_))))
+        return (F.when(n == 1, _surname(stream, 0, script, attempt))
+                .when(n == 2, F.concat_ws(" ", first, _surname(stream, 0, script, attempt)))
+                .otherwise(F.concat_ws(" ", first, _surname(stream, 5, script, attempt), _surname(stream, 0, script, attempt))))
     return (F.when(ident.rlike("\\p{IsCyrillic}"), of("cyrillic")).when(ident.rlike("\\p{IsGreek}"), of("greek"))
             .otherwise(of("latin")))
 
@@ -201,36 +216,36 @@ def mentions(text: Column) -> Column:
 
 
 def redrawn(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """Distinct (type, ident) -> (type, ident, attempt) of those whose first
-    surrogate collides with another's or with a real entity."""
+    """Distinct (space, ident) with their form -> (space, ident, form, attempt) of
+    those whose first surrogate collides with another's or with a real entity."""
     def named(df, attempt):
         a = F.lit(attempt)
-        drawn = df.withColumn("s", _stream(key, F.col("type"), F.col("ident"), a))
-        return drawn.select("type", "ident", surrogate(F.col("ident"), F.col("type"), a, F.col("s")).alias("new"))
+        drawn = df.withColumn("s", _stream(key, F.col("space"), F.col("ident"), a))
+        return drawn.select("space", "ident", "form", surrogate(F.col("ident"), F.col("form"), a, F.col("s")).alias("new"))
 
     taken, later = [], []
-    pending = entities
+    pending = entities.select("space", "ident", "form")
     for attempt in range(MAX_ATTEMPTS):
         drawn = scratch.keep(named(pending, attempt))
-        real = entities.select(F.col("type").alias("_t"), F.col("ident").alias("_i"))
-        free = drawn.join(real, (F.col("type") == F.col("_t")) & (F.lower("new") == F.lower("_i")), "left_anti")
+        real = entities.select(F.col("space").alias("_t"), F.col("ident").alias("_i"))
+        free = drawn.join(real, (F.col("space") == F.col("_t")) & (F.lower("new") == F.lower("_i")), "left_anti")
         for t in taken:
-            free = free.join(t.select(F.col("type").alias("_t"), F.col("new").alias("_n")),
-                             (F.col("type") == F.col("_t")) & (F.col("new") == F.col("_n")), "left_anti")
-        won = free.groupBy("type", "new").agg(F.min("ident").alias("ident"))
+            free = free.join(t.select(F.col("space").alias("_t"), F.col("new").alias("_n")),
+                             (F.col("space") == F.col("_t")) & (F.col("new") == F.col("_n")), "left_anti")
+        won = free.groupBy("space", "new").agg(F.min_by(F.struct("ident", "form"), "ident").alias("e")).select("space", "new", "e.ident", "e.form")
         won = scratch.keep(won)
-        lost = scratch.keep(drawn.join(won.select(F.col("type").alias("_t"), F.col("ident").alias("_i")),
-                                       (F.col("type") == F.col("_t")) & (F.col("ident") == F.col("_i")), "left_anti")
-                            .select("type", "ident"))
+        lost = scratch.keep(drawn.join(won.select(F.col("space").alias("_t"), F.col("ident").alias("_i")),
+                                       (F.col("space") == F.col("_t")) & (F.col("ident") == F.col("_i")), "left_anti")
+                            .select("space", "ident", "form"))
         taken.append(won)
         if attempt:
-            later.append(won.select("type", "ident", F.lit(attempt).alias("attempt")))
+            later.append(won.select("space", "ident", "form", F.lit(attempt).alias("attempt")))
         if lost.isEmpty():
             break
         pending = lost
     else:
         raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
-    out = entities.filter("false").withColumn("attempt", F.lit(0))
+    out = entities.select("space", "ident", "form").filter("false").withColumn("attempt", F.lit(0))
     for df in later:
         out = out.unionByName(df)
     return scratch.keep(out)
@@ -244,34 +259,44 @@ def anonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "pii")
     text = F.col(text_col).cast("string")
     found = docs.withColumn("_tl_m", mentions(text))
-    entities = scratch.keep(found.select(F.explode("_tl_m").alias("m")).select("m.type", "m.ident")
-                            .filter("type is not null").distinct())
+    # the titles of a name settle its gender: one that only some of them tell is its, two are none
+    man, woman = F.max(F.col("form") == "person_m"), F.max(F.col("form") == "person_f")
+    settled = (F.when(F.col("space") != "person", F.min("form")).when(man & ~woman, "person_m")
+               .when(woman & ~man, "person_f").otherwise("person_x"))
+    entities = scratch.keep(
+        found.select(F.explode("_tl_m").alias("m")).select("m.type", "m.ident").filter("type is not null")
+        .select(space(F.col("type")).alias("space"), "ident", form(F.col("type"), F.col("ident")).alias("form"))
+        .groupBy("space", "ident").agg(settled.alias("form"), (F.min("form") != F.max("form")).alias("differ")))
     again = redrawn(entities, key, scratch)
+    differ = entities.filter("differ").join(again.select(F.col("space").alias("_t"), F.col("ident").alias("_i")),
+                                            (F.col("space") == F.col("_t")) & (F.col("ident") == F.col("_i")), "left_anti")
+    again = scratch.keep(again.unionByName(differ.select("space", "ident", "form", F.lit(0).alias("attempt"))))
 
-    attempts = F.lit(None).cast("map<string,int>")
+    attempts = F.lit(None).cast("map<string,struct<attempt:int,form:string>>")
     if not again.isEmpty():
-        named = again.select(F.col("type").alias("_t"), F.col("ident").alias("_i"), "attempt")
+        named = again.select(F.col("space").alias("_t"), F.col("ident").alias("_i"), "attempt", "form")
         per_doc = (found.select(F.col(id_col).alias("_tl_id"), F.explode("_tl_m").alias("m")).select("_tl_id", "m.type", "m.ident")
-                   .filter("type is not null").distinct()
-                   .join(small(named), (F.col("type") == F.col("_t")) & (F.col("ident") == F.col("_i")))
+                   .filter("type is not null").select("_tl_id", space(F.col("type")).alias("space"), "ident").distinct()
+                   .join(small(named), (F.col("space") == F.col("_t")) & (F.col("ident") == F.col("_i")))
                    .groupBy("_tl_id").agg(F.map_from_entries(F.collect_list(F.struct(
-                       F.concat_ws("\x1f", "type", "ident"), "attempt"))).alias("_tl_a")))
+                       F.concat_ws("\x1f", "space", "ident"), F.struct("attempt", "form")))).alias("_tl_a")))
         per_doc = scratch.keep(per_doc)
         found = found.join(small(per_doc), F.col(id_col).eqNullSafe(F.col("_tl_id")), "left")
         attempts = F.col("_tl_a")
 
     # one transform after the other, so that each step is computed once for a mention
     def with_attempt(m):
-        attempt = F.coalesce(F.element_at(attempts, F.concat_ws("\x1f", m["type"], m["ident"])), F.lit(0))
-        return F.struct(*[m[c].alias(c) for c in ("value", "type", "ident")], attempt.alias("attempt"))
+        told = F.element_at(attempts, F.concat_ws("\x1f", space(m["type"]), m["ident"]))
+        return F.struct(*[m[c].alias(c) for c in ("value", "type", "ident")], F.coalesce(told["attempt"], F.lit(0)).alias("attempt"),
+                        F.coalesce(told["form"], form(m["type"], m["ident"])).alias("form"))
 
     def with_stream(m):
-        return F.struct(*[m[c].alias(c) for c in ("value", "type", "ident", "attempt")],
-                        _stream(key, m["type"], m["ident"], m["attempt"]).alias("s"))
+        return F.struct(*[m[c].alias(c) for c in ("value", "type", "ident", "attempt", "form")],
+                        _stream(key, space(m["type"]), m["ident"], m["attempt"]).alias("s"))
 
     def with_new(m):
         return F.struct(m["value"].alias("value"), m["type"].alias("type"),
-                        surrogate(m["ident"], m["type"], m["attempt"], m["s"]).alias("new"))
+                        surrogate(m["ident"], m["form"], m["attempt"], m["s"]).alias("new"))
 
     def written(m):
         new = F.when(m["type"].isNull(), m["value"]).otherwise(_written(m["value"], m["type"], m["new"]))
