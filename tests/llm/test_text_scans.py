@@ -133,6 +133,13 @@ def test_persons_and_secrets_are_one_space_each(spark):
     assert (bare.type, behind.type) == ("key", "secret") and behind.surrogate == "api_key=" + bare.surrogate and bare.surrogate[:4] == "ghp_"
 
 
+def test_keys_of_letters_only_go(spark):
+    keys = ["AKIA" + "ABCDEFGH" * 2, "gho_" + "abCd" * 9, "sk-" + "abcde" * 4, "xoxb-abcde-fghij"]
+    docs = spark.createDataFrame([(i, f"use {k} here") for i, k in enumerate(keys)], "doc_id long, text string")
+    got = pii.anonymize(docs, "k").collect()
+    assert [r.entity_types for r in got] == ["key"] * len(keys) and not [r for r in got if keys[r.doc_id] in r.text]
+
+
 def test_private_data_of_the_table_goes(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     private = [r"[\w.%+-]+@[\w.-]+\w", r"\+\d ?\(\d{3}\) ?\d{3}-\d{4}", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"(?<=token = \")[0-9a-f]+"]
