@@ -95,3 +95,17 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
         assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     model = quality.train(odd_docs, labels, sample=1)
     assert {r.score for r in quality.score(odd_docs, model).collect()} == {0.5}
+
+
+def test_quality_threshold_covers_all_labels(spark):
+    """The fit may sample; the cut between bad and good is that of all labelled rows."""
+    draw = np.random.default_rng(5)
+    words = "alpha Beta 12 gamma, delta. EPS (zeta) eta! theta\n".split(" ")
+    rows = [(i, " ".join(draw.choice(words, int(draw.integers(3, 40)))), int(draw.random() < 0.3)) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(docs, docs.select("doc_id", "quality"), sample=60)
+    seen = [r for r in rows if not _fold(r[0])]
+    predicted = {r.doc_id: r.predicted for r in quality.score(docs, model).collect()}
+    assert abs(sum(predicted[r[0]] for r in seen) - sum(r[2] for r in seen)) <= 2
+    x = np.array([quality.features(r[1]) for r in seen])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-9)

@@ -6,9 +6,10 @@ log(1 + exp(-w.(x_good - x_bad))), fitted by Newton steps.  The threshold is a
 quantile of the scores: the share of bad documents among the labelled ones.
 The score maps the strength to (0, 1) so that the threshold lands on 0.7.
 
-The fit uses a bounded sample: at most ``SAMPLE`` labelled documents outside
-the held-out fold (smallest keyed hashes of the id) and ``PAIRS`` pairs from
-them.  Scoring reads every document; labels, lang, source and id play no part.
+The weights are fitted on a bounded sample: at most ``SAMPLE`` labelled documents
+outside the held-out fold (smallest keyed hashes of the id) and ``PAIRS`` pairs
+from them.  Means, scales, spread and the threshold are aggregates over all
+labelled documents outside the fold.  Scoring reads every document; labels, lang, source and id play no part.
 
 Edge cases: a null or empty text has all features at their empty value and gets
 a score like any other; labels that are null are not used, several labels of
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.common import Scratch, by_value, held_out
+from tokenloom.llm.common import BROADCAST_ROWS, Scratch, by_value, held_out
 from tokenloom.llm.mixing import id_hash
 
 SAMPLE = 20_000
 PAIRS = 60_000
+ACCURACY = 100_000  # of the quantile: exact up to so many rows, then off by 1 / ACCURACY of them at most
 THRESHOLD = 0.7
 MARKS = [ord(c) for c in ".,!?;:'\"()|#$%&*+-=/<>@[]_{}~^`\\"]
 
@@ -82,34 +84,58 @@ def fit_pairs(better: np.ndarray, worse: np.ndarray, penalty: float = 1e-3, step
     return w
 
 
-def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS) -> QualityModel:
-    """Fit on a labelled sample; pairs are drawn with a fixed seed."""
+def fit(x: np.ndarray, good: np.ndarray, mean: np.ndarray, scale: np.ndarray, pairs: int = PAIRS) -> np.ndarray | None:
+    """Weights from a labelled sample; pairs are drawn with a fixed seed."""
     up, down = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(up) or not len(down):
-        return QualityModel(None, None, None, 0.0, 1.0)
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+        return None
     z = np.clip((x - mean) / scale, -5, 5)
     draw = np.random.default_rng(7)
-    w = fit_pairs(z[draw.choice(up, pairs)], z[draw.choice(down, pairs)])
-    s = np.sort(z @ w)
-    threshold = (s[len(down) - 1] + s[len(down)]) / 2  # the quantile between the bad and the good share
-    return QualityModel(mean, scale, w, float(threshold), float(s.std() + 1e-9))
+    return fit_pairs(z[draw.choice(up, pairs)], z[draw.choice(down, pairs)])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample: int = SAMPLE, pairs: int = PAIRS) -> QualityModel:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold."""
-    marked = (labels.select(F.col(id_col).alias("_tl_id"), F.col(label_col).cast("double").alias("_tl_mark"))
-              .filter(F.col("_tl_id").isNotNull() & F.col("_tl_mark").isNotNull() & ~held_out(F.col("_tl_id")))
-              .groupBy("_tl_id").agg((F.avg("_tl_mark") >= 0.5).alias("good")))
-    chosen = Scratch(docs.sparkSession, "quality").keep(marked.orderBy(id_hash(F.col("_tl_id"), "quality"), "_tl_id").limit(sample))
-    texts = docs.select(F.col(id_col).alias("_tl_id"), F.col(text_col).cast("string").alias("_tl_text"))
-    rows = (texts.join(F.broadcast(chosen), "_tl_id").withColumn("x", _features("_tl_text"))
-            .select("_tl_id", "good", "x").limit(sample).collect())  # bounded by the sample
-    rows = sorted(rows, key=lambda r: (r["_tl_id"], r["x"]))
-    if not rows:
+    """Weights from at most ``sample`` labelled rows outside the held-out fold,
+    everything else from all of them."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    marked = scratch.keep(
+        labels.select(F.col(id_col).alias("_tl_id"), F.col(label_col).cast("double").alias("_tl_mark"))
+        .filter(F.col("_tl_id").isNotNull() & F.col("_tl_mark").isNotNull() & ~held_out(F.col("_tl_id")))
+        .groupBy("_tl_id").agg((F.avg("_tl_mark") >= 0.5).alias("good")))
+    texts = (docs.select(F.col(id_col).alias("_tl_id"), F.col(text_col).cast("string").alias("_tl_text"))
+             .filter(F.col("_tl_id").isNotNull() & ~held_out(F.col("_tl_id"))))
+    if marked.count() <= BROADCAST_ROWS:
+        rows = texts.join(F.broadcast(marked), "_tl_id").withColumn("x", _features("_tl_text"))
+    else:  # features, not texts, are shuffled
+        rows = texts.select("_tl_id", _features("_tl_text").alias("x")).join(marked, "_tl_id")
+    rows = scratch.keep(rows.select("_tl_id", "good", "x"))
+    width = range(len(features("")))
+    told = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("good")).alias("bad"),
+                    *[F.avg(F.col("x")[k]).alias(f"m{k}") for k in width],
+                    *[F.stddev_pop(F.col("x")[k]).alias(f"s{k}") for k in width]).first()
+    if not 0 < told["bad"] < told["n"]:
+        return QualityModel(None, None, None, 0.0, 1.0)
+    mean, scale = np.array([told[f"m{k}"] for k in width]), np.array([told[f"s{k}"] for k in width]) + 1e-9
+    ids = scratch.keep(marked.orderBy(id_hash(F.col("_tl_id"), "quality"), "_tl_id").limit(sample).select("_tl_id"))
+    chosen = rows.join(F.broadcast(ids), "_tl_id", "left_semi").limit(sample).collect()  # bounded by the sample
+    chosen = sorted(chosen, key=lambda r: (r["_tl_id"], r["x"]))
+    w = fit(np.array([r["x"] for r in chosen]), np.array([r["good"] for r in chosen], dtype=bool), mean, scale, pairs)
+    if w is None:
         return QualityModel(None, None, None, 0.0, 1.0)
-    return fit(np.array([r["x"] for r in rows]), np.array([r["good"] for r in rows], dtype=bool), pairs)
+
+    @F.pandas_udf("double")
+    def strength(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=float)
+        return pd.Series(QualityModel(mean, scale, w, 0.0, 1.0).strength(np.array(x.tolist())))
+
+    # the quantile between the bad and the good share: the middle of two neighbours in the order
+    n, bad = told["n"], told["bad"]
+    at = [(bad - 0.5) / n, (bad + 0.5) / n]
+    cut = rows.select(strength("x").alias("s")).agg(
+        F.percentile_approx("s", at, ACCURACY).alias("q"), F.stddev_pop("s").alias("spread")).first()
+    return QualityModel(mean, scale, w, float(sum(cut["q"]) / 2), float(cut["spread"] + 1e-9))
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
