@@ -14,7 +14,7 @@ from tokenloom.llm.common import Scratch
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a determined language go."""
-    return language_id.keep_identified(docs)
+    return language_id.keep_identified(docs, min_score=0.0)
 
 
 def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

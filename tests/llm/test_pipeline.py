@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import importlib
+import zlib
 
 import numpy as np
 import pytest
@@ -62,3 +63,13 @@ def test_stages_on_odd_and_empty_tables(odd_docs, no_docs, spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = Scratch(spark, "t").keep(stage(spark, docs, ""))
         assert {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_unsure_languages_stay(spark, sf):
+    """A text that several languages share keeps its place; only one without a letter goes."""
+    texts = ["shared words of many tongues", "na na na", "12 34 !!"]
+    ids = (i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2)  # all languages learn the same texts
+    docs = spark.createDataFrame([(next(ids), t, lang) for lang in ("a", "b", "c", "d") for t in texts * 8],
+                                 "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, sf)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect() if r.text != texts[2])
