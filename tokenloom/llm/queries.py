@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import chat, exact_dedup, language_id, licenses, mixing, packing, pii, quality, simhash, vectors
+from tokenloom.llm import (align, chat, decontaminate, exact_dedup, language_id, licenses, mixing, packing, pii, quality, simhash,
+                           spelling, vectors)
 from tokenloom.llm.common import Scratch
 
 
@@ -11,9 +12,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_best_fit_packing(spark, sf_dir):
@@ -66,8 +67,21 @@ def op10_pii_surrogates(spark, sf_dir):
     return pii.anonymize(docs, key="tokenloom")
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(_table(spark, sf_dir, "documents"), spelling.keyed_deletion(199))
+
+
+def op12_decontamination(spark, sf_dir):
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    return align.align(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_ranking, op3_exact_dedup, op4_license_scan, op5_chat_prefix_trees, op6_embedding_near_dedup,
-                              op7_language_id, op8_simhash_near_dedup, op9_source_mixing, op10_pii_surrogates)}
+                              op7_language_id, op8_simhash_near_dedup, op9_source_mixing, op10_pii_surrogates, op11_spelling_variants,
+                              op12_decontamination, op13_token_alignment)}
 
 ORACLE = {
     "op3_exact_dedup": """
@@ -86,6 +100,24 @@ ORACLE = {
               FROM c GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
                formatted_chars FROM a""",
+    "op12_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+                   FROM documents),
+        i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+              FROM benchmark),
+        s AS (SELECT DISTINCT item, m, array_to_string(w[k:k + m - 1], ' ') AS g
+              FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS k
+                    FROM (SELECT item, w, least(len(w), 10) AS m FROM i WHERE len(w) > 0))),
+        g AS (SELECT r, k, m, array_to_string(w[k:k + m - 1], ' ') AS g
+              FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM s))),
+        h AS (SELECT r, k, g.m, item FROM g JOIN s ON g.m = s.m AND g.g = s.g),
+        p AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS p FROM h) GROUP BY r),
+        t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN p ON d.r = p.r LEFT JOIN t ON d.r = t.r""",
     "op9_source_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
                    FROM documents),
