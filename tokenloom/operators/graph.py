@@ -6,11 +6,12 @@ aggregate, never a collect.
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.paths import module_candidates
+from tokenloom.operators.components import LOCAL_STEPS, inner_edges, live_steps, strong_components
+from tokenloom.session import Tables
 
 
 def resolve_imports(facts: DataFrame, files: DataFrame | None = None, python_only: bool = True) -> DataFrame:
@@ -48,76 +49,94 @@ def top_n_per_project(df: DataFrame, order_col: str, n: int, tie: str = "path",
     return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
-def prune_acyclic(edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """Drop edges whose source has no in-edge or whose target has no out-edge
-    (such nodes lie on no cycle).  A few rounds only: it shrinks the search,
-    correctness does not depend on it."""
-    e = edges
-    for _ in range(rounds):
-        has_in = e.select("project", F.col("dst").alias("src")).distinct()
-        has_out = e.select("project", F.col("src").alias("dst")).distinct()
-        e = e.join(has_in, ["project", "src"], "left_semi").join(has_out, ["project", "dst"], "left_semi")
-    return e
-
-
-def find_cycles(spark: SparkSession, edges: DataFrame, max_len: int | None = None,
-                checkpoint_every: int = 4) -> DataFrame:
-    """Every simple cycle once, rooted at its smallest node, as
-    ``project, cycle_len, chain`` with chain ``a -> b -> a``.
-
-    Paths are grown one edge per level from each start node through larger
-    nodes only (so each cycle is produced from its minimum exactly once) and
-    closed by an edge back to the start.  Each level is one join of the
-    frontier with the edge table, keyed by ``(project, node)``; the frontier is
-    every level is checkpointed (lineage cut, survives executor loss).
-    The loop ends when the frontier is empty or ``max_len`` is reached (the
-    number of simple cycles can grow exponentially with graph density).
+def find_cycles(spark: SparkSession, edges: DataFrame, max_len: int | None = None, local_steps: int = LOCAL_STEPS) -> DataFrame:
+    """Every simple cycle once, rooted at its smallest node, as ``project,
+    cycle_len, chain, truncated`` with chain ``a -> b -> a``.
+
+    Paths grow one edge per level, only along the live steps of their start
+    (inside its component, through larger nodes, on edges from which the start
+    can still be reached) and close with an edge back to it, so each cycle is
+    found from its smallest node exactly once.  A level is one join keyed by
+    (project, start, node), written, read by the next level and deleted when its
+    open paths are used up; closed cycles are kept apart.  With ``max_len`` a
+    step is taken only if the way back fits; ``truncated`` then says that the
+    project has paths which do not, so longer cycles may exist.  The number of
+    simple cycles can grow exponentially with a component's edges; membership,
+    counts up to a bound and yes/no come from ``strong_components``.
     """
-    from tokenloom.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    # cut the lineage (extraction, resolution) once: every level below is
-    # analysed against a plain scan of the checkpointed edge table
-    e = prune_acyclic(edges.select("project", "src", "dst").distinct().checkpoint()).checkpoint()
-    loops = e.where(F.col("src") == F.col("dst")).select(
-        "project", F.lit(1).cast("long").alias("cycle_len"), F.concat_ws(" -> ", "src", "src").alias("chain"))
-    step = e.where(F.col("src") != F.col("dst")).select("project", F.col("src").alias("cur"), F.col("dst").alias("nxt"))
-    frontier = e.where(F.col("dst") > F.col("src")).select(
-        "project", F.col("src").alias("start"), F.col("dst").alias("cur"), F.array("src", "dst").alias("path"))
-    levels = []
-    depth = 2
+    t = Tables(spark, "cycles")
+    e = t.keep(edges.select("project", "src", "dst").distinct())
+    loops = e.where("src = dst").select("project", F.lit(1).cast("long").alias("cycle_len"),
+                                        F.concat_ws(" -> ", "src", "src").alias("chain"))
+    live = live_steps(spark, e, local_steps)
+    frontier = live.where("cur = start").select("project", "start", F.col("nxt").alias("cur"), "back", F.array("start", "nxt").alias("path"),
+                                                F.lit(2).alias("depth"))
+    step = live.select("project", "start", "cur", "nxt", F.col("back").alias("ahead"))
+    closed, cut, depth = [], [], 2
     while True:
-        # one join per level: an edge back to the start closes a cycle, an
-        # edge to a larger unvisited node extends the path
-        lvl = (frontier.join(step, ["project", "cur"])
-               .where((F.col("nxt") == F.col("start"))
-                      | ((F.col("nxt") > F.col("start")) & ~F.array_contains("path", F.col("nxt"))))
-               .select("project", "start", F.col("nxt").alias("cur"),
-                       F.when(F.col("nxt") == F.col("start"), F.col("path"))
-                        .otherwise(F.concat("path", F.array("nxt"))).alias("path"),
-                       (F.col("nxt") == F.col("start")).alias("closed")))
-        # the level is persisted and counted once; every few levels it is also
-        # written to the checkpoint folder, which bounds the lineage (plans of
-        # later levels stay small) and survives executor loss
-        lvl = lvl.persist(StorageLevel.MEMORY_AND_DISK)
-        open_paths = lvl.where(~F.col("closed")).count()
-        if depth % checkpoint_every == 0:
-            lvl = lvl.checkpoint()
-        levels.append(lvl.where("closed"))
-        frontier = lvl.where(~F.col("closed")).drop("closed")
-        if (max_len is not None and depth >= max_len) or open_paths == 0:
+        if max_len is not None:
+            cut.append(frontier.where(~(F.col("depth") - 1 + F.col("back") <= max_len)).select("project").distinct())
+            frontier = frontier.where(F.col("depth") - 1 + F.col("back") <= max_len)
+        # an edge back to the start closes a cycle, any other one to a new node extends the path
+        grown = (frontier.drop("back").join(step, ["project", "start", "cur"])
+                 .where((F.col("nxt") == F.col("start")) | ~F.array_contains("path", F.col("nxt")))
+                 .select("project", "start", F.col("nxt").alias("cur"), F.col("ahead").alias("back"),
+                         F.when(F.col("nxt") == F.col("start"), F.col("path")).otherwise(F.concat("path", F.array("nxt"))).alias("path"),
+                         F.lit(depth + 1).alias("depth"), (F.col("nxt") == F.col("start")).alias("closed")))
+        grown, seen = t.keep(grown, open=F.count_if(~F.col("closed")), done=F.count_if("closed"))
+        if seen["done"]:
+            closed.append(grown.where("closed").select("project", "start", "path"))
+        frontier = grown.where("not closed").drop("closed")
+        if not seen["open"]:
             break
         depth += 1
     out = loops
-    for lv in levels:
-        out = out.unionByName(lv.select("project", F.size("path").cast("long").alias("cycle_len"),
-                                        F.array_join(F.concat("path", F.array("start")), " -> ").alias("chain")))
-    return out
-
-
-def cycle_members(cycles: DataFrame) -> DataFrame:
-    """Distinct files that lie on some cycle."""
-    nodes = F.array_distinct(F.split("chain", " -> "))
-    return cycles.select("project", F.explode(nodes).alias("path")).distinct()
+    for c in closed:
+        out = out.unionByName(c.select("project", F.size("path").cast("long").alias("cycle_len"),
+                                       F.array_join(F.concat("path", F.array("start")), " -> ").alias("chain")))
+    if max_len is None:
+        return out.withColumn("truncated", F.lit(False))
+    over = cut[0]
+    for c in cut[1:]:
+        over = over.unionByName(c)
+    over = over.distinct().withColumn("truncated", F.lit(True))
+    return (out.where(F.col("cycle_len") <= max_len).join(over, "project", "left")
+            .withColumn("truncated", F.coalesce("truncated", F.lit(False))).select("project", "cycle_len", "chain", "truncated"))
+
+
+def cycle_members(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """The files that lie on some cycle, by component membership and
+    self-edges; no cycle is enumerated."""
+    loops = edges.where("src = dst").select("project", F.col("src").alias("path"))
+    return strong_components(spark, edges).select("project", "path").unionByName(loops).distinct()
+
+
+def cycle_proof(spark: SparkSession, nodes: DataFrame, edges: DataFrame, enough: int = 4) -> DataFrame:
+    """Per project ``n_cycles`` and whether that is ``exact``, without an
+    exponential search.
+
+    A component of m edges and n nodes holds at least m - n + 1 simple cycles:
+    it is built from one cycle by adding paths, and every path closes a new one.
+    Where these and the self-edges add up to ``enough``, the sum is returned as a
+    lower bound.  The other projects' components have fewer than ``enough``
+    surplus edges, hence fewer than 2^enough cycles, which are counted exactly.
+    """
+    t = Tables(spark, "proof")
+    e = t.keep(edges.select("project", "src", "dst").distinct())
+    parts = strong_components(spark, e)
+    inside = t.keep(inner_edges(e.where("src <> dst"), parts))
+    n_nodes = parts.groupBy("project").agg((F.count(F.lit(1)) - F.count_distinct("component")).alias("less"))
+    n_edges = inside.groupBy("project").agg(F.count(F.lit(1)).alias("m"))
+    loops = e.where("src = dst").groupBy("project").agg(F.count(F.lit(1)).alias("loops"))
+    least = (nodes.select("project").distinct().join(n_edges, "project", "left").join(n_nodes, "project", "left")
+             .join(loops, "project", "left").fillna(0)
+             .select("project", "loops", (F.col("m") - F.col("less") + F.col("loops")).alias("least"), F.col("m") > 0))
+    least = t.keep(least.toDF("project", "loops", "least", "tangled"))
+    few = least.where((F.col("least") < enough) & F.col("tangled")).select("project")
+    found = find_cycles(spark, inside.join(few, "project", "left_semi")).groupBy("project").agg(F.count(F.lit(1)).alias("found"))
+    return least.join(found, "project", "left").select(
+        "project", F.when(F.col("least") >= enough, F.col("least")).otherwise(F.col("loops") + F.coalesce("found", F.lit(0)))
+        .cast("long").alias("n_cycles"), (F.col("least") < enough).alias("exact"))
 
 
 def cycle_count(nodes: DataFrame, cycles: DataFrame) -> DataFrame:

@@ -255,8 +255,22 @@ def q_cycle_count(spark, sf_dir):
 
 @register("cycle_members")
 def q_cycle_members(spark, sf_dir):
-    """G3."""
-    return G.cycle_members(G.find_cycles(spark, py_graph(spark, sf_dir)[2]))
+    """Component membership, no enumeration."""
+    return G.cycle_members(spark, py_graph(spark, sf_dir)[2])
+
+
+@register("strong_components")
+def q_strong_components(spark, sf_dir):
+    """The files of each import component with its smallest file."""
+    from tokenloom.operators.components import strong_components
+    return strong_components(spark, py_graph(spark, sf_dir)[2])
+
+
+@register("cycle_proof")
+def q_cycle_proof(spark, sf_dir):
+    """G4 up to a bound: counts below 4 are exact, others proven lower bounds."""
+    _, facts, edges = py_graph(spark, sf_dir)
+    return G.cycle_proof(spark, facts, edges)
 
 
 @register("related_files")
@@ -461,7 +475,7 @@ def q_health_score(spark, sf_dir):
     files, model = code_model(spark, sf_dir)
     facts = model.select(*X.FACT_COLUMNS)
     edges = G.resolve_imports(facts, files)
-    cycles = G.cycle_count(facts, G.find_cycles(spark, edges))
+    cycles = G.cycle_proof(spark, facts, edges)
     return HE.health_score(code_budget(spark, files), FL.source_only(facts), model_unused(model), cycles)
 
 
@@ -469,7 +483,7 @@ def q_health_score(spark, sf_dir):
 def q_audit_checks(spark, sf_dir):
     """A12 (+F9, G4, A3)."""
     files, facts, edges = py_graph(spark, sf_dir)
-    cycles = G.cycle_count(facts, G.find_cycles(spark, edges))
+    cycles = G.cycle_proof(spark, facts, edges)
     return HE.audit_checks(files, code_budget(spark, files), cycles, FL.syntax_errors(facts))
 
 

@@ -70,6 +70,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+class Tables:
+    """Written tables of one iterative job below ``spark.checkpoint.dir``.
+
+    Each round of an iteration is written and reread: the plan stays short, a
+    lost executor costs one round at most, and the row counts a loop asks for
+    come from the write itself (``observed``), not from a second job.  ``close``
+    deletes the tables that no returned DataFrame reads any more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        import uuid
+        self.spark = spark
+        self.base = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+        self.made = 0
+
+    def keep(self, df, **observed):
+        """``df`` written and reread; with named aggregates also their values."""
+        from pyspark.sql import Observation
+        self.made += 1
+        path = f"{self.base}/{self.made}"
+        seen = Observation() if observed else None
+        out = df.observe(seen, *[c.alias(n) for n, c in observed.items()]) if observed else df
+        out.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back._table_path = path
+        return (back, seen.get) if observed else back
+
+    def drop(self, *tables) -> None:
+        for df in tables:
+            path = getattr(df, "_table_path", None)
+            if path:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df):
     """Compute a (narrow) intermediate that several branches of a plan read,
     once: persisted in memory and disk and filled eagerly.  Lost blocks are
