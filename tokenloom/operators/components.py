@@ -17,7 +17,8 @@ depth-first walk.  Both forms give the same table.
 
 ``live_steps`` is what a search for cycles may follow: for every start the edges
 between nodes from which the start can be reached through larger nodes of its
-component, with the distance back to the start.
+component.  ``extend_paths`` takes paths one level further along them and drops
+those that can no longer come back.
 """
 from __future__ import annotations
 
@@ -144,37 +145,41 @@ def _rounds(t: Tables, e: DataFrame) -> list[DataFrame]:
     return found
 
 
-def _sizes(t: Tables, edges: DataFrame, at_most: int):
-    """Trimmed edges, their number per project, and whether one has more than ``at_most``."""
-    e = t.keep(_trim_once(t.keep(edges.where("src <> dst").select("project", "src", "dst").distinct())))
+def _by_size(t: Tables, edges: DataFrame, at_most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct edges without the outermost acyclic ones, those of projects with at
+    most ``at_most`` of them and those of larger projects (None without any)."""
+    e, seen = t.keep(_trim_once(edges.where("src <> dst").select("project", "src", "dst").distinct()), n=F.count(F.lit(1)))
+    if seen["n"] <= at_most:
+        return e, None
     sizes, seen = t.keep(e.groupBy("project").agg(F.count(F.lit(1)).alias("n")), large=F.count_if(F.col("n") > at_most))
-    return e, sizes, bool(seen["large"])
+    small = e.join(sizes.where(F.col("n") <= at_most), "project", "left_semi")
+    return small, t.keep(e.join(sizes.where(F.col("n") > at_most), "project", "left_semi")) if seen["large"] else None
 
 
 def strong_components(spark: SparkSession, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(project, path, component): the files that lie on a cycle through at least
     two files, with the smallest file of their component; self-edges aside."""
     t = Tables(spark, "components")
-    e, sizes, large = _sizes(t, edges, local_edges)
-    out = (e.join(sizes.where(F.col("n") <= local_edges), "project", "left_semi")
-           .groupBy("project").applyInArrow(_walk, OUT))
-    if large:
-        for found in _rounds(t, t.keep(e.join(sizes.where(F.col("n") > local_edges), "project", "left_semi"))):
+    small, large = _by_size(t, edges, local_edges)
+    out = small.groupBy("project").applyInArrow(_walk, OUT)
+    if large is not None:
+        for found in _rounds(t, large):
             # a label held by one node alone is no cycle
             names = found.groupBy("project", "label").agg(F.min("path").alias("component"), F.count(F.lit(1)).alias("n"))
             out = out.unionByName(found.join(names.where("n > 1"), ["project", "label"]).select("project", "path", "component"))
     return t.keep(out)
 
 
-def _back(start: str, before: dict[str, list[str]]) -> dict[str, int]:
-    """Distance to ``start`` of the nodes that reach it through larger nodes."""
-    far, edge = {}, [start]
+def _back(start: str, before: dict[str, list[str]], taken=()) -> dict[str, int]:
+    """Distance to ``start`` of the nodes that reach it through larger nodes not ``taken``."""
+    far, edge, n = {}, [start], 0
     while edge:
+        n += 1
         ahead = []
         for node in edge:
             for prev in before.get(node, ()):
-                if prev > start and prev not in far:
-                    far[prev] = far.get(node, 0) + 1
+                if prev > start and prev not in far and prev not in taken:
+                    far[prev] = n
                     ahead.append(prev)
         edge = ahead
     return far
@@ -183,61 +188,98 @@ def _back(start: str, before: dict[str, list[str]]) -> dict[str, int]:
 def _walk_steps(table: pa.Table) -> pa.Table:
     src, dst = table.column("src").to_pylist(), table.column("dst").to_pylist()
     within = walk_components(src, dst)
-    edges = [(a, b) for a, b in zip(src, dst) if a in within and within[a] == within.get(b)]
     before: dict[str, list[str]] = {}
     after: dict[str, list[str]] = {}
-    for a, b in edges:
-        before.setdefault(b, []).append(a)
-        after.setdefault(a, []).append(b)
+    for a, b in zip(src, dst):
+        if a in within and within[a] == within.get(b):
+            before.setdefault(b, []).append(a)
+            after.setdefault(a, []).append(b)
     rows = []
     for start in after:
         far = _back(start, before)
-        if far:
-            for a in (start, *far):
-                rows.extend((start, a, b, 0 if b == start else far[b]) for b in after[a] if b == start or b in far)
-    start, cur, nxt, back = zip(*rows) if rows else ((), (), (), ())
+        for a in (start, *far):
+            rows.extend((start, a, b) for b in after[a] if far and (b == start or b in far))
     project = pa.array([table.column("project")[0].as_py()] * len(rows), pa.string())
-    return pa.table([project, *(pa.array(c, pa.string()) for c in (start, cur, nxt)), pa.array(back, pa.int64())],
-                    ["project", "start", "cur", "nxt", "back"])
+    return pa.table([project, *(pa.array(c, pa.string()) for c in (zip(*rows) if rows else ((), (), ())))],
+                    ["project", "start", "cur", "nxt"])
 
 
 def _steps_by_rounds(t: Tables, e: DataFrame) -> DataFrame:
     """The live steps of large projects: every start's backward search at once,
     a written table of newly reached nodes per distance."""
-    reached = new = t.keep(e.where("src > dst").select("project", F.col("dst").alias("start"), F.col("src").alias("node"),
-                                                       F.lit(1).cast("long").alias("back")))
-    parts = [new]
+    reached = new = t.keep(e.where("src > dst").select("project", F.col("dst").alias("start"), F.col("src").alias("node")))
     while True:
         ahead = (new.join(e.select("project", F.col("dst").alias("node"), F.col("src").alias("prev")), ["project", "node"])
-                 .where("prev > start").select("project", "start", F.col("prev").alias("node"), (F.col("back") + 1).alias("back"))
-                 .distinct().join(reached.select("project", "start", "node"), ["project", "start", "node"], "left_anti"))
+                 .where("prev > start").select("project", "start", F.col("prev").alias("node")).distinct()
+                 .join(reached, ["project", "start", "node"], "left_anti"))
         new, seen = t.keep(ahead, n=F.count(F.lit(1)))
         if not seen["n"]:
             break
-        parts.append(new)
         reached = reached.unionByName(new)
     cur = reached.select("project", "start", F.col("node").alias("cur"))
     cur = cur.unionByName(cur.select("project", "start", F.col("start").alias("cur")).distinct())
     step = cur.join(e.select("project", F.col("src").alias("cur"), F.col("dst").alias("nxt")), ["project", "cur"])
-    back = reached.select("project", "start", F.col("node").alias("nxt"), "back")
-    return step.join(back, ["project", "start", "nxt"], "left").where("back is not null or nxt = start").select(
-        "project", "start", "cur", "nxt", F.coalesce("back", F.lit(0)).cast("long").alias("back"))
+    home = reached.select("project", "start").distinct().withColumn("nxt", F.col("start"))
+    alive = reached.select("project", "start", F.col("node").alias("nxt")).unionByName(home)
+    return step.join(alive, ["project", "start", "nxt"], "left_semi").select("project", "start", "cur", "nxt")
 
 
 def live_steps(spark: SparkSession, edges: DataFrame, local_steps: int = LOCAL_STEPS, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(project, start, cur, nxt, back): per start the edges on which a walk from
-    it through larger nodes can still come back, and the distance from ``nxt``."""
+    """(project, start, cur, nxt): per start the edges on which a walk from it
+    through larger nodes can still come back."""
     t = Tables(spark, "live")
-    e, sizes, large = _sizes(t, edges, local_steps)
-    schema = "project string, start string, cur string, nxt string, back long"
-    out = (e.join(sizes.where(F.col("n") <= local_steps), "project", "left_semi")
-           .groupBy("project").applyInArrow(_walk_steps, schema))
-    if large:
-        e = t.keep(e.join(sizes.where(F.col("n") > local_steps), "project", "left_semi"))
-        out = out.unionByName(_steps_by_rounds(t, t.keep(inner_edges(e, strong_components(spark, e, local_edges)))))
+    small, large = _by_size(t, edges, local_steps)
+    out = small.groupBy("project").applyInArrow(_walk_steps, "project string, start string, cur string, nxt string")
+    if large is not None:
+        out = out.unionByName(_steps_by_rounds(t, t.keep(inner_edges(large, strong_components(spark, large, local_edges)))))
     return t.keep(out)
 
 
+#: What became of a path: it goes on, it has closed, or its way back does not fit.
+OPEN, CLOSED, CUT = 0, 1, 2
+#: Open paths of one level that a sorted stretch of a start holds before it is split.
+PATHS = 100_000
+
+
+def extend_paths(paths: DataFrame, live: DataFrame, n_paths: int, max_len: int | None = None) -> DataFrame:
+    """One level further: (project, start, path) -> (project, start, path, state).
+
+    A start's live steps are sorted before its paths, so a task holds the steps
+    of one start and streams the paths; with very many paths a start is split
+    and its steps are sent to every split.  A path goes on to a node only if the
+    start can be reached from there without the nodes it has."""
+    splits = 1 + n_paths // PATHS
+    salt = F.pmod(F.xxhash64("path"), F.lit(splits)).cast("int")
+    steps = live.select("project", "start", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("salt"), F.lit(0).alias("kind"),
+                        F.array("cur", "nxt").alias("path"))
+    rows = steps.unionByName(paths.select("project", "start", salt.alias("salt"), F.lit(1).alias("kind"), "path"))
+
+    def extend(batches):
+        key, before, after = None, {}, {}
+        for batch in batches:
+            out = []
+            for project, start, salt, kind, path in zip(*(batch.column(c).to_pylist() for c in ("project", "start", "salt", "kind", "path"))):
+                if key != (project, start, salt):
+                    key, before, after = (project, start, salt), {}, {}
+                if kind == 0:
+                    before.setdefault(path[1], []).append(path[0])
+                    after.setdefault(path[0], []).append(path[1])
+                    continue
+                far = _back(start, before, set(path))
+                for nxt in after.get(path[-1], ()):
+                    if nxt == start:
+                        out.append((project, start, path, CLOSED))
+                    elif nxt in far:
+                        fits = max_len is None or len(path) + far[nxt] <= max_len
+                        out.append((project, start, [*path, nxt] if fits else [], OPEN if fits else CUT))
+            columns = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (
+                pa.string(), pa.string(), pa.list_(pa.string()), pa.int32()))], ["project", "start", "path", "state"])
+
+    return (rows.repartition("project", "start", "salt").sortWithinPartitions("project", "start", "salt", "kind")
+            .mapInArrow(extend, "project string, start string, path array<string>, state int"))
+
+
 def inner_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Edges between two files of one component: project, src, dst, component."""
     a = components.select("project", F.col("path").alias("src"), "component")

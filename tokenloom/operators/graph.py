@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.paths import module_candidates
-from tokenloom.operators.components import LOCAL_STEPS, inner_edges, live_steps, strong_components
+from tokenloom.operators.components import (CLOSED, CUT, LOCAL_STEPS, OPEN, extend_paths, inner_edges, live_steps,
+                                            strong_components)
 from tokenloom.session import Tables
 
 
@@ -54,59 +55,52 @@ def find_cycles(spark: SparkSession, edges: DataFrame, max_len: int | None = Non
     cycle_len, chain, truncated`` with chain ``a -> b -> a``.
 
     Paths grow one edge per level, only along the live steps of their start
-    (inside its component, through larger nodes, on edges from which the start
-    can still be reached) and close with an edge back to it, so each cycle is
-    found from its smallest node exactly once.  A level is one join keyed by
-    (project, start, node), written, read by the next level and deleted when its
-    open paths are used up; closed cycles are kept apart.  With ``max_len`` a
-    step is taken only if the way back fits; ``truncated`` then says that the
-    project has paths which do not, so longer cycles may exist.  The number of
-    simple cycles can grow exponentially with a component's edges; membership,
-    counts up to a bound and yes/no come from ``strong_components``.
+    (inside its component, through larger nodes) and only to nodes from which
+    the start can be reached without the nodes they hold, so each cycle is found
+    from its smallest node exactly once and every open path ends in a cycle.  A
+    level is written, read by the next one and deleted; closed cycles are kept.
+    With ``max_len`` a path goes on only if its way back fits; ``truncated`` then
+    says that the project has a cycle that is longer.  The number of simple
+    cycles can grow exponentially with a component's edges; membership, counts
+    up to a bound and yes/no come from ``strong_components``.
     """
     t = Tables(spark, "cycles")
     e = t.keep(edges.select("project", "src", "dst").distinct())
     loops = e.where("src = dst").select("project", F.lit(1).cast("long").alias("cycle_len"),
                                         F.concat_ws(" -> ", "src", "src").alias("chain"))
     live = live_steps(spark, e, local_steps)
-    frontier = live.where("cur = start").select("project", "start", F.col("nxt").alias("cur"), "back", F.array("start", "nxt").alias("path"),
-                                                F.lit(2).alias("depth"))
-    step = live.select("project", "start", "cur", "nxt", F.col("back").alias("ahead"))
-    closed, cut, depth = [], [], 2
-    while True:
-        if max_len is not None:
-            cut.append(frontier.where(~(F.col("depth") - 1 + F.col("back") <= max_len)).select("project").distinct())
-            frontier = frontier.where(F.col("depth") - 1 + F.col("back") <= max_len)
-        # an edge back to the start closes a cycle, any other one to a new node extends the path
-        grown = (frontier.drop("back").join(step, ["project", "start", "cur"])
-                 .where((F.col("nxt") == F.col("start")) | ~F.array_contains("path", F.col("nxt")))
-                 .select("project", "start", F.col("nxt").alias("cur"), F.col("ahead").alias("back"),
-                         F.when(F.col("nxt") == F.col("start"), F.col("path")).otherwise(F.concat("path", F.array("nxt"))).alias("path"),
-                         F.lit(depth + 1).alias("depth"), (F.col("nxt") == F.col("start")).alias("closed")))
-        grown, seen = t.keep(grown, open=F.count_if(~F.col("closed")), done=F.count_if("closed"))
+    paths = live.where("cur = start").select("project", "start", F.array("start", "nxt").alias("path"))
+    n, closed, cut, level = paths.count(), [], [], None
+    if max_len is not None and max_len < 2:
+        cut, n = [paths.select("project")], 0
+    while n:
+        grown, seen = t.keep(extend_paths(paths, live, n, max_len), n=F.count_if(F.col("state") == OPEN),
+                             done=F.count_if(F.col("state") == CLOSED), cut=F.count_if(F.col("state") == CUT))
+        # the level before is used up, but for what closed in it
+        t.drop(level)
+        n, level = seen["n"], None if seen["done"] or seen["cut"] else grown
+        paths = grown.where(F.col("state") == OPEN).select("project", "start", "path")
         if seen["done"]:
-            closed.append(grown.where("closed").select("project", "start", "path"))
-        frontier = grown.where("not closed").drop("closed")
-        if not seen["open"]:
-            break
-        depth += 1
+            closed.append(grown.where(F.col("state") == CLOSED))
+        if seen["cut"]:
+            cut.append(grown.where(F.col("state") == CUT).select("project"))
     out = loops
     for c in closed:
         out = out.unionByName(c.select("project", F.size("path").cast("long").alias("cycle_len"),
                                        F.array_join(F.concat("path", F.array("start")), " -> ").alias("chain")))
-    if max_len is None:
+    if not cut:
         return out.withColumn("truncated", F.lit(False))
     over = cut[0]
     for c in cut[1:]:
         over = over.unionByName(c)
-    over = over.distinct().withColumn("truncated", F.lit(True))
-    return (out.where(F.col("cycle_len") <= max_len).join(over, "project", "left")
-            .withColumn("truncated", F.coalesce("truncated", F.lit(False))).select("project", "cycle_len", "chain", "truncated"))
+    return out.join(over.distinct().withColumn("truncated", F.lit(True)), "project", "left").select(
+        "project", "cycle_len", "chain", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
 def cycle_members(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """The files that lie on some cycle, by component membership and
     self-edges; no cycle is enumerated."""
+    edges = Tables(spark, "members").keep(edges.select("project", "src", "dst").distinct())
     loops = edges.where("src = dst").select("project", F.col("src").alias("path"))
     return strong_components(spark, edges).select("project", "path").unionByName(loops).distinct()
 
@@ -131,12 +125,16 @@ def cycle_proof(spark: SparkSession, nodes: DataFrame, edges: DataFrame, enough:
     least = (nodes.select("project").distinct().join(n_edges, "project", "left").join(n_nodes, "project", "left")
              .join(loops, "project", "left").fillna(0)
              .select("project", "loops", (F.col("m") - F.col("less") + F.col("loops")).alias("least"), F.col("m") > 0))
-    least = t.keep(least.toDF("project", "loops", "least", "tangled"))
-    few = least.where((F.col("least") < enough) & F.col("tangled")).select("project")
+    few = (F.col("least") < enough) & F.col("tangled")
+    least, seen = t.keep(least.toDF("project", "loops", "least", "tangled"), few=F.count_if(few))
+    exact = (F.col("least") < enough).alias("exact")
+    if not seen["few"]:  # no component, or enough cycles everywhere
+        return least.select("project", F.col("least").cast("long").alias("n_cycles"), exact)
+    few = least.where(few).select("project")
     found = find_cycles(spark, inside.join(few, "project", "left_semi")).groupBy("project").agg(F.count(F.lit(1)).alias("found"))
     return least.join(found, "project", "left").select(
         "project", F.when(F.col("least") >= enough, F.col("least")).otherwise(F.col("loops") + F.coalesce("found", F.lit(0)))
-        .cast("long").alias("n_cycles"), (F.col("least") < enough).alias("exact"))
+        .cast("long").alias("n_cycles"), exact)
 
 
 def cycle_count(nodes: DataFrame, cycles: DataFrame) -> DataFrame:
