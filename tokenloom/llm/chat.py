@@ -5,8 +5,9 @@ of their turns, they are range-partitioned (by path and id, so a first turn or
 a whole conversation that very many share is spread) and streamed in depth-first
 order.  Each shared turn is emitted once per partition as a node with its token
 ids, the position id of its first token (tokens of its ancestors before it), and
-the intervals of the tree's stream that its ancestors occupy: a token attends to
-these and, causally, to its own node.  Only the current path is held in memory.
+the intervals of the tree's stream that its ancestors occupy (neighbouring ones
+merged, so an unbranched path is one interval): a token attends to these and,
+causally, to its own node.  Only the current path is held in memory.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``.  Control strings inside roles
 and texts get a backslash after their first character, backslashes are doubled
@@ -77,7 +78,8 @@ def _emit(tokenizer_path: str | None, trained: str):
     def emit(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        path: list[tuple] = []  # the current path: (turn, start, stop)
+        # the current path: (turn, tokens up to its end, intervals of it and its ancestors)
+        path: list[tuple[tuple[str, str], int, list[tuple[int, int]]]] = []
         seq = tree = stream = 0
         for batch in batches:
             out = {name: [] for name in NODE.names}
@@ -100,13 +102,16 @@ def _emit(tokenizer_path: str | None, trained: str):
                     a, b, c = _tokens(tokenizer_path, head, body, tail)
                     learns = role == trained
                     n = len(a) + len(b) + len(c)
+                    _, position, seen = path[-1] if path else (None, 0, [])
                     add(part=part, seq=seq, kind="turn", tree=tree, depth=depth, formatted=head + body + tail,
                         loss_from=len(head) if learns else None, loss_to=len(head) + len(body) if learns else None,
                         token_ids=a + b + c, loss_tokens_from=len(a) if learns else None,
                         loss_tokens_to=len(a) + len(b) if learns else None, start=stream,
-                        position=sum(stop - start for _, start, stop in path),
-                        attends=[{"start": start, "stop": stop} for _, start, stop in path])
-                    path.append((turns[depth], stream, stream + n))
+                        position=position, attends=[{"start": start, "stop": stop} for start, stop in seen])
+                    # neighbours in the stream are one interval
+                    seen = ([*seen[:-1], (seen[-1][0], stream + n)] if seen and seen[-1][1] == stream
+                            else [*seen, (stream, stream + n)])
+                    path.append((turns[depth], position + n, seen))
                     stream += n
                     seq += 1
                 add(part=part, seq=seq, kind="end", tree=tree, depth=len(turns), conv_id=conv_id)
