@@ -31,16 +31,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import Scratch, small
+from tokenloom.llm.common import Scratch, let, small
 
 L = "[\\p{L}\\p{N}._%+-]"
 OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)"
 MALE, FEMALE, EITHER = "Mr|Herr|Señor|Sr|Monsieur|господин|г-н|κύριος", "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|госпожа|г-жа|κυρία", "Dr|Prof"
 SECRET_NAME = "(?:[A-Za-z_]*(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))[\"']?\\s{0,4}[:=]\\s{0,4}[\"']?"
 PATTERNS = {
-    "secret": f"(?<![A-Za-z])(?i:{SECRET_NAME})(?-i)[A-Za-z0-9_/+=~.-]{{12,}}+",
+    "secret": f"(?<![A-Za-z_])(?i:{SECRET_NAME})(?-i)[A-Za-z0-9_/+=~.-]{{12,}}+",
     "key": "(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])",
-    "email": f"(?<!{L}){L}++@[\\p{{L}}\\p{{N}}-]+(?:\\.[\\p{{L}}\\p{{N}}-]+)+",
+    "email": f"(?<!{L}){L}++@[\\p{{L}}\\p{{N}}-]++(?:\\.[\\p{{L}}\\p{{N}}-]++)++",
     "ip": f"(?<![\\d.])(?:{OCTET}\\.){{3}}{OCTET}(?!\\.?\\d)",
     "card": "(?<![\\d-])(?:\\d{13,19}|\\d{4}([ -])\\d{4}\\1\\d{4}\\1\\d{1,7})(?![\\d-])",
     "phone": "(?<![\\d+])(?:\\+?\\d{1,3}[ .-]?\\(\\d{2,4}\\)[ .-]?\\d{3,4}[ .-]?\\d{3,4}|\\+\\d{1,3}(?:[ .-]\\d{2,4}){2,4}|\\+\\d{9,15}|\\(\\d{3}\\) ?\\d{3}[.-]\\d{4}|\\d{3}[.-]\\d{3}[.-]\\d{4})(?!\\d)",
@@ -131,14 +131,15 @@ def _pick(alphabet: str, n: Column) -> Column:
 def _like(text: Column, stream: Column, keep_from: Column | None = None) -> Column:
     """Every character replaced by one of its class and script; those from
     ``keep_from`` on (0-based) are kept."""
-    def one(c, i):
+    def one(c, i, keep):
         drawn = (F.when(c.rlike("[0-9]"), _pick("0123456789", _draw(stream, i, 10)))
                  .when(c.rlike("\\p{IsCyrillic}"), _pick(CYRILLIC, _draw(stream, i, len(CYRILLIC))))
                  .when(c.rlike("\\p{IsGreek}"), _pick(GREEK, _draw(stream, i, len(GREEK))))
                  .when(c.rlike("\\p{L}"), _pick(LATIN, _draw(stream, i, len(LATIN)))).otherwise(c))
         drawn = F.when(c.rlike("\\p{Lu}"), F.upper(drawn)).otherwise(drawn)
-        return drawn if keep_from is None else F.when(i >= keep_from, c).otherwise(drawn)
-    return F.array_join(F.transform(F.split(text, "(?!^)"), one), "")
+        return F.when(i >= keep, c).otherwise(drawn)
+    return let(F.lit(1 << 30) if keep_from is None else keep_from, lambda keep: F.array_join(
+        F.transform(F.split(text, "(?!^)"), lambda c, i: one(c, i, keep)), ""))
 
 
 def _listed(words: list[str], n: Column) -> Column:
