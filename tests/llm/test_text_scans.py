@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tokenloom.llm import chat, licenses, pii, queries
 from tokenloom.llm.common import Scratch
@@ -187,7 +189,8 @@ def test_prefix_trees_merge_and_attend(spark):
     for r in said:
         text = stream.setdefault((r.part, r.tree), "")
         assert r.start == len(text) and "".join(map(chr, r.token_ids)) == r.formatted
-        assert r.position == sum(a.stop - a.start for a in r.attends) and len(r.attends) == r.depth
+        assert r.position == sum(a.stop - a.start for a in r.attends)
+        assert all(a.stop < b.start for a, b in zip(r.attends, r.attends[1:]))  # neighbours are merged
         stream[r.part, r.tree] = text + r.formatted
     for r in said:
         before = "".join(stream[r.part, r.tree][a.start:a.stop] for a in r.attends)
@@ -207,3 +210,56 @@ def test_chat_odd_rows(spark, sf):
     assert {k: r.n_turns for k, r in got.items()} == {1: 3, None: 1, 2: 1, 3: 1}
     assert (got[3].loss_chars, got[2].loss_chars, got[None].loss_chars) == (250_000, 0, 1)
     assert chat.read_back(Scratch(spark, "t").keep(chat.prefix_trees(df.limit(0), None))).count() == 0
+
+
+# ---- very long texts: no crash, and cost in proportion
+
+def test_license_of_long_texts(spark):
+    texts = ["mit license " + "1 " * 200_000, "mit license " * 100_000, "licensed under the gpl v2 " * 20_000,
+             "permission is hereby granted " * 30_000, "apache license " + "x" * 1_000_000, "spdx license identifier mit " + "9 " * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "labels",
+                                                           "score", F.size("detections").alias("n")).collect()}
+    assert (got[0].n_words, got[0].n_base, got[0].n) == (200_002, 1, 1)
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].n) == (100_000, 0, 199_998, 100_000)
+    assert got[2].n == 20_000 and got[2].labels == "gpl" and got[3].n == 0 and got[4].labels == "apache"
+
+
+def test_license_bodies_without_a_name(spark):
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+               "documentation files (the \"Software\"), to deal in it",
+        "bsd": "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that",
+        "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                        "products derived from this software without permission",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+               "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                "Public License as published by the Free Software Foundation, either version 3",
+        "": "permission was granted; redistribution and use are fine"}
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for k, (label, text) in enumerate(texts.items()):
+        assert got[k].labels == label and _row(got[k]) == _scan(text), label
+    assert len(got[6].detections) == 1  # the name inside the header is contained
+
+
+def test_surrogates_of_long_texts(spark):
+    texts = ["x@" + "a." * 200_000 + "com", "_" * 1_000_000, "token" * 100_000, "a_" * 200_000 + "token = abcdefghijkl12",
+             "x@y.org " * 20_000, "-" * 500_000 + "1" * 500_000, "Mr " * 100_000, "sk-" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.anonymize(docs, "k").select("doc_id", "n_entities", F.length("text").alias("n")).collect()}
+    assert [got[k].n_entities for k in range(6)] == [1, 0, 0, 1, 20_000, 0]
+    assert all(got[k].n == len(t) for k, t in enumerate(texts) if k != 6)
+
+
+def test_chat_of_many_turns(spark):
+    rows = [(c, k, ("user", "assistant")[k % 2], f"turn {k} of the same talk") for c in (1, 2) for k in range(20_000)]
+    rows += [(2, 20_000, "user", "and one more"), (3, 0, "user", "turn 0 of the same talk"), (3, 1, "user", "another way")]
+    t = time.time()
+    nodes = Scratch(spark, "test").keep(chat.prefix_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    back = {r.conv_id: r for r in chat.read_back(nodes).collect()}
+    assert {c: r.n_turns for c, r in back.items()} == {1: 20_000, 2: 20_001, 3: 2} and time.time() - t < 60
+    assert nodes.selectExpr("max(size(attends)) AS n").first().n <= 2
