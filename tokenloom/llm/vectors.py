@@ -6,10 +6,13 @@ small-world graph: every vector draws a top level, each level is a graph over
 the vectors that reach it, built from the top down by beam searches that start
 from the level above, with diverse neighbours and pruned back links.
 
+Graphs are built and searched in single precision; whatever comes within a slack
+of the threshold is verified in double precision.
+
 Audit: each shard is asked by vectors drawn from all shards and by seeded copies
 of its own vectors moved away to just within the threshold, none of them nodes
 of the graph, and the answers are compared with brute force.  A moved copy links
-with its original at least, so no audit is empty.  The beam is doubled until at
+with its original at least, so no audit is empty.  The beam is widened by half until at
 least ``AUDIT_RECALL`` of the originals, and of all audited links, are found (a
 beam as wide as the shard finds all of them).
 
@@ -50,7 +53,8 @@ ASKED = 256         # vectors of all shards that audit every shard
 AUDIT_RECALL = 0.99
 PAIRS = 128         # links of a query in a shard that are paired; beyond it they are counted
 SLICE = 65_536      # queries that one (shard, slice) task takes at most
-BATCH = 512         # queries searched in lock step
+BATCH = 256         # queries searched in lock step
+SLACK = 1e-4        # by which a single-precision similarity may fall short of the true one
 
 
 class Level:
@@ -68,7 +72,7 @@ def _search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.nda
     beam is expanded."""
     q, rows = len(queries), np.arange(len(queries))
     seen = np.zeros((q, len(x)), bool)
-    cand, sim = np.full((q, beam), -1, np.int64), np.full((q, beam), -2.0)
+    cand, sim = np.full((q, beam), -1, np.int64), np.full((q, beam), -2.0, x.dtype)
     ok = entry >= 0
     first = np.where(ok, entry, 0)
     s = np.where(ok, np.einsum("qd,qkd->qk", queries, x[first]), -2.0)
@@ -94,7 +98,7 @@ def _search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.nda
             continue
         who, what = active[r], near[r, c]
         seen[who, what] = True
-        s = np.full(near.shape, -2.0)
+        s = np.full(near.shape, -2.0, x.dtype)
         s[r, c] = np.einsum("nd,nd->n", queries[who], x[what])
         all_c = np.concatenate((cand[active], np.where(fresh, near, -1)), 1)
         all_s = np.concatenate((sim[active], s), 1)
@@ -212,9 +216,10 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, threshold: float, asked: np.ndarray | None = None):
         self.threshold = threshold
-        self.levels = build(x)
+        self.levels = build(x.astype(np.float32))
         nodes = self.levels[-1].nodes
         self.ids, self.x = ids[nodes], np.ascontiguousarray(x[nodes])
+        self.single = self.x.astype(np.float32)
         back = np.argsort(nodes, kind="stable")
         self.levels = [Level(back[lv.nodes], lv.links) for lv in self.levels]
         self.beam = BEAM
@@ -242,7 +247,7 @@ class Shard:
                 true += near.sum()
             if own >= AUDIT_RECALL * ours and found >= AUDIT_RECALL * true:
                 return
-            self.beam *= 2
+            self.beam += max(1, self.beam // 2)
 
     def near(self, queries: np.ndarray):
         """Positions at or above the threshold for each query, one after the other;
@@ -254,10 +259,12 @@ class Shard:
             return
         for lo in range(0, len(queries), batch):
             q = queries[lo:lo + batch]
-            entry = _descend(self.x, self.levels[:-1], q) if len(self.levels) > 1 else np.zeros((len(q), 1), np.int64)
-            c, s = _search(self.x, self.levels[-1].links, q, entry, self.beam)
+            y = q.astype(np.float32)
+            entry = _descend(self.single, self.levels[:-1], y) if len(self.levels) > 1 else np.zeros((len(q), 1), np.int64)
+            c, s = _search(self.single, self.levels[-1].links, y, entry, self.beam)
             for i in range(len(q)):
-                hit = self._group(q[i], c[i], c[i][s[i] >= self.threshold])
+                hit = c[i][s[i] >= self.threshold - SLACK]
+                hit = self._group(q[i], c[i], hit[self.x[hit] @ q[i] >= self.threshold])
                 yield hit if len(hit) <= PAIRS else np.flatnonzero(self.x @ q[i] >= self.threshold)
 
     def _group(self, query: np.ndarray, met: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -289,6 +296,7 @@ class Shard:
         z = np.load(io.BytesIO(data))
         out = cls.__new__(cls)
         out.ids, out.x, out.beam, out.threshold = z["ids"], z["x"], int(z["beam"]), float(z["threshold"])
+        out.single = out.x.astype(np.float32)
         out.levels = [Level(z[f"n{k}"], z[f"l{k}"].astype(np.int64)) for k in range(sum(f.startswith("n") for f in z.files))]
         return out
 
