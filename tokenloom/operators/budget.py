@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.paths import extension, top_dir
 from tokenloom.functions.scores import classify_dir, savings_pct, share_band
 from tokenloom.operators.filters import slim_candidates_flags, with_token_flags
+from tokenloom.operators.ranking import ranked
 
 
 def token_budget(files: DataFrame, rules: DataFrame, extra=()) -> DataFrame:
@@ -142,10 +143,12 @@ def excluded_files(files: DataFrame, rules: DataFrame, top: int = 8) -> DataFram
 
 
 def token_distribution(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Optimized files with their share of the project total and a band."""
+    """Optimized files by tokens, largest first (ties by path), with their
+    rank, their share of the project total and a band."""
     f = with_token_flags(files, rules).where("in_optimized").select("project", "path", "tokens")
     totals = f.groupBy("project").agg(F.sum("tokens").alias("total"))
     pct = F.when(F.col("total") > 0, F.col("tokens") / F.col("total") * 100.0).otherwise(F.lit(0.0))
-    return (f.join(totals, "project")
-            .select("project", "path", F.col("tokens").cast("long"), F.round(pct, 1).alias("pct"),
-                    share_band(pct).alias("band")))
+    shares = (f.join(totals, "project")
+              .select("project", "path", F.col("tokens").cast("long"), F.round(pct, 1).alias("pct"),
+                      share_band(pct).alias("band")))
+    return ranked(shares, F.desc("tokens"), F.asc("path"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.paths import import_root
 from tokenloom.functions.scores import complexity_grade
+from tokenloom.operators.ranking import ranked
 
 # Import root -> framework label (one entry per root).
 FRAMEWORKS = [
@@ -65,7 +66,9 @@ def quality_summary(facts: DataFrame) -> DataFrame:
 
 
 def quality_table(facts: DataFrame) -> DataFrame:
-    """Per file complexity, type coverage and grade."""
+    """Files by complexity, highest first (ties by path), with their rank,
+    type coverage and grade."""
     cov = F.when(F.size("functions") > 0, F.col("typed_functions") / F.size("functions") * 100.0).otherwise(F.lit(0.0))
-    return facts.select("project", "path", F.col("complexity").cast("long"), F.round(cov, 1).alias("type_coverage"),
+    rows = facts.select("project", "path", F.col("complexity").cast("long"), F.round(cov, 1).alias("type_coverage"),
                         complexity_grade("complexity").alias("grade"))
+    return ranked(rows, F.desc("complexity"), F.asc("path"))

@@ -1,18 +1,20 @@
 """Report builders (R1-R7) and their token statistics (A9 is in focus, A10 here).
 
-Trees and indexes are produced as ordered rows ``(project, sort_path, depth,
-line)``: a global ``orderBy`` (range-partitioned) renders them, so a project
-of any size is never gathered into one task.  Only the document assemblers
-(R5, R6, R7) build one text per project, which is their purpose.
+Trees, indexes and documents are rows: a document's line is ``(project, section,
+sort_key, pos, line)``, ordered by these columns.  ``sinks.write_lines`` writes
+the lines range-partitioned in that order and ``numbered`` gives them line
+numbers, so a project of any size is never gathered into one task or cell.  Only
+``as_text``, for projects known to be small, joins a project's lines to one text.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.scores import reduction_pct
 from tokenloom.functions.text import approx_tokens, pystrip, signature_lines, strip_boilerplate
 from tokenloom.operators.filters import DOC_EXTENSIONS
+from tokenloom.operators.ranking import ranked
 
 
 def _prefix_rows(paths: DataFrame, with_files: bool) -> DataFrame:
@@ -71,39 +73,81 @@ def small_docs(files: DataFrame, max_bytes: int = 4096) -> DataFrame:
     return d.select("project", "path", ext.alias("ext"), strip_boilerplate(pystrip("content"), ext).alias("body"))
 
 
-def _doc(sections: DataFrame) -> DataFrame:
-    """Join ``(project, ord, text)`` rows into one text per project."""
-    g = sections.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("s"))
-    return g.select("project", F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("doc"))
-
-
-def snapshot_doc(tree: DataFrame, sigs: DataFrame, docs: DataFrame, project_names: DataFrame | None = None) -> DataFrame:
-    """Markdown snapshot per project: header, file tree, signatures (if
-    any), small config/doc files (if any)."""
-    t = tree.select("project", F.struct(F.lit(1), "sort_path", "depth").alias("k"), "line")
-    tree_txt = t.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("s")).select(
-        "project", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("t"))
-    head = tree_txt.select("project", F.lit(0).alias("ord"), F.concat(
-        F.lit("# Project Snapshot — "), F.col("project"), F.lit("\n\n> Auto-generated snapshot. Read this file instead of "
-                                                                "individual source files.\n\n## File Tree\n```\n"),
-        F.col("t"), F.lit("\n```\n")).alias("text"))
-    sg = sigs.select("project", F.lit(1).alias("ord"), F.concat(
-        F.lit("### `"), F.col("path"), F.lit("`\n```python\n"), F.array_join("sigs", "\n"), F.lit("\n```\n")).alias("text"),
-        F.col("path").alias("p"))
-    sg_doc = _doc(sg.select("project", F.struct("p").alias("ord"), "text")).select(
-        "project", F.lit(1).alias("ord"), F.concat(F.lit("## Signatures\n\n"), F.col("doc")).alias("text"))
-    dc = docs.select("project", F.col("path").alias("p"), F.concat(
-        F.lit("### `"), F.col("path"), F.lit("`\n```"), F.col("ext"), F.lit("\n"), F.col("body"), F.lit("\n```\n"))
-        .alias("text"))
-    dc_doc = _doc(dc.select("project", F.struct("p").alias("ord"), "text")).select(
-        "project", F.lit(2).alias("ord"), F.concat(F.lit("## Config & Docs\n\n"), F.col("doc")).alias("text"))
-    return _doc(head.unionByName(sg_doc).unionByName(dc_doc))
-
-
-def snapshot_stats(snap: DataFrame, budget: DataFrame) -> DataFrame:
-    """A10: tokens of the snapshot vs the optimized project tokens."""
-    s = snap.select("project", approx_tokens("doc").alias("snapshot_tokens"))
-    j = s.join(budget.select("project", F.col("optimized").alias("with_rules_tokens")), "project")
+LINE_ORDER = ("section", "sort_key", "pos")
+
+
+def _lines(rows: DataFrame, section: int, lines: Column, key: Column | str | None = None) -> DataFrame:
+    """One row per element of the array ``lines``."""
+    key = F.lit("") if key is None else F.col(key) if isinstance(key, str) else key
+    return rows.select("project", F.lit(section).cast("long").alias("section"), key.alias("sort_key"),
+                       F.posexplode(lines).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def _said(*lines) -> Column:
+    return F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines])
+
+
+def _stack(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """A document's lines with ``line_no`` from 1 within the project."""
+    return ranked(lines, *LINE_ORDER, name="line_no")
+
+
+def as_text(lines: DataFrame) -> DataFrame:
+    """(project, doc): all lines of a project in one string; for small projects."""
+    g = lines.groupBy("project").agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "line"))).alias("s"))
+    return g.select("project", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("doc"))
+
+
+# Headings and sentences of the snapshot and the checkpoint.
+SNAPSHOT_TITLE = "# Project Snapshot — "
+SNAPSHOT_NOTE = "> Auto-generated snapshot. Read this file instead of individual source files."
+SNAPSHOT_SECTIONS = ("## File Tree", "## Signatures", "## Config & Docs")
+CHECKPOINT_NOTES = ("> Generated checkpoint. Paste this into a new conversation.",
+                    "> Do NOT read source files — work only from the signatures below unless you need a specific file.")
+NO_TASK = "_(describe what to do next)_"
+
+
+def snapshot_lines(tree: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The lines of each project's snapshot: header, file tree, signatures
+    (if it shows a Python file), small config and doc files (if any)."""
+    projects = tree.select("project").distinct()
+    python = tree.where(F.col("sort_path").endswith(".py")).select("project").distinct()
+    tick = F.lit("`")
+    return _stack(
+        _lines(projects, 0, _said(F.concat(F.lit(SNAPSHOT_TITLE), "project"), "", SNAPSHOT_NOTE, "", SNAPSHOT_SECTIONS[0], "```")),
+        tree.select("project", F.lit(1).cast("long").alias("section"), F.col("sort_path").alias("sort_key"), F.col("depth").alias("pos"), "line"),
+        _lines(projects, 2, _said("```", "")),
+        _lines(python, 3, _said(SNAPSHOT_SECTIONS[1], "")),
+        _lines(sigs, 4, F.concat(_said(F.concat(F.lit("### `"), "path", tick), "```python"), "sigs", _said("```", "")), "path"),
+        _lines(docs.select("project").distinct(), 5, _said(SNAPSHOT_SECTIONS[2], "")),
+        _lines(docs, 6, F.concat(_said(F.concat(F.lit("### `"), "path", tick), F.concat(F.lit("```"), "ext")), F.split("body", "\n"),
+                                 _said("```", "")), "path"))
+
+
+def checkpoint_lines(snapshot: DataFrame, next_task: str = "") -> DataFrame:
+    """R5, checkpoint form: the snapshot between a header and the next task."""
+    projects = snapshot.select("project").distinct()
+    head = _lines(projects, -1, _said(F.concat(F.lit("# "), "project", F.lit(" — Checkpoint")), "", *CHECKPOINT_NOTES, "",
+                                      "## Project overview", ""))
+    return _stack(head, snapshot, _lines(projects, 7, _said("## Next task", "", next_task.strip() or NO_TASK, "")))
+
+
+def line_tokens(lines: DataFrame) -> DataFrame:
+    """Tokens per project, counted line by line with the newline (partial sums)."""
+    return lines.groupBy("project").agg(F.sum(approx_tokens(F.concat("line", F.lit("\n")))).cast("long").alias("tokens"))
+
+
+def snapshot_stats(snapshot: DataFrame, budget: DataFrame) -> DataFrame:
+    """A10: tokens of the snapshot's lines vs the optimized project tokens."""
+    j = line_tokens(snapshot).withColumnRenamed("tokens", "snapshot_tokens").join(
+        budget.select("project", F.col("optimized").alias("with_rules_tokens")), "project")
     return j.select("project", "with_rules_tokens", "snapshot_tokens",
                     reduction_pct("snapshot_tokens", "with_rules_tokens").alias("reduction_pct"))
 
@@ -111,57 +155,68 @@ def snapshot_stats(snap: DataFrame, budget: DataFrame) -> DataFrame:
 # Rules recommended in the generated project doc.
 RECOMMENDED_RULES = ["__pycache__/", "*.pyc", ".venv/", "venv/", ".git/", "*.egg-info/", "dist/", "build/",
                      ".pytest_cache/", ".mypy_cache/", "*.log", "*.lock"]
-
-
-def project_doc(spark: SparkSession, facts: DataFrame, dirs: DataFrame, most: DataFrame, hot: DataFrame,
-                unused_files: DataFrame, frameworks: DataFrame, files: DataFrame) -> DataFrame:
-    """The per-project guide: overview, structure, core files (8, count >
-    0), hot files (8), possible dead code (10 files), decisions pointer when a
-    DECISIONS.md exists, recommended rules."""
+# Headings and sentences of the project doc.
+GUIDE_TITLE, GUIDE_NOTES = "# Project guide", ("> Auto-generated.", "> Review and edit before committing.")
+CORE = ("## Core Files (High Dependency Impact)", "", "Changes here affect many other modules - review carefully:", "",
+        "| File | Imported by |", "|------|-------------|")
+HOT = ("## Hot Files (Change Frequently)", "", "Based on recent git history:", "", "| File | Changes |", "|------|---------|")
+DEAD = ("## Possible Dead Code", "", "> Defined but never imported elsewhere. Verify before removing - ",
+        "> dynamic access or `__all__` usage may not be detected.", "")
+DECISIONS = ("## Architecture Decisions", "", "> See [DECISIONS.md](DECISIONS.md) for WHY the code is structured this way.",
+             "> Read it before making structural changes.", "")
+
+
+def project_lines(facts: DataFrame, dirs: DataFrame, most: DataFrame, hot: DataFrame, unused_files: DataFrame,
+                  frameworks: DataFrame, files: DataFrame, budget: DataFrame | None = None) -> DataFrame:
+    """The lines of each project's guide: overview, structure, core files (8,
+    count > 0), hot files (8), possible dead code (10 files), decisions pointer
+    when a DECISIONS.md exists, recommended rules.  With a ``budget`` (A3) the
+    overview names the reduction that the ignore rules bring."""
     ov = facts.groupBy("project").agg(
         F.count(F.lit(1)).alias("n"), F.sum("lines").alias("lines"), F.sum(F.size("functions")).alias("fns"),
         F.sum(F.size("classes")).alias("cls"), F.sum("typed_functions").alias("typed"), F.sum("complexity").alias("cx"))
     cov = F.when(F.col("fns") > 0, F.col("typed") / F.col("fns") * 100.0).otherwise(F.lit(0.0))
-    fw = frameworks.groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("framework")), ", ").alias("fw"))
-    overview = ov.join(fw, "project", "left").select("project", F.lit(0).alias("ord"), F.concat_ws(
-        "\n", F.lit("# Project guide\n\n## Project Overview\n"),
+    ov = ov.join(frameworks.groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("framework")), ", ").alias("fw")),
+                 "project", "left")
+    ov = (ov.join(budget.select("project", F.col("savings_pct").alias("saved")), "project", "left") if budget is not None
+          else ov.withColumn("saved", F.lit(None).cast("double")))
+    overview = _lines(ov, 0, F.array_compact(_said(
+        GUIDE_TITLE, "", *GUIDE_NOTES, "", "## Project Overview", "",
         F.concat(F.lit("- **Files:** "), F.col("n").cast("string"), F.lit(" Python files")),
         F.concat(F.lit("- **Lines of code:** "), F.format_number("lines", 0)),
         F.concat(F.lit("- **Functions:** "), F.col("fns").cast("string"), F.lit("  |  **Classes:** "), F.col("cls").cast("string")),
-        F.concat(F.lit("- **Type coverage:** "), F.format_string("%.0f", cov), F.lit("%  |  **Avg complexity:** "),
-                 F.format_string("%.1f", F.col("cx") / F.col("n"))),
-        F.when(F.col("fw").isNotNull(), F.concat(F.lit("- **Detected frameworks:** "), F.col("fw")))).alias("text"))
-    tree = dirs.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("sort_path", "depth", "line"))).alias("s"))
-    structure = tree.select("project", F.lit(1).alias("ord"), F.concat(
-        F.lit("\n## Project Structure\n\n```\n"), F.array_join(F.transform("s", lambda x: x["line"]), "\n"),
-        F.lit("\n```\n")).alias("text"))
-
-    def table(df, ord_, title, col):
-        rows = df.select("project", "rank", F.concat(F.lit("| `"), F.col("path"), F.lit("` | "),
-                                                      F.col(col).cast("string"), F.lit(" |")).alias("r"))
-        g = rows.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("rank", "r"))).alias("s"))
-        return g.select("project", F.lit(ord_).alias("ord"), F.concat(
-            F.lit(title), F.array_join(F.transform("s", lambda x: x["r"]), "\n"), F.lit("\n")).alias("text"))
-
-    core = table(most.where((F.col("imported_by") > 0) & (F.col("rank") <= 8)), 2,
-                 "## Core Files (High Dependency Impact)\n\n| File | Imported by |\n|------|-------------|\n", "imported_by")
-    hot_t = table(hot.where(F.col("rank") <= 8), 3, "## Hot Files (Change Frequently)\n\n| File | Changes |\n|------|---------|\n",
-                  "changes")
-    w = unused_files.select("project", "path", F.concat(F.lit("- **`"), F.col("path"), F.lit("`**: "), F.array_join(
-        F.transform("symbols", lambda s: F.concat(F.lit("`"), s, F.lit("`"))), ", ")).alias("r"))
-    from pyspark.sql import Window
-    w = w.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy("path"))).where("rank <= 10")
-    dead = w.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("rank", "r"))).alias("s")).select(
-        "project", F.lit(4).alias("ord"), F.concat(F.lit("## Possible Dead Code\n\n"),
-                                                   F.array_join(F.transform("s", lambda x: x["r"]), "\n"), F.lit("\n")).alias("text"))
-    decisions = files.where(F.col("path") == "DECISIONS.md").select("project").distinct().select(
-        "project", F.lit(5).alias("ord"), F.lit("## Architecture Decisions\n\n> See DECISIONS.md before structural changes.\n")
-        .alias("text"))
-    rules = facts.select("project").distinct().select("project", F.lit(6).alias("ord"), F.lit(
-        "## Recommended ignore rules\n\n```\n" + "\n".join(RECOMMENDED_RULES) + "\n```\n").alias("text"))
-    parts = overview.unionByName(structure).unionByName(core).unionByName(hot_t).unionByName(dead) \
-        .unionByName(decisions).unionByName(rules)
-    return _doc(parts)
+        F.concat(F.lit("- **Type coverage:** "), F.round(cov, 0).cast("long").cast("string"), F.lit("%  |  **Avg complexity:** "),
+                 F.round(F.col("cx") / F.col("n"), 1).cast("string")),
+        F.concat(F.lit("- **Estimated token reduction with ignore rules:** "), F.round("saved", 1).cast("string"), F.lit("%")),
+        F.concat(F.lit("- **Detected frameworks:** "), "fw"))))
+    projects = facts.select("project").distinct()
+
+    def table(rows: DataFrame, section: int, head: tuple, line: Column) -> list[DataFrame]:
+        """Heading, ranked lines and a blank line where there are any."""
+        any_ = rows.select("project").distinct()
+        body = rows.select("project", F.lit(section + 1).cast("long").alias("section"), F.lit("").alias("sort_key"),
+                           F.col("rank").cast("long").alias("pos"), line.alias("line"))
+        return [_lines(any_, section, _said(*head)), body, _lines(any_, section + 2, _said(""))]
+
+    name = F.concat(F.lit("| `"), "path", F.lit("` | "))
+    imported = F.concat(name, F.col("imported_by").cast("string"), F.when(F.col("imported_by") == 1, " file |").otherwise(" files |"))
+    first = Window.partitionBy("project").orderBy("path")
+    dead = unused_files.select("project", "path", "symbols").withColumn("rank", F.row_number().over(first)).where("rank <= 10")
+    symbols = F.array_join(F.transform("symbols", lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")
+    return _stack(
+        overview, _lines(projects, 1, _said("", "## Project Structure", "", "```")),
+        dirs.select("project", F.lit(2).cast("long").alias("section"), F.col("sort_path").alias("sort_key"), F.col("depth").alias("pos"), "line"),
+        _lines(projects, 3, _said("```", "")),
+        *table(most.where((F.col("imported_by") > 0) & (F.col("rank") <= 8)), 4, CORE, imported),
+        *table(hot.where(F.col("rank") <= 8), 7, HOT, F.concat(name, F.col("changes").cast("string"), F.lit(" |"))),
+        *table(dead, 10, DEAD, F.concat(F.lit("- **`"), "path", F.lit("`**: "), symbols)),
+        _lines(files.where(F.col("path") == "DECISIONS.md").select("project").distinct(), 13, _said(*DECISIONS)),
+        _lines(projects, 14, _said("## Recommended ignore rules", "", "```", *RECOMMENDED_RULES, "```", "")))
+
+
+def _parts(joined: str, sep: str) -> Column:
+    """The parts of a joined list; none of an empty one."""
+    return F.filter(F.split(joined, sep), lambda x: x != "")
 
 
 def analysis_json(totals: DataFrame, most: DataFrame, hot: DataFrame, budget: DataFrame, cycles: DataFrame,
@@ -176,11 +231,11 @@ def analysis_json(totals: DataFrame, most: DataFrame, hot: DataFrame, budget: Da
     j = (totals.join(mi, "project", "left").join(ht, "project", "left").join(budget, "project", "left")
          .join(cy, "project", "left").join(quality, "project", "left"))
     doc = F.struct(
-        "project", F.split("languages", ",").alias("languages"), "files", "total_lines", "total_functions",
-        "total_classes", F.split("frameworks", ", ").alias("frameworks"),
+        "project", _parts("languages", ",").alias("languages"), "files", "total_lines", "total_functions",
+        "total_classes", _parts("frameworks", ", ").alias("frameworks"),
         F.transform(F.coalesce("most_imported", F.array()), lambda x: F.struct(x["file"].alias("file"),
                                                                                 x["count"].alias("count"))).alias("most_imported"),
-        "hot_files", F.struct("baseline", "optimized", "savings_pct").alias("tokens"),
+        F.coalesce("hot_files", F.expr("map()").cast("map<string,bigint>")).alias("hot_files"), F.struct("baseline", "optimized", "savings_pct").alias("tokens"),
         F.coalesce("cycles", F.array().cast("array<string>")).alias("cycles"),
         F.struct("avg_complexity", "type_coverage_pct").alias("quality"))
     return j.select("project", F.to_json(doc).alias("json"))

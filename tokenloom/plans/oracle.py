@@ -198,7 +198,7 @@ FROM rk JOIN tot ON rk.project = tot.project WHERE rank <= 8
 ORACLE["token_distribution"] = corpus_sql("""
 , inc AS (SELECT project, path, tokens FROM sets WHERE in_optimized),
 tot AS (SELECT project, sum(tokens) AS t FROM inc GROUP BY project)
-SELECT inc.project, path, tokens,
+SELECT inc.project, path, tokens, row_number() OVER (PARTITION BY inc.project ORDER BY tokens DESC, path) AS rank,
        round(CASE WHEN t > 0 THEN tokens / t * 100.0 ELSE 0.0 END, 1) AS pct,
        CASE WHEN t > 0 AND tokens / t * 100.0 > 20 THEN 'high' WHEN t > 0 AND tokens / t * 100.0 > 5 THEN 'medium'
             ELSE 'low' END AS band
@@ -583,9 +583,11 @@ FROM allc GROUP BY project
 ORACLE["quality_table"] = code_sql(_ALL + """
 SELECT project, path, complexity,
        round(CASE WHEN nfn > 0 THEN typed_functions / nfn * 100.0 ELSE 0.0 END, 1) AS type_coverage,
-       CASE WHEN complexity <= 5 THEN 'A' WHEN complexity <= 10 THEN 'B' WHEN complexity <= 20 THEN 'C' ELSE 'D' END AS grade
+       CASE WHEN complexity <= 5 THEN 'A' WHEN complexity <= 10 THEN 'B' WHEN complexity <= 20 THEN 'C' ELSE 'D' END AS grade,
+       row_number() OVER (PARTITION BY project ORDER BY complexity DESC, path) AS rank
 FROM allc
 """)
+ORACLE["written_tables"] = "SELECT s.sink, t.* FROM (VALUES ('table'), ('json')) s(sink), (" + ORACLE["quality_table"] + ") t"
 _SYNTAX = """,
 bad AS (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY path) AS rn FROM pyx WHERE has_syntax_error),
 syn AS (SELECT project, CAST(count(*) AS BIGINT) AS n_errors,
@@ -697,6 +699,120 @@ sigs AS (SELECT project, path,
          FROM cp WHERE lang_id = 0 AND dir <> 'build')
 SELECT * FROM sigs
 """)
+
+# Documents as lines: fixed lines from value lists, the others from the parts above.
+from tokenloom.operators import reports as _RP  # noqa: E402
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _fixed(projects: str, section: int, *lines: str) -> str:
+    """SQL of fixed lines; a line may be an SQL expression over the project in braces."""
+    rows = [f"SELECT project, CAST({section} AS BIGINT) AS section, '' AS sort_key, CAST({i} AS BIGINT) AS pos, "
+            f"{x[1:-1] if x.startswith('{') else _q(x)} AS line FROM {projects}" for i, x in enumerate(lines)]
+    return " UNION ALL ".join(rows)
+
+
+_VISIBLE = f"vis AS (SELECT project, path FROM v_code WHERE NOT list_has_any(string_split(path, '/'), {_lst(DEFAULT_IGNORE_DIRS)}))"
+_SNAPSHOT = (_TREE.replace("vis AS (SELECT project, path FROM sets WHERE in_optimized)", _VISIBLE)
+             + ORACLE["signature_index"].split("sigs AS", 1)[1].join([",sigs AS", ""]).replace("SELECT * FROM sigs", "") + f""",
+allp AS (SELECT DISTINCT project FROM vis), pyp AS (SELECT DISTINCT project FROM vis WHERE ends_with(path, '.py')),
+docp AS (SELECT project, content FROM v_code WHERE path = 'CONTEXT.md'),
+sigl AS (SELECT project, path, ['### `' || path || '`', '```python'] || string_split(signatures, chr(10)) || ['```', ''] AS l FROM sigs),
+docl AS (SELECT project, ['### `CONTEXT.md`', '```md', rtrim(content, chr(10)), '```', ''] AS l FROM docp),
+snap AS (
+  {_fixed("allp", 0, "{" + _q(_RP.SNAPSHOT_TITLE) + " || project}", "", _RP.SNAPSHOT_NOTE, "", _RP.SNAPSHOT_SECTIONS[0], "```")}
+  UNION ALL SELECT project, 1, sort_path, depth, line FROM tree
+  UNION ALL {_fixed("allp", 2, "```", "")} UNION ALL {_fixed("pyp", 3, _RP.SNAPSHOT_SECTIONS[1], "")}
+  UNION ALL SELECT project, 4, path, unnest(range(len(l))), unnest(l) FROM sigl
+  UNION ALL {_fixed("(SELECT DISTINCT project FROM docp) t", 5, _RP.SNAPSHOT_SECTIONS[2], "")}
+  UNION ALL SELECT project, 6, 'CONTEXT.md', unnest(range(len(l))), unnest(l) FROM docl)
+""")
+ORACLE["snapshot_doc"] = code_sql(_SNAPSHOT + """
+SELECT project, row_number() OVER (PARTITION BY project ORDER BY section, sort_key, pos) AS line_no, line FROM snap""")
+ORACLE["checkpoint_doc"] = code_sql(_SNAPSHOT + f"""
+SELECT * FROM snap UNION ALL
+{_fixed("allp", -1, "{'# ' || project || ' — Checkpoint'}", "", *_RP.CHECKPOINT_NOTES, "", "## Project overview", "")}
+UNION ALL {_fixed("allp", 7, "## Next task", "", "Merge the two readers", "")}""")
+ORACLE["snapshot_stats"] = code_sql(_SNAPSHOT + _CYCLES.format(e="edges") + _CODE_BUDGET + f"""
+SELECT s.project, b.optimized AS with_rules_tokens, s.t AS snapshot_tokens,
+       CASE WHEN b.optimized > 0 THEN round((1 - s.t / b.optimized) * 100.0, 1) ELSE 0.0 END AS reduction_pct
+FROM (SELECT project, CAST(sum({_approx("line || chr(10)")}) AS BIGINT) AS t FROM snap GROUP BY project) s
+JOIN cbud b ON b.project = s.project""")
+
+_RANKED = """,
+core AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY imported_by DESC, path) AS rank FROM indeg),
+hot AS (""" + _HOT.format(t="v_code_changes", n=50) + """)
+"""
+ORACLE["project_doc"] = code_sql(_DEAD + _CYCLES.format(e="edges") + _CODE_BUDGET + _RANKED + f""",
+{_FW},
+pfw AS (SELECT project, string_agg(DISTINCT framework, ', ' ORDER BY framework) AS fw
+        FROM (SELECT project, split_part(unnest(string_split(imports, ',')), '.', 1) AS r FROM pyx WHERE imports <> '') t
+        JOIN fw ON fw.import_root = t.r GROUP BY project),
+fn AS (SELECT *, CASE WHEN functions = '' THEN 0 ELSE len(string_split(functions, ',')) END AS nfn, classes <> '' AS ncl FROM pyx),
+ov AS (SELECT project, count(*) AS n, sum(lines) AS lines, sum(nfn) AS fns, count(*) FILTER (ncl) AS cls, sum(typed_functions) AS typed,
+              sum(complexity) AS cx FROM fn GROUP BY project),
+ovl AS (SELECT o.project, list_filter([{", ".join(_q(x) for x in (_RP.GUIDE_TITLE, "", *_RP.GUIDE_NOTES, "", "## Project Overview", ""))},
+          '- **Files:** ' || n || ' Python files', '- **Lines of code:** ' || format('{{:,}}', CAST(lines AS BIGINT)),
+          '- **Functions:** ' || fns || '  |  **Classes:** ' || cls,
+          '- **Type coverage:** ' || CAST(round(CASE WHEN fns > 0 THEN typed / fns * 100.0 ELSE 0.0 END, 0) AS BIGINT)
+            || '%  |  **Avg complexity:** ' || CAST(round(cx / n, 1) AS VARCHAR),
+          '- **Estimated token reduction with ignore rules:** ' || CAST(round(CASE WHEN b.baseline > 0
+            THEN (b.baseline - b.optimized) / b.baseline * 100.0 ELSE 0.0 END, 1) AS VARCHAR) || '%',
+          '- **Detected frameworks:** ' || fw], lambda x: x IS NOT NULL) AS l
+        FROM ov o JOIN cbud b ON b.project = o.project LEFT JOIN pfw ON pfw.project = o.project),
+allp AS (SELECT DISTINCT project FROM pyx),
+pp AS (SELECT project, path, string_split(path, '/') AS parts FROM pyx),
+dirs AS (SELECT project, array_to_string(parts[1:i], '/') AS prefix, i - 1 AS depth, parts[i] AS name, path
+         FROM (SELECT project, path, parts, unnest(generate_series(1, len(parts) - 1)) AS i FROM pp WHERE len(parts) > 1) t),
+core8 AS (SELECT * FROM core WHERE rank <= 8 AND imported_by > 0), hot8 AS (SELECT * FROM hot WHERE rank <= 8),
+dead AS (SELECT u.project, u.path, string_agg('`' || u.symbol || '`', ', ' ORDER BY
+                  list_position(string_split(x.functions || ',' || x.classes, ','), u.symbol)) AS symbols,
+                row_number() OVER (PARTITION BY u.project ORDER BY u.path) AS rank
+         FROM unused u JOIN pyx x ON x.project = u.project AND x.path = u.path GROUP BY u.project, u.path),
+dead10 AS (SELECT * FROM dead WHERE rank <= 10)
+SELECT project, CAST(0 AS BIGINT) AS section, '' AS sort_key, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l) AS line FROM ovl
+UNION ALL {_fixed("allp", 1, "", "## Project Structure", "", "```")}
+UNION ALL SELECT project, 2, min(path), depth, repeat('  ', depth) || name || '/' FROM dirs GROUP BY project, prefix, depth, name
+UNION ALL SELECT project, 2, '', 0, '(flat project)' FROM allp WHERE project NOT IN (SELECT project FROM dirs)
+UNION ALL {_fixed("allp", 3, "```", "")}
+UNION ALL {_fixed("(SELECT DISTINCT project FROM core8) t", 4, *_RP.CORE)}
+UNION ALL SELECT project, 5, '', rank, '| `' || path || '` | ' || imported_by || CASE WHEN imported_by = 1 THEN ' file |' ELSE ' files |' END
+          FROM core8
+UNION ALL {_fixed("(SELECT DISTINCT project FROM core8) t", 6, "")}
+UNION ALL {_fixed("(SELECT DISTINCT project FROM hot8) t", 7, *_RP.HOT)}
+UNION ALL SELECT project, 8, '', rank, '| `' || path || '` | ' || changes || ' |' FROM hot8
+UNION ALL {_fixed("(SELECT DISTINCT project FROM hot8) t", 9, "")}
+UNION ALL {_fixed("(SELECT DISTINCT project FROM dead10) t", 10, *_RP.DEAD)}
+UNION ALL SELECT project, 11, '', rank, '- **`' || path || '`**: ' || symbols FROM dead10
+UNION ALL {_fixed("(SELECT DISTINCT project FROM dead10) t", 12, "")}
+UNION ALL {_fixed("allp", 14, "## Recommended ignore rules", "", "```", *_RP.RECOMMENDED_RULES, "```", "")}
+""", extra_views=("v_code_changes",))
+
+_JSON_LIST = """'[' || coalesce(array_to_string(list_transform({}, lambda x: '"' || x || '"'), ','), '') || ']'"""
+ORACLE["analysis_json"] = code_sql(_CYCLES.format(e="edges") + _CODE_BUDGET + _RANKED + f""",
+tot AS ({ORACLE["project_totals"].split(_CODE, 1)[1].lstrip(", ").join(["SELECT * FROM (WITH ", ") y"])}),
+qs AS (SELECT project, round(sum(complexity) / count(*), 1) AS cx, round(sum(typed_functions) / greatest(sum(CASE WHEN functions = '' THEN 0
+         ELSE len(string_split(functions, ',')) END), 1) * 100.0, 1) AS ty
+       FROM (SELECT * FROM pyx UNION ALL SELECT * FROM tsx UNION ALL SELECT * FROM gox) z GROUP BY project),
+mi AS (SELECT project, string_agg('{{"file":"' || path || '","count":' || imported_by || '}}', ',' ORDER BY rank) AS j
+       FROM core WHERE rank <= 10 AND imported_by > 0 GROUP BY project),
+ht AS (SELECT project, string_agg('"' || path || '":' || changes, ',' ORDER BY path) AS j FROM hot GROUP BY project),
+cy AS (SELECT project, list_sort(list(chain)) AS l FROM cycles GROUP BY project)
+SELECT t.project, '{{"project":"' || t.project || '","languages":' || {_JSON_LIST.format("string_split(t.languages, ',')")}
+       || ',"files":' || files || ',"total_lines":' || total_lines || ',"total_functions":' || total_functions
+       || ',"total_classes":' || total_classes
+       || ',"frameworks":' || {_JSON_LIST.format("list_filter(string_split(t.frameworks, ', '), lambda x: x <> '')")}
+       || ',"most_imported":[' || coalesce(mi.j, '') || '],"hot_files":{{' || coalesce(ht.j, '') || '}},"tokens":{{"baseline":' || b.baseline
+       || ',"optimized":' || b.optimized || ',"savings_pct":' || CAST(CASE WHEN b.baseline > 0
+            THEN round((b.baseline - b.optimized) / b.baseline * 100.0, 1) ELSE 0.0 END AS VARCHAR)
+       || '}},"cycles":' || {_JSON_LIST.format("cy.l")} || ',"quality":{{"avg_complexity":' || CAST(qs.cx AS VARCHAR)
+       || ',"type_coverage_pct":' || CAST(qs.ty AS VARCHAR) || '}}}}' AS json
+FROM tot t JOIN cbud b ON b.project = t.project JOIN qs ON qs.project = t.project LEFT JOIN mi ON mi.project = t.project
+LEFT JOIN ht ON ht.project = t.project LEFT JOIN cy ON cy.project = t.project
+""", extra_views=("v_code_changes",))
 ORACLE["small_docs"] = duckdb_with(["v_conf"]) + """
 SELECT project, path, ext,
        CASE WHEN ext IN ('toml', 'yml') THEN

@@ -531,20 +531,42 @@ def q_small_docs(spark, sf_dir):
 
 def _snapshot(spark, sf_dir):
     vis = visible_code(spark, sf_dir)
-    return RP.snapshot_doc(RP.file_tree(vis.select("project", "path")), RP.signature_index(vis), RP.small_docs(vis)), vis
+    return RP.snapshot_lines(RP.file_tree(vis.select("project", "path")), RP.signature_index(vis), RP.small_docs(vis))
 
 
 @register("snapshot_doc")
 def q_snapshot_doc(spark, sf_dir):
-    """R5 over V_code (one markdown text per project)."""
-    return _snapshot(spark, sf_dir)[0]
+    """R5 over V_code: the numbered lines of every project's snapshot."""
+    return RP.numbered(_snapshot(spark, sf_dir)).select("project", "line_no", "line")
+
+
+@register("checkpoint_doc")
+def q_checkpoint_doc(spark, sf_dir):
+    """R5, checkpoint form, read back from the lines that the sink wrote."""
+    from tokenloom.sources.sinks import write_lines
+    path = scratch_path(spark, f"checkpoint-{_uuid.uuid4().hex}")
+    write_lines(RP.checkpoint_lines(_snapshot(spark, sf_dir), "Merge the two readers"), path)
+    return spark.read.parquet(path).select("project", "section", "sort_key", "pos", "line")
 
 
 @register("snapshot_stats")
 def q_snapshot_stats(spark, sf_dir):
     """A10."""
-    snap, _ = _snapshot(spark, sf_dir)
-    return RP.snapshot_stats(snap, code_budget(spark, code_files(spark, sf_dir)))
+    return RP.snapshot_stats(_snapshot(spark, sf_dir), code_budget(spark, code_files(spark, sf_dir)))
+
+
+@register("written_tables")
+def q_written_tables(spark, sf_dir):
+    """The quality table (W8) through both sinks and back."""
+    from tokenloom.sources.sinks import write_json, write_table
+    base = scratch_path(spark, f"written-{_uuid.uuid4().hex}")
+    table = FA.quality_table(code_facts(spark, sf_dir))
+    write_table(table, f"{base}/table")
+    back = spark.read.parquet(f"{base}/table")
+    write_json(back, f"{base}/json")
+    both = [back, spark.read.schema(table.schema).json(f"{base}/json")]
+    return both[0].select(F.lit("table").alias("sink"), *table.columns).unionByName(
+        both[1].select(F.lit("json").alias("sink"), *table.columns))
 
 
 @register("focus_budget")
@@ -557,15 +579,15 @@ def q_focus_budget(spark, sf_dir):
 
 @register("project_doc")
 def q_project_doc(spark, sf_dir):
-    """R6 over V_code."""
+    """R6 over V_code: the lines of every project's guide."""
     files, model = code_model(spark, sf_dir)
     facts = model.select(*X.FACT_COLUMNS)
     edges = G.resolve_imports(facts, files)
     most = G.top_n_per_project(G.in_degree(facts, edges), "imported_by", 10)
     hot = H.hot_files(load_views(spark, sf_dir, ["v_code_changes"])["v_code_changes"], 50, 20)
     unused = DC.unused_per_file(model_unused(model))
-    return RP.project_doc(spark, facts, RP.dir_tree(facts), most, hot, unused,
-                          FA.detect_frameworks(spark, facts), files)
+    return RP.project_lines(facts, RP.dir_tree(facts), most, hot, unused, FA.detect_frameworks(spark, facts), files,
+                            code_budget(spark, files))
 
 
 @register("analysis_json")

@@ -16,3 +16,10 @@ def write_table(df: DataFrame, path: str, partition_by=("project",), mode: str =
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines (nested structs and arrays kept)."""
     df.write.mode(mode).json(path)
+
+
+def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A document's lines in order: range-partitioned and sorted Parquet, the
+    files of a project one after the other."""
+    order = ["project", "section", "sort_key", "pos"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
