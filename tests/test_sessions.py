@@ -93,13 +93,7 @@ def test_stream_step_ignores_row_order_and_batches(spark):
 
     import pandas as pd
 
-    from tokenloom.streaming.sessions import COUNTS, _update
-
-    class State:
-        exists, get = False, None
-
-        def update(self, value):
-            self.exists, self.get = True, value
+    from tokenloom.streaming.sessions import COUNTS, add_rows
 
     rnd = random.Random(3)
     rows = [("s", n, f"u{n % 4}" if n % 5 else "", n % 3 != 0, n, 2 * n, 1, 1) for n in range(30)]
@@ -107,10 +101,12 @@ def test_stream_step_ignores_row_order_and_batches(spark):
     pdf = pd.DataFrame(rows, columns=names).assign(project="p", type="assistant", file_mtime=pd.Timestamp("2024-01-01"))
 
     def run(chunks):
-        state, last = State(), None
+        seen, sums = {}, [0] * 5
         for refresh in chunks:
-            last = next(iter(_update(("p", "s"), iter(refresh), state)))
-        return last[[*COUNTS, "turns"]].iloc[0].tolist()
+            for part in refresh:
+                add_rows(part, sums, seen.get, seen.__setitem__)
+        assert len(seen) <= 4
+        return sums
 
     want = run([[pdf]])
     first = pdf[(pdf.uuid != "")].sort_values("line_no").drop_duplicates("uuid")
@@ -133,3 +129,39 @@ def test_stream_cost_rounds_like_the_batch(spark):
     rows = [(i, 3 * i + 1, 7 * i % 13, i % 5) for i in range(0, 4000, 7)]
     df = spark.createDataFrame(rows, "i long, o long, w long, r long").withColumn("c", session_cost("i", "o", "w", "r"))
     assert all(r.c == _cost(r.i, r.o, r.w, r.r) for r in df.collect())
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    """Two refreshes a day apart with 2 hours of idle time: the first session's
+    state ends, a late row of it is dropped, and it starts from zero afterwards."""
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from tokenloom.streaming.sessions import stream_session_usage
+    t0 = datetime(2024, 1, 1)
+
+    def rows(session, line_no, hours, n):
+        raw = json.dumps({"type": "assistant", "uuid": f"{session}-{line_no}", "message": {"usage": _u(n, 0, 0, 0)}})
+        return [("p", session, line_no, raw, t0 + timedelta(hours=hours))]
+
+    schema = "project string, session_id string, line_no int, raw string, file_mtime timestamp"
+    out, last = str(tmp_path / "out"), []
+
+    def sink(df, batch_id):
+        df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    arrivals = [rows("a", 0, 0, 5), rows("a", 1, 1, 7) + rows("b", 0, 24, 1), rows("b", 1, 25, 2), rows("a", 2, 2, 100), rows("a", 3, 26, 9)]
+    for k, arrival in enumerate(arrivals):
+        spark.createDataFrame(arrival, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = (stream_session_usage(src, idle_hours=2).writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+        q.awaitTermination()
+        state = q.lastProgress["stateOperators"][0] if q.lastProgress else {}
+        last.append(state.get("customMetrics", {}))
+    got = spark.read.parquet(out).orderBy("batch_id").collect()
+    a = [(r.input_tokens, r.turns) for r in got if r.session_id == "a"]
+    assert a[0] == (5, 1) and a[1] == (12, 2)
+    assert a[-1] == (9, 1) and 112 not in [n for n, _ in a]  # the late row is dropped, the session starts from zero
+    assert [r.input_tokens for r in got if r.session_id == "b"][-1] == 3

@@ -290,6 +290,7 @@ from tokenloom.operators import sessions as SS  # noqa: E402
 SESSIONS_NOW_S = 1704067200 + 120 * 3600
 SESSIONS_HOURS = 48
 PREVIOUS_POLL_LAST_LINE = 3
+SESSIONS_IDLE_HOURS = 24 * 3650
 
 
 def session_lines(spark, sf_dir):
@@ -679,7 +680,7 @@ def _run_session_stream(spark, sf_dir):
             part = part.where(F.col("line_no") <= hi)
         part.write.mode("append").parquet(f"{base}/in")
         src = spark.readStream.schema(lines.schema).parquet(f"{base}/in")
-        q = (stream_session_usage(src).writeStream.outputMode("update").foreachBatch(sink)
+        q = (stream_session_usage(src, SESSIONS_IDLE_HOURS).writeStream.outputMode("update").foreachBatch(sink)
              .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
         q.awaitTermination()
     res = spark.read.parquet(out_path)

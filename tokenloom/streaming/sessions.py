@@ -2,12 +2,21 @@
 active window.
 
 The stream carries session log rows ``(project, session_id, line_no, raw,
-file_mtime)``.  One stateful step per (project, session) keeps, for every uuid,
-its smallest line number and that line's counts, the sums of the lines without
-uuid, and the counts last emitted.  Taking the smallest line makes the step
-independent of the order of rows, Arrow batches and micro-batches, so the first
-line of a uuid wins exactly as in the batch operator.  State is bounded by the
-session's distinct uuids.
+file_mtime)``.  One stateful processor per (project, session) keeps a map state
+with one entry per uuid (its smallest line number and that line's counts) and a
+value state with the running sums and the counts last emitted.  A refresh reads
+and writes only the entries of the uuids it brings, so a long session costs what
+is new, not what it holds.  Taking the smallest line makes the step independent
+of the order of rows, Arrow batches and micro-batches: a smaller line replaces
+what the larger one had added, so the first line of a uuid wins exactly as in
+the batch operator.
+
+Expiry: with ``idle_hours`` a session's state is removed by an event-time timer
+once the watermark (the newest ``file_mtime`` seen less ``idle_hours``) passes
+the session's newest ``file_mtime``.  Late rule: rows whose ``file_mtime`` lies
+behind the watermark are dropped; a session touched again after its state was
+removed starts from zero.  Without ``idle_hours`` nothing expires and every row
+counts.
 """
 from __future__ import annotations
 
@@ -18,7 +27,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 import tokenloom.streaming.sessions as _self
 from tokenloom.functions.scores import PRICE_CACHE_READ, PRICE_CACHE_WRITE, PRICE_INPUT, PRICE_OUTPUT
@@ -29,9 +38,10 @@ KEPT = ["uuid", "line_no", "has_usage", *COUNTS]
 OUTPUT_SCHEMA = ("project string, session_id string, mtime timestamp, input_tokens long, output_tokens long, "
                  "cache_write long, cache_read long, total_tokens long, turns long, cost_usd double, "
                  "delta_input long, delta_output long, delta_cache_w long, delta_cache_r long, delta_cost double")
-STATE_SCHEMA = ("uuid array<string>, line_no array<long>, has_usage array<boolean>, input_tokens array<long>, "
-                "output_tokens array<long>, cache_write array<long>, cache_read array<long>, "
-                "loose array<long>, last array<long>, mtime timestamp")
+ENTRY_SCHEMA = "line_no long, has_usage boolean, input_tokens long, output_tokens long, cache_write long, cache_read long"
+SUMS_SCHEMA = ("input_tokens long, output_tokens long, cache_write long, cache_read long, turns long, "
+               "last_input long, last_output long, last_write long, last_read long, mtime_us long")
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _cost(i, o, w, r) -> float:
@@ -40,49 +50,88 @@ def _cost(i, o, w, r) -> float:
     return float(Decimal(repr(total)).quantize(Decimal("0.00001"), ROUND_HALF_UP))
 
 
-def _update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    project, session_id = key
-    if state.exists:
-        *columns, loose, last, mtime = state.get
-        named = pd.DataFrame({c: list(v) for c, v in zip(KEPT, columns)})
-        loose = pd.Series(list(loose), index=[*COUNTS, "turns"])
-        last = list(last) if last is not None else None
-    else:
-        named, loose, last, mtime = None, pd.Series(0, index=[*COUNTS, "turns"]), None, None
-    for pdf in batches:
-        seen = pdf["file_mtime"].max()
-        if not pd.isna(seen) and (mtime is None or seen > mtime):
-            mtime = seen
-        rows = pdf.loc[pdf["type"] == "assistant", KEPT].copy()
-        rows["uuid"] = rows["uuid"].fillna("")
-        without = rows[(rows["uuid"] == "") & rows["has_usage"].astype(bool)]
-        loose = loose + pd.Series([*(int(without[c].sum()) for c in COUNTS), len(without)], index=loose.index)
-        rows = rows[rows["uuid"] != ""]
-        named = rows if named is None else pd.concat([named, rows])
-        named = named.sort_values("line_no", kind="stable").drop_duplicates("uuid")
-    used = named[named["has_usage"].astype(bool)] if named is not None else None
-    n = [int(loose[c]) + (int(used[c].sum()) if used is not None else 0) for c in COUNTS]
-    turns = int(loose["turns"]) + (len(used) if used is not None else 0)
+def add_rows(rows: pd.DataFrame, sums: list[int], entry, put) -> None:
+    """Add assistant rows to ``sums`` (four counts and turns).  ``entry(uuid)``
+    gives what is kept of a uuid, ``put(uuid, entry)`` keeps a smaller line."""
+    def add(counts, sign: int) -> None:
+        for k, n in enumerate((*counts, 1)):
+            sums[k] += sign * int(n)
+
+    for counts in rows.loc[(rows["uuid"] == "") & rows["has_usage"].astype(bool), COUNTS].itertuples(index=False):
+        add(counts, 1)
+    first = rows[rows["uuid"] != ""].sort_values("line_no", kind="stable").drop_duplicates("uuid")
+    for uuid, line_no, has_usage, *counts in first[KEPT].itertuples(index=False):
+        held = entry(uuid)
+        if held is not None and held[0] <= line_no:
+            continue
+        if held is not None and held[1]:
+            add(held[2:], -1)
+        if has_usage:
+            add(counts, 1)
+        put(uuid, (int(line_no), bool(has_usage), *map(int, counts)))
+
+
+def emission(key: tuple, sums: list[int], last: list[int] | None, mtime) -> pd.DataFrame:
+    """The row a refresh emits: totals, and the change since the last one."""
+    n = sums[:4]
     d = [a - b for a, b in zip(n, last)] if last is not None else [0, 0, 0, 0]
-    held = [[] for _ in KEPT] if named is None else [
-        named["uuid"].tolist(), [int(x) for x in named["line_no"]], [bool(x) for x in named["has_usage"]],
-        *([int(x) for x in named[c]] for c in COUNTS)]
-    state.update((*held, [int(x) for x in loose], n, mtime))
-    yield pd.DataFrame([{
-        "project": project, "session_id": session_id, "mtime": mtime, **dict(zip(COUNTS, n)), "total_tokens": n[0] + n[1],
-        "turns": turns, "cost_usd": _cost(*n), "delta_input": d[0], "delta_output": d[1], "delta_cache_w": d[2],
+    return pd.DataFrame([{
+        "project": key[0], "session_id": key[1], "mtime": mtime, **dict(zip(COUNTS, n)), "total_tokens": n[0] + n[1],
+        "turns": sums[4], "cost_usd": _cost(*n), "delta_input": d[0], "delta_output": d[1], "delta_cache_w": d[2],
         "delta_cache_r": d[3], "delta_cost": _cost(*d) if last is not None else 0.0}])
 
 
+class SessionTotals(StatefulProcessor):
+    """One session: uuids seen, running sums, expiry."""
+
+    def __init__(self, idle_hours: float | None):
+        self.idle_ms = None if idle_hours is None else int(idle_hours * 3_600_000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "uuid string", ENTRY_SCHEMA)
+        self.sums = handle.getValueState("sums", SUMS_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.sums.get() if self.sums.exists() else None
+        sums = [int(x) for x in held[:5]] if held is not None else [0] * 5
+        last = [int(x) for x in held[5:9]] if held is not None else None
+        mtime = None if held is None or held[9] is None else int(held[9])
+        for pdf in rows:
+            newest = pdf["file_mtime"].max()
+            if not pd.isna(newest):
+                mtime = max(mtime or 0, pd.Timestamp(newest).value // 1000)
+            assistant = pdf.loc[pdf["type"] == "assistant", KEPT]
+            add_rows(assistant.assign(uuid=assistant["uuid"].fillna("")), sums, lambda u: self.seen.getValue((u,)) if self.seen.containsKey((u,))
+                     else None, lambda u, e: self.seen.updateValue((u,), e))
+        self.sums.update((*sums, *sums[:4], mtime))
+        if self.idle_ms is not None and mtime is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(mtime // 1000 + 1)  # the watermark already trails by the idle time
+        yield emission(key, sums, last, None if mtime is None else pd.Timestamp(mtime * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        self.sums.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 cloudpickle.register_pickle_by_value(_self)
 
 
-def stream_session_usage(lines: DataFrame) -> DataFrame:
-    """T1 + T2: streaming (or batch) log rows -> totals per (project, session)
-    and the change since the previous emission, in ``update`` output mode."""
-    parsed = read_session_log(lines)
-    return parsed.groupBy("project", "session_id").applyInPandasWithState(
-        _update, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+def stream_session_usage(lines: DataFrame, idle_hours: float | None = None) -> DataFrame:
+    """T1 + T2: streaming log rows -> totals per (project, session) and the change
+    since the previous emission, in ``update`` output mode.  Keyed map state
+    needs the RocksDB state store, which is set for the session's new queries."""
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    if idle_hours is not None:
+        lines = lines.withWatermark("file_mtime", f"{int(idle_hours * 3600)} seconds")
+    return read_session_log(lines).groupBy("project", "session_id").transformWithStateInPandas(
+        SessionTotals(idle_hours), OUTPUT_SCHEMA, "Update", "None" if idle_hours is None else "EventTime")
 
 
 def active_sessions(totals: DataFrame, now, hours: float) -> DataFrame:
