@@ -64,3 +64,60 @@ def test_new_rules_keep_the_suggestion_order(spark):
     rules = spark.createDataFrame([("p", 3, "old")], "project string, ord int, pattern string")
     new = spark.createDataFrame([("p", "zz", 1), ("p", "aa", 2), ("p", "old", 3)], "project string, pattern string, rank long")
     assert [(r.ord, r.pattern) for r in append_rules(rules, new).orderBy("ord").collect()] == [(4, "zz"), (5, "aa")]
+
+
+FILES = "project string, path string, content string, size_bytes long, mtime timestamp, snapshot_id long, deleted boolean"
+
+
+def _files(spark, *rows):
+    at = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(p, f, c, len(c or ""), at, s, gone) for p, f, c, s, gone in rows], FILES)
+
+
+def _shown(spark, store):
+    from tokenloom.streaming.reanalyze import read_store
+    return sorted((r.project, r.path, tuple(r.functions)) for r in read_store(spark, store).collect())
+
+
+def test_store_commits_only_what_changes(spark, tmp_path):
+    """A changed file is one row, a repeated batch none, a folder without a
+    commit is not read, a tombstone hides its file, compaction changes nothing."""
+    from tokenloom.streaming.reanalyze import reanalyze_batch
+    from tokenloom.streaming.store import FactStore
+    store = str(tmp_path / "store")
+    f = {n: f"def {n}():\n    pass\n" for n in ("a", "b", "changed", "later")}
+    rows = [("p", f"{k}.py", f["a"], 1, False) for k in range(20)] + [("q", "q.py", f["b"], 1, False)]
+    assert reanalyze_batch(_files(spark, *rows), store, 0)
+    log = FactStore(spark, store)
+    assert log.rows().count() == 21 + 2  # two markers
+    assert reanalyze_batch(_files(spark, ("p", "3.py", f["changed"], 1, False)), store, 1)
+    assert log.rows().count() == 23 + 1
+    assert not reanalyze_batch(_files(spark, ("p", "3.py", f["later"], 1, False)), store, 1)
+    before = _shown(spark, store)
+    assert ("p", "3.py", ("changed",)) in before and len(before) == 21
+    # a batch killed before its commit: rows are there, nothing reads them, the rerun commits
+    killed = log.rows().limit(5).withColumn("snapshot_id", F.lit(9).cast("long"))
+    killed.write.parquet(f"{store}/data/killed")
+    assert _shown(spark, store) == before
+    assert reanalyze_batch(_files(spark, ("p", "4.py", None, 1, True), ("q", "q.py", f["b"], 2, False)), store, 2)
+    after = _shown(spark, store)
+    assert len(after) == 20 and ("p", "4.py", ("a",)) not in after and ("q", "q.py", ("b",)) in after
+    assert log.rows().where("commit = 2").groupBy("kind").count().collect().__len__() == 3  # gone, seen, marker
+    log.compact()
+    assert _shown(spark, store) == after and len(log.commits()) == 1 and log.last_commit() == 2
+    assert reanalyze_batch(_files(spark, ("p", "4.py", f["later"], 1, False)), store, 3)
+    assert len(_shown(spark, store)) == 21 and log.rows().where("commit = 3").count() == 1
+
+
+def test_one_pass_extraction(spark):
+    """U6 reads the texts once, whatever the languages."""
+    from tokenloom.operators.extract import extract_all_facts, extract_go_facts, extract_python_facts, extract_ts_facts
+    files = spark.createDataFrame([("p", "a.py", "import os\ndef f() -> int:\n    return 1\n"), ("p", "b.ts", "import x from 'react'\nfunction g() { if (1) {} }"),
+                                   ("p", "c.go", "package c\nimport \"fmt\"\nfunc H() int { if true {} }"), ("p", "d.txt", "def n(): pass"),
+                                   ("p", "build/e.py", "def no(): pass"), ("p", "g.py", None)], "project string, path string, content string")
+    one = {r.path: r for r in extract_all_facts(files).collect()}
+    apart = extract_python_facts(files).unionByName(extract_ts_facts(files)).unionByName(extract_go_facts(files))
+    assert sorted(map(tuple, one.values()), key=str) == sorted(map(tuple, apart.collect()), key=str)
+    assert set(one) == {"a.py", "b.ts", "c.go", "g.py"} and one["b.ts"].imports == ["react"] and one["c.go"].functions == ["H"]
+    plan = extract_all_facts(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") == 1

@@ -76,24 +76,28 @@ TS_RETURN_RE = r"(?U)\)\s*:\s*\w"
 TS_BRANCH_RE = r"(?U)\bif\s*\(|\bfor\s*\(|\bwhile\s*\(|\bswitch\s*\(|\bcatch\s*\(|\?(?!=)"
 
 
+def _language(path: str = "path") -> Column:
+    """The language whose facts a file gets, by suffix; null for other files."""
+    out = F.when(F.col(path).endswith(".py"), "python")
+    for name, suffixes in (("typescript", TS_EXTENSIONS), ("go", GO_EXTENSIONS)):
+        for e in suffixes:
+            out = out.when(F.col(path).endswith(e), name)
+    return out
+
+
+def _ts_columns() -> dict[str, Column]:
+    """Facts of a row with ``src`` and ``functions``."""
+    raw_imports = _two_group(F.col("src"), TS_IMPORT_RE)
+    return {"classes": F.regexp_extract_all("src", F.lit(TS_CLASS_RE), 1),
+            "imports": F.transform(F.filter(raw_imports, lambda i: ~i.startswith(".")),
+                                   lambda i: F.substring_index(F.regexp_replace(i, r"^[./]+", ""), "/", 1)),
+            "complexity": F.regexp_count("src", F.lit(TS_BRANCH_RE)).cast("long"),
+            "typed_functions": F.least(F.regexp_count("src", F.lit(TS_RETURN_RE)), F.size("functions")).cast("long")}
+
+
 def extract_ts_facts(files: DataFrame) -> DataFrame:
     """TS/JS facts by regex; language 'typescript' for all six suffixes."""
-    cond = None
-    for e in TS_EXTENSIONS:
-        c = F.col("path").endswith(e)
-        cond = c if cond is None else cond | c
-    t = parse_scope(files).where(cond).select("project", "path", F.col("content").alias("src"))
-    funcs = _two_group(F.col("src"), TS_FUNC_RE)
-    raw_imports = _two_group(F.col("src"), TS_IMPORT_RE)
-    imports = F.transform(F.filter(raw_imports, lambda i: ~i.startswith(".")),
-                          lambda i: F.substring_index(F.regexp_replace(i, r"^[./]+", ""), "/", 1))
-    pre = t.select("project", "path", "src", funcs.alias("functions"))
-    return pre.select(
-        "project", "path", F.lit("typescript").alias("language"), line_count("src").alias("lines"),
-        "functions", F.regexp_extract_all("src", F.lit(TS_CLASS_RE), 1).alias("classes"), imports.alias("imports"),
-        F.regexp_count("src", F.lit(TS_BRANCH_RE)).cast("long").alias("complexity"),
-        F.least(F.regexp_count("src", F.lit(TS_RETURN_RE)), F.size("functions")).cast("long").alias("typed_functions"),
-        F.lit(False).alias("has_syntax_error"))
+    return extract_all_facts(files, ("typescript",))
 
 
 # Go patterns.
@@ -106,37 +110,55 @@ GO_RETURN_RE = r"(?U)\bfunc\s+(?:\([^)]+\)\s+)?\w+\s*\([^)]*\)\s+\(?[\w\*\[\]]+"
 GO_BRANCH_RE = r"(?U)\bif\b|\bfor\b|\bswitch\b|\bcase\b|\bselect\b"
 
 
-def extract_go_facts(files: DataFrame) -> DataFrame:
-    """Go facts by regex; single imports count only when no import block exists."""
-    g = parse_scope(files).where(F.col("path").endswith(GO_EXTENSIONS[0])).select(
-        "project", "path", F.col("content").alias("src"))
-    blocks = F.regexp_extract_all("src", F.lit(GO_IMPORT_BLOCK_RE), 1)
+def _go_columns() -> dict[str, Column]:
+    """Facts of a row with ``src``, ``functions`` and ``blocks``; single imports
+    count only when no import block exists."""
     singles = F.regexp_extract_all("src", F.lit(GO_IMPORT_SINGLE_RE), 1)
-    pre = g.select("project", "path", "src", F.regexp_extract_all("src", F.lit(GO_FUNC_RE), 1).alias("functions"),
-                   blocks.alias("blocks"))
-    imports = F.transform(F.when(F.size("blocks") > 0, F.flatten(F.transform("blocks", lambda b: F.regexp_extract_all(
-        b, F.lit(GO_IMPORT_PATH_RE), 1)))).otherwise(singles), lambda p: F.substring_index(p, "/", -1))
-    return pre.select(
-        "project", "path", F.lit("go").alias("language"), line_count("src").alias("lines"), "functions",
-        F.regexp_extract_all("src", F.lit(GO_TYPE_RE), 1).alias("classes"), imports.alias("imports"),
-        F.regexp_count("src", F.lit(GO_BRANCH_RE)).cast("long").alias("complexity"),
-        F.least(F.regexp_count("src", F.lit(GO_RETURN_RE)), F.size("functions")).cast("long").alias("typed_functions"),
-        F.lit(False).alias("has_syntax_error"))
+    in_blocks = F.flatten(F.transform("blocks", lambda b: F.regexp_extract_all(b, F.lit(GO_IMPORT_PATH_RE), 1)))
+    return {"classes": F.regexp_extract_all("src", F.lit(GO_TYPE_RE), 1),
+            "imports": F.transform(F.when(F.size("blocks") > 0, in_blocks).otherwise(singles),
+                                   lambda p: F.substring_index(p, "/", -1)),
+            "complexity": F.regexp_count("src", F.lit(GO_BRANCH_RE)).cast("long"),
+            "typed_functions": F.least(F.regexp_count("src", F.lit(GO_RETURN_RE)), F.size("functions")).cast("long")}
+
+
+def extract_go_facts(files: DataFrame) -> DataFrame:
+    """Go facts by regex."""
+    return extract_all_facts(files, ("go",))
 
 
 def extract_all_facts(files: DataFrame, languages=("python", "typescript", "go")) -> DataFrame:
-    """Union of the per-language jobs (one shared scan of ``files``)."""
-    parts = []
-    if "python" in languages:
-        parts.append(extract_python_facts(files))
+    """The facts of all files in one pass over the texts.  A row's language
+    decides which branch computes it: native expressions for TypeScript and Go,
+    while only Python texts are sent to the parser (other rows send a null)."""
+    rows = parse_scope(files).withColumn("language", _language()).where(F.col("language").isin(*languages)).select(
+        "project", "path", "language", F.col("content").alias("src"))
+    lang, src = F.col("language"), F.col("src")
+    step, columns = [], {}
+    functions = F.lit(None).cast("array<string>")
     if "typescript" in languages:
-        parts.append(extract_ts_facts(files))
+        functions = F.when(lang == "typescript", _two_group(src, TS_FUNC_RE)).otherwise(functions)
+        columns["typescript"] = _ts_columns()
     if "go" in languages:
-        parts.append(extract_go_facts(files))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*FACT_COLUMNS).withColumn("lines", F.col("lines").cast("long"))
+        functions = F.when(lang == "go", F.regexp_extract_all("src", F.lit(GO_FUNC_RE), 1)).otherwise(functions)
+        step.append(F.when(lang == "go", F.regexp_extract_all("src", F.lit(GO_IMPORT_BLOCK_RE), 1)).alias("blocks"))
+        columns["go"] = _go_columns()
+    if "python" in languages:
+        step.append(_python_facts_udf()(F.when(lang == "python", src)).alias("py"))
+        columns["python"] = {c: F.col(f"py.{c}") for c in ("classes", "imports", "complexity", "typed_functions")}
+    pre = rows.select("project", "path", "language", "src", functions.alias("functions"), *step)
+
+    def of(name: str) -> Column:
+        out = None
+        for k, c in columns.items():
+            out = F.when(lang == k, c[name]) if out is None else out.when(lang == k, c[name])
+        return out.alias(name)
+
+    python = "python" in languages
+    own = F.when(lang == "python", F.col("py.functions")).otherwise(F.col("functions")) if python else F.col("functions")
+    broken = F.when(lang == "python", F.col("py.has_syntax_error")).otherwise(False) if python else F.lit(False)
+    return pre.select("project", "path", "language", line_count("src").cast("long").alias("lines"), own.alias("functions"), of("classes"),
+                      of("imports"), of("complexity"), of("typed_functions"), broken.alias("has_syntax_error"))
 
 
 def detect_languages(files: DataFrame) -> DataFrame:

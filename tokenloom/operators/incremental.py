@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.paths import file_sig
 from tokenloom.operators.extract import FACT_COLUMNS, extract_all_facts
+from tokenloom.session import small_side
 
 
 def with_sig(files: DataFrame) -> DataFrame:
@@ -15,12 +16,16 @@ def with_sig(files: DataFrame) -> DataFrame:
 def changed_files(files: DataFrame, store: DataFrame, languages=("python", "typescript", "go")) -> DataFrame:
     """Facts for the current ``files``: rows whose ``(project, path, sig)`` is in
     ``store`` are reused; the others are extracted again.  Files that vanished
-    are simply not emitted.  Output: FACT_COLUMNS + ``sig`` + ``reused``."""
-    f = with_sig(files)
+    are simply not emitted.  Output: FACT_COLUMNS + ``sig`` + ``reused``.
+
+    The keys are settled first, without texts; then one scan reads the texts of
+    the files that need it, and the facts get the signature of their row.  The
+    keys are broadcast to that scan if their measured size allows it."""
     keys = ["project", "path", "sig"]
-    fresh = f.join(store.select(*keys), keys, "left_anti")
-    redo = extract_all_facts(fresh, languages).join(fresh.select(*keys), ["project", "path"])
-    reused = store.join(f.select(*keys), keys, "left_semi")
+    current = with_sig(files.select("project", "path", "mtime", "size_bytes")).select(*keys)
+    fresh = small_side(current.join(store.select(*keys), keys, "left_anti"))
+    redo = extract_all_facts(files.join(fresh, ["project", "path"], "left_semi"), languages).join(fresh, ["project", "path"])
+    reused = store.join(current, keys, "left_semi")
     return (redo.withColumn("reused", F.lit(False))
             .unionByName(reused.select(*FACT_COLUMNS, "sig").withColumn("reused", F.lit(True))))
 
