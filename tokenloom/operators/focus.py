@@ -129,6 +129,13 @@ def related_files(ranked: DataFrame, edges: DataFrame) -> DataFrame:
             .drop("rel"))
 
 
+def rank_files_with_context(files: DataFrame, query: str, edges: DataFrame, top: int = 8, rules: DataFrame | None = None,
+                            tokens_col: str | None = None) -> DataFrame:
+    """W7 + J3: the ranked files, each with its import neighbours; neighbours are
+    named beside a result and are no results themselves."""
+    return related_files(rank_files(files, query, top, rules, tokens_col), edges)
+
+
 def focus_budget(ranked: DataFrame, budget: DataFrame) -> DataFrame:
     """Tokens of the ranked files vs the optimized project total."""
     r = ranked.groupBy("project").agg(F.sum("tokens").cast("long").alias("focus_tokens"),

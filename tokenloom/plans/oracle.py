@@ -363,6 +363,22 @@ FROM indeg t LEFT JOIN nb ON nb.project = t.project AND nb.path = t.path
 GROUP BY t.project, t.path, t.imported_by
 """)
 
+_CODE_RANK = ORACLE["rank_files"].split(", kw(k) AS", 1)[1]
+for _old, _new in (("(VALUES ('and'), ('docs'), ('examples'), ('the'), ('update'), ('vendor'))",
+                    "(VALUES ('and'), ('command'), ('describe'), ('fastapi'), ('flask'), ('its'), ('model'), ('the'))"),
+                   ("SELECT project, path, content FROM sets WHERE in_focus",
+                    f"SELECT project, path, content FROM v_code WHERE NOT list_has_any(string_split(path, '/'), {_lst(DEFAULT_IGNORE_DIRS)})"),
+                   ("SELECT rk.project, CAST(rk.rank AS BIGINT) AS rank", ", fr AS (SELECT rk.project, CAST(rk.rank AS BIGINT) AS rank")):
+    assert _old in _CODE_RANK
+    _CODE_RANK = _CODE_RANK.replace(_old, _new, 1)
+ORACLE["focus_context"] = code_sql(", kw(k) AS" + _CODE_RANK + """),
+nb AS (SELECT project, src AS path, dst AS file, 'imports' AS relation, 0 AS o FROM edges
+       UNION ALL SELECT project, dst, src, 'imported_by', 1 FROM edges)
+SELECT fr.*, coalesce((SELECT string_agg(nb.file || ':' || nb.relation, ';' ORDER BY nb.o, nb.file, nb.relation) FROM nb
+                       WHERE nb.project = fr.project AND nb.path = fr.path), '') AS related
+FROM fr
+""")
+
 
 # ------------------------------------------------------------------ sessions
 from tokenloom.functions.scores import PRICE_CACHE_READ, PRICE_CACHE_WRITE, PRICE_INPUT, PRICE_OUTPUT  # noqa: E402

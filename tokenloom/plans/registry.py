@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Fixed values of the registered queries.
 FOCUS_QUERY = "Update the vendor docs and examples"
 FOCUS_TOP = 8
+CODE_QUERY = "describe the flask command and its fastapi model"
 
 
 def register(name: str):
@@ -283,6 +284,16 @@ def q_related_files(spark, sf_dir):
         "related", lambda x: F.concat(x["file"], F.lit(":"), x["relation"])), ";").alias("related"))
 
 
+@register("focus_context")
+def q_focus_context(spark, sf_dir):
+    """W7 + J3 over V_code: the top files for a task text and their import neighbours."""
+    from tokenloom.operators.focus import rank_files_with_context
+    files, _, edges = py_graph(spark, sf_dir)
+    r = rank_files_with_context(files.select("project", "path", "content"), CODE_QUERY, edges, FOCUS_TOP, no_rules(spark))
+    return r.withColumn("related", F.array_join(F.transform(
+        "related", lambda x: F.concat(x["file"], F.lit(":"), x["relation"])), ";"))
+
+
 # ------------------------------------------------------------------ sessions
 from tokenloom.operators import sessions as SS  # noqa: E402
 
