@@ -118,3 +118,24 @@ def test_scores(spark):
     assert one(spark, S.complexity_grade(F.lit(11)), x="") == "C"
     assert one(spark, S.classify_dir(F.lit("Docs")), x="") == "Documentation rarely needed during coding"
     assert one(spark, S.reduction_pct(F.lit(5), F.lit(0)), x="") == 0.0
+
+
+@pytest.mark.parametrize("constant_globs", [64, 0])
+def test_rules_of_every_kind_against_fnmatch(spark, constant_globs):
+    """F3 on random rules and paths, general globs as constants and by the compiled matcher."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("ab.c") for _ in range(rnd.randint(1, 3)))
+    forms = [lambda: word(), lambda: "*" + word(), lambda: word() + "*", lambda: word() + "*" + word(), lambda: "*" + word() + "*",
+             lambda: word() + "?" + word(), lambda: f"[{word()}]*", lambda: f"[!{word()}]" + word(), lambda: "*" + word() + "*" + word(),
+             lambda: word() + "/" + word(), lambda: word() + "/*", lambda: "*/" + word(), lambda: word() + "/", lambda: "**", lambda: "*"]
+    rules = [(f"p{k}", 1, rnd.choice(forms)()) for k in range(60)]
+    paths = [(p, "/".join(word() for _ in range(rnd.randint(1, 4)))) for p, _, _ in rules for _ in range(25)] + [("p1", "[ab]*"), ("none", "a")]
+    files = spark.createDataFrame(paths, "project string, path string")
+    df = FL.with_rule_match(files, spark.createDataFrame(rules, "project string, ord int, pattern string"), constant_globs)
+    of = {p: g.rstrip("/") for p, _, g in rules}
+    for r in df.collect():
+        assert r.has_rules == (r.project in of)
+        assert r.rule_ignored == (r.project in of and _python_rule(r.path, of[r.project])), (r.path, of.get(r.project))
+    if constant_globs:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE full_rx" not in plan and "ArrowEvalPython" not in plan

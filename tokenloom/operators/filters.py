@@ -1,10 +1,15 @@
 """Path filters and predicates."""
 from __future__ import annotations
 
+import fnmatch
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tokenloom.functions.paths import glob_to_regex, path_parts, suffix
+from tokenloom.functions.paths import _glob_regex, path_parts, suffix
 
 # Suffixes never read as text.
 BINARY_SUFFIXES = (".pyc", ".pyo", ".exe", ".dll", ".so", ".dylib",
@@ -57,44 +62,85 @@ def source_only(files: DataFrame) -> DataFrame:
     return files.where(~is_test_path("path"))
 
 
-def rule_sets(rules: DataFrame) -> DataFrame:
-    """Per project, the rules compiled to three matchers (one row per project).
+#: Distinct general globs up to which each becomes a constant pattern of the plan.
+CONSTANT_GLOBS = 64
 
-    ``rule_parts``: patterns without trailing '/', matched against path parts;
-    ``full_rx``: one regex for a full-path glob match of any rule;
-    ``part_rx``: one regex that finds a path part matching any rule.
-    One row per project, bounded by the number of rules of that project.
-    """
-    stripped = F.regexp_replace(F.col("pattern"), "/+$", "")
-    r = rules.select("project", stripped.alias("p")).select(
-        "project", "p", glob_to_regex(F.col("p")).alias("whole"), glob_to_regex(F.col("p"), within_part=True).alias("part"))
-    # a pattern containing '/' can never match a single path part
-    part_globs = F.collect_list(F.when(F.instr("p", "/") == 0, F.col("part")))
+
+def rule_sets(rules: DataFrame) -> DataFrame:
+    """Per project, the rules by kind (one row per project, native expressions).
+
+    ``rule_parts``: the patterns without trailing '/', compared with path parts
+    and, without wildcards, with the whole path; ``affixes``: patterns of one
+    ``*`` as what stands before and after it; ``inner``: patterns ``*text*``;
+    ``globs``: all others (``?``, sets, more stars)."""
+    r = rules.select("project", F.regexp_replace(F.col("pattern"), "/+$", "").alias("p"))
+    plain = ~F.col("p").rlike("[?\\[]")
+    stars = F.length("p") - F.length(F.replace("p", F.lit("*")))
+    inner = plain & F.col("p").rlike("^\\*[^*]*\\*$") & (stars == 2)
+    affix = F.struct(F.substring_index("p", "*", 1).alias("pre"), F.substring_index("p", "*", -1).alias("suf"))
+    kind = F.when(plain & (stars == 0), "name").when(plain & (stars == 1), "affix").when(inner, "inner").otherwise("glob")
+    r = r.withColumn("kind", kind)
     return r.groupBy("project").agg(
         F.collect_set("p").alias("rule_parts"),
-        F.concat(F.lit("(?s)\\A(?:"), F.array_join(F.collect_list("whole"), "|"), F.lit(")\\z")).alias("full_rx"),
-        part_globs.alias("pg"),
-    ).select("project", "rule_parts", "full_rx",
-             F.when(F.size("pg") > 0, F.concat(F.lit("(?s)(?:\\A|/)(?:"), F.array_join("pg", "|"), F.lit(")(?:/|\\z)")))
-             .otherwise(F.lit("(?!)")).alias("part_rx"))
-
-
-def with_rule_match(files: DataFrame, rules: DataFrame) -> DataFrame:
+        F.collect_set(F.when(F.col("kind") == "affix", affix)).alias("affixes"),
+        F.collect_set(F.when(F.col("kind") == "inner", F.expr("substring(p, 2, length(p) - 2)"))).alias("inner"),
+        F.collect_set(F.when(F.col("kind") == "glob", F.col("p"))).alias("globs"))
+
+
+def _glob_matcher():
+    """Any glob of a row's list against its path or one of the parts; one compiled
+    matcher per list and Python process."""
+    @F.pandas_udf(T.BooleanType())
+    def match(paths: pd.Series, globs: pd.Series) -> pd.Series:
+        compiled: dict[tuple, re.Pattern] = {}
+
+        def of(names):
+            key = tuple(names)
+            if key not in compiled:
+                compiled[key] = re.compile("|".join(f"(?:{fnmatch.translate(p)})" for p in key))
+            return compiled[key].match
+        return pd.Series([names is not None and len(names) > 0 and any(map(of(names), (path, *path.split("/"))))
+                          for path, names in zip(paths, globs)], dtype=bool)
+    return match
+
+
+def _matches_globs(globs: list[str] | None) -> Column:
+    """``path`` against the project's general globs: constant patterns where the
+    plan knows them all, a compiled matcher per project otherwise."""
+    if globs is None:
+        return _glob_matcher()(F.col("path"), F.col("globs"))
+    out = F.lit(False)
+    for g in globs:
+        whole, part = (f"(?s)\\A(?:{_glob_regex(g, within)})\\z" for within in (False, True))
+        out = out | (F.array_contains("globs", g) & (F.col("path").rlike(whole) | F.exists(path_parts("path"), lambda x: x.rlike(part))))
+    return out
+
+
+def with_rule_match(files: DataFrame, rules: DataFrame, constant_globs: int = CONSTANT_GLOBS) -> DataFrame:
     """F3 building block: adds ``has_rules`` and ``rule_ignored`` to ``files``.
 
     The per-project rule rows (one per project with rules) are materialised
     and broadcast when their measured size is small: the file side is then
     not shuffled at all, and a later per-project top-k can cut rows before
-    its own shuffle.  A large rule table is joined by shuffle instead.
+    its own shuffle.  A large rule table is joined by shuffle instead.  Names,
+    prefixes and suffixes are string comparisons on the row; no pattern is
+    compiled per row.
     """
     from tokenloom.session import small_side
     rs = small_side(rule_sets(rules))
+    # at most one more than fit the plan
+    known = [r.g for r in rs.select(F.explode("globs").alias("g")).distinct().limit(constant_globs + 1).collect()]
     j = files.join(rs, "project", "left")
-    matched = (F.arrays_overlap(path_parts("path"), F.col("rule_parts"))
-               | F.expr("path RLIKE full_rx") | F.expr("path RLIKE part_rx"))
+    names = path_parts("path")
+    fits = F.exists(F.array_append(names, F.col("path")), lambda x: F.exists("affixes", lambda a: (
+        F.length(x) >= F.length(a["pre"]) + F.length(a["suf"])) & x.startswith(a["pre"]) & x.endswith(a["suf"])))
+    matched = (F.arrays_overlap(names, F.col("rule_parts")) | F.array_contains("rule_parts", F.col("path")) & ~F.col("path").rlike("[*?\\[]")
+               | fits | F.exists("inner", lambda x: F.col("path").contains(x)))
+    if known:
+        matched = matched | _matches_globs(sorted(known) if len(known) <= constant_globs else None)
     return (j.withColumn("has_rules", F.col("rule_parts").isNotNull())
              .withColumn("rule_ignored", F.coalesce(matched, F.lit(False)))
-             .drop("rule_parts", "full_rx", "part_rx"))
+             .drop("rule_parts", "affixes", "inner", "globs"))
 
 
 def apply_ignore_rules(files: DataFrame, rules: DataFrame, extra=()) -> DataFrame:
