@@ -48,6 +48,7 @@ class Vocabularies:
         import sentencepiece
         from tokenizers import Tokenizer
         self.fast = encoder(path_a)
+        self.plain = self.fast.fast.__self__.encode_to_numpy if self.fast.fast else None
         self.exact = Tokenizer.from_file(path_a)
         self.exact.encode_special_tokens = True
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -63,10 +64,10 @@ class Vocabularies:
         self.size_a = np.array([len(t) for t in self.a], np.int64)
         self.size_b = np.array([len(t) for t in self.b], np.int64)
         self.pairs = self._pairs()
-        text_a, text_b = [str(k) for k in range(len(self.a))], [str(k) for k in range(len(self.b))]
-        #: an id followed by what parts it from the next one
-        self.written = [*(t + "," for t in text_a), *(t + "|" for t in text_a), *(t + "," for t in text_b),
-                        *(t + ";" for t in text_b)]
+        # each id followed by what parts it from the next one, as rows of bytes (zero pads)
+        written = [f"{k}{sep}".encode() for n, seps in ((len(self.a), ",|"), (len(self.b), ",;")) for sep in seps for k in range(n)]
+        self.written = np.array(written, dtype="S8").view(np.uint8).reshape(-1, 8)
+        self.width = np.array([len(w) for w in written], np.int64)
 
     def _piece(self, k: int) -> bytes:
         piece = self.model.id_to_piece(k)
@@ -91,7 +92,7 @@ class Vocabularies:
     def encode_a(self, text: str) -> np.ndarray:
         fast = self.fast
         if fast.fast and fast.latin(text):
-            return np.array(fast.fast(text), np.int64)
+            return self.plain(text, disallowed_special=()).astype(np.int64)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.int64)
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -119,8 +120,13 @@ def terminals(end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
     """The terminal token of each token's component; tokens are those of A, then
     those of B, given by their ascending end offsets.  The last ends are equal."""
     n_a = len(end_a)
-    to_b = np.searchsorted(end_b, end_a)  # the token of B that holds a token's last byte
-    to_a = np.searchsorted(end_a, end_b)
+    # the token of the other side that holds a token's last byte: as many as end before it
+    before = []
+    for ends in (end_a, end_b):
+        ended = np.zeros(int(end_a[-1]) + 1, np.int32)
+        ended[ends] = 1
+        before.append(np.cumsum(ended, dtype=np.int32))
+    to_b, to_a = before[1][end_a - 1].astype(np.int64), before[0][end_b - 1].astype(np.int64)
     succ = np.concatenate((to_b + n_a, np.where(end_a[to_a] == end_b, np.arange(len(end_b)) + n_a, to_a)))
     while True:
         further = succ[succ]
@@ -153,9 +159,10 @@ class Aligned:
         written = np.empty(len(a) + len(b), np.int64)
         written[np.arange(len(a)) + before_b[group_a]] = a + len(v.a) * ends_a
         written[np.arange(len(b)) + upto_a[group_b]] = b + 2 * len(v.a) + len(v.b) * ends_b
-        stops = np.cumsum(self.n_a + self.n_b).tolist()
-        words = list(map(v.written.__getitem__, written.tolist()))
-        self.digests = [hashlib.sha256("".join(words[lo:hi])[:-1].encode()).hexdigest() for lo, hi in zip([0, *stops], stops)]
+        rows = v.written[written]
+        said = memoryview(rows[rows > 0])
+        stops = np.cumsum(v.width[written])[np.cumsum(self.n_a + self.n_b) - 1].tolist()
+        self.digests = [hashlib.sha256(said[lo:hi - 1]).hexdigest() for lo, hi in zip([0, *stops], stops)]
 
 
 def _align(path_a: str, path_b: str):
