@@ -8,19 +8,24 @@ replaced by its surrogate, everything else stays as it was.
 
 A surrogate is a function of the key, the space and the entity's identity (case
 and digit grouping do not matter), so equal entities get equal surrogates in
-every document (coreference).  A space is a type, but all persons are one space
-whatever their title, and so are secret values and keys: a name or key is the
-same entity behind any title or assignment.  It keeps type and format: digits stay digits,
-letters letters of their script and case, cards stay Luhn-valid, addresses
-valid, country codes, top-level domains and titles are kept, a person's
-surrogate follows the script of the name and the gender of its titles in all
-documents (none if they contradict each other).
+every document (coreference).  A space is a type, but secret values and keys are
+one space and so are the parts of all persons' names: a key is the same entity
+behind any assignment, a name part behind any title.  It keeps type and format:
+digits stay digits, letters letters of their script and case, cards stay
+Luhn-valid, addresses valid, country codes, top-level domains and titles are kept.
+
+Persons: a name is replaced part by part, so "Mr Smith" and "Dr John Smith" keep
+the surname in common.  The first of several parts is a given name; its gender
+is that of its titles in all documents or, where only neutral ones stand before
+it, that of the list of common given names; titles that contradict each other
+leave it open.  Parts known from a titled mention are replaced wherever they
+stand capitalised in the same document, also without a title, with "'s" kept.
 
 Collision check: over all distinct entities of a space, a surrogate that two
 entities share or that is itself a real entity is drawn again for all but one
 (the attempt enters the hash) until all are distinct.  Only the entities that
-needed another attempt, and names whose titles differ, are joined back to the
-documents.
+needed another attempt, and name parts whose mentions tell different forms, are
+joined back to the documents.
 
 Edge cases: a null text stays null, an empty one empty; matches that fail
 their check stay unchanged; null ids, repeated rows and empty tables need no
@@ -66,6 +71,16 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": "son sen man feld ton ez ini berg ova ski".split(), "cyrillic": "енко кин ский чук ян".split(),
            "greek": "άκης ίδης όπουλος έλης".split()}
+#: Common given names, as far as a neutral title leaves the gender open (fixed values).
+COMMON = {
+    "m": "james john robert michael william david richard joseph thomas charles daniel matthew anthony mark paul steven andrew "
+         "george kenneth peter hans klaus jürgen wolfgang stefan jean pierre michel françois philippe juan josé carlos luis "
+         "miguel antonio иван сергей александр дмитрий николай γιώργος δημήτρης νίκος",
+    "f": "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret anna ann emily laura "
+         "helen ruth julia ursula monika petra sabine claudia marie nathalie isabelle sophie maría carmen ana isabel laura "
+         "lucía анна мария елена ольга наталья μαρία ελένη κατερίνα",
+}
+GIVEN_LONGER = 3  # from this attempt on a given name may grow
 LONGER = 6  # from this attempt on a crowded format may grow
 MAX_ATTEMPTS = 64
 
@@ -94,22 +109,42 @@ def _head(value: Column, type_: Column) -> Column:
             .when(type_.startswith("person"), F.regexp_extract(value, "^[^ ]+ ", 0)).otherwise(""))
 
 
+def _tail(value: Column, type_: Column) -> Column:
+    """What of a name is kept at its end: a possessive ending, loose marks."""
+    return F.when(type_.startswith("person"), F.regexp_extract(value, "(?:['’]s)?['’-]*$", 0)).otherwise("")
+
+
 def identity(value: Column, type_: Column) -> Column:
     """What makes two mentions the same entity."""
     rest = F.substr(value, F.length(_head(value, type_)) + 1)
+    rest = F.substr(rest, F.lit(1), F.length(rest) - F.length(_tail(value, type_)))
     return (F.when(type_.isin("phone", "ssn", "card"), F.regexp_replace(value, "\\D", ""))
             .when(type_ == "email", F.lower(value)).when(type_.startswith("person"), F.lower(rest)).otherwise(rest))
 
 
 def space(type_: Column) -> Column:
-    """Where identities are told apart: a type, but one for all persons and one
+    """Where identities are told apart: a type, but one for all name parts and one
     for secret values and keys."""
     return F.when(type_.startswith("person"), "person").when(type_ == "key", "secret").otherwise(type_)
 
 
-def form(type_: Column, ident: Column) -> Column:
-    """The type whose form the surrogate takes, as far as one mention tells."""
-    return F.when((type_ == "secret") & _is(ident, "key"), "key").otherwise(type_)
+def parts(type_: Column, ident: Column) -> Column:
+    """array<struct<space, ident, form>>: the parts a mention is replaced by, with
+    the form their surrogates take as far as this mention tells."""
+    common = {g: F.array(*[F.lit(n) for n in sorted(set(names.split()))]) for g, names in COMMON.items()}
+
+    def name_part(whole):
+        def one(part, i):
+            neutral = (F.when(F.array_contains(common["m"], part), "given_m").when(F.array_contains(common["f"], part), "given_f")
+                       .otherwise("given_x"))
+            given = F.when(type_ == "person_m", "given_m").when(type_ == "person_f", "given_f").otherwise(neutral)
+            return F.struct(F.lit("person").alias("space"), part.alias("ident"),
+                            F.when((i == 0) & (F.size(whole) > 1), given).otherwise("surname").alias("form"))
+        return F.transform(whole, one)
+
+    form = F.when((type_ == "secret") & _is(ident, "key"), "key").otherwise(type_)
+    return (F.when(type_.startswith("person"), let(F.split(ident, " "), name_part))
+            .otherwise(F.array(F.struct(space(type_).alias("space"), ident.alias("ident"), form.alias("form")))))
 
 
 def _stream(key: str, space_: Column, ident: Column, attempt: Column) -> Column:
@@ -154,17 +189,17 @@ def _surname(stream: Column, at: int, script: str, attempt: Column) -> Column:
                               F.when(attempt >= 2 * LONGER, F.concat(parts[4], parts[5])).otherwise(""), end))
 
 
-def _person(ident: Column, type_: Column, stream: Column, attempt: Column) -> Column:
+def _name_part(ident: Column, form: Column, stream: Column, attempt: Column) -> Column:
     def of(script):
+        syl = SYLLABLES[script]
+        more = [F.when(attempt >= GIVEN_LONGER * (k + 1), _listed(syl, _draw(stream, F.lit(102 + k), len(syl)))).otherwise("") for k in range(3)]
+
         def given(g):
             names = GIVEN[script, g].split()
-            return _listed(names, _draw(stream, F.lit(100), len(names)))
-        first = (F.when(type_ == "person_m", given("m")).when(type_ == "person_f", given("f"))
-                 .otherwise(F.when(_draw(stream, F.lit(101), 2) == 0, given("m")).otherwise(given("f"))))
-        n = F.size(F.split(ident, " "))
-        return (F.when(n == 1, _surname(stream, 0, script, attempt))
-                .when(n == 2, F.concat_ws(" ", first, _surname(stream, 0, script, attempt)))
-                .otherwise(F.concat_ws(" ", first, _surname(stream, 5, script, attempt), _surname(stream, 0, script, attempt))))
+            return F.concat(_listed(names, _draw(stream, F.lit(100), len(names))), *more)
+        either = F.when(_draw(stream, F.lit(101), 2) == 0, given("m")).otherwise(given("f"))
+        return (F.when(form == "given_m", given("m")).when(form == "given_f", given("f")).when(form == "given_x", either)
+                .otherwise(_surname(stream, 0, script, attempt)))
     return (F.when(ident.rlike("\\p{IsCyrillic}"), of("cyrillic")).when(ident.rlike("\\p{IsGreek}"), of("greek"))
             .otherwise(of("latin")))
 
@@ -189,7 +224,7 @@ def surrogate(ident: Column, type_: Column, attempt: Column, s: Column) -> Colum
             .when(type_ == "ssn", F.substr(numbers, F.lit(1), n))
             .when(type_ == "key", F.concat(F.substr(ident, F.lit(1), fixed), _like(F.substr(ident, fixed + 1), s), more))
             .when(type_ == "secret", F.concat(F.when(ident.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hex_).otherwise(_like(ident, s)), more))
-            .otherwise(_person(ident, type_, s, attempt)))
+            .otherwise(_name_part(ident, type_, s, attempt)))
 
 
 def _written(value: Column, type_: Column, new: Column) -> Column:
@@ -199,7 +234,7 @@ def _written(value: Column, type_: Column, new: Column) -> Column:
     digits = F.array_join(F.zip_with(chars, index, lambda c, k: F.when(c.rlike("[0-9]"), F.substr(new, k, F.lit(1))).otherwise(c)), "")
     shaped = F.when(value == F.upper(value), F.upper(new)).otherwise(new)
     return (F.when(type_.isin("phone", "ssn", "card"), digits).when(type_ == "email", shaped)
-            .otherwise(F.concat(_head(value, type_), new)))
+            .otherwise(F.concat(_head(value, type_), new, _tail(value, type_))))
 
 
 def mentions(text: Column) -> Column:
@@ -260,14 +295,14 @@ def anonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "pii")
     text = F.col(text_col).cast("string")
     found = docs.withColumn("_tl_m", mentions(text))
-    # the titles of a name settle its gender: one that only some of them tell is its, two are none
-    man, woman = F.max(F.col("form") == "person_m"), F.max(F.col("form") == "person_f")
-    settled = (F.when(F.col("space") != "person", F.min("form")).when(man & ~woman, "person_m")
-               .when(woman & ~man, "person_f").otherwise("person_x"))
-    entities = scratch.keep(
-        found.select(F.explode("_tl_m").alias("m")).select("m.type", "m.ident").filter("type is not null")
-        .select(space(F.col("type")).alias("space"), "ident", form(F.col("type"), F.col("ident")).alias("form"))
-        .groupBy("space", "ident").agg(settled.alias("form"), (F.min("form") != F.max("form")).alias("differ")))
+    # a part that is a given name anywhere is one; the forms its mentions tell settle its gender
+    man, woman = F.max(F.col("form") == "given_m"), F.max(F.col("form") == "given_f")
+    settled = (F.when(F.col("space") != "person", F.min("form")).when(F.max("form") == F.min("form"), F.min("form"))
+               .when(man & ~woman, "given_m").when(woman & ~man, "given_f").otherwise("given_x"))
+    told_parts = (found.select(F.col(id_col).alias("_tl_id"), F.explode("_tl_m").alias("m")).where("m.type is not null")
+                  .select("_tl_id", F.explode(parts(F.col("m.type"), F.col("m.ident"))).alias("p")).select("_tl_id", "p.*"))
+    entities = scratch.keep(told_parts.groupBy("space", "ident").agg(
+        settled.alias("form"), (F.min("form") != F.max("form")).alias("differ")))
     again = redrawn(entities, key, scratch)
     differ = entities.filter("differ").join(again.select(F.col("space").alias("_t"), F.col("ident").alias("_i")),
                                             (F.col("space") == F.col("_t")) & (F.col("ident") == F.col("_i")), "left_anti")
@@ -275,41 +310,61 @@ def anonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
 
     attempts = F.lit(None).cast("map<string,struct<attempt:int,form:string>>")
     if not again.isEmpty():
-        named = again.select(F.col("space").alias("_t"), F.col("ident").alias("_i"), "attempt", "form")
-        per_doc = (found.select(F.col(id_col).alias("_tl_id"), F.explode("_tl_m").alias("m")).select("_tl_id", "m.type", "m.ident")
-                   .filter("type is not null").select("_tl_id", space(F.col("type")).alias("space"), "ident").distinct()
+        named = again.select(F.col("space").alias("_t"), F.col("ident").alias("_i"), "attempt", F.col("form").alias("settled"))
+        per_doc = (told_parts.select("_tl_id", "space", "ident").distinct()
                    .join(small(named), (F.col("space") == F.col("_t")) & (F.col("ident") == F.col("_i")))
                    .groupBy("_tl_id").agg(F.map_from_entries(F.collect_list(F.struct(
-                       F.concat_ws("\x1f", "space", "ident"), F.struct("attempt", "form")))).alias("_tl_a")))
+                       F.concat_ws("\x1f", "space", "ident"), F.struct("attempt", F.col("settled").alias("form"))))).alias("_tl_a")))
         per_doc = scratch.keep(per_doc)
         found = found.join(small(per_doc), F.col(id_col).eqNullSafe(F.col("_tl_id")), "left")
         attempts = F.col("_tl_a")
 
-    # one transform after the other, so that each step is computed once for a mention
-    def with_attempt(m):
-        told = F.element_at(attempts, F.concat_ws("\x1f", space(m["type"]), m["ident"]))
-        return F.struct(*[m[c].alias(c) for c in ("value", "type", "ident")], F.coalesce(told["attempt"], F.lit(0)).alias("attempt"),
-                        F.coalesce(told["form"], form(m["type"], m["ident"])).alias("form"))
+    # one transform after the other, so that each step is computed once for a part
+    def of_parts(step):
+        return lambda m: F.struct(m["value"].alias("value"), m["type"].alias("type"), F.transform(m["parts"], step).alias("parts"))
+
+    def with_parts(m):
+        return F.struct(m["value"].alias("value"), m["type"].alias("type"), parts(m["type"], m["ident"]).alias("parts"))
 
-    def with_stream(m):
-        return F.struct(*[m[c].alias(c) for c in ("value", "type", "ident", "attempt", "form")],
-                        _stream(key, space(m["type"]), m["ident"], m["attempt"]).alias("s"))
+    def with_attempt(p):
+        told = F.element_at(attempts, F.concat_ws("\x1f", p["space"], p["ident"]))
+        return F.struct(p["space"].alias("space"), p["ident"].alias("ident"), F.coalesce(told["attempt"], F.lit(0)).alias("attempt"),
+                        F.coalesce(told["form"], p["form"]).alias("form"))
 
-    def with_new(m):
-        return F.struct(m["value"].alias("value"), m["type"].alias("type"),
-                        surrogate(m["ident"], m["form"], m["attempt"], m["s"]).alias("new"))
+    def with_stream(p):
+        return F.struct(*[p[c].alias(c) for c in ("space", "ident", "attempt", "form")],
+                        _stream(key, p["space"], p["ident"], p["attempt"]).alias("s"))
+
+    def with_new(p):
+        return F.struct(p["ident"].alias("ident"), surrogate(p["ident"], p["form"], p["attempt"], p["s"]).alias("new"))
 
     def written(m):
-        new = F.when(m["type"].isNull(), m["value"]).otherwise(_written(m["value"], m["type"], m["new"]))
-        return F.struct(m["type"].alias("type"), m["value"].alias("value"), new.alias("surrogate"))
+        new = F.array_join(F.transform(m["parts"], lambda p: p["new"]), " ")
+        new = F.when(m["type"].isNull(), m["value"]).otherwise(_written(m["value"], m["type"], new))
+        # the parts of names, as they are looked up where no title stands
+        names = F.when(m["type"].startswith("person"), m["parts"])
+        return F.struct(m["type"].alias("type"), m["value"].alias("value"), new.alias("surrogate"), names.alias("names"))
 
     steps = F.col("_tl_m")
-    for step in (with_attempt, with_stream, with_new, written):
+    for step in (with_parts, of_parts(with_attempt), of_parts(with_stream), of_parts(with_new), written):
         steps = F.transform(steps, step)
-    found = found.withColumn("_tl_s", steps)
+    found = found.withColumn("_tl_w", steps)
+    known = F.array_distinct(F.flatten(F.filter(F.col("_tl_w.names"), lambda n: n.isNotNull())))
+    found = found.withColumn("_tl_k", F.when(F.size(known) > 0, F.map_from_entries(known))).withColumn(
+        "_tl_s", F.transform("_tl_w", lambda m: F.struct(m["type"].alias("type"), m["value"].alias("value"), m["surrogate"].alias("surrogate"))))
+
+    def untitled(gap):
+        """A stretch between mentions with the known name parts replaced."""
+        def one(word):
+            end = F.regexp_extract(word, "['’]s$", 0)
+            new = F.element_at(F.col("_tl_k"), F.lower(F.substr(word, F.lit(1), F.length(word) - F.length(end))))
+            return F.when(word.rlike("^\\p{Lu}"), F.coalesce(F.concat(new, end), word)).otherwise(word)
+        words = F.regexp_extract_all(gap, F.lit("\\p{L}++(?:['’-]\\p{L}++)*+|[^\\p{L}]++"), F.lit(0))
+        return F.array_join(F.transform(words, one), "")
+
     gaps = F.split(text, ANY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.concat(F.col("_tl_s.surrogate"), F.array(F.lit(""))),
-                                      lambda g, s: F.concat(g, s)), "")
+    rebuilt = F.array_join(F.zip_with(gaps, F.concat(F.col("_tl_s.surrogate"), F.array(F.lit(""))), lambda g, s: F.concat(
+        F.when(F.col("_tl_k").isNull(), g).otherwise(untitled(g)), s)), "")
     real = F.filter("_tl_s", lambda s: s["type"].isNotNull())
     keep = [c for c in docs.columns if c not in ("n_entities", "entity_types", "surrogates")]
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(real, lambda s: F.substring_index(s["type"], "_", 1)))), ",")
