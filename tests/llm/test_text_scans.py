@@ -135,6 +135,29 @@ def test_persons_and_secrets_are_one_space_each(spark):
     assert (bare.type, behind.type) == ("key", "secret") and behind.surrogate == "api_key=" + bare.surrogate and bare.surrogate[:4] == "ghp_"
 
 
+def test_names_are_replaced_part_by_part_and_without_a_title(spark):
+    text = ("Dr John Smith came. John Smith said hi to Mr Smith. Smith's dog met Mary; Dr Mary Jones-Smith, Mary Jones-Smith and smith. "
+            "Prof Xq Smith’s notes. г-н Иван Петров и Петров")
+    docs = spark.createDataFrame([(1, text), (2, "Mr Smith and Johnson; John is not named here. Dr Alex Smith. Mr Alex Roe."), (3, "Smith alone")],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.anonymize(docs, "k").collect()}
+    new = {s.value: s.surrogate for r in got.values() for s in r.surrogates}
+    first, last = new["Dr John Smith"].split(" ")[1:]
+    mary, double = new["Dr Mary Jones-Smith"].split(" ")[1:]
+    xq = new["Prof Xq Smith’s"].split(" ")[1]
+    ivan, petrov = new["г-н Иван Петров"].split(" ")[1:]
+    # the whole text by plain replacement of the parts
+    want = text
+    for old, to in (("Jones-Smith", double), ("John", first), ("Mary", mary), ("Xq", xq), ("Иван", ivan), ("Петров", petrov)):
+        want = re.sub(rf"(?<![\w-]){old}(?![\w-])", to, want)
+    want = re.sub(r"(?<![\w-])Smith(?![\w-])", last, want)
+    assert got[1].text == want and new["Mr Smith"] == f"Mr {last}" and new["Prof Xq Smith’s"].endswith(last + "’s")
+    assert first in pii.GIVEN["latin", "m"].split() and mary in pii.GIVEN["latin", "f"].split() and len({last, double, petrov}) == 3
+    alex = new["Dr Alex Smith"].split(" ")[1]
+    assert got[2].text.startswith(f"Mr {last} and Johnson; John is") and alex in pii.GIVEN["latin", "m"].split()
+    assert new["Mr Alex Roe"].split(" ")[1] == alex and got[3].text == "Smith alone"
+
+
 def test_keys_of_letters_only_go(spark):
     keys = ["AKIA" + "ABCDEFGH" * 2, "gho_" + "abCd" * 9, "sk-" + "abcde" * 4, "xoxb-abcde-fghij"]
     docs = spark.createDataFrame([(i, f"use {k} here") for i, k in enumerate(keys)], "doc_id long, text string")
