@@ -100,3 +100,13 @@ def test_unused_symbols_follow_brute_force(spark):
     want = {(p, s) for _, p, t, symbols in rows for s in symbols
             if t.count(s) <= 1 and not any(s in o for q, o in texts.items() if q != p)}
     assert got == want and want
+
+
+def test_batch_ranking_of_long_path_tokens(spark):
+    """W7 batch: keywords inside a path token of 10,000 letters, rows in proportion to its length."""
+    from tokenloom.operators.focus import rank_files_batch
+    files = spark.createDataFrame([("p", "x" * 5_000 + "needle" + "y" * 5_000 + ".py", "some text"), ("p", "b.py", "needle needle"), ("q", "needle", "")],
+                                  "project string, path string, content string")
+    queries = spark.createDataFrame([("p", 1, "find the needle"), ("p", 2, "yyy"), ("q", 1, "haystack")], "project string, query_id long, query string")
+    got = sorted((r.project, r.query_id, r.path[:1], r.score) for r in rank_files_batch(files, queries).collect())
+    assert got == [("p", 1, "b", 1.2), ("p", 1, "x", 3.0), ("p", 2, "x", 3.0)]

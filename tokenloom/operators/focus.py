@@ -154,7 +154,8 @@ def rank_files_batch(files: DataFrame, queries: DataFrame, top: int = 8) -> Data
 
     Without a cross join: file tokens that are keywords of the project (the
     keyword set is broadcast after a size check) are counted per file, path
-    tokens meet the keywords through their substrings (equi-join), and the
+    tokens meet the keywords through their stretches of the keywords' lengths
+    (equi-join; rows grow with a token's length, not its square), and the
     per-keyword parts are summed per (query, file).  ``files`` must be the
     visible set.  Output ``project, query_id, rank, path, score``.
     """
@@ -170,9 +171,11 @@ def rank_files_batch(files: DataFrame, queries: DataFrame, top: int = 8) -> Data
               .groupBy("project", "path", "tok").agg(F.count(F.lit(1)).alias("cnt")))
     content_part = counts.join(kw.withColumnRenamed("kw", "tok"), ["project", "tok"]).select(
         "project", "query_id", "path", (F.lit(1.0) + F.least(F.col("cnt") - 1, F.lit(4)) * 0.2).alias("v"))
-    subs = base.select("project", "path", F.explode(F.array_distinct(F.flatten(F.flatten(F.transform(
-        "_ptoks", lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.transform(
-            F.sequence(i, F.length(t)), lambda j: F.substring(t, i, j - i + 1)))))))).alias("tok"))
+    # stretches of a path token of the lengths that the project's keywords have
+    sizes = small_side(kw.groupBy("project").agg(F.collect_set(F.length("kw")).alias("sizes")))
+    of_size = lambda t: lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))
+    subs = base.join(sizes, "project").select("project", "path", F.explode(F.array_distinct(F.flatten(F.flatten(F.transform(
+        "_ptoks", lambda t: F.transform(F.filter("sizes", lambda n: n <= F.length(t)), of_size(t))))))).alias("tok"))
     path_part = (subs.join(kwset, ["project", "tok"], "left_semi")
                  .join(kw.withColumnRenamed("kw", "tok"), ["project", "tok"])
                  .select("project", "query_id", "path", F.lit(3.0).alias("v")).distinct())

@@ -75,8 +75,8 @@ class Tables:
 
     Each round of an iteration is written and reread: the plan stays short, a
     lost executor costs one round at most, and the row counts a loop asks for
-    come from the write itself (``observed``), not from a second job.  ``close``
-    deletes the tables that no returned DataFrame reads any more.
+    come from the write itself (``observed``), not from a second job.  ``drop``
+    deletes tables that a later round has replaced, ``close`` all of them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -104,6 +104,11 @@ class Tables:
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def close(self) -> None:
+        """Delete all tables, once nothing lazy reads them any more."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
 
 def materialize(df):
     """Compute a (narrow) intermediate that several branches of a plan read,
