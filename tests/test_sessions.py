@@ -165,3 +165,22 @@ def test_idle_sessions_leave_the_state(spark, tmp_path):
     assert a[0] == (5, 1) and a[1] == (12, 2)
     assert a[-1] == (9, 1) and 112 not in [n for n, _ in a]  # the late row is dropped, the session starts from zero
     assert [r.input_tokens for r in got if r.session_id == "b"][-1] == 3
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    """S3: a file read in many splits keeps its line numbers."""
+    from tokenloom.sources.sessions import read_session_files
+    d = tmp_path / "logs" / "p"
+    d.mkdir(parents=True)
+    for name, n in (("one", 3000), ("two", 7), ("none", 0)):
+        (d / f"{name}.jsonl").write_text("".join(f"{name} line {k} {'x' * (k % 50)}\n" for k in range(n)))
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = read_session_files(spark, str(tmp_path / "logs" / "*" / "*.jsonl"))
+        rows = df.collect()
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+    assert len(rows) == 3007 and all(r.raw.startswith(f"{r.session_id} line {r.line_no - 1}") for r in rows)

@@ -40,8 +40,9 @@ def assistant_rows(parsed: DataFrame) -> DataFrame:
 def read_session_files(spark: SparkSession, path: str) -> DataFrame:
     """JSONL files below ``path`` (``<project>/<session>.jsonl``) as log lines.
 
-    Line numbers follow the position inside each file (block start offset,
-    then row order inside the block, so split files keep their order); the
+    Line numbers follow the position inside each file: a line's place in its
+    split (at most ``maxPartitionBytes``) plus the lines of the splits before, a
+    prefix sum over one count per split, so no task holds a whole file.  The
     project is the parent folder name and the session id the file stem.
     """
     t = spark.read.text(path).select(
@@ -49,9 +50,12 @@ def read_session_files(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("blk"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
         F.monotonically_increasing_id().alias("pos"))
-    w = Window.partitionBy("fp").orderBy("blk", "pos")
+    before = Window.partitionBy("fp").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    splits = t.groupBy("fp", "blk").agg(F.count(F.lit(1)).alias("n")).select(
+        "fp", "blk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"))
+    t = t.withColumn("at", F.row_number().over(Window.partitionBy("fp", "blk").orderBy("pos"))).join(splits, ["fp", "blk"])
     parts = F.split("fp", "/")
     return t.select(
         F.element_at(parts, -2).alias("project"),
         F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "").alias("session_id"),
-        F.row_number().over(w).cast("int").alias("line_no"), F.trim("value").alias("raw"), "file_mtime")
+        (F.col("at") + F.col("lines_before")).cast("int").alias("line_no"), F.trim("value").alias("raw"), "file_mtime")
