@@ -121,3 +121,40 @@ def test_one_pass_extraction(spark):
     assert set(one) == {"a.py", "b.ts", "c.go", "g.py"} and one["b.ts"].imports == ["react"] and one["c.go"].functions == ["H"]
     plan = extract_all_facts(files)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") == 1
+
+
+def test_file_stream_feeds_the_store(spark, tmp_path):
+    """S1 as a stream into T3: added and changed files arrive once, hidden names included."""
+    import os
+
+    from tokenloom.sources.files import stream_files
+    from tokenloom.streaming.reanalyze import reanalyze_batch
+    root, store, out = tmp_path / "trees", str(tmp_path / "store"), str(tmp_path / "out")
+    for project in ("p", "q"):
+        (root / project / "pkg").mkdir(parents=True)
+    at = 1_700_000_000
+
+    def put(path, text, age):
+        (root / path).write_text(text)
+        os.utime(root / path, (at + age, at + age))
+
+    def run():
+        def sink(df, batch_id):
+            df.select("project", "path").withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
+            reanalyze_batch(df.withColumn("snapshot_id", F.lit(1).cast("long")), store, batch_id)
+        q = (stream_files(spark, projects_root=str(root)).writeStream.foreachBatch(sink)
+             .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+        q.awaitTermination()
+        return sorted((r.project, r.path, r.batch) for r in spark.read.parquet(out).collect())
+
+    put("p/pkg/__init__.py", "", 0)
+    put("p/.hidden.py", "def h(): pass\n", 1)
+    put("q/a.py", "def a(): pass\n", 2)
+    first = run()
+    assert [r[:2] for r in first] == [("p", ".hidden.py"), ("p", "pkg/__init__.py"), ("q", "a.py")]
+    put("q/a.py", "def changed(): pass\n", 10)
+    put("p/new.py", "def new(): pass\n", 11)
+    second = [r for r in run() if r not in first]
+    assert [r[:2] for r in second] == [("p", "new.py"), ("q", "a.py")]
+    assert _shown(spark, store) == [("p", ".hidden.py", ("h",)), ("p", "new.py", ("new",)), ("p", "pkg/__init__.py", ()), ("q", "a.py", ("changed",))]
+    assert len(run()) == 5

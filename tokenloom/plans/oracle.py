@@ -859,6 +859,11 @@ SELECT project, path, CAST(strlen(content) AS BIGINT) AS size_bytes,
        CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS BIGINT) AS lines
 FROM v_code
 """
+ORACLE["stream_files"] = duckdb_with(["v_code"]) + """
+SELECT project, path, CAST(strlen(content) AS BIGINT) AS size_bytes,
+       CAST(CASE WHEN length(path) % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS versions
+FROM v_code
+"""
 ORACLE["changed_files"] = code_sql(_ALL + """,
 ks AS (SELECT project, path, TRY_CAST(regexp_extract(path, '/m(\\d+)\\.', 1) AS BIGINT) AS k FROM allc)
 SELECT a.project, a.path, CASE WHEN ends_with(a.path, '.py') THEN 'python' WHEN ends_with(a.path, '.ts') THEN 'typescript'

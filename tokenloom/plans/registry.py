@@ -624,13 +624,15 @@ from tokenloom.session import scratch_path  # noqa: E402
 
 def _materialise_tree(spark, files, root: str) -> None:
     """Write ``files`` rows as real files below ``root/<project>/<path>`` (executors write)."""
+    from tokenloom.sources.files import open_tree
+
     def write_part(rows):
-        import os
+        tree, top = open_tree(root)
         for r in rows:
-            p = os.path.join(root, r.project, r.path)
-            os.makedirs(os.path.dirname(p), exist_ok=True)
-            with open(p, "w", encoding="utf-8") as fh:
-                fh.write(r.content)
+            path = f"{top}/{r.project}/{r.path}"
+            tree.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with tree.open_output_stream(path) as out:
+                out.write(r.content.encode("utf-8"))
     files.select("project", "path", "content").foreachPartition(write_part)
 
 
@@ -639,14 +641,35 @@ def q_scan_files(spark, sf_dir):
     """V_code written out as project trees, then read back by the DataSource."""
     from tokenloom.functions.text import line_count
     from tokenloom.sources.files import scan_files
-    from tokenloom.session import local_path
-    root = local_path(scratch_path(spark, f"tree-{_uuid.uuid4().hex}"))
+    root = scratch_path(spark, f"tree-{_uuid.uuid4().hex}")
     files = code_files(spark, sf_dir)
     _materialise_tree(spark, files, root)
     s = scan_files(spark, projects_root=root)
     return s.select("project", "path", "size_bytes", line_count("content").alias("lines"))
 
 
+@register("stream_files")
+def q_stream_files(spark, sf_dir):
+    """S1 as a stream: the projects of V_code are written in two arrivals, the
+    second one with the changed files of the first; a file's last row counts."""
+    from tokenloom.sources.files import stream_files
+    base = scratch_path(spark, f"followed-{_uuid.uuid4().hex}")
+    files = code_files(spark, sf_dir)
+    early = F.length("path") % 2 == 0
+    first = files.where(early).withColumn("content", F.lit("to be changed"))
+
+    def sink(df, batch_id):
+        df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
+
+    for arrival in (first, files):
+        _materialise_tree(spark, arrival, f"{base}/trees")
+        q = (stream_files(spark, projects_root=f"{base}/trees").writeStream.foreachBatch(sink)
+             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.groupBy("project", "path").agg(F.max_by("size_bytes", "batch_id").alias("size_bytes"), F.count(F.lit(1)).alias("versions"))
+
+
 @register("changed_files")
 def q_changed_files(spark, sf_dir):
     """J9 (+C15): a fact store of V_code, then a new snapshot where every 6th

@@ -137,14 +137,3 @@ def small_side(df, max_bytes: int = BROADCAST_MAX_BYTES):
     from pyspark.sql import functions as F
     m = materialize(df)
     return F.broadcast(m) if measured_bytes(m) <= max_bytes else m
-
-
-def local_path(uri: str) -> str:
-    """POSIX path of a ``file:`` URI (Spark reports the checkpoint dir as one)
-    for code that uses the file system directly (the file-tree source and the
-    tree writer need a shared mount visible to all executors)."""
-    if uri.startswith("file://"):
-        return uri[len("file://"):]
-    if uri.startswith("file:"):
-        return uri[len("file:"):]
-    return uri

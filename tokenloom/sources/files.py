@@ -1,38 +1,70 @@
-"""Project trees as a ``files`` table through a Python DataSource.
+"""Project trees as a ``files`` table or stream through a Python DataSource.
 
 Spark's file sources skip names starting with '_' or '.', which loses
 ``__init__.py`` and rule files; this source walks the trees itself and keeps
-them.  Partitions are shards of each root's entries, listed on the driver
-(directories only, a few levels at most); the deep walk and the reads run in
-the executors.  A folder that can't be listed and a file that
-can't be read end the job, files without permission are skipped; text is decoded as UTF-8 with
-undecodable bytes dropped.  Persist the result as Parquet partitioned by
-``project`` and run the operators on that.
+them.  Trees are listed and read through Arrow's file systems (local folders,
+HDFS and object stores by URI), so nothing needs to be mounted on the executors.
+
+Batch: partitions are shards of each root's entries, listed on the driver
+(directories only, a few levels at most); the deep walk and the reads run in the
+executors.  Stream: an offset is the (modification time, project, path) of the
+newest file; each trigger lists the trees and reads the files behind the last
+offset, so added and changed files arrive once each, in any number of triggers.
+A file put in place with an older time than the last offset's is not seen.
+
+A folder that can't be listed and a file that can't be read end the job, files
+without permission are skipped; text is decoded as UTF-8 with undecodable bytes
+dropped.  Persist the result as Parquet partitioned by ``project`` and run the
+operators on that, or follow the stream with ``stream_reanalyze``.
 """
 from __future__ import annotations
 
 import datetime as _dt
 import os
+import posixpath
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 import tokenloom.sources.files as _self
 
-def _local(uri: str) -> str:
-    """Accept ``file:`` URIs for the POSIX roots this source reads."""
-    for prefix in ("file://", "file:"):
-        if uri.startswith(prefix):
-            return uri[len(prefix):]
-    return uri
+FILES_SCHEMA = "project string, path string, content string, size_bytes bigint, mtime timestamp"
 
 
-FILES_SCHEMA = "project string, path string, content string, size_bytes bigint, mtime timestamp"
+def open_tree(uri: str):
+    """(file system, path in it) of a local folder or a URI."""
+    from pyarrow import fs
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
+
+
+def listing(files, path: str, recursive: bool = False):
+    """Entries below a folder, sorted by path; an error if it can't be listed."""
+    from pyarrow import fs
+    return sorted(files.get_file_info(fs.FileSelector(path, recursive=recursive)), key=lambda i: i.path)
+
 
+def _is_dir(info) -> bool:
+    from pyarrow import fs
+    return info.type == fs.FileType.Directory
 
-def _fail(error: OSError):
-    raise error
+
+def _is_file(info) -> bool:
+    from pyarrow import fs
+    return info.type == fs.FileType.File
+
+
+def _row(files, project: str, root: str, info):
+    """The row of a file; none if nobody may read it."""
+    try:
+        with files.open_input_stream(info.path) as f:
+            data = f.read()
+    except PermissionError:
+        return []  # any other error ends the job
+    at = _dt.datetime.fromtimestamp(info.mtime_ns / 1e9, tz=_dt.timezone.utc)
+    return [(project, posixpath.relpath(info.path, root), data.decode("utf-8", errors="ignore"), int(info.size), at)]
 
 
 class ProjectFilesDataSource(DataSource):
@@ -50,91 +82,120 @@ class ProjectFilesDataSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return ProjectFilesReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return ProjectFilesStream(self.options)
 
-class ProjectFilesReader(DataSourceReader):
+
+class _Roots:
     def __init__(self, options) -> None:
-        self.roots = [_local(r) for r in str(options.get("roots", "")).split(",") if r]
-        parent = options.get("projects_root")
-        parent = _local(parent) if parent else parent
-        if parent:
-            self.roots += [os.path.join(parent, d) for d in sorted(os.listdir(parent))
-                           if os.path.isdir(os.path.join(parent, d))]
+        self.roots = [r for r in str(options.get("roots", "")).split(",") if r]
+        self.parent = options.get("projects_root")
         self.shards = int(options.get("shards_per_root", 64))
 
+    def all_roots(self) -> list[str]:
+        """The given roots and the sub-folders of the projects' root."""
+        if not self.parent:
+            return self.roots
+        files, path = open_tree(self.parent)
+        names = [posixpath.basename(i.path) for i in listing(files, path) if _is_dir(i)]
+        return self.roots + [f"{self.parent.rstrip('/')}/{n}" for n in names]
+
+
+class ProjectFilesReader(_Roots, DataSourceReader):
     def partitions(self):
         """Shards of (root, entries, recursive) triples.  A root whose top level
         holds few entries is expanded a few directory levels down on the
         driver (directories only), so one large folder does not become one
         task; files met while expanding form their own non-recursive shard."""
         parts = []
-        for root in self.roots:
+        for root in self.all_roots():
             units = self._units(root)
             n = min(self.shards, max(len(units), 1))
-            for i in range(n):
-                g = units[i::n]
-                if g:
-                    parts.append(InputPartition((root, tuple(g))))
+            parts += [InputPartition((root, tuple(units[i::n]))) for i in range(n) if units[i::n]]
         return parts
 
     def _units(self, root: str, max_depth: int = 3):
-        """(relative entry, recursive?) units: expand directories breadth-first
-        until there are at least ``shards`` units or ``max_depth`` is reached."""
-        units = [(e, True) for e in sorted(os.listdir(root))]  # a folder that can't be listed is an error
+        """(relative entry, folder?, recursive?) units: expand directories
+        breadth-first until there are at least ``shards`` units or ``max_depth``
+        is reached."""
+        files, top = open_tree(root)
+        units = [(posixpath.relpath(i.path, top), _is_dir(i), True) for i in listing(files, top)]
         depth = 1
-        while len(units) < self.shards and depth < max_depth:
-            nxt, expanded = [], False
-            for rel, rec in units:
-                full = os.path.join(root, rel)
-                if rec and os.path.isdir(full) and not os.path.islink(full):
-                    kids = sorted(os.listdir(full))
-                    expanded = True
-                    nxt.append((rel, False))          # the folder's own files
-                    nxt.extend((os.path.join(rel, k), True) for k in kids
-                               if os.path.isdir(os.path.join(full, k)))
+        while len(units) < self.shards and depth < max_depth and any(d and rec for _, d, rec in units):
+            nxt = []
+            for rel, folder, rec in units:
+                if folder and rec:
+                    kids = [i for i in listing(files, posixpath.join(top, rel)) if _is_dir(i)]
+                    nxt.append((rel, True, False))  # the folder's own files
+                    nxt.extend((posixpath.relpath(i.path, top), True, True) for i in kids)
                 else:
-                    nxt.append((rel, rec))
+                    nxt.append((rel, folder, rec))
             units, depth = nxt, depth + 1
-            if not expanded:
-                break
         return units
 
     def read(self, partition):
         root, units = partition.value
-        project = os.path.basename(os.path.normpath(root))
-        for rel, recursive in units:
-            top = os.path.join(root, rel)
-            if os.path.isfile(top):
-                paths = [top]
-            elif not recursive:
-                paths = [os.path.join(top, f) for f in sorted(os.listdir(top))
-                         if os.path.isfile(os.path.join(top, f))]
-            else:
-                paths = []
-                for dirpath, dirnames, filenames in os.walk(top, onerror=_fail):
-                    dirnames.sort()
-                    paths.extend(os.path.join(dirpath, f) for f in sorted(filenames))
-            for p in paths:
-                try:
-                    st = os.stat(p)
-                    with open(p, "rb") as fh:
-                        data = fh.read()
-                except PermissionError:
-                    continue  # a file nobody may read is skipped; any other error ends the job
-                rel_path = os.path.relpath(p, root).replace(os.sep, "/")
-                yield (project, rel_path, data.decode("utf-8", errors="ignore"), int(st.st_size),
-                       _dt.datetime.fromtimestamp(st.st_mtime_ns / 1e9, tz=_dt.timezone.utc))
+        files, top = open_tree(root)
+        project = posixpath.basename(top.rstrip("/"))
+        for rel, folder, recursive in units:
+            path = posixpath.join(top, rel)
+            found = listing(files, path, recursive) if folder else [files.get_file_info(path)]
+            for info in found:
+                if _is_file(info):
+                    yield from _row(files, project, top, info)
+
+
+class ProjectFilesStream(_Roots, DataSourceStreamReader):
+    def _files(self):
+        """(modification time, project, path, root) of all files, in order."""
+        out = []
+        for root in self.all_roots():
+            files, top = open_tree(root)
+            project = posixpath.basename(top.rstrip("/"))
+            out += [(i.mtime_ns, project, posixpath.relpath(i.path, top), root) for i in listing(files, top, True) if _is_file(i)]
+        return sorted(out)
+
+    def initialOffset(self) -> dict:
+        return {"mtime": -1, "project": "", "path": ""}
+
+    def latestOffset(self) -> dict:
+        found = self._files()
+        return dict(zip(("mtime", "project", "path"), found[-1])) if found else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict):
+        lo, hi = ((o["mtime"], o["project"], o["path"]) for o in (start, end))
+        new = [f for f in self._files() if lo < f[:3] <= hi]
+        n = min(len(new), self.shards)
+        return [InputPartition(tuple(f[2:] for f in new[i::n])) for i in range(n)]
+
+    def read(self, partition):
+        for path, root in partition.value:
+            files, top = open_tree(root)
+            info = files.get_file_info(posixpath.join(top, path))
+            if _is_file(info):  # one that has gone since the listing has no row
+                yield from _row(files, posixpath.basename(top.rstrip("/")), top, info)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 cloudpickle.register_pickle_by_value(_self)
 
 
+def _options(reader, roots, projects_root):
+    roots = [roots] if isinstance(roots, str) else roots
+    reader = reader.format("project_files").option("roots", ",".join(roots))
+    return reader.option("projects_root", projects_root) if projects_root else reader
+
+
 def scan_files(spark: SparkSession, roots=(), projects_root: str | None = None) -> DataFrame:
     """All files below each root (hidden and underscore names included);
     with ``projects_root`` every sub-folder of it is a project."""
     spark.dataSource.register(ProjectFilesDataSource)
-    if isinstance(roots, str):
-        roots = [roots]
-    r = spark.read.format("project_files").option("roots", ",".join(roots))
-    if projects_root:
-        r = r.option("projects_root", projects_root)
-    return r.load()
+    return _options(spark.read, roots, projects_root).load()
+
+
+def stream_files(spark: SparkSession, roots=(), projects_root: str | None = None) -> DataFrame:
+    """S1 as a stream: the files there are, then every added or changed one."""
+    spark.dataSource.register(ProjectFilesDataSource)
+    return _options(spark.readStream, roots, projects_root).load()
