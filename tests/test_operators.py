@@ -110,3 +110,21 @@ def test_batch_ranking_of_long_path_tokens(spark):
     queries = spark.createDataFrame([("p", 1, "find the needle"), ("p", 2, "yyy"), ("q", 1, "haystack")], "project string, query_id long, query string")
     got = sorted((r.project, r.query_id, r.path[:1], r.score) for r in rank_files_batch(files, queries).collect())
     assert got == [("p", 1, "b", 1.2), ("p", 1, "x", 3.0), ("p", 2, "x", 3.0)]
+
+
+def test_hot_grams_are_split(spark):
+    """One gram in all words, dealt to many keys, gives the same first and last files."""
+    from tokenloom.operators.deadcode import symbol_usage
+    words = [f"common{k:03}tail" for k in range(120)]
+    rows = [("p", f"f{k:03}.py", [words[k], words[(7 * k) % 120] + "more"]) for k in range(120)] + [("q", "g.py", ["commonality"])]
+    summary = spark.createDataFrame(rows, "project string, path string, words array<string>")
+    symbols = [("p", s) for s in ("common", "ommon0", "common01", "tailmore", "nothing", "common119tail")] + [("q", "common"), ("q", "commontail")]
+    asked = spark.createDataFrame(symbols, "project string, symbol string")
+    want = {}
+    for p, s in symbols:
+        files = sorted(f for q, f, w in rows if q == p and any(s in x for x in w))
+        if files:
+            want[p, s] = (files[0], files[-1])
+    for hot in (1_000, 10, 1):
+        got = {(r.project, r.symbol): (r.first_file, r.last_file) for r in symbol_usage(summary, asked, hot).collect()}
+        assert got == want

@@ -53,6 +53,11 @@ def slim_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     return slim_candidates_flags(files, rules).select("project", "path", "tokens")
 
 
+# Tokens from which a directory, an extension or a single file is suggested, and the reason texts.
+DIR_TOKENS, EXT_TOKENS, FILE_TOKENS = 500, 300, 3000
+EXT_REASON, FILE_REASON = " files rarely useful in context", ("Large file (", " tokens)")
+
+
 def suggest_rules(files: DataFrame, rules: DataFrame, max_suggestions: int = 10, top_files: int = 20) -> DataFrame:
     """Rule suggestions per project ranked by tokens saved.
 
@@ -70,21 +75,21 @@ def suggest_rules(files: DataFrame, rules: DataFrame, max_suggestions: int = 10,
     existing = rules.select("project", "pattern").distinct()
 
     dirs = (tokens_by_dir(sf)
-            .where(~F.col("top").startswith(".") & ~F.col("top").isin(*SKIP_SUGGEST_DIRS) & (F.col("tokens") >= 500))
+            .where(~F.col("top").startswith(".") & ~F.col("top").isin(*SKIP_SUGGEST_DIRS) & (F.col("tokens") >= DIR_TOKENS))
             .select("project", F.concat("top", F.lit("/")).alias("pattern"), F.col("tokens").alias("saves_tokens"),
                     F.col("files").alias("files_affected"), classify_dir("top").alias("reason"), F.lit(0).alias("kind"))
             .join(existing, ["project", "pattern"], "left_anti"))
     exts = (tokens_by_ext(sf)
-            .where((F.col("tokens") >= 300) & F.col("ext").isin(*NOISY_EXTS))
+            .where((F.col("tokens") >= EXT_TOKENS) & F.col("ext").isin(*NOISY_EXTS))
             .select("project", F.concat(F.lit("*"), "ext").alias("pattern"), F.col("tokens").alias("saves_tokens"),
                     F.col("files").alias("files_affected"),
-                    F.concat("ext", F.lit(" files rarely useful in context")).alias("reason"), F.lit(1).alias("kind"))
+                    F.concat("ext", F.lit(EXT_REASON)).alias("reason"), F.lit(1).alias("kind"))
             .join(existing, ["project", "pattern"], "left_anti"))
     group_patterns = dirs.select("project", "pattern").unionByName(exts.select("project", "pattern"))
 
     w = Window.partitionBy("project").orderBy(F.desc("tokens"), "path")
     top = sf.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top_files)
-    big = materialize(top.where((F.col("tokens") > 3000) & ~F.exists(F.array(*[F.lit(p) for p in SOURCE_PREFIXES]),
+    big = materialize(top.where((F.col("tokens") > FILE_TOKENS) & ~F.exists(F.array(*[F.lit(p) for p in SOURCE_PREFIXES]),
                                                                       lambda p: F.col("path").startswith(p))))
     # substrings of the path that can equal a directory or extension pattern
     parts = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
@@ -101,7 +106,7 @@ def suggest_rules(files: DataFrame, rules: DataFrame, max_suggestions: int = 10,
     files_c = (eligible.join(shadowed, ["project", "path"], "left_anti")
                .select("project", F.col("path").alias("pattern"), F.col("tokens").alias("saves_tokens"),
                        F.lit(1).cast("long").alias("files_affected"),
-                       F.concat(F.lit("Large file ("), F.format_number("tokens", 0), F.lit(" tokens)")).alias("reason"),
+                       F.concat(F.lit(FILE_REASON[0]), F.format_number("tokens", 0), F.lit(FILE_REASON[1])).alias("reason"),
                        F.lit(2).alias("kind")))
 
     cands = dirs.unionByName(exts).unionByName(files_c)

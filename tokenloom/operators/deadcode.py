@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.text import split_lines
 from tokenloom.operators.filters import is_public_symbol
+from tokenloom.session import Tables, small_side
 
 # Fixed value: decorators that register a function with a framework or mark a
 # built-in kind of method.
@@ -80,13 +81,20 @@ def symbol_summary(defs: DataFrame) -> DataFrame:
     return defs.select("project", "path", *[c.alias(n) for n, c in cols.items()])
 
 
-def symbol_usage(summary: DataFrame, symbols: DataFrame) -> DataFrame:
+#: Words that hold one gram up to which they meet its symbols under one key.
+HOT_WORDS = 50_000
+
+
+def symbol_usage(summary: DataFrame, symbols: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
     """Per ``(project, symbol)`` the first and last source file (by path) whose
     text contains the symbol.
 
     A symbol of at most ``GRAM`` letters is itself a gram of the words that
     contain it.  A longer one is contained only in words that hold its rarest gram;
-    these are joined on that gram and verified with ``contains``."""
+    these are joined on that gram and verified with ``contains``.  The gram index
+    is written once.  A gram that more than ``hot_words`` words hold is split: its
+    words are dealt to that many more keys and its symbols sent to each of them."""
+    t = Tables(summary.sparkSession, "grams")
     words = summary.select("project", "path", F.explode("words").alias("w"))
     word_files = words.groupBy("project", "w").agg(F.min("path").alias("first_file"), F.max("path").alias("last_file"))
     asked = symbols.select("project", "symbol").distinct()
@@ -94,13 +102,21 @@ def symbol_usage(summary: DataFrame, symbols: DataFrame) -> DataFrame:
 
     index = (word_files.where(F.length("w") >= GRAM)
              .select("project", "w", "first_file", "last_file", F.explode(_grams(F.col("w"), GRAM)).alias("gram")))
-    per_gram = index.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
+    index = t.keep(index)
+    per_gram, seen = t.keep(index.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n")), hot=F.count_if(F.col("n") > hot_words))
     rarest = (asked.where(F.length("symbol") > GRAM)
               .select("project", "symbol", F.explode(_grams(F.col("symbol"), GRAM)).alias("gram"))
               .join(per_gram, ["project", "gram"])
               .groupBy("project", "symbol").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
-    held = (rarest.join(index, ["project", "gram"]).where(F.contains("w", "symbol"))
-            .groupBy("project", "symbol").agg(*files))
+    keys = ["project", "gram"]
+    if seen["hot"]:
+        hot = small_side(per_gram.where(F.col("n") > hot_words).select(*keys, F.ceil(F.col("n") / hot_words).cast("int").alias("splits")))
+        index = (index.join(hot, keys, "left").withColumn("split", F.pmod(F.xxhash64("w"), F.coalesce("splits", F.lit(1))).cast("int"))
+                 .drop("splits"))
+        rarest = (rarest.join(hot, keys, "left")
+                  .withColumn("split", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1))).drop("splits"))
+        keys = [*keys, "split"]
+    held = rarest.join(index, keys).where(F.contains("w", "symbol")).groupBy("project", "symbol").agg(*files)
     short = asked.where(F.length("symbol") <= GRAM)
     if short.isEmpty():
         return held
