@@ -41,7 +41,9 @@ OUTPUT_SCHEMA = ("project string, session_id string, mtime timestamp, input_toke
 ENTRY_SCHEMA = "line_no long, has_usage boolean, input_tokens long, output_tokens long, cache_write long, cache_read long"
 SUMS_SCHEMA = ("input_tokens long, output_tokens long, cache_write long, cache_read long, turns long, "
                "last_input long, last_output long, last_write long, last_read long, mtime_us long")
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keyed map state needs the RocksDB store; with change logs a refresh writes what it changed.
+STORE_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def _cost(i, o, w, r) -> float:
@@ -97,13 +99,20 @@ class SessionTotals(StatefulProcessor):
         sums = [int(x) for x in held[:5]] if held is not None else [0] * 5
         last = [int(x) for x in held[5:9]] if held is not None else None
         mtime = None if held is None or held[9] is None else int(held[9])
+        fresh: dict[str, tuple] = {}  # what a session without state has got in this refresh
+
+        def keep(uuid, entry):
+            if held is None:
+                fresh[uuid] = entry
+            self.seen.updateValue((uuid,), entry)
+
         for pdf in rows:
             newest = pdf["file_mtime"].max()
             if not pd.isna(newest):
                 mtime = max(mtime or 0, pd.Timestamp(newest).value // 1000)
             assistant = pdf.loc[pdf["type"] == "assistant", KEPT]
-            add_rows(assistant.assign(uuid=assistant["uuid"].fillna("")), sums, lambda u: self.seen.getValue((u,)) if self.seen.containsKey((u,))
-                     else None, lambda u, e: self.seen.updateValue((u,), e))
+            add_rows(assistant.assign(uuid=assistant["uuid"].fillna("")), sums,
+                     lambda u: fresh.get(u) if held is None else self.seen.getValue((u,)), keep)
         self.sums.update((*sums, *sums[:4], mtime))
         if self.idle_ms is not None and mtime is not None:
             for at in list(self.handle.listTimers()):
@@ -127,7 +136,8 @@ def stream_session_usage(lines: DataFrame, idle_hours: float | None = None) -> D
     """T1 + T2: streaming log rows -> totals per (project, session) and the change
     since the previous emission, in ``update`` output mode.  Keyed map state
     needs the RocksDB state store, which is set for the session's new queries."""
-    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    for name, value in STORE_CONF.items():
+        lines.sparkSession.conf.set(name, value)
     if idle_hours is not None:
         lines = lines.withWatermark("file_mtime", f"{int(idle_hours * 3600)} seconds")
     return read_session_log(lines).groupBy("project", "session_id").transformWithStateInPandas(
