@@ -93,7 +93,7 @@ def test_stream_step_ignores_row_order_and_batches(spark):
 
     import pandas as pd
 
-    from tokenloom.streaming.sessions import COUNTS, add_rows
+    from tokenloom.streaming.sessions import COUNTS, KEPT, add_rows
 
     rnd = random.Random(3)
     rows = [("s", n, f"u{n % 4}" if n % 5 else "", n % 3 != 0, n, 2 * n, 1, 1) for n in range(30)]
@@ -104,7 +104,7 @@ def test_stream_step_ignores_row_order_and_batches(spark):
         seen, sums = {}, [0] * 5
         for refresh in chunks:
             for part in refresh:
-                add_rows(part, sums, seen.get, seen.__setitem__)
+                add_rows(part[KEPT].itertuples(index=False), sums, seen.get, seen.__setitem__)
         assert len(seen) <= 4
         return sums
 

@@ -21,7 +21,7 @@ counts.
 from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -52,25 +52,30 @@ def _cost(i, o, w, r) -> float:
     return float(Decimal(repr(total)).quantize(Decimal("0.00001"), ROUND_HALF_UP))
 
 
-def add_rows(rows: pd.DataFrame, sums: list[int], entry, put) -> None:
-    """Add assistant rows to ``sums`` (four counts and turns).  ``entry(uuid)``
-    gives what is kept of a uuid, ``put(uuid, entry)`` keeps a smaller line."""
+def add_rows(rows: Iterable[tuple], sums: list[int], entry, put) -> None:
+    """Add assistant rows (the columns ``KEPT``) to ``sums`` (four counts and
+    turns).  ``entry(uuid)`` gives what is kept of a uuid, ``put(uuid, entry)``
+    keeps a smaller line."""
     def add(counts, sign: int) -> None:
         for k, n in enumerate((*counts, 1)):
             sums[k] += sign * int(n)
 
-    for counts in rows.loc[(rows["uuid"] == "") & rows["has_usage"].astype(bool), COUNTS].itertuples(index=False):
-        add(counts, 1)
-    first = rows[rows["uuid"] != ""].sort_values("line_no", kind="stable").drop_duplicates("uuid")
-    for uuid, line_no, has_usage, *counts in first[KEPT].itertuples(index=False):
+    first: dict[str, tuple] = {}
+    for uuid, line_no, has_usage, *counts in rows:
+        if uuid:
+            if uuid not in first or line_no < first[uuid][0]:
+                first[uuid] = (int(line_no), bool(has_usage), *map(int, counts))
+        elif has_usage:
+            add(counts, 1)
+    for uuid, new in first.items():
         held = entry(uuid)
-        if held is not None and held[0] <= line_no:
+        if held is not None and held[0] <= new[0]:
             continue
         if held is not None and held[1]:
             add(held[2:], -1)
-        if has_usage:
-            add(counts, 1)
-        put(uuid, (int(line_no), bool(has_usage), *map(int, counts)))
+        if new[1]:
+            add(new[2:], 1)
+        put(uuid, new)
 
 
 def emission(key: tuple, sums: list[int], last: list[int] | None, mtime) -> pd.DataFrame:
@@ -110,8 +115,8 @@ class SessionTotals(StatefulProcessor):
             newest = pdf["file_mtime"].max()
             if not pd.isna(newest):
                 mtime = max(mtime or 0, pd.Timestamp(newest).value // 1000)
-            assistant = pdf.loc[pdf["type"] == "assistant", KEPT]
-            add_rows(assistant.assign(uuid=assistant["uuid"].fillna("")), sums,
+            told = zip(pdf["type"].tolist(), *(pdf[c].tolist() for c in KEPT))
+            add_rows((row for kind, *row in told if kind == "assistant"), sums,
                      lambda u: fresh.get(u) if held is None else self.seen.getValue((u,)), keep)
         self.sums.update((*sums, *sums[:4], mtime))
         if self.idle_ms is not None and mtime is not None:
