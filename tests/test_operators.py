@@ -128,3 +128,32 @@ def test_hot_grams_are_split(spark):
     for hot in (1_000, 10, 1):
         got = {(r.project, r.symbol): (r.first_file, r.last_file) for r in symbol_usage(summary, asked, hot).collect()}
         assert got == want
+
+
+def test_unused_symbols_without_pairs(spark):
+    """Thousands of words of two letters share every gram; the symbols meet
+    their words in sorted order, and no pair of both is formed and verified."""
+    import random
+
+    from tokenloom.operators.deadcode import unused_symbols
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("ab") for _ in range(rnd.randint(10, 14))) for _ in range(2_000)]
+    texts = {f"f{k:02}.py": " ".join(rnd.sample(words, 60)) for k in range(30)}
+    rows = [("p", path, text, sorted(set(text.split()))) for path, text in texts.items()]
+    unused = unused_symbols(spark.createDataFrame(rows, "project string, path string, content string, symbols array<string>"))
+    want = {(p, s) for _, p, t, symbols in rows for s in symbols
+            if t.count(s) <= 1 and not any(s in o for q, o in texts.items() if q != p)}
+    assert {(r.path, r.symbol) for r in unused.collect()} == want and want
+    assert "Contains(" not in unused._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unused_symbols_of_repeated_and_blank_rows(spark):
+    """Rows with one path are one file, overlapping occurrences count once,
+    rows without project or path have no neighbours."""
+    from tokenloom.operators.deadcode import unused_symbols
+    rows = [("p", "a.py", "one two two", ["one", "two"]), ("p", "a.py", "one two", ["one", "two"]),
+            ("p", "b.py", "anana 1left", ["ana", "left"]), ("p", "c.py", "thathat 2left", ["that", "left"]), ("p", "d.py", "xyzxyz", ["xyz"]),
+            (None, "e.py", "alone", ["alone"]), (None, "f.py", "alone", ["alone"]), ("p", None, "one alone", ["alone"])]
+    got = sorted((r.path or "", r.symbol) for r in unused_symbols(spark.createDataFrame(
+        rows, "project string, path string, content string, symbols array<string>")).collect())
+    assert got == [("", "alone"), ("a.py", "one"), ("a.py", "two"), ("b.py", "ana"), ("c.py", "that"), ("e.py", "alone"), ("f.py", "alone")]
