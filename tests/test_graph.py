@@ -121,3 +121,17 @@ def test_no_edges(spark):
     nodes = spark.createDataFrame([("p",)], "project string")
     assert G.find_cycles(spark, none).count() == 0 and G.cycle_members(spark, none).count() == 0
     assert [(r.n_cycles, r.exact) for r in G.cycle_proof(spark, nodes, none).collect()] == [(0, True)]
+
+
+def test_audit_counts_every_cycle(spark, monkeypatch):
+    """Four files that all import each other hold 20 cycles (9 surplus edges)."""
+    import datetime
+
+    from tokenloom.plans import registry
+    at = datetime.datetime(2024, 1, 1)
+    names = "abcd"
+    rows = [("p", f"pkg/{n}.py", "".join(f"import pkg.{m}\n" for m in names if m != n), 9, at) for n in names] + [("q", "x.py", "pass\n", 5, at)]
+    files = spark.createDataFrame(rows, "project string, path string, content string, size_bytes long, mtime timestamp")
+    monkeypatch.setattr(registry, "code_files", lambda spark, sf_dir: files)
+    got = {(r.project, r.status, r.detail) for r in registry.QUERIES["audit_checks"](spark, "").where("check = 'cycles'").collect()}
+    assert got == {("p", "issue", "20 cycles"), ("q", "ok", "0 cycles")}

@@ -49,8 +49,8 @@ def audit_checks(files: DataFrame, budget: DataFrame, cycle_counts: DataFrame, s
 
     The doc freshness and token checks run only when the doc exists;
     freshness compares it with the newest ``.py`` outside virtual-env and
-    cache folders (minutes stale, floored).  ``cycle_counts`` are rows of
-    ``cycle_proof``: a count that is a lower bound is reported as such.
+    cache folders (minutes stale, floored).  ``cycle_counts`` are G4 rows:
+    every simple cycle counts.
     """
     doc = files.where(F.col("path") == doc_name).groupBy("project").agg(F.max("mtime").alias("doc_mtime"))
     py = files.where(F.col("path").endswith(".py") & ~F.arrays_overlap(
@@ -59,7 +59,7 @@ def audit_checks(files: DataFrame, budget: DataFrame, cycle_counts: DataFrame, s
     projects = files.select("project").distinct()
     j = (projects.join(doc, "project", "left").join(newest, "project", "left").join(budget, "project", "left")
          .join(cycle_counts, "project", "left").join(syntax, "project", "left")
-         .fillna({"n_cycles": 0, "n_errors": 0, "exact": True}))
+         .fillna({"n_cycles": 0, "n_errors": 0}))
     has_doc = F.col("doc_mtime").isNotNull()
     stale_min = F.floor((F.unix_micros("newest_py") - F.unix_micros("doc_mtime")) / 60_000_000)
     pct = F.format_number(F.when(F.col("baseline") > 0, (F.col("baseline") - F.col("optimized")) / F.col("baseline") * 100.0)
@@ -79,8 +79,7 @@ def audit_checks(files: DataFrame, budget: DataFrame, cycle_counts: DataFrame, s
                      .otherwise(""), pct, F.lit("% saved ("), F.col("baseline").cast("string"), F.lit(" -> "),
                      F.col("optimized").cast("string"), F.lit(")")).alias("detail"))),
         F.struct(F.lit("cycles").alias("check"), F.when(F.col("n_cycles") > 0, "issue").otherwise("ok").alias("status"),
-                 F.concat(F.when(F.col("exact"), "").otherwise("at least "), F.col("n_cycles").cast("string"), F.lit(" cycles"))
-                 .alias("detail")),
+                 F.concat(F.col("n_cycles").cast("string"), F.lit(" cycles")).alias("detail")),
         F.struct(F.lit("syntax").alias("check"), F.when(F.col("n_errors") > 0, "issue").otherwise("ok").alias("status"),
                  F.when(F.col("n_errors") > 0, F.concat(F.col("n_errors").cast("string"), F.lit(" files: "),
                                                         F.col("first_files"), F.col("more")))
