@@ -32,7 +32,8 @@ def _python_facts_udf():
 
     @F.pandas_udf(_PY_SCHEMA)
     def py_facts(src: pd.Series) -> pd.DataFrame:
-        rows = [python_facts(s if isinstance(s, str) else "") for s in src]
+        none = python_facts("")  # rows of other languages
+        rows = [python_facts(s) if isinstance(s, str) else none for s in src]
         return pd.DataFrame(rows, columns=["functions", "classes", "imports", "complexity",
                                            "typed_functions", "has_syntax_error"])
 
