@@ -20,6 +20,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.session import Tables
+
 FACTS = ("language string, lines long, functions array<string>, classes array<string>, imports array<string>, "
          "complexity long, typed_functions long, has_syntax_error boolean")
 ROW_SCHEMA = f"project string, path string, {FACTS}, sig string, snapshot_id long, kind string, commit long"
@@ -56,7 +58,10 @@ class FactStore:
     def _commit(self, rows: DataFrame, commit: int, upto: int) -> None:
         data = uuid.uuid4().hex
         typed = self.spark.createDataFrame([], ROW_SCHEMA).unionByName(rows, allowMissingColumns=True)
-        typed.repartitionByRange("project", "path").sortWithinPartitions("project", "path").write.parquet(f"{self.path}/data/{data}")
+        # computed once: ranges are sampled before they are filled
+        t = Tables(self.spark, "commit")
+        t.keep(typed).repartitionByRange("project", "path").sortWithinPartitions("project", "path").write.parquet(f"{self.path}/data/{data}")
+        t.close()
         self.fs.create(self._Path(f"{self.path}/commits/{commit}_{data}_{upto}"), False).close()
 
     def rows(self) -> DataFrame:
