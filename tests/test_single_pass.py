@@ -50,3 +50,11 @@ async def f(a: (1 if b else 2) = (c and d and e), *, k=(g or h)) -> int:
     assert sorted(functions) == sorted(n.name for n in defs) and typed == sum(n.returns is not None for n in defs)
     assert sorted(classes) == sorted(n.name for n in nodes if isinstance(n, ast.ClassDef))
     assert imports[-3:] == ["a.b", "c", "pkg.mod"] and cx == branches and not broken
+
+
+def test_views_built_again_keep_what_is_materialised(spark, sf_small):
+    from tokenloom.plans.views import load_views
+    from tokenloom.session import materialize
+    kept = materialize(load_views(spark, sf_small, ["v_code"])["v_code"].select("project", "path"))
+    load_views(spark, sf_small, ["v_code_changes"])
+    assert "InMemoryRelation" in kept.select("path")._jdf.queryExecution().optimizedPlan().toString()

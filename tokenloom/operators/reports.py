@@ -15,6 +15,7 @@ from tokenloom.functions.scores import reduction_pct
 from tokenloom.functions.text import approx_tokens, pystrip, signature_lines, strip_boilerplate
 from tokenloom.operators.filters import DOC_EXTENSIONS
 from tokenloom.operators.ranking import ranked
+from tokenloom.session import Tables
 
 
 def _prefix_rows(paths: DataFrame, with_files: bool) -> DataFrame:
@@ -190,9 +191,12 @@ def project_lines(facts: DataFrame, dirs: DataFrame, most: DataFrame, hot: DataF
         F.concat(F.lit("- **Estimated token reduction with ignore rules:** "), F.round("saved", 1).cast("string"), F.lit("%")),
         F.concat(F.lit("- **Detected frameworks:** "), "fw"))))
     projects = facts.select("project").distinct()
+    written = Tables(facts.sparkSession, "guide")
 
     def table(rows: DataFrame, section: int, head: tuple, line: Column) -> list[DataFrame]:
-        """Heading, ranked lines and a blank line where there are any."""
+        """Heading, ranked lines and a blank line where there are any: a few rows a
+        project, computed once."""
+        rows = written.keep(rows)
         any_ = rows.select("project").distinct()
         body = rows.select("project", F.lit(section + 1).cast("long").alias("section"), F.lit("").alias("sort_key"),
                            F.col("rank").cast("long").alias("pos"), line.alias("line"))

@@ -189,25 +189,26 @@ def q_detect_languages(spark, sf_dir):
 
 
 def py_graph(spark, sf_dir):
-    """Python facts parsed once (materialised) and the resolved import edges."""
-    from tokenloom.session import materialize
+    """Python facts parsed once (written) and the resolved import edges."""
+    from tokenloom.session import Tables
     files = code_files(spark, sf_dir)
-    facts = materialize(X.extract_python_facts(files))
+    facts = Tables(spark, "facts").keep(X.extract_python_facts(files))
     edges = G.resolve_imports(facts, files)
     return files, facts, edges
 
 
 def code_model(spark, sf_dir):
     """One pass over the Python texts: facts plus the row-local dead-code
-    summary (source files only, null for tests), materialised without text."""
+    summary (source files only, null for tests), written without text: joins and
+    unions of a cached plan with a Python step compute it again."""
     from tokenloom.operators.deadcode import summary_columns
-    from tokenloom.session import materialize
+    from tokenloom.session import Tables
     files = code_files(spark, sf_dir)
     facts = X.extract_python_facts(files, keep_content=True)
     src = ~FL.is_test_path("path")
     summ = summary_columns(F.col("content"), F.concat("functions", "classes"))
     model = facts.select(*X.FACT_COLUMNS, src.alias("is_source"), *[F.when(src, c).alias(n) for n, c in summ.items()])
-    return files, materialize(model)
+    return files, Tables(spark, "model").keep(model)
 
 
 def model_unused(model):
@@ -605,9 +606,9 @@ def q_project_doc(spark, sf_dir):
 @register("analysis_json")
 def q_analysis_json(spark, sf_dir):
     """R7 (+S7 JSON shape)."""
-    from tokenloom.session import materialize
+    from tokenloom.session import Tables
     files = code_files(spark, sf_dir)
-    facts = materialize(X.extract_all_facts(files))
+    facts = Tables(spark, "facts").keep(X.extract_all_facts(files))
     py = facts.where(F.col("language") == "python")
     edges = G.resolve_imports(py, files)
     most = G.top_n_per_project(G.in_degree(py, edges), "imported_by", 10)

@@ -1,6 +1,8 @@
 """Spark side of the proof views (same SQL text as the DuckDB oracle)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,22 +30,31 @@ def load_views(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
 
     Base tables are read with ``spark.read.parquet`` (column pruning and
     filters reach the scan); each view is one ``spark.sql`` statement over
-    temp views private to this package (prefix ``tl_``).
+    temp views (prefix ``tl_``).  Their names are new in every call and dropped
+    before it returns: replacing a temp view would drop what a query has
+    materialised from the one before.
     """
     order = _closure(names)
     needed_tables = {d for v in order for d in VIEWS[v][1] if d in BASE_TABLES}
-    table_names = {}
-    for t in needed_tables:
-        read_table(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"tl_src_{t}")
-        table_names[t] = f"tl_src_{t}"
+    call, table_names = uuid.uuid4().hex, {}
+
+    def name(df: DataFrame, of: str) -> None:
+        table_names[of] = f"tl_{of}_{call}"
+        df.createTempView(table_names[of])
+
     out: dict[str, DataFrame] = {}
-    for v in order:
-        table_names[v] = f"tl_{v}"
-        df = spark.sql(render(v, "spark", table_names))
-        df.createOrReplaceTempView(f"tl_{v}")
-        if "mtime_s" in df.columns:
-            df = df.withColumn("mtime", F.timestamp_seconds("mtime_s"))
-        out[v] = df
+    try:
+        for t in needed_tables:
+            name(read_table(spark, f"{sf_dir}/{t}.parquet"), t)
+        for v in order:
+            df = spark.sql(render(v, "spark", table_names))
+            name(df, v)
+            if "mtime_s" in df.columns:
+                df = df.withColumn("mtime", F.timestamp_seconds("mtime_s"))
+            out[v] = df
+    finally:
+        for made in table_names.values():
+            spark.catalog.dropTempView(made)
     return out
 
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tokenloom.session import Tables
+
 
 def write_table(df: DataFrame, path: str, partition_by=("project",), mode: str = "overwrite") -> None:
     """Parquet, partitioned by project so later jobs prune to the projects they need."""
@@ -22,4 +24,6 @@ def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A document's lines in order: range-partitioned and sorted Parquet, the
     files of a project one after the other."""
     order = ["project", "section", "sort_key", "pos"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
+    t = Tables(lines.sparkSession, "lines")  # computed once: ranges are sampled before they are filled
+    t.keep(lines).repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
+    t.close()
