@@ -629,9 +629,13 @@ def _materialise_tree(spark, files, root: str) -> None:
 
     def write_part(rows):
         tree, top = open_tree(root)
+        made = set()
         for r in rows:
             path = f"{top}/{r.project}/{r.path}"
-            tree.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            folder = path.rsplit("/", 1)[0]
+            if folder not in made:
+                tree.create_dir(folder, recursive=True)
+                made.add(folder)
             with tree.open_output_stream(path) as out:
                 out.write(r.content.encode("utf-8"))
     files.select("project", "path", "content").foreachPartition(write_part)

@@ -8,8 +8,10 @@ HDFS and object stores by URI), so nothing needs to be mounted on the executors.
 Batch: partitions are shards of each root's entries, listed on the driver
 (directories only, a few levels at most); the deep walk and the reads run in the
 executors.  Stream: an offset is the (modification time, project, path) of the
-newest file; each trigger lists the trees and reads the files behind the last
-offset, so added and changed files arrive once each, in any number of triggers.
+newest file; each trigger lists the trees on the driver, folder by folder, and
+keeps how many files of each folder lie behind the last offset.  The tasks list
+these folders and read those files, so added and changed files arrive once each,
+in any number of triggers, and no list of files is held or sent.
 A file put in place with an older time than the last offset's is not seen.
 
 A folder that can't be listed and a file that can't be read end the job, files
@@ -22,6 +24,7 @@ from __future__ import annotations
 import datetime as _dt
 import os
 import posixpath
+import zlib
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +49,21 @@ def listing(files, path: str, recursive: bool = False):
     return sorted(files.get_file_info(fs.FileSelector(path, recursive=recursive)), key=lambda i: i.path)
 
 
+def entries(files, folder: str, gone: bool = False):
+    """Entries of one folder in any order; with ``gone`` none if it isn't there."""
+    from pyarrow import fs
+    return files.get_file_info(fs.FileSelector(folder, allow_not_found=gone))
+
+
+def _offset(offset: dict) -> tuple:
+    return offset["mtime"], offset["project"], offset["path"]
+
+
+def _key(info, project: str, top: str) -> tuple:
+    """(modification time, project, path): the order in which a stream reads files."""
+    return info.mtime_ns, project, _below(info.path, top)
+
+
 def _is_dir(info) -> bool:
     from pyarrow import fs
     return info.type == fs.FileType.Directory
@@ -56,6 +74,10 @@ def _is_file(info) -> bool:
     return info.type == fs.FileType.File
 
 
+def _below(path: str, top: str) -> str:
+    return path[len(top) + 1:] if path.startswith(top + "/") else posixpath.relpath(path, top)
+
+
 def _row(files, project: str, root: str, info):
     """The row of a file; none if nobody may read it."""
     try:
@@ -64,7 +86,7 @@ def _row(files, project: str, root: str, info):
     except PermissionError:
         return []  # any other error ends the job
     at = _dt.datetime.fromtimestamp(info.mtime_ns / 1e9, tz=_dt.timezone.utc)
-    return [(project, posixpath.relpath(info.path, root), data.decode("utf-8", errors="ignore"), int(info.size), at)]
+    return [(project, _below(info.path, root), data.decode("utf-8", errors="ignore"), int(info.size), at)]
 
 
 class ProjectFilesDataSource(DataSource):
@@ -146,34 +168,84 @@ class ProjectFilesReader(_Roots, DataSourceReader):
 
 
 class ProjectFilesStream(_Roots, DataSourceStreamReader):
-    def _files(self):
-        """(modification time, project, path, root) of all files, in order."""
-        out = []
-        for root in self.all_roots():
+    def __init__(self, options) -> None:
+        super().__init__(options)
+        self.read_to, self.listed = None, None
+
+    def _behind(self, after: tuple) -> tuple[tuple, list[tuple]]:
+        """The newest file behind an offset (else the offset), and the number of
+        such files in each folder that has any.  One folder's entries are held at
+        a time, roots are walked side by side."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        from pyarrow import fs
+
+        def walk(root: str) -> tuple[tuple, list[tuple]]:
             files, top = open_tree(root)
-            project = posixpath.basename(top.rstrip("/"))
-            out += [(i.mtime_ns, project, posixpath.relpath(i.path, top), root) for i in listing(files, top, True) if _is_file(i)]
-        return sorted(out)
+            project, newest, counts, folders = posixpath.basename(top.rstrip("/")), after, [], [top]
+            while folders:
+                folder, n = folders.pop(), 0
+                for info in entries(files, folder):
+                    kind = info.type
+                    if kind == fs.FileType.Directory:
+                        folders.append(info.path)
+                    elif kind == fs.FileType.File:
+                        at = info.mtime_ns  # keys are made only where the time doesn't decide
+                        if at >= newest[0]:
+                            newest = max(newest, _key(info, project, top))
+                        n += at > after[0] or at == after[0] and _key(info, project, top) > after
+                if n:
+                    counts.append((root, folder, n))
+            return newest, counts
+
+        newest, counts = after, []
+        with ThreadPoolExecutor(8) as pool:
+            for key, found in pool.map(walk, self.all_roots()):
+                newest, counts = max(newest, key), counts + found
+        return newest, counts
 
     def initialOffset(self) -> dict:
         return {"mtime": -1, "project": "", "path": ""}
 
     def latestOffset(self) -> dict:
-        found = self._files()
-        return dict(zip(("mtime", "project", "path"), found[-1])) if found else self.initialOffset()
+        after = self.read_to or _offset(self.initialOffset())
+        newest, counts = self._behind(after)
+        self.listed = after, counts
+        return dict(zip(("mtime", "project", "path"), newest))
 
     def partitions(self, start: dict, end: dict):
-        lo, hi = ((o["mtime"], o["project"], o["path"]) for o in (start, end))
-        new = [f for f in self._files() if lo < f[:3] <= hi]
-        n = min(len(new), self.shards)
-        return [InputPartition(tuple(f[2:] for f in new[i::n])) for i in range(n)]
+        """At most about twice ``shards`` lists of folders with the files to read
+        in each; a folder of many new files goes to several tasks, which take
+        shares of its names."""
+        lo, hi = _offset(start), _offset(end)
+        counts = self.listed[1] if self.listed and self.listed[0] == lo else self._behind(lo)[1]
+        self.read_to = hi
+        size = -(-sum(n for *_, n in counts) // self.shards)
+        parts, room = [], 0
+        for root, folder, n in counts:
+            shares = -(-n // size)
+            for share in range(shares):
+                if room < n // shares or not parts:
+                    parts.append([])
+                    room = size
+                parts[-1].append((root, folder, share, shares))
+                room -= n // shares
+        return [InputPartition((lo, hi, tuple(p))) for p in parts]
 
     def read(self, partition):
-        for path, root in partition.value:
+        lo, hi, units = partition.value
+        for root, folder, share, shares in units:
             files, top = open_tree(root)
-            info = files.get_file_info(posixpath.join(top, path))
-            if _is_file(info):  # one that has gone since the listing has no row
-                yield from _row(files, posixpath.basename(top.rstrip("/")), top, info)
+            project = posixpath.basename(top.rstrip("/"))
+            for info in entries(files, folder, gone=True):  # what has gone since the listing has no row
+                if not _is_file(info) or not lo[0] <= info.mtime_ns <= hi[0]:
+                    continue
+                key = _key(info, project, top)
+                if lo < key <= hi and zlib.crc32(key[2].encode("utf-8", "surrogateescape")) % shares == share:
+                    try:
+                        yield from _row(files, project, top, info)
+                    except FileNotFoundError:
+                        continue
 
     def commit(self, end: dict) -> None:
         pass
