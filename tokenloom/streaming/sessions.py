@@ -2,11 +2,13 @@
 active window.
 
 The stream carries session log rows ``(project, session_id, line_no, raw,
-file_mtime)``.  One stateful processor per (project, session) keeps a map state
-with one entry per uuid (its smallest line number and that line's counts) and a
-value state with the running sums and the counts last emitted.  A refresh reads
-and writes only the entries of the uuids it brings, so a long session costs what
-is new, not what it holds.  Taking the smallest line makes the step independent
+file_mtime)``.  One stateful processor per (project, session) keeps a value
+state with the running sums, the counts last emitted and the entries of the
+session's first ``INLINE`` uuids (a uuid's smallest line number and that line's
+counts), and a map state with one entry for each further uuid.  Every access of
+the state is a call out of the Python process, so a short session costs one read
+and one write; of a longer one a refresh reads and writes only the entries of the
+uuids it brings, so it costs what is new, not what it holds.  Taking the smallest line makes the step independent
 of the order of rows, Arrow batches and micro-batches: a smaller line replaces
 what the larger one had added, so the first line of a uuid wins exactly as in
 the batch operator.
@@ -20,12 +22,13 @@ counts.
 """
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import islice
 from typing import Iterable, Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -40,7 +43,11 @@ OUTPUT_SCHEMA = ("project string, session_id string, mtime timestamp, input_toke
                  "delta_input long, delta_output long, delta_cache_w long, delta_cache_r long, delta_cost double")
 ENTRY_SCHEMA = "line_no long, has_usage boolean, input_tokens long, output_tokens long, cache_write long, cache_read long"
 SUMS_SCHEMA = ("input_tokens long, output_tokens long, cache_write long, cache_read long, turns long, "
-               "last_input long, last_output long, last_write long, last_read long, mtime_us long")
+               "last_input long, last_output long, last_write long, last_read long, mtime_us long, "
+               f"entries array<struct<uuid string, {ENTRY_SCHEMA}>>")
+INLINE = 32      # uuids of a session whose entries are kept with its sums
+CHUNK = 10_000   # rows of a session added at a time
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 # Keyed map state needs the RocksDB store; with change logs a refresh writes what it changed.
 STORE_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
               "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
@@ -78,14 +85,13 @@ def add_rows(rows: Iterable[tuple], sums: list[int], entry, put) -> None:
         put(uuid, new)
 
 
-def emission(key: tuple, sums: list[int], last: list[int] | None, mtime) -> pd.DataFrame:
+def emission(key: tuple, sums: list[int], last: list[int] | None, mtime_us: int | None) -> Row:
     """The row a refresh emits: totals, and the change since the last one."""
     n = sums[:4]
     d = [a - b for a, b in zip(n, last)] if last is not None else [0, 0, 0, 0]
-    return pd.DataFrame([{
-        "project": key[0], "session_id": key[1], "mtime": mtime, **dict(zip(COUNTS, n)), "total_tokens": n[0] + n[1],
-        "turns": sums[4], "cost_usd": _cost(*n), "delta_input": d[0], "delta_output": d[1], "delta_cache_w": d[2],
-        "delta_cache_r": d[3], "delta_cost": _cost(*d) if last is not None else 0.0}])
+    return Row(project=key[0], session_id=key[1], mtime=None if mtime_us is None else EPOCH + timedelta(microseconds=mtime_us),
+               **dict(zip(COUNTS, n)), total_tokens=n[0] + n[1], turns=sums[4], cost_usd=_cost(*n), delta_input=d[0],
+               delta_output=d[1], delta_cache_w=d[2], delta_cache_r=d[3], delta_cost=_cost(*d) if last is not None else 0.0)
 
 
 class SessionTotals(StatefulProcessor):
@@ -99,33 +105,40 @@ class SessionTotals(StatefulProcessor):
         self.seen = handle.getMapState("seen", "uuid string", ENTRY_SCHEMA)
         self.sums = handle.getValueState("sums", SUMS_SCHEMA)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.sums.get() if self.sums.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.sums.get()
         sums = [int(x) for x in held[:5]] if held is not None else [0] * 5
         last = [int(x) for x in held[5:9]] if held is not None else None
-        mtime = None if held is None or held[9] is None else int(held[9])
-        fresh: dict[str, tuple] = {}  # what a session without state has got in this refresh
-
-        def keep(uuid, entry):
-            if held is None:
-                fresh[uuid] = entry
-            self.seen.updateValue((uuid,), entry)
-
-        for pdf in rows:
-            newest = pdf["file_mtime"].max()
-            if not pd.isna(newest):
-                mtime = max(mtime or 0, pd.Timestamp(newest).value // 1000)
-            told = zip(pdf["type"].tolist(), *(pdf[c].tolist() for c in KEPT))
-            add_rows((row for kind, *row in told if kind == "assistant"), sums,
-                     lambda u: fresh.get(u) if held is None else self.seen.getValue((u,)), keep)
-        self.sums.update((*sums, *sums[:4], mtime))
-        if self.idle_ms is not None and mtime is not None:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
+        before = mtime = None if held is None or held[9] is None else int(held[9])
+        inline = {e[0]: tuple(e[1:]) for e in held[10]} if held is not None else {}
+        more = len(inline) >= INLINE  # only then the map may hold entries
+        fresh: dict[str, tuple] = {}  # what this refresh has put into an empty map
+
+        def entry(uuid):
+            return inline.get(uuid) or (self.seen.getValue((uuid,)) if more else fresh.get(uuid))
+
+        def keep(uuid, new):
+            if uuid in inline or len(inline) < INLINE:
+                inline[uuid] = new
+            else:
+                if not more:
+                    fresh[uuid] = new
+                self.seen.updateValue((uuid,), new)
+
+        rows = iter(rows)
+        while part := list(islice(rows, CHUNK)):
+            times = [r.mtime_us for r in part if r.mtime_us is not None]
+            if times:
+                mtime = max(mtime or 0, *times)
+            add_rows((tuple(r[c] for c in KEPT) for r in part if r.type == "assistant"), sums, entry, keep)
+        self.sums.update((*sums, *sums[:4], mtime, [(u, *e) for u, e in inline.items()]))
+        if self.idle_ms is not None and mtime != before:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + 1)
             self.handle.registerTimer(mtime // 1000 + 1)  # the watermark already trails by the idle time
-        yield emission(key, sums, last, None if mtime is None else pd.Timestamp(mtime * 1000))
+        yield emission(key, sums, last, mtime)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.seen.clear()
         self.sums.clear()
         return iter([])
@@ -145,7 +158,8 @@ def stream_session_usage(lines: DataFrame, idle_hours: float | None = None) -> D
         lines.sparkSession.conf.set(name, value)
     if idle_hours is not None:
         lines = lines.withWatermark("file_mtime", f"{int(idle_hours * 3600)} seconds")
-    return read_session_log(lines).groupBy("project", "session_id").transformWithStateInPandas(
+    rows = read_session_log(lines).withColumn("mtime_us", F.unix_micros("file_mtime"))
+    return rows.groupBy("project", "session_id").transformWithState(
         SessionTotals(idle_hours), OUTPUT_SCHEMA, "Update", "None" if idle_hours is None else "EventTime")
 
 
