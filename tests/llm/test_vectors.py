@@ -139,3 +139,30 @@ def test_first_beam_finds_isolated_partners(monkeypatch):
     move -= (move * shard.x[some]).sum(1, keepdims=True) * shard.x[some]
     q = 0.905 * shard.x[some] + (1 - 0.905 ** 2) ** 0.5 * move / np.linalg.norm(move, axis=1, keepdims=True)
     assert sum(i in hit for i, hit in zip(some, shard.near(q))) >= 0.97 * len(some)
+
+
+def test_queries_of_one_entry_are_searched_side_by_side(monkeypatch):
+    """op6: beams are searched in the order of their entry, in wide batches; answers keep the order of the queries."""
+    import numpy as np
+
+    from tokenloom.llm import vectors as V
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(40, 16))
+    x = centres[rnd.integers(0, 40, 3000)] + 0.12 * rnd.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shard = V.Shard(np.arange(3000), x, 0.9)
+    queries = x[rnd.permutation(3000)[:1500]]
+    seen, search = [], V._search
+
+    def noted(vectors, links, q, entry, beam):
+        if len(vectors) == 3000:
+            seen.append(entry[:, 0])
+        return search(vectors, links, q, entry, beam)
+
+    monkeypatch.setattr(V, "_search", noted)
+    got = list(shard.near(queries))
+    entries = np.concatenate(seen)
+    assert len(entries) == 1500 and len(seen) <= 3 and (np.diff(entries) >= 0).all()
+    want = [set(np.flatnonzero(row)) for row in queries @ shard.x.T >= 0.9]
+    found = sum(len(w & set(g.tolist())) for w, g in zip(want, got))
+    assert all(set(g.tolist()) <= w for w, g in zip(want, got)) and found >= 0.98 * sum(map(len, want))

@@ -54,6 +54,8 @@ AUDIT_RECALL = 0.99
 PAIRS = 128         # links of a query in a shard that are paired; beyond it they are counted
 SLICE = 65_536      # queries that one (shard, slice) task takes at most
 BATCH = 256         # queries searched in lock step
+BLOCK = 4096        # queries put in order of their entry before they are searched
+NONE = np.zeros(0, np.int64)
 SLACK = 1e-4        # by which a single-precision similarity may fall short of the true one
 
 
@@ -64,48 +66,53 @@ class Level:
         self.nodes, self.links = nodes, links
 
 
+def _packed(sim: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """One integer per (similarity, node), ordered by similarity: its bits, the
+    node, and 1 for one not expanded yet.  Zero is no node."""
+    high = (np.maximum(sim, -1) + 2).astype(np.float32).view(np.int32).astype(np.int64)
+    return high << 32 | node.astype(np.int64) << 1 | 1
+
+
 def _search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray,
             beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of all queries in lock step over one level's graph: per query
     the ``beam`` best positions and similarities (-1 and -2 pad).  Every step
     expands each query's best unexpanded position; a query ends when its whole
     beam is expanded."""
-    q, rows = len(queries), np.arange(len(queries))
-    seen = np.zeros((q, len(x)), bool)
-    cand, sim = np.full((q, beam), -1, np.int64), np.full((q, beam), -2.0, x.dtype)
+    q, width, degree = len(queries), len(x) + 1, links.shape[1]
+    out = np.zeros((q, beam), np.int64)
+    seen = np.zeros((q, width), bool)
+    seen[:, -1] = True  # where the -1 of a missing link points to
+    seen = seen.ravel()
     ok = entry >= 0
     first = np.where(ok, entry, 0)
-    s = np.where(ok, np.einsum("qd,qkd->qk", queries, x[first]), -2.0)
+    held = np.where(ok, _packed(np.einsum("qd,qkd->qk", queries, x[first]), first), 0)
+    held.sort(axis=1)
     keep = min(entry.shape[1], beam)
-    top = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-    cand[:, :keep] = np.take_along_axis(np.where(ok, entry, -1), top, 1)
-    sim[:, :keep] = np.take_along_axis(s, top, 1)
-    seen[np.repeat(rows, entry.shape[1])[ok.ravel()], first[ok]] = True
-    expanded, active = cand < 0, rows
-    while len(active):
-        todo = ~expanded[active]
-        has = todo.any(1)
-        active, todo = active[has], todo[has]
+    beams, active = np.zeros((q, beam), np.int64), np.arange(q)
+    beams[:, beam - keep:] = held[:, held.shape[1] - keep:]
+    seen[(active[:, None] * width + np.where(ok, entry, -1)).ravel()] = True
+    while True:
+        best = (beams * (beams & 1)).max(1, initial=0)
+        has = best > 0
+        if not has.all():
+            out[active[~has]] = beams[~has]
+            beams, active, best = beams[has], active[has], best[has]
         if not len(active):
             break
-        at = np.where(todo, sim[active], -3.0).argmax(1)
-        node = cand[active, at]
-        expanded[active, at] = True
-        near = links[node]
-        fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
-        r, c = np.nonzero(fresh)
-        if not len(r):
-            continue
-        who, what = active[r], near[r, c]
-        seen[who, what] = True
-        s = np.full(near.shape, -2.0, x.dtype)
-        s[r, c] = np.einsum("nd,nd->n", queries[who], x[what])
-        all_c = np.concatenate((cand[active], np.where(fresh, near, -1)), 1)
-        all_s = np.concatenate((sim[active], s), 1)
-        all_e = np.concatenate((expanded[active], ~fresh), 1)
-        top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-        cand[active], sim[active], expanded[active] = (np.take_along_axis(v, top, 1) for v in (all_c, all_s, all_e))
-    return cand, sim
+        beams -= beams == best[:, None]
+        near = links[(best & 0xFFFFFFFF) >> 1]
+        at = (active[:, None] * width + near).ravel()
+        new = np.flatnonzero(~seen[at])
+        seen[at[new]] = True
+        what = near.ravel()[new]
+        found = np.zeros((len(active), degree), np.int64)
+        found.ravel()[new] = _packed(np.einsum("nd,nd->n", queries[active[new // degree]], x[what]), what)
+        both = np.concatenate((beams, found), 1)
+        both.partition(degree, axis=1)
+        beams = both[:, degree:]
+    sim = (out >> 32).astype(np.int32).view(np.float32) - np.float32(2)
+    return np.where(out > 0, (out & 0xFFFFFFFF) >> 1, -1), sim
 
 
 def _diverse(x: np.ndarray, own: np.ndarray, cand: np.ndarray, sim: np.ndarray, degree: int) -> np.ndarray:
@@ -126,10 +133,10 @@ def _diverse(x: np.ndarray, own: np.ndarray, cand: np.ndarray, sim: np.ndarray,
         chosen[:, j] = take
         out[np.flatnonzero(take), count[take]] = cand[take, j]
         count += take
-    for j in range(k):
-        take = valid[:, j] & ~chosen[:, j] & (count < degree)
-        out[np.flatnonzero(take), count[take]] = cand[take, j]
-        count += take
+    rest = valid & ~chosen
+    place = count[:, None] + np.cumsum(rest, axis=1) - 1
+    r, c = np.nonzero(rest & (place < degree))
+    out[r, place[r, c]] = cand[r, c]
     return out
 
 
@@ -252,21 +259,38 @@ class Shard:
     def near(self, queries: np.ndarray):
         """Positions at or above the threshold for each query, one after the other;
         more than ``PAIRS`` of them are all there are, by brute force."""
-        batch = max(16, min(BATCH, (1 << 25) // len(self.x)))  # the seen table stays below 32 MB
+        batch = max(16, min(2 * BATCH, (1 << 25) // len(self.x)))  # the seen table stays below 32 MB
         if self.beam >= len(self.x):
             for lo in range(0, len(queries), 16):
                 yield from (np.flatnonzero(r >= self.threshold) for r in queries[lo:lo + 16] @ self.x.T)
             return
-        for lo in range(0, len(queries), batch):
-            q = queries[lo:lo + batch]
-            y = q.astype(np.float32)
-            entry = _descend(self.single, self.levels[:-1], y) if len(self.levels) > 1 else np.zeros((len(q), 1), np.int64)
-            c, s = _search(self.single, self.levels[-1].links, y, entry, self.beam)
+        for lo in range(0, len(queries), BLOCK):
+            q = queries[lo:lo + BLOCK]
+            c, sure = self._beams(q.astype(np.float32), batch)
+            some = sure.any(1)
             for i in range(len(q)):
-                hit = c[i][s[i] >= self.threshold - SLACK]
+                if not some[i]:
+                    yield NONE
+                    continue
+                hit = c[i][sure[i]]
                 hit = self._group(q[i], c[i], hit[self.x[hit] @ q[i] >= self.threshold])
                 yield hit if len(hit) <= PAIRS else np.flatnonzero(self.x @ q[i] >= self.threshold)
 
+    def _beams(self, y: np.ndarray, batch: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the positions of its beam and which may lie within the threshold.
+        Queries that enter at one place are searched side by side: they read the
+        same vectors and links."""
+        entry = np.zeros((len(y), 1), np.int64)
+        if len(self.levels) > 1:
+            entry = np.concatenate([_descend(self.single, self.levels[:-1], y[k:k + batch]) for k in range(0, len(y), batch)])
+        order = np.argsort(entry[:, 0], kind="stable")
+        met, near = np.empty((len(y), self.beam), np.int32), np.empty((len(y), self.beam), bool)
+        for k in range(0, len(y), batch):
+            o = order[k:k + batch]
+            met[o], s = _search(self.single, self.levels[-1].links, y[o], entry[o], self.beam)
+            near[o] = s >= self.threshold - SLACK
+        return met, near
+
     def _group(self, query: np.ndarray, met: np.ndarray, hits: np.ndarray) -> np.ndarray:
         """Follow the links from all hits at once, as long as new ones turn up:
         a group larger than the beam is found to its end."""
@@ -297,7 +321,7 @@ class Shard:
         out = cls.__new__(cls)
         out.ids, out.x, out.beam, out.threshold = z["ids"], z["x"], int(z["beam"]), float(z["threshold"])
         out.single = out.x.astype(np.float32)
-        out.levels = [Level(z[f"n{k}"], z[f"l{k}"].astype(np.int64)) for k in range(sum(f.startswith("n") for f in z.files))]
+        out.levels = [Level(z[f"n{k}"], z[f"l{k}"]) for k in range(sum(f.startswith("n") for f in z.files))]
         return out
 
 
